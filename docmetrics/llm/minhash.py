@@ -269,7 +269,8 @@ def _links(spark, rows_in: DataFrame, families: DataFrame, percent: int, shingle
     """Verified links of the candidate families, written to the shared folder."""
     sized = families.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     wanted = families.join(sized, "grp").select("id", "grp", "blocks")
-    with_text = rows_in.join(wanted, "id").select("grp", "id", "text").where("id is not null")
+    # no broadcast, even where the candidates are few: the same plan and shuffle at every size
+    with_text = rows_in.join(wanted.hint("merge"), "id").select("grp", "id", "text").where("id is not null")
     full = with_text.mapInArrow(lambda it: _sets(it, shingle, width), "grp long, id long, hashes binary, sig binary")
     full = full.join(sized.select("grp", "blocks"), "grp")
     home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
