@@ -375,8 +375,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     1. Every window of ``length`` bytes picks an anchor by its content (the least gram hash in it); windows
        with one anchor travel as one narrow row (about one per 50 bytes), never as text.
-    2. Rows with equal gram and equal context are counted (map-side first). Context seen twice: all its
-       windows repeat. Gram seen once: none does. Both are settled here.
+    2. Grams are counted (map-side first); rows whose gram is seen once, most of them, go. Of the others,
+       rows with equal context are counted. Context seen twice: all its windows repeat.
     3. What is left are edges of repeats: grams with several contexts. One text of each context goes to
        the task of its gram. There the suffixes after the gram and before it (reversed) are sorted:
        multikey quicksort to a shallow depth, blind tries for groups that agree further. Classes of
@@ -392,7 +392,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, spans array<array<long>>]).
     """
-    gram = gram or max(1, length // 2)
+    gram = gram or max(1, 2 * length // 5)
     if not 1 <= gram <= length or length - gram > 2047:
         raise ValueError("gram must be at most length, and length - gram at most 2047")
     odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
@@ -401,21 +401,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = remove_repeats(numbered, "_row", "_text", length, gram, hot, with_text)
         names = [c for c in out.columns if c != "_row"]
         return out.join(numbered.select("_row", "_id"), "_row").select(F.col("_id").alias(id_col), *names)
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).where("id is not null")
     rows = materialize(raw.where(F.octet_length("raw") >= length).mapInArrow(lambda it: _anchor_rows(it, length, gram), ANCHORS), "anchors")
 
-    contexts = rows.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first")).alias("one"))
-    contexts = contexts.select("fp", "ctx", F.least("n", F.lit(2)).alias("n"), "one")
-    grams = contexts.groupBy("fp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("fp", "kinds")
+    seen = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    again = materialize(rows.join(seen.hint("merge"), "fp", "left_semi"), "again")
+    discard(rows)
+
+    contexts = again.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first")).alias("one"))
+    grams = contexts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"))
     counted = contexts.join(grams, "fp").select("fp", "ctx", "n", "kinds", "one")
-    settled = rows.join(counted, ["fp", "ctx"]).select("fp", "id", "first", "span", "at", (F.col("n") > 1).alias("repeats"), "kinds", ((F.col("kinds") > 1) & (F.struct("id", "first") == F.col("one"))).alias("edge"))
+    edge = (F.col("kinds") > 1) & (F.struct("id", "first") == F.col("one"))
+    settled = again.join(counted, ["fp", "ctx"]).select("fp", "id", "first", "span", "at", (F.col("n") > 1).alias("repeats"), "kinds", edge.alias("edge"))
     settled = materialize(settled, "settled")
-    discard(rows)
+    discard(again)
 
     whole = settled.where("repeats").select("id", F.col("first").alias("start"), (F.col("first") + F.col("span") + length).cast("int").alias("end"))
     edges = settled.where("edge")
     wanted = edges.groupBy("id").agg(F.collect_list(F.struct("fp", "first", "span", "at", "kinds")).alias("wanted"))
-    texts = raw.join(wanted, "id").select("id", "raw", "wanted")
+    # both joins of texts by id read one shuffle of them; no broadcast, so that it is so at every size
+    texts = raw.join(wanted.hint("merge"), "id").select("id", "raw", "wanted")
     kinds = edges.groupBy("fp").agg(F.max("kinds").alias("kinds")).where(F.col("kinds") > hot)
     cut = texts.mapInArrow(lambda it: _contexts(it, length, gram), "fp long, id long, first int, span short, at short, bytes binary")
     n, many = edges.count(), kinds.count()
@@ -432,5 +437,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ranges = ranges.unionByName(hot_ranges)
     per_doc = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text
-    out = raw.join(per_doc, "id", "left").select("id", "raw", "ranges").mapInArrow(lambda it: _cut(it, with_text), schema)
+    out = raw.join(per_doc.hint("merge"), "id", "left").select("id", "raw", "ranges").mapInArrow(lambda it: _cut(it, with_text), schema)
     return out.withColumnRenamed("id", id_col)
