@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, discard, materialize
 
-BANDS, ROWS = 32, 6
 BATCH = 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -109,6 +108,15 @@ def least_matches(threshold: float, n: int, batch: int, miss: float, bits: int =
     return out
 
 
+def banding(percent: int, hashes: int = 192, miss: float = 1e-6) -> tuple[int, int]:
+    """(bands, rows) within ``hashes``: the most rows with which a pair at the threshold misses all bands with at most ``miss``."""
+    for rows in range(16, 1, -1):
+        bands = hashes // rows
+        if (1 - (percent / 100) ** rows) ** bands <= miss:
+            return bands, rows
+    return hashes, 1
+
+
 SIGNED = "id long, n_shingles long, set_key binary, keys array<long>"
 
 
@@ -217,8 +225,8 @@ def near_duplicates(
     text_col: str = "text",
     percent: int = 80,
     shingle: int = 5,
-    bands: int = BANDS,
-    rows: int = ROWS,
+    bands: int | None = None,
+    rows: int | None = None,
     miss: float = 1e-7,
     block: int = 4096,
 ) -> DataFrame:
@@ -236,7 +244,8 @@ def near_duplicates(
        task holds more than 2*block sets and no pair is skipped.
     5. Connected components of the links, spread to the collapsed copies.
 
-    With the defaults a pair at 0.85 misses all bands with a probability of about 3e-7.
+    Without ``bands`` and ``rows``, 192 hashes are dealt so that a pair at the threshold misses all bands with a
+    probability of at most 1e-6 (0.8: 38 bands of 5, 3e-7; 0.85: 32 bands of 6, 3e-7).
     Null and empty texts (or texts of white space only) have no shingles and link with nothing. Rows
     that repeat an id with the same text are returned as often as they come. A null id is returned
     with component null and kept true. An empty table gives an empty result. Other columns are ignored.
@@ -244,6 +253,8 @@ def near_duplicates(
     Returns (id_col, n_shingles, component_id, kept): the smallest id reachable by links, and whether
     it is the row's own.
     """
+    if not bands or not rows:
+        bands, rows = banding(percent)
     spark = docs.sparkSession
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = rows_in.mapInArrow(lambda it: _sign(it, bands, rows, shingle), SIGNED)
@@ -283,3 +294,9 @@ def _links(spark, rows_in: DataFrame, families: DataFrame, percent: int, shingle
     met = dealt.withColumn("deal", deal).groupBy("deal")
     links = met.applyInArrow(lambda t: _verify(t, percent, miss), "a long, b long")
     return materialize(links, "links")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their class, with all their columns; rows with a null id stay."""
+    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")

@@ -10,6 +10,7 @@ from .embeddings import near_duplicate_vectors
 from .exactdedup import exact_duplicates
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .pii import find_personal_data
 from .suffixdedup import remove_repeats
 from .toxicity import toxicity
 from .urlfilter import filter_urls
@@ -29,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,11 +70,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"), least=0)
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op4_suffix_dedup": op4_suffix_dedup,
@@ -79,6 +91,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_warc_zip": op10_warc_zip,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {

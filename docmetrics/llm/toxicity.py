@@ -300,6 +300,20 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return rows.mapInArrow(lambda it: _score(it, model), "id long, score double").withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, unchanged and where they lie."""
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, machine = model.lexicon(), grammar()
+        for batch in batches:
+            rows = [clause_features(t.as_py(), lexicon, machine) for t in batch.column(place)]
+            p = model.probability(np.array(rows, np.float64).reshape(len(rows), len(FEATURES)))
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no model is learned from: crc32 of the id as text is a multiple of 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
