@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordcache import WordCache, portions
+
 #: Bytes are written as the characters from here on: letters without case, white space or composition.
 FIRST_CHAR = 0x4E00
 
@@ -70,7 +73,7 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
 class ByteBpe:
     """Encoder and decoder of one rank file and split pattern."""
 
-    def __init__(self, path: str, pattern: str, room: int = 300_000):
+    def __init__(self, path: str, pattern: str):
         import regex
         import sentencepiece
 
@@ -82,51 +85,45 @@ class ByteBpe:
         own = pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
         self.split = regex.compile(own)
         self.crowded = regex.compile(f"[{space}] [{space}]").search
-        self.known: dict[str, bytes] = {}
-        self.room = room
+        self.spaced = WordCache(lambda words: self._chunks([" " + w for w in words]))  # each with the space before it
         self.mapped = [chr(FIRST_CHAR + b) for b in range(256)]
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of one match of the pattern: itself where it is a token, else by merges in the order of ranks."""
-        raw = word.encode("utf-8", "surrogatepass")
-        got = self.whole.get(raw)
-        return [got] if got is not None else self.model.encode("".join(map(self.mapped.__getitem__, raw)))
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for word in self.split.findall(chunk):
-            ids += self._word(word)
-        return np.array(ids, "<u4").tobytes()
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of chunks. A match of the pattern is itself where it is a token, else merged in the order of ranks."""
+        whole, mapped = self.whole, self.mapped
+        words = [self.split.findall(c) for c in chunks]
+        ids: dict[str, list[int]] = {}
+        merge: list[str] = []
+        for w in set().union(*words):
+            got = whole.get(w.encode("utf-8", "surrogatepass"))
+            if got is None:
+                merge.append(w)
+            else:
+                ids[w] = [got]
+        if merge:
+            spelled = ["".join([mapped[b] for b in w.encode("utf-8", "surrogatepass")]) for w in merge]
+            ids.update(zip(merge, self.model.encode(spelled, num_threads=1), strict=True))
+        return [array("I", [i for w in found for i in ids[w]]).tobytes() for found in words]
 
-    def encode_packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
 
         No match of the pattern goes on over a space that follows or precedes a visible character, so
-        the text is cut before such spaces and chunks are looked up in a table. A text with a space
-        between two white-space characters is matched as a whole.
+        a text is cut before such spaces and its chunks are looked up in a table; chunks that are new
+        to a worker are encoded together. A text with a space between two white-space characters is
+        matched as a whole.
         """
-        if not text:
-            return b""
-        if self.crowded(text):
-            return self._chunk(text)
-        first, *rest = text.split(" ")
-        out, known = [first], self.known
-        out += [" " + x for x in rest]
-        try:
-            return b"".join([known[x] for x in out if x])
-        except KeyError:
-            pass
-        packed = []
-        for x in out:
-            got = known.get(x)
-            if got is None:
-                got = self._chunk(x)
-                if len(x) <= 64:
-                    if len(known) >= self.room:
-                        known.clear()
-                    known[x] = got
-            packed.append(got)
-        return b"".join(packed)
+        out: list[bytes] = []
+        for part in portions(texts):
+            crowded = [bool(self.crowded(t)) for t in part]
+            split = [[t] if c else t.split(" ") for t, c in zip(part, crowded, strict=True)]
+            first = self._chunks([x[0] for x in split])
+            rest = self.spaced.packed([x[1:] for x in split])
+            out += [a + b for a, b in zip(first, rest, strict=True)]
+        return out
+
+    def encode_packed(self, text: str | None) -> bytes:
+        return self.encode_batch([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
@@ -141,52 +138,48 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def inverse(path: str) -> list[bytes]:
+    return read_ranks(path)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = codec(path, pattern)
     for batch in batches:
-        ids = [np.frombuffer(bpe.encode_packed(t.as_py() or ""), "<u4").astype(np.int32) for t in batch.column(1)]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
+        at = 0
+        for part in portions((t.as_py() for t in batch.column(1)), 2 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(bpe.encode_batch(part), pa.binary())], ["id", "packed"])
+            at += len(part)
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    bpe = codec(path, pattern)
+def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    get = inverse(path).__getitem__
     for batch in batches:
-        raw = [None if x is None else bpe.decode_bytes(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["id", "ids", "decoded"])
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            raw = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], ["id", "packed", "decoded"])
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>): byte-level BPE ids of every whole text, without special tokens.
+    """(id_col, packed binary): byte-level BPE ids of every whole text, little-endian unsigned 32-bit, without special tokens.
 
     A null or empty text has no ids. Repeated rows are encoded as often as they come; null ids are
     kept; other columns are ignored; an empty table gives an empty result. ``ranks`` is the path of a
     rank file on the workers, ``pattern`` the split that precedes the merges.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _encode(it, ranks, pattern), "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lambda it: _encode(it, ranks, pattern), "id long, packed binary").withColumnRenamed("id", id_col)
 
 
-def decode_documents(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, ids, decoded binary): the bytes of the ids. Null ids give null, no ids give no bytes."""
-    rows = encoded.select(F.col(id_col).alias("id"), "ids")
-    return rows.mapInArrow(lambda it: _decode(it, ranks, pattern), "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+def decode_documents(encoded: DataFrame, ranks: str, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, packed, decoded binary): the bytes of the ids by the inverse of the vocabulary. Null ids give null, no ids no bytes."""
+    rows = encoded.select(F.col(id_col).alias("id"), "packed")
+    return rows.mapInArrow(lambda it: _decode(it, ranks), "id long, packed binary, decoded binary").withColumnRenamed("id", id_col)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for batch in batches:
-        ids = batch.column(1)
-        values, offsets = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        count = np.diff(offsets)
-        a = [hashlib.sha256(values[i:j].tobytes()).hexdigest() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-        b = [hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def round_trip_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding every document."""
-    encoded = encode_documents(docs, ranks, pattern)
-    return decode_documents(encoded, ranks, pattern).mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding every document."""
+    decoded = decode_documents(encode_documents(docs, ranks, pattern, id_col), ranks, id_col)
+    n = (F.octet_length("packed") / 4).cast("long").alias("n_tokens")
+    return decoded.select(id_col, n, F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
