@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -12,37 +13,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordcache import WordCache, portions
+
 SEPARATOR = 0
 
 
-class WordIds(dict):
-    """Word to its packed ids (little-endian unsigned 32-bit), as the tokenizer gives them.
+class WordIds:
+    """Packed ids (little-endian unsigned 32-bit) of texts, word by word, as the tokenizer gives them.
 
     The vocabulary drops white space and never merges across it, so the ids of a text are those of
-    its space-separated words in order. Words are looked up once per worker; the table is emptied
-    when it grows large.
+    its space-separated words in order. It lower-cases, and a run of punctuation behind a letter or digit
+    is a piece of its own, so a new word is looked up as its lower-case stem and its tail. What is new
+    then is encoded together, in texts where a mark of a single id keeps the words apart; words that
+    hold the mark are encoded alone.
     """
 
-    def __init__(self, path: str):
+    MARKS = "~^`|#@"
+    TAIL = ".,;:!?|*#$%&\")]"
+
+    def __init__(self, path: str, room: int = 500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor are its parallelism
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 300_000:
-            self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
+        single = ((m, self._encode(m)) for m in self.MARKS)
+        self.mark, self.mark_id = next(((m, int(i[0])) for m, i in single if len(i) == 1), (None, -1))
+        self.words = WordCache(self._encode_words, room)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        known = self.words.young
+        parts: list[tuple[str, str]] = []
+        need: set[str] = set()
+        for w in words:
+            stem = w.rstrip(self.TAIL)
+            if not stem or not stem[-1].isalnum() or "\u0130" in stem:  # U+0130 ends in a mark when lower-cased
+                stem = w
+            tail = w[len(stem) :]
+            if not stem.islower() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
+                stem = stem.lower()
+            parts.append((stem, tail))
+            need.add(stem)
+            need.add(tail)
+        found = {w: known[w] for w in need if w in known}
+        fresh = [w for w in need if w not in found]
+        found.update(zip(fresh, self._encode_apart(fresh), strict=True))
+        return [found[stem] + found[tail] if tail else found[stem] for stem, tail in parts]
+
+    def _encode_apart(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[i : i + 100] for i in range(0, len(words), 100)]
+        for at in range(0, len(groups), 100):
+            some = groups[at : at + 100]
+            texts = [f" {self.mark or ''} ".join(g) for g in some]
+            for group, text, got in zip(some, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, "<u4")
+                cuts = 4 * np.flatnonzero(ids == self.mark_id)
+                if len(cuts) == len(group) - 1 == text.count(self.mark or "\n"):
+                    raw = ids.tobytes()
+                    out += [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
+                else:  # a word holds the mark
+                    out += [self._encode(w).tobytes() for w in group]
+        return out
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text."""
+        return [ids for part in portions(texts) for ids in self.words.packed([t.replace("\n", " ").split(" ") for t in part])]
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.batch([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -57,18 +99,19 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, with_ids: b
 
     def flush() -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
         keep = 6 if with_ids else 5
         arrays = [pa.array(c, k) for c, k in zip(cols[:keep], kinds[:keep], strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names[:keep])
 
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = words.ids(text.as_py()) + end
+        packed = words.batch(batch.column(1).to_pylist())
+        for key, ids in zip(batch.column(0).to_pylist(), packed, strict=True):
+            ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[at : at + 4 * size]
-                listed = np.frombuffer(part, "<u4").astype(np.int64) if with_ids else None
+                listed = np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None
                 out.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), listed))
             if len(out) >= 20_000:
                 yield flush()
@@ -189,7 +232,7 @@ def pack_documents(
     """
     groups = max(1, -(-docs.count() // group))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     pieces = rows.mapInArrow(lambda it: _pieces(it, tokenizer, size, with_ids), schema)
     dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int"))
     packed = dealt.groupBy("deal").applyInArrow(lambda t: _pack(t, size), schema + ", sequence_id long, offset long")
