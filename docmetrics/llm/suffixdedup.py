@@ -404,17 +404,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).where("id is not null")
     rows = materialize(raw.where(F.octet_length("raw") >= length).mapInArrow(lambda it: _anchor_rows(it, length, gram), ANCHORS), "anchors")
 
-    seen = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # sums are written before they are joined back, so that a join reads plain shuffles and hot grams can be split
+    seen = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "seen")
     again = materialize(rows.join(seen.hint("merge"), "fp", "left_semi"), "again")
-    discard(rows)
+    discard(rows, seen)
 
-    contexts = again.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first")).alias("one"))
-    grams = contexts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"))
-    counted = contexts.join(grams, "fp").select("fp", "ctx", "n", "kinds", "one")
+    contexts = materialize(again.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first")).alias("one")), "contexts")
+    grams = materialize(contexts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")), "grams")
+    counted = materialize(contexts.join(grams.hint("merge"), "fp").select("fp", "ctx", "n", "kinds", "one"), "counted")
     edge = (F.col("kinds") > 1) & (F.struct("id", "first") == F.col("one"))
-    settled = again.join(counted, ["fp", "ctx"]).select("fp", "id", "first", "span", "at", (F.col("n") > 1).alias("repeats"), "kinds", edge.alias("edge"))
+    settled = again.join(counted.hint("merge"), ["fp", "ctx"]).select("fp", "id", "first", "span", "at", (F.col("n") > 1).alias("repeats"), "kinds", edge.alias("edge"))
     settled = materialize(settled, "settled")
-    discard(again)
+    discard(again, contexts, grams, counted)
 
     whole = settled.where("repeats").select("id", F.col("first").alias("start"), (F.col("first") + F.col("span") + length).cast("int").alias("end"))
     edges = settled.where("edge")
