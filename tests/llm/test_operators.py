@@ -1,0 +1,320 @@
+"""Operators against brute force, round trips and held-out accuracy."""
+
+import base64
+import collections
+import hashlib
+import io
+import os
+import random
+import re
+import struct
+import zipfile
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+
+from docmetrics.llm import bytebpe, embeddings, minhash, packing, pii, queries, shared, suffixdedup, toxicity, urlfilter, warczip
+
+
+def random_texts(n, seed, words=400, copies=0.4):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(words)]
+    out = []
+    for _ in range(n):
+        text = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
+        if out and r.random() < copies:
+            text = r.choice(out).split(" ")
+            for _ in range(r.randint(0, 4)):
+                if text:
+                    text[r.randrange(len(text))] = r.choice(vocabulary)
+        out.append(" ".join(text))
+    return out
+
+
+def roots(n, links):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_components(spark):
+    r = random.Random(1)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 440)]
+    got = {x["id"]: x["component"] for x in shared.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = roots(441, links)
+    assert got == {i: want[i] for a, b in links if a != b for i in (a, b)}
+
+
+@pytest.mark.parametrize(("percent", "block"), [(85, 1024), (80, 1024), (85, 7)])
+def test_near_duplicates(spark, percent, block):
+    texts = random_texts(400, percent)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()) for w in (t.lower().split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    want = roots(len(sets), links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, percent=percent, block=block).collect()}
+    assert links and got == {i: (len(sets[i]), want[i], want[i] == i) for i in range(len(sets))}
+
+
+def test_bayesian_bounds():
+    bounds = minhash.least_matches(0.85, 192, 32, 1e-7)
+    assert list(bounds) == [32, 64, 96, 128, 160, 192] and sorted(bounds.values()) == list(bounds.values())
+    assert 0.6 < bounds[192] / 192 < 0.85
+    assert minhash.banding(85) == (32, 6) and minhash.banding(80) == (38, 5)
+
+
+def cut_by_brute_force(texts, length):
+    counts = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        cover = np.zeros(len(t), bool)
+        for p in range(len(t) - length + 1):
+            if counts[t[p : p + length]] > 1:
+                cover[p : p + length] = True
+        kept = np.frombuffer(t, np.uint8)[~cover].tobytes()
+        out.append((len(t), int(cover.sum()), int((np.diff(np.concatenate([[0], cover.astype(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("length", "gram", "hot"), [(20, None, 20_000), (20, 3, 20_000), (25, 10, 2), (12, 12, 20_000)])
+def test_suffix_dedup(spark, length, gram, hot):
+    r = random.Random(length)
+    texts = []
+    for _ in range(250):
+        t = "".join(r.choice(["ab", "é", "c ", "aaaaaaaaaa", "hello world "]) for _ in range(r.randrange(60)))
+        if texts and r.random() < 0.4:
+            o = r.choice(texts)
+            k = r.randrange(len(o) + 1)
+            t += o[k : k + r.randrange(200)]
+        texts.append(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixdedup.remove_repeats(df, length=length, gram=gram, hot=hot).collect()}
+    assert got == dict(enumerate(cut_by_brute_force([t.encode() for t in texts], length)))
+
+
+def test_long_texts_in_chunks(monkeypatch):
+    monkeypatch.setattr(suffixdedup, "CHUNK", 400)
+    r = random.Random(3)
+    text = bytes(r.choice(b"abcd") for _ in range(3000))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text], pa.binary())], ["id", "raw"])
+    seen = []
+    for buf, ends, _, shift in suffixdedup._laid_out(batch, 30):
+        first, last, _, _, _ = suffixdedup.anchors(buf, ends, 30, 10)
+        for a, b in zip(first, last, strict=True):
+            seen += range(a - shift[a], b - shift[a] + 1)
+    assert sorted(seen) == list(range(len(text) - 29))
+
+
+def test_deep_shallow_sort():
+    r = random.Random(1)
+    for _ in range(300):
+        base = bytes(r.choice(b"ab") for _ in range(60))
+        s = [base[: r.randrange(61)] + bytes(r.choice(b"ab") for _ in range(r.randrange(8))) for _ in range(r.randrange(30))]
+        for shallow in (0, 1, 8, 32):
+            assert suffixdedup.deep_shallow_sort(s, list(range(len(s))), shallow) == sorted(range(len(s)), key=s.__getitem__)
+
+
+def test_vector_links(spark):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(150, 24))
+    near = base[r.integers(0, 150, 200)] + 0.12 * r.normal(size=(200, 24))
+    crowd = base[3] + 0.05 * r.normal(size=(90, 24))
+    x = np.concatenate([base, near, crowd]).astype(np.float32)
+    labels = r.integers(0, 2, len(x))
+    labels[-90:] = 1
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels, strict=True))]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    ok = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(ok, False)
+    for block in (2048, 16):
+        got = {g["vec_id"]: g for g in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=block).collect()}
+        found = sum(g["n_links"] for g in got.values())
+        assert found >= 0.97 * ok.sum() and all(g["n_links"] <= ok[i].sum() for i, g in got.items())
+        want = roots(len(x), np.argwhere(ok).tolist())
+        assert sum(g["component_id"] != want[i] for i, g in got.items()) <= 5
+
+
+def test_packing(spark):
+    import tokenizers
+
+    texts = random_texts(300, 5, copies=0) + ["Hello, wORLD's 1234!! ~ mark " * 500, "İ ΑΣ e\u0301 <|endoftext|>"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, size=128).collect()
+    by_doc = collections.defaultdict(list)
+    for x in rows:
+        by_doc[x["doc_id"]].append(x)
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        mine = sorted(by_doc[i], key=lambda x: x["piece"])
+        assert [j for x in mine for j in x["ids"]] == ids
+        assert [x["start"] for x in mine] == list(range(0, len(ids), 128))
+        assert all(x["ids_crc32"] == zlib.crc32(struct.pack(f"<{x['length']}I", *x["ids"])) for x in mine)
+    sequences = collections.defaultdict(list)
+    for x in rows:
+        sequences[x["sequence_id"]].append((x["offset"], x["length"]))
+    for s in sequences.values():
+        assert [o for o, _ in sorted(s)] == np.cumsum([0] + [n for _, n in sorted(s)])[:-1].tolist() and sum(n for _, n in s) <= 128
+    assert len(sequences) <= 1.02 * sum(x["length"] for x in rows) / 128 + 1
+
+
+def test_best_two_fit_exchanges():
+    bins, _, n = packing.best_two_fit(np.array([6, 3, 2, 2]), 10)
+    assert n == 2 and bins[0] == bins[2] == bins[3]  # 6 + 3 gives up the 3 for 2 + 2
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        lengths = r.integers(1, 60, r.integers(1, 200))
+        bins, offsets, n = packing.best_two_fit(lengths, 64)
+        assert (np.bincount(bins, lengths) <= 64).all() and len(np.unique(bins)) == n
+        assert len({(b, o) for b, o in zip(bins, offsets, strict=True)}) == len(lengths)
+
+
+def test_byte_bpe():
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = bytebpe.ByteBpe(path, public_tokenizers.PATTERN)
+    r = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "a", "Zz", "'s", "'ll", "9", "12", "é", "ñ", "日本", "한", "é", "😀", "!", "...", "_", "\u200b", "\x00", "ǅ", "Ⅷ", "²", "hello", " the"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(4000)] + random_texts(50, 1)
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_batch(texts)] == reference.encode_ordinary_batch(texts)
+    assert all(bpe.decode_bytes(bpe.encode(t)) == t.encode() for t in texts[:500])
+
+
+def base_by_brute_force(t):
+    spans = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    spans += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for kind, pattern, least, most in ((2, r"[0-9]([\x20-]?[0-9])+", 14, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 10, 15)):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            if least <= len(digits) <= most and (kind == 3 or pii.luhn(digits)):
+                spans.append((kind, m.start(), m.end()))
+    return sorted(spans)
+
+
+def test_base_spans():
+    r = random.Random(1)
+    parts = ["a", "@", ".", "-", "_", "+", "1", "23", "4", "0", "255", "256", " ", "(", ")", "@b.c", "é", "x@y.z", "4111111111111111", "+1 407 555 7710 ", "1.2.3.4", "000000001"]
+    for _ in range(20_000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(16)))
+        assert sorted((s.kind, s.start, s.end) for s in pii.base_spans(t)) == base_by_brute_force(t), t
+
+
+def test_added_spans():
+    selector = pii.train()
+    x, y, kinds = pii.training_set(1500, 77)
+    p = selector.probability(x)
+    for k in (0, 1, 3, 4, 5):
+        chosen = (kinds == k) & (p >= selector.thresholds[k])
+        assert chosen.sum() > 10 and y[chosen].mean() > 0.93
+    clean = [t for t in random_texts(200, 9)] + ["version 10.2.3 of 2024-01-02, order 123456789, total 1.234.567"]
+    assert all(not every for _, every in pii.find_batch(clean, selector))
+    (base, every), = pii.find_batch(["ssn: 123-45-6789 mail a@b.com"], selector)
+    assert pii.describe(every) == "ssn:5:16,email:22:29" and len(base) == 1
+    assert pii.redact("mail a@b.com and 1.2.3.4", pii.base_spans("mail a@b.com and 1.2.3.4")) == "mail [EMAIL] and [IP]"
+
+
+def test_digest_array(tmp_path, monkeypatch):
+    r = random.Random(2)
+    rules = [(f"h{r.randrange(500)}.example", f"/{'x' * r.randrange(3)}", r.choice(("allow", "block"))) for _ in range(900)]
+    path = str(tmp_path / "rules.bin")
+    n = urlfilter.write_digest_array(path, rules)
+    last = {h + p: v for h, p, v in rules}
+    assert n == len(last)
+    keys = [k.encode() for k in last] + [b"other", b""]
+    assert urlfilter.DigestArray(path).probe(keys) == [*last.values(), None, None]
+    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda k: len(k))  # many collisions
+    urlfilter.write_digest_array(path, rules)
+    assert urlfilter.DigestArray(path).probe(keys) == [*last.values(), None, None]
+
+
+def test_zip64_directory():
+    records = [("k", warczip.warc_record(1, "http://a/", b"<p>x</p>", 1, False)), ("k2", warczip.warc_record(2, None, b"", 1, True))]
+    raw = warczip.archive_bytes([records])
+    got = list(warczip.read_archive(io.BytesIO(raw), len(raw)))
+    assert [(x.headers["warc-type"], x.payload) for x in got] == [("response", b"<p>x</p>"), ("revisit", None)]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", b"12345")
+        z.comment = b"PK\x05\x06 in the comment"
+    plain = out.getvalue()
+    assert warczip.ZipDirectory(io.BytesIO(plain), len(plain)).range(warczip.ZipDirectory(io.BytesIO(plain), len(plain)).members["a"], 1, 3) == b"234"
+    # the same member with all sizes and places in 64-bit fields
+    local = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 1, 20) + b"a" + struct.pack("<HHQQ", 1, 16, 5, 5) + b"12345"
+    extra = struct.pack("<HHQQQ", 1, 24, 5, 5, 0)
+    central = struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\x01\x02", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 1, len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + b"a" + extra
+    end64 = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, 1, 1, len(central), len(local))
+    locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, len(local) + len(central), 1)
+    wide = local + central + end64 + locator + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    directory = warczip.ZipDirectory(io.BytesIO(wide), len(wide))
+    assert directory.range(directory.members["a"], 0, 5) == b"12345"
+    for broken in (wide[:-1], b"", plain[:-40]):
+        with pytest.raises(ValueError):
+            warczip.ZipDirectory(io.BytesIO(broken), len(broken))
+
+
+def test_grammar():
+    lexicon, machine = toxicity.Lexicon(toxicity.seed_words(), {}), toxicity.grammar()
+    score = lambda t: toxicity.clause_features(t, lexicon, machine)[0]
+    assert score("all is well") == 0
+    assert score("an idiot") > score("not an idiot") > 0
+    assert score("an idiot") > score("he said that x was an idiot") > 0
+    assert score("you are an idiot") > score("some kind of idiot")
+    assert score("not that. idiot") == score("idiot")
+    t = toxicity.compose(toxicity.Transducer({(0, "a"): (1, "b", 2.0)}), toxicity.Transducer({(0, "b"): (0, "c", 3.0)}), ["a", "x"])
+    assert t.step(0, "a")[1:] == ("c", 6.0) and t.step(0, "x")[1:] == ("x", 1.0)
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i, text in enumerate(random_texts(3000, 8, copies=0)):
+        words = text.split() + ["end"]
+        toxic = r.random() < 0.15
+        for _ in range(r.randint(2, 6) if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(("zorgblat", "zorgfex", "zorgnim", "moron")))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in got)
+    held = [(x["predicted"], labels[x["doc_id"]][1]) for x in got if x["held_out"]]
+    assert sum(a == b for a, b in held) / len(held) > 0.97 and all(0 <= x["score"] <= 1 for x in got)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(name, spark, sf_dir):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    got = con.execute(queries.ORACLE_SQL[name])
+    cols = [d[0] for d in got.description]
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted(map(str, got.fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    ids = {r["doc_id"] for r in out}
+    assert 0.7 * docs.count() < len(ids) < docs.count()
+    assert os.path.isdir(sf_dir) and all(r["length"] <= 2048 for r in out)
