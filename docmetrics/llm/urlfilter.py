@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import re
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -17,6 +15,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_shared
+
 MAGIC = b"DGSTARR1"
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -28,25 +28,20 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_UPPER), found[2]) if found else ("", "")
 
 
-def write_digest_array(path: str, rules: Iterable[tuple[str, str, str]]) -> int:
-    """Writes rules (host, path, verdict) as a digest array; returns how many.
+def digest_array(rules: Iterable[tuple[str, str, str]]) -> bytes:
+    """Rules (host, path, verdict) as a digest array.
 
     Layout, little-endian: magic, number of keys, number of path lengths, the path lengths that occur
     (u64), sorted keys (u64), offsets into the strings (u64, one more than keys), strings
     ``verdict \\t host path``. Equal rules collapse; of contradicting ones the last counts.
     """
-    last = {host.translate(_UPPER) + path: (verdict, host.translate(_UPPER), path) for host, path, verdict in rules}
+    last = {host.translate(_UPPER) + path: (verdict, path) for host, path, verdict in rules}
     entries = sorted((xxhash.xxh64_intdigest(key.encode()), key.encode(), v[0].encode()) for key, v in last.items())
-    lengths = sorted({len(p.encode()) for _, _, p in last.values()})
+    lengths = sorted({len(p.encode()) for _, p in last.values()})
     strings = [v + b"\t" + key for _, key, v in entries]
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]) if strings else np.zeros(1)
-    with open(path, "wb") as out:
-        out.write(MAGIC + struct.pack("<QQ", len(entries), len(lengths)))
-        out.write(np.array(lengths, "<u8").tobytes())
-        out.write(np.array([e[0] for e in entries], "<u8").tobytes())
-        out.write(offsets.astype("<u8").tobytes())
-        out.write(b"".join(strings))
-    return len(entries)
+    offsets = np.cumsum([0, *map(len, strings)])
+    head = MAGIC + struct.pack("<QQ", len(entries), len(lengths))
+    return head + np.array(lengths, "<u8").tobytes() + np.array([e[0] for e in entries], "<u8").tobytes() + offsets.astype("<u8").tobytes() + b"".join(strings)
 
 
 class DigestArray:
@@ -123,11 +118,9 @@ def _judge(batches: Iterator[pa.RecordBatch], name: str, default: str) -> Iterat
 
 
 def ship_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
-    """Writes a digest array on the driver and sends it to every executor once; returns its name there."""
+    """Writes a digest array to the shared folder, from where every executor fetches it once; returns its name there."""
     name = f"urlrules-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="docmetrics-"), name)
-    write_digest_array(path, rules)
-    spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(write_shared(spark, name, digest_array(rules)))
     return name
 
 
