@@ -14,6 +14,20 @@ SIMILAR_FROM = "–—−‐×，．：‘’“”"
 SIMILAR_TO = "----x,.:''\"\""
 # Letters read in place of digits, by digit.
 DIGIT_LIKE = (("OoD", "0"), ("Il|", "1"), ("S", "5"), ("B", "8"))
+# Patterns of phone numbers with loose separators, of dates with points, of number-like tokens, of citations.
+PHONE_PARTS = r"(?U)\b(0\d{1,2})[ .](\d{3,4})[ .](\d{4})\b"
+DOTTED_DATE = r"(?U)\b(20\d{2})\. ?(\d{1,2})\. ?(\d{1,2})\.?(?!\d)"
+NUMBER_TOKEN = r"[0-9][0-9,.:-]*[0-9]|[0-9]"
+CITATION = r"\[[0-9]+\]"
+# Patterns of marks that Markdown and model outputs carry.
+THOUGHT = r"(?s)<think>.*?</think>"
+GROUNDING = r"(?s)<\|ref\|>.*?<\|/ref\|><\|det\|>.*?<\|/det\|>"
+FENCE = r"(?m)^```\w*\s*$"
+IMAGE = r"!\[[^\]]*\]\([^)]*\)"
+COMMENT = r"(?s)<!--.*?-->"
+HEADING = r"(?m)^#{1,6}\s+"
+BOLD = r"\*\*(.+?)\*\*|__(.+?)__"
+TAG = r"<[^>]+>"
 # Weights of the check digit of a business number.
 BIZ_WEIGHTS = (1, 3, 7, 1, 3, 7, 1, 3, 5)
 
@@ -73,12 +87,12 @@ def fix_digits(text: Column) -> Column:
 
 def fix_phone(text: Column) -> Column:
     """Phone numbers with points or spaces between their parts, joined by hyphens."""
-    return F.regexp_replace(text, r"(?U)\b(0\d{1,2})[ .](\d{3,4})[ .](\d{4})\b", "$1-$2-$3")
+    return F.regexp_replace(text, PHONE_PARTS, "$1-$2-$3")
 
 
 def iso_dates(text: Column) -> Column:
     """Dates written with points as yyyy-mm-dd."""
-    marked = F.regexp_replace(text, r"(?U)\b(20\d{2})\. ?(\d{1,2})\. ?(\d{1,2})\.?(?!\d)", "$1-\u00010$2-\u00010$3")
+    marked = F.regexp_replace(text, DOTTED_DATE, "$1-\u00010$2-\u00010$3")
     return F.regexp_replace(marked, r"\u00010?(\d{2})(?!\d)", "$1")
 
 
@@ -105,7 +119,7 @@ def to_int(text: Column) -> Column:
 
 def number_tokens(text: Column) -> Column:
     """Distinct number-like tokens in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[0-9][0-9,.:-]*[0-9]|[0-9]"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER_TOKEN), F.lit(0)))
 
 
 def first_match(text: Column, pattern: str) -> Column:
@@ -134,7 +148,7 @@ def grounded(value: Column, text: Column, compose: bool = True) -> Column:
 
 
 def without_citations(text: Column) -> Column:
-    return F.regexp_replace(text, r"\[[0-9]+\]", "")
+    return F.regexp_replace(text, CITATION, "")
 
 
 def is_correct(gold: Column, pred: Column, compose: bool = True) -> Column:
@@ -146,19 +160,9 @@ def is_correct(gold: Column, pred: Column, compose: bool = True) -> Column:
 
 def strip_markup(text: Column) -> Column:
     """Markdown and markup marks taken off: fences, images, comments, headings, bold, tags, thoughts, grounding."""
-    for pattern, by in (
-        (r"(?s)<think>.*?</think>", ""),
-        (r"(?s)<\|ref\|>.*?<\|/ref\|><\|det\|>.*?<\|/det\|>", ""),
-        (r"(?m)^```\w*\s*$", ""),
-        (r"!\[[^\]]*\]\([^)]*\)", ""),
-        (r"(?s)<!--.*?-->", ""),
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"\*\*(.+?)\*\*", "$1"),
-        (r"__(.+?)__", "$1"),
-        (r"<[^>]+>", ""),
-    ):
-        text = F.regexp_replace(text, pattern, by)
-    return text
+    for pattern in (THOUGHT, GROUNDING, FENCE, IMAGE, COMMENT, HEADING):
+        text = F.regexp_replace(text, pattern, "")
+    return F.regexp_replace(F.regexp_replace(text, BOLD, "$1$2"), TAG, "")
 
 
 def word_kind(text: Column) -> Column:

@@ -98,15 +98,23 @@ def test_row_grouping_keeps_the_first_member_as_measure(spark):
 def test_chunks_lose_nothing_but_blank_ends(spark, lines, size):
     source = "\n".join(lines)
     got = one(spark, retrieval.chunks(F.lit(source), size))
-    out, cur = [], ""
-    for line in source.split("\n"):
-        if cur and len(cur) + len(line) > size:
-            out.append(cur)
-            cur = ""
-        cur = cur + "\n" + line if cur else line
-    if cur.strip():
-        out.append(cur)
-    assert got == out
+    pieces = [p.split("\n") for p in got]
+    all_lines = source.split("\n")
+    while all_lines and all_lines[0] == "":  # blank lines before a chunk are dropped
+        all_lines = all_lines[1:]
+    at = 0
+    for piece in pieces:
+        while all_lines[at] == "" != piece[0]:
+            at += 1
+        assert all_lines[at : at + len(piece)] == piece
+        at += len(piece)
+        held = piece[0]
+        for line in piece[1:]:
+            assert len(held) + len(line) <= size  # every line that joined still fitted
+            held += "\n" + line
+        if at < len(all_lines):
+            assert len(held) + len(all_lines[at]) > size or not "".join(all_lines[at:]).strip()
+    assert not "".join(all_lines[at:]).strip()
 
 
 @given(st.text(alphabet="abc", max_size=9), st.text(alphabet="abc", max_size=9))
