@@ -228,7 +228,7 @@ def near_duplicates(
     bands: int | None = None,
     rows: int | None = None,
     miss: float = 1e-7,
-    block: int = 4096,
+    block: int = 1024,
 ) -> DataFrame:
     """Classes of documents whose word-shingle sets have a Jaccard similarity of ``percent``/100 or more.
 
@@ -260,17 +260,20 @@ def near_duplicates(
     signed = rows_in.mapInArrow(lambda it: _sign(it, bands, rows, shingle), SIGNED)
     signed = materialize(signed, "minhash")
     sets = signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    member = signed.select("id", "n_shingles", "set_key").join(sets, "set_key", "left")
+    sets = materialize(sets, "sets")  # written first, so that the join can split a set that very many rows have
+    member = signed.select("id", "n_shingles", "set_key").join(sets.hint("merge"), "set_key", "left")
     member = materialize(member.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
 
     # band keys are explosions of narrow rows; copies of a set have one key each and collapse before the shuffle
     keyed = signed.where("set_key is not null and id is not null").select("id", "keys")
     keyed = keyed.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    stars = keyed.join(least, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    families = materialize(connected_components(stars), "families").select("id", F.col("component").alias("grp"))
-    links = _links(spark, rows_in, families, percent, shingle, bands * rows, miss, block)
+    least = materialize(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), "heads")
+    stars = keyed.join(least.hint("merge"), "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    families = connected_components(stars)
+    links = _links(spark, rows_in, families.select("id", F.col("component").alias("grp")), percent, shingle, bands * rows, miss, block)
+    discard(signed, sets, least, families)
     classes = connected_components(links)
+    discard(links)
     out = member.join(classes.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -290,7 +293,7 @@ def _links(spark, rows_in: DataFrame, families: DataFrame, percent: int, shingle
     low, high = F.least("home", "j"), F.greatest("home", "j")
     dealt = dealt.select("id", "hashes", "sig", "home", F.xxhash64("grp", low, high).alias("unit"), (low != high).alias("other"))
     n = families.count()
-    deal = F.pmod("unit", F.lit(max(1, n // 2000 + 1) * 8))
+    deal = F.pmod("unit", F.lit(max(1, n // 500 + 1) * 8))
     met = dealt.withColumn("deal", deal).groupBy("deal")
     links = met.applyInArrow(lambda t: _verify(t, percent, miss), "a long, b long")
     return materialize(links, "links")

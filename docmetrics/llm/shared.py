@@ -76,9 +76,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has two bigint columns ``a`` and ``b`` (direction, repeats and self-loops don't matter).
     Returns (id, component), one row per node of an edge between different nodes; component is the
-    smallest id reachable. Alternates large-star and small-star rounds, each a pre-aggregated minimum
-    joined back to the edges, until the edges are stars; every round is written to the shared folder.
-    Links stay on the executors: the driver sees one row (count and hash) a round.
+    smallest id reachable, in a written table. Alternates large-star and small-star rounds, each a
+    pre-aggregated minimum joined back to the edges, until the edges are stars. Minima and rounds are written
+    to the shared folder: so the joins read plain shuffles, in which a node with very many edges can be
+    split. Links stay on the executors: the driver sees one row (count and hash) a round.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = materialize(now, "edges")
@@ -88,15 +89,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # large star: larger neighbours of a node point to the smallest of its neighbourhood
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        minima = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
+        large = both.join(minima.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: smaller neighbours and the node itself point to the smallest of them
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = materialize(large.distinct(), "edges")
+        discard(minima, now)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
+        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         after = materialize(small, "edges")
-        discard(now)
+        discard(large, least)
         now, before = after, state
         state = _state(now)
         if state == before:
@@ -105,4 +107,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = now.groupBy("a").agg(F.min("b").alias("component"))
     roots = now.select(F.col("b").alias("id")).distinct()
-    return nodes.select(F.col("a").alias("id"), "component").unionByName(roots.select("id", F.col("id").alias("component")))
+    out = materialize(nodes.select(F.col("a").alias("id"), "component").unionByName(roots.select("id", F.col("id").alias("component"))), "components")
+    discard(now)
+    return out
