@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -145,7 +146,7 @@ def clause_features(text: str | None, lexicon: Lexicon, machine: Transducer) ->
         done = at
         clauses.append(weight)
     total = sum(clauses)
-    return [min(total, 40.0) / 4, max(clauses) / 4, min(len(clauses), 10) / 2, min(4.0, 25 * total / len(found)), min(softened, 40.0) / 4]
+    return [math.log1p(total), max(clauses) / 4, math.log1p(len(clauses)), min(4.0, 25 * total / len(found)), math.log1p(softened)]
 
 
 @dataclass
@@ -234,19 +235,19 @@ def seed_words() -> dict[str, tuple[int, float]]:
     return {w: (kind, 2.0 if kind == INSULT else 1.0 if kind == THREAT else 0.0) for kind, ws in SEEDS.items() for w in ws.split()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", rows: int = LABELLED_ROWS, support: int = 6, odds: float = 3.5) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", rows: int = LABELLED_ROWS, support: int = 6, odds: float = 5.5) -> Model:
     """Lexicon weights and calibration from at most about ``rows`` labelled rows, taken by a hash of their id.
 
     Two thirds of them give the lexicon: words and stems whose documents are toxic far more often than
-    others (log odds ``odds`` or more), seen between at least ``support`` different pairs of neighbours; the
-    shortest stem that is good enough stands for the longer ones. The last third calibrates the
-    features of the grammar. Rows whose label or id is null are not used. Without toxic or other rows the seeds
+    others (log odds ``odds`` or more, or four toxic documents and no other), seen between at least ``support``
+    different pairs of neighbours; the shortest stem that is good enough stands for the longer ones. The last third calibrates the
+    features of the grammar. Rows whose label or id is null are not used; an id with both labels counts as toxic. Without toxic or other rows the seeds
     score alone, with fixed weights.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(toxic_col).cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
     n = known.count()
     every = max(1, -(-n // rows))
-    known = known.where(F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(every)) == 0).dropDuplicates(["_id"])
+    known = known.where(F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(every)) == 0).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
     part = F.pmod(F.xxhash64(F.lit(10), "_id"), F.lit(3))
 
@@ -261,11 +262,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["toxic"]: r["n"] for r in sample.where(part != 0).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     words, stems = seed_words(), {}
-    default = [-3.0, 1.5, 1.5, 0.5, 0.5, -0.5]
+    default = [-4.0, 2.0, 1.0, 0.5, 0.5, -0.5]
     if not n1 or not n0:
         return Model(words, stems, default)
     weight = F.log((F.col("hits") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    good = by.where(F.col("places") >= support).withColumn("w", weight).where(F.col("w") >= odds).select("feature", "w").collect()
+    good = by.where(F.col("places") >= support).withColumn("w", weight).where((F.col("w") >= odds) | ((F.col("hits") >= 4) & (F.col("clean") == 0))).select("feature", "w").collect()
     for f, w in sorted((r["feature"], r["w"]) for r in good):
         if f.endswith("*"):
             stem = f[:-1]
