@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .bytebpe import round_trip_digests
 from .embeddings import near_duplicate_vectors
