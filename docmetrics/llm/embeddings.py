@@ -205,7 +205,8 @@ def near_duplicate_vectors(
     posted = near.select("rep", "near", F.explode(F.flatten(F.transform(ordered, lambda p: F.transform(F.filter(ordered, lambda q: q > p), lambda q: F.struct(p.alias("p"), q.alias("q")))))).alias("two"))
     posted = posted.join(groups.select("rep", "label", F.size("v").alias("dim")), "rep")
     posted = posted.select("rep", "near", F.col("two.q").alias("q"), "dim", F.xxhash64("label", "dim", "two.p", "two.q").alias("list"))
-    sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # sums are written before they are joined back, so that the joins can split hot lists and hot vectors
+    sizes = materialize(posted.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "lists")
     posted = posted.join(sizes, "list").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     home = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = posted.withColumn("home", home).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
@@ -215,7 +216,7 @@ def near_duplicate_vectors(
     deal = F.pmod("unit", F.lit(max(1, n // 4000 + 1) * 4))
     found = materialize(dealt.withColumn("deal", deal).groupBy("deal").applyInArrow(lambda t: _match(t, threshold), "a long, links long, b long"), "links")
 
-    counts = found.groupBy("a").agg(F.sum("links").alias("links"))
+    counts = materialize(found.groupBy("a").agg(F.sum("links").alias("links")), "counts")
     components = connected_components(found.select("a", "b"))
     member = valid.select("id", "label", "v").join(groups, ["label", "v"]).select("id", "rep", "size")
     member = member.join(counts, member["rep"] == counts["a"], "left").join(components.withColumnRenamed("id", "_node"), F.col("rep") == F.col("_node"), "left")
