@@ -291,7 +291,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("bytes", F.octet_length("html"))
-    keepers = rows.groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"))
+    # written before the join, which can then split a payload that very many pages have
+    keepers = materialize(rows.groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper")), "keepers")
     # no broadcast, even where the pages are few: the same plan at every size
     joined = rows.join(keepers.hint("merge"), ["digest", "bytes"])
     keeper = F.when(F.col("bytes") >= least, F.col("keeper")).otherwise(F.col("page_id"))
