@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, text
 from ..operators import retrieval, routing, scoring
-from .registry import query, r6
+from .registry import ORACLE_SQL, query, r6
 
 _NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_ASCII = " AND length(ref) = strlen(ref) AND length(hyp) = strlen(hyp)"
 _TURNS = f"""p AS (SELECT conv_id, turn, role, {_NORM.format("text")} AS hyp, lag({_NORM.format("text")}) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
-  a AS (SELECT * FROM p WHERE ref IS NOT NULL AND length(ref) = strlen(ref) AND length(hyp) = strlen(hyp))"""
+  a AS (SELECT * FROM p WHERE ref IS NOT NULL{_ASCII})"""
 _CER = "CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein(ref, hyp) AS DOUBLE) / length(ref) END"
 
 
@@ -23,18 +24,41 @@ def _turns(t, ascii_only: bool = True):
     return p.where("length(ref) = octet_length(ref) and length(hyp) = octet_length(hyp)") if ascii_only else p
 
 
+def _all_turns(t):
+    return _turns(t, False)
+
+
+def whole(sql: bool):
+    """Registers a query of ASCII pairs a second time, as ``name_all``, over every pair of turns.
+
+    ``sql``: whether its SQL, without the ASCII condition, gives the same rows. Edit distances have none: DuckDB counts bytes.
+    """
+
+    def register(f):
+        def run(t, spark):
+            return f(t, spark, _all_turns)
+
+        run.__name__, run.__doc__ = f"{f.__name__}_all", "Over all pairs of turns, not the ASCII ones only."
+        query(ORACLE_SQL[f.__name__].replace(_ASCII, "") if sql else None)(run)
+        return f
+
+    return register
+
+
 def _cer(keep_space=True):
     return metrics.cer(F.col("ref"), F.col("hyp"), keep_space, compose=False)
 
 
+@whole(sql=False)
 @query(f"WITH {_TURNS} SELECT conv_id, turn, round({_CER}, 6) AS cer FROM a")
-def q04_turn_cer(t, spark):
-    return _turns(t).select("conv_id", "turn", r6(_cer()).alias("cer"))
+def q04_turn_cer(t, spark, turns=_turns):
+    return turns(t).select("conv_id", "turn", r6(_cer()).alias("cer"))
 
 
+@whole(sql=False)
 @query(f"WITH {_TURNS} SELECT role, count(*) AS n, round(avg({_CER}), 6) AS cer FROM a GROUP BY ROLLUP (role)")
-def q05_turn_cer_rollup(t, spark):
-    rows = scoring.category_means(_turns(t).withColumn("cer", _cer()), ["role"], ["cer"])
+def q05_turn_cer_rollup(t, spark, turns=_turns):
+    rows = scoring.category_means(turns(t).withColumn("cer", _cer()), ["role"], ["cer"])
     return rows.select("role", "n", r6("cer").alias("cer"))
 
 
@@ -76,30 +100,34 @@ _SHARED = "list_sum(list_transform(list_distinct(string_split({a}, '')), lambda
 _BARE = r"regexp_replace({}, '\s+', '', 'g')"
 
 
+@whole(sql=True)
 @query(f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, {_BARE.format("ref")} AS x, {_BARE.format("hyp")} AS y FROM a)
   SELECT conv_id, turn, round(CASE WHEN length(x) + length(y) = 0 THEN 0.0 WHEN x = '' THEN 1.0 ELSE 1 - 2 * {_SHARED.format(a="x", b="y")} / (length(x) + length(y)) END, 6) AS disagreement FROM x""")
-def q10_char_disagreement(t, spark):
-    return _turns(t).select("conv_id", "turn", r6(metrics.disagreement(F.col("ref"), F.col("hyp"))).alias("disagreement"))
+def q10_char_disagreement(t, spark, turns=_turns):
+    return turns(t).select("conv_id", "turn", r6(metrics.disagreement(F.col("ref"), F.col("hyp"))).alias("disagreement"))
 
 
+@whole(sql=True)
 @query(f"""WITH {_TURNS} SELECT conv_id, turn, length({_BARE.format("hyp")}) > 2 * greatest(1, length({_BARE.format("ref")})) AS over FROM a""")
-def q11_overflow_flags(t, spark):
-    return _turns(t).select("conv_id", "turn", metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
+def q11_overflow_flags(t, spark, turns=_turns):
+    return turns(t).select("conv_id", "turn", metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
 
 
+@whole(sql=False)
 @query(f"""WITH {_TURNS}, s AS (SELECT *, {_CER} AS cer, (conv_id + turn) % 4 = 0 AS flipped, length({_BARE.format("hyp")}) > 2 * greatest(1, length({_BARE.format("ref")})) AS over FROM a)
   SELECT role, count(*) AS n, round(avg(cer), 6) AS cer, round(median(cer), 6) AS cer_median, round(avg(cer) FILTER (WHERE NOT flipped), 6) AS cer_upright,
   count(*) FILTER (WHERE cer > 0.5) AS failed, count(*) FILTER (WHERE over) AS overflow FROM s GROUP BY role""")
-def q65_page_summary(t, spark):
-    rows = _turns(t).select("role", _cer().alias("cer"), F.lit(None).cast("double").alias("wer"), F.lit(None).cast("double").alias("teds"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("flipped"), metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
+def q65_page_summary(t, spark, turns=_turns):
+    rows = turns(t).select("role", _cer().alias("cer"), F.lit(None).cast("double").alias("wer"), F.lit(None).cast("double").alias("teds"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("flipped"), metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
     s = scoring.page_summary(rows, ["role"])
     return s.select("role", "n", *(r6(c).alias(c) for c in ("cer", "cer_median", "cer_upright")), "failed", "overflow")
 
 
+@whole(sql=False)
 @query(f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, regexp_replace(ref, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS x, regexp_replace(hyp, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS y FROM a)
   SELECT conv_id, turn, round(CASE WHEN x = '' THEN CASE WHEN y = '' THEN 1.0 ELSE 0.0 END ELSE greatest(0.0, 1 - levenshtein(x, y) / length(x)) END, 6) AS similarity FROM x""")
-def q66_similarity(t, spark):
-    return _turns(t).select("conv_id", "turn", r6(metrics.similarity(F.col("ref"), F.col("hyp"), False)).alias("similarity"))
+def q66_similarity(t, spark, turns=_turns):
+    return turns(t).select("conv_id", "turn", r6(metrics.similarity(F.col("ref"), F.col("hyp"), False)).alias("similarity"))
 
 
 @query("""WITH c AS (SELECT item_id, text, 0 AS idx FROM benchmark UNION ALL SELECT item_id, replace(text, 'e', ''), 1 FROM benchmark UNION ALL SELECT item_id, replace(text, 'th', 't'), 2 FROM benchmark),
@@ -215,14 +243,16 @@ def q40_hit_at_k(t, spark):
 _BOTH = f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, {_BARE.format("ref")} AS g, {_BARE.format(r"regexp_replace(hyp, '\[[0-9]+\]', '', 'g')")} AS p FROM a)"""
 
 
+@whole(sql=True)
 @query(f"{_BOTH} SELECT conv_id, turn, contains(p, g) OR (2 * length(p) >= length(g) AND contains(g, p)) AS correct FROM x")
-def q41_answer_correct(t, spark):
-    return _turns(t).select("conv_id", "turn", text.is_correct(F.col("ref"), F.col("hyp"), False).alias("correct"))
+def q41_answer_correct(t, spark, turns=_turns):
+    return turns(t).select("conv_id", "turn", text.is_correct(F.col("ref"), F.col("hyp"), False).alias("correct"))
 
 
+@whole(sql=True)
 @query(f"""{_BOTH} SELECT conv_id, turn, round(CASE WHEN g = '' OR p = '' OR {_SHARED.format(a="g", b="p")} = 0 THEN 0.0 ELSE 2 * {_SHARED.format(a="g", b="p")} / (length(g) + length(p)) END, 6) AS f1 FROM x""")
-def q42_answer_char_f1(t, spark):
-    return _turns(t).select("conv_id", "turn", r6(metrics.char_f1(F.col("ref"), F.col("hyp"))).alias("f1"))
+def q42_answer_char_f1(t, spark, turns=_turns):
+    return turns(t).select("conv_id", "turn", r6(metrics.char_f1(F.col("ref"), F.col("hyp"))).alias("f1"))
 
 
 @query()
@@ -244,10 +274,11 @@ def q55_throughput(t, spark):
     return r.select("event_type", "images", r6("latency_median").alias("latency_median"), r6("latency_p90").alias("latency_p90"), "tokens", "cut", r6("images_per_s").alias("images_per_s"))
 
 
+@whole(sql=False)
 @query(f"""WITH {_TURNS} SELECT role, count(*) AS n, round(avg(({_BARE.format("ref")} = {_BARE.format("hyp")})::INT), 6) AS accuracy, round(avg(least(1.0, {_CER})), 6) AS cer FROM a GROUP BY role""")
-def q69_word_accuracy(t, spark):
+def q69_word_accuracy(t, spark, turns=_turns):
     bare = lambda c: text.normalize(F.col(c), False, False)
-    s = _turns(t).select("role", (bare("ref") == bare("hyp")).cast("int").alias("ok"), F.least(F.lit(1.0), _cer()).alias("cer"))
+    s = turns(t).select("role", (bare("ref") == bare("hyp")).cast("int").alias("ok"), F.least(F.lit(1.0), _cer()).alias("cer"))
     return s.groupBy("role").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ok")).alias("accuracy"), r6(F.avg("cer")).alias("cer"))
 
 
