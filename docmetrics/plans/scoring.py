@@ -66,7 +66,7 @@ def q05_turn_cer_rollup(t, spark, turns=_turns):
     WHERE length(a.text) = strlen(a.text) AND length(b.text) = strlen(b.text))
   SELECT item_id, other, CAST(d AS INT) AS distance, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d, other) AS k FROM p) WHERE k <= 3""")
 def q06_benchmark_pairs_topk(t, spark):
-    """The three nearest of the eight items that follow each item."""
+    """The three nearest ASCII items of the eight that follow each item, as in its SQL; ``q06_benchmark_topk_all`` compares all items."""
     b = t("benchmark").where("length(text) = octet_length(text)")
     ahead = b.select(F.col("item_id").alias("other"), F.col("text").alias("o"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).withColumn("item_id", F.col("other") - F.col("k"))
     p = b.join(ahead, "item_id").select("item_id", "other", F.levenshtein("text", "o").alias("distance"))
@@ -74,6 +74,17 @@ def q06_benchmark_pairs_topk(t, spark):
     return p.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
 
 
+@query()
+def q06_benchmark_topk_all(t, spark):
+    """The three nearest of all other items by edit distance, the lowest id on ties; a distance is counted once for both items of a pair."""
+    b = t("benchmark").select("item_id", "text")
+    o = b.select(F.col("item_id").alias("other"), F.col("text").alias("o"))
+    p = b.join(o, F.col("item_id") < F.col("other")).select("item_id", "other", F.levenshtein("text", "o").alias("distance"))
+    p = p.select("distance", F.explode(F.array(F.struct("item_id", "other"), F.struct(F.col("other").alias("item_id"), F.col("item_id").alias("other")))).alias("p")).select("p.*", "distance")
+    w = Window.partitionBy("item_id").orderBy("distance", "other")
+    return p.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+
+
 @query()
 def q07_wer_pairs(t, spark):
     """Word error rates of turns."""

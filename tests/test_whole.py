@@ -1,5 +1,6 @@
 """Queries over whole tables against brute force, on small tables with texts that are not ASCII."""
 
+import random
 import re
 from collections import Counter, defaultdict
 from statistics import mean, median
@@ -123,3 +124,20 @@ def test_all_turns(name, spark, conversations):
     got = [tuple(r) for r in plans.QUERIES[name](spark, conversations).collect()]
     assert len(got) == len(set(got))
     assert rounded(got) == rounded(WANT[name]())
+
+
+def words(r, n, alphabet="aeéßñ日𝔸 "):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def test_all_items(spark, tmp_path):
+    r = random.Random(6)
+    items = [(k, words(r, r.randint(0, 9))) for k in range(40)]
+    items += [(k + 40, items[k][1]) for k in range(0, 40, 7)]  # copies far behind, beyond any window of ids
+    pd.DataFrame(items, columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    want = set()
+    for i, a in items:
+        near = sorted((sequence_distance(a, b), j) for j, b in items if j != i)[:3]
+        want |= {(i, j, d, k) for k, (d, j) in enumerate(near, 1)}
+    got = plans.QUERIES["q06_benchmark_topk_all"](spark, str(tmp_path)).select("item_id", "other", "distance", "rank").collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
