@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.metrics import cer, overflow
+from ..functions.metrics import cer, overflow, text_rate
 from ..functions.text import normalize, word_kind
-from .tables import html_cells, markdown_to_text, teds
+from .tables import html_cells, markdown_text, table_similarity
 
 # Labels of layout blocks that hold text, and the Markdown marks of headings.
 TEXT_LABELS = "doc_title paragraph_title text abstract content header footer number aside_text reference footnote vision_footnote figure_title".split()
@@ -39,16 +41,24 @@ def blocks_to_pages(blocks: DataFrame, key: str = "id", labels: list[str] | None
     return ordered.select(key, F.array_join(pick("t"), "\n").alias("text"), F.array_join(pick("m"), "\n\n").alias("markdown"), F.array_compact(pick("table")).alias("tables"))
 
 
+@F.pandas_udf(T.StructType([T.StructField("cer", T.DoubleType()), T.StructField("teds", T.DoubleType()), T.StructField("n_tables", T.IntegerType())]))
+def parsed_scores(markdown: pd.Series, ref_text: pd.Series, ref_tables: pd.Series) -> pd.DataFrame:
+    """A document is parsed and scored in one pass: each further Python step would hold the whole texts once more."""
+    rows = []
+    for m, ref, wanted in zip(markdown, ref_text, ref_tables, strict=True):
+        text, html, other = markdown_text(m or "")
+        found = html + other
+        scores = [table_similarity(found[i] if i < len(found) else "", t) for i, t in enumerate(() if wanted is None else wanted)]
+        rows.append((text_rate(ref, text), sum(scores) / len(scores) if scores else None, len(found)))
+    return pd.DataFrame(rows, columns=["cer", "teds", "n_tables"]).astype({"cer": "float64", "teds": "float64", "n_tables": "int32"})
+
+
 def document_scores(docs: DataFrame, key: str = "id") -> DataFrame:
     """Parsed documents (key, markdown, ref_text, ref_tables) scored: (key, cer, teds, n_tables).
 
     Tables are paired by position, a missing one counts 0; the mean is null where there is none to find.
     """
-    parsed = docs.select(key, "ref_text", "ref_tables", markdown_to_text("markdown").alias("m"))
-    parsed = parsed.select(key, "ref_tables", cer(F.col("ref_text"), F.col("m.text")).alias("cer"), F.concat("m.html_tables", "m.md_tables").alias("tables"))
-    pairs = parsed.select(key, F.posexplode("ref_tables").alias("pos", "ref"), "tables").select(key, teds(F.coalesce(F.get("tables", F.col("pos")), F.lit("")), "ref").alias("teds"))
-    means = pairs.groupBy(key).agg(F.avg("teds").alias("teds"))
-    return parsed.select(key, "cer", F.size("tables").alias("n_tables")).join(means, key, "left").select(key, "cer", "teds", "n_tables")
+    return docs.select(key, parsed_scores("markdown", "ref_text", "ref_tables").alias("s")).select(key, "s.cer", "s.teds", "s.n_tables")
 
 
 def word_accuracy(words: DataFrame, category: str = "category") -> DataFrame:

@@ -25,10 +25,9 @@ def q83_blocks_to_pages(t, spark):
 
 @query()
 def q84_document_scores(t, spark):
-    """Every document, written as Markdown with a table and parsed again, against itself."""
+    """Every document with its language, whole, written as Markdown with a table and parsed again, against itself."""
     table = F.concat(F.lit("<table><tr><td>"), "lang", F.lit("</td><td>"), F.col("doc_id").cast("string"), F.lit("</td></tr></table>"))
-    d = t("benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("en").alias("lang"))
-    d = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("# "), "text", F.lit("\n"), table).alias("markdown"), F.concat("text", F.lit("\n"), "lang", F.lit("\n"), F.col("doc_id").cast("string")).alias("ref_text"), F.array(table, table).alias("ref_tables"))
+    d = t("documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("# "), "text", F.lit("\n"), table).alias("markdown"), F.concat("text", F.lit("\n"), "lang", F.lit("\n"), F.col("doc_id").cast("string")).alias("ref_text"), F.array(table, table).alias("ref_tables"))
     return documents.document_scores(d).select("id", r6("cer").alias("cer"), r6("teds").alias("teds"), big("n_tables").alias("n_tables"))
 
 

@@ -7,9 +7,13 @@ from statistics import mean, median
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from docmetrics import plans
-from docmetrics.functions.metrics import sequence_distance
+from docmetrics.functions import metrics
+from docmetrics.functions.metrics import sequence_distance, text_distance
+from docmetrics.operators import documents
+from docmetrics.operators.tables import markdown_text, table_similarity
 
 TURNS = [
     (1, 0, "user", "Grüße aus  Köln"),
@@ -141,3 +145,43 @@ def test_all_items(spark, tmp_path):
         want |= {(i, j, d, k) for k, (d, j) in enumerate(near, 1)}
     got = plans.QUERIES["q06_benchmark_topk_all"](spark, str(tmp_path)).select("item_id", "other", "distance", "rank").collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_text_distance():
+    r = random.Random(84)
+    for _ in range(400):
+        a = words(r, r.randint(0, 90))
+        b = "".join(r.choice("aé日𝔸 ") if r.random() < 0.2 else c for c in a if r.random() > 0.1) if r.random() < 0.6 else words(r, r.randint(0, 90))
+        assert text_distance(a, b) == sequence_distance(a, b)
+
+
+def test_whole_documents(spark, tmp_path):
+    r = random.Random(85)
+    docs = [
+        (1, "Grüße\nan **alle** <b>hier</b> 𝔸", "de"),
+        (2, "", "fr"),
+        (3, "<table><tr><td>a</td></tr></table>\nund mehr", "de"),
+        (4, "| a | b |\n|---|---|\n| 1 | é |", "es"),
+        (5, "\n".join(words(r, 60, "aeéßñ日𝔸 *") + f" **{k}** <i>{k}</i>" for k in range(30)), "en"),
+        (6, "plain words", "en"),
+    ]
+    pd.DataFrame(docs, columns=["doc_id", "text", "lang"]).to_parquet(tmp_path / "documents.parquet")
+    want = set()
+    for k, x, lang in docs:
+        table = f"<table><tr><td>{lang}</td><td>{k}</td></tr></table>"
+        text, html, other = markdown_text(f"# {x}\n{table}")
+        found = html + other
+        teds = mean(table_similarity(found[i] if i < len(found) else "", table) for i in range(2))
+        want.add((k, cer(norm(f"{x}\n{lang}\n{k}"), norm(text)), teds, len(found)))
+    got = [tuple(x) for x in plans.QUERIES["q84_document_scores"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(docs) and rounded(got) == rounded(want)
+    assert max(x[1] for x in got) > 0
+
+
+def test_documents_without_tables(spark):
+    odd = "a\x1cb \u3000c\x85d e\u0301"
+    rows = [(1, "# " + odd, odd, []), (2, None, None, None), (3, "", "", ["<table><tr><td>a</td></tr></table>"])]
+    df = spark.createDataFrame(rows, "id int, markdown string, ref_text string, ref_tables array<string>")
+    got = sorted(tuple(x) for x in documents.document_scores(df).collect())
+    rate = df.select(metrics.cer(F.lit(odd), F.lit(markdown_text("# " + odd)[0]))).first()[0]
+    assert got == [(1, rate, None, 0), (2, None, None, 0), (3, 0.0, 0.0, 0)]
