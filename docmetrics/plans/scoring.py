@@ -146,10 +146,20 @@ def q66_similarity(t, spark, turns=_turns):
   s AS (SELECT a.item_id, a.idx, sum(CASE WHEN a.x = '' THEN CASE WHEN b.x = '' THEN 1.0 ELSE 0.0 END ELSE greatest(0.0, 1 - levenshtein(a.x, b.x) / length(a.x)) END) AS total FROM q a JOIN q b ON a.item_id = b.item_id AND a.idx <> b.idx GROUP BY ALL)
   SELECT item_id, CAST(idx AS INT) AS idx, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(total, 9) DESC, idx) AS k FROM s) WHERE k = 1""")
 def q33_candidate_vote(t, spark):
-    """The reading closest to the others, the first on ties."""
+    """The reading closest to the others, the first on ties; of ASCII readings, as in its SQL (``q33_candidate_vote_all``: of all)."""
+    return _vote(t, True)
+
+
+@query()
+def q33_candidate_vote_all(t, spark):
+    """The reading closest to the others, the first on ties, of every item."""
+    return _vote(t, False)
+
+
+def _vote(t, ascii_only: bool):
     b = t("benchmark")
     c = b.select("item_id", "text", F.lit(0).alias("idx")).unionByName(b.select("item_id", F.replace("text", F.lit("e"), F.lit("")).alias("text"), F.lit(1).alias("idx"))).unionByName(b.select("item_id", F.replace("text", F.lit("th"), F.lit("t")).alias("text"), F.lit(2).alias("idx")))
-    c = c.where("length(text) = octet_length(text)")
+    c = c.where("length(text) = octet_length(text)") if ascii_only else c
     o = c.select("item_id", F.col("text").alias("o"), F.col("idx").alias("j"))
     s = c.join(o, "item_id").where("idx <> j").groupBy("item_id", "idx").agg(F.sum(metrics.similarity(F.col("text"), F.col("o"), False)).alias("total"))
     w = Window.partitionBy("item_id").orderBy(F.desc(F.round("total", 9)), "idx")

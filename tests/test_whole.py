@@ -185,3 +185,17 @@ def test_documents_without_tables(spark):
     got = sorted(tuple(x) for x in documents.document_scores(df).collect())
     rate = df.select(metrics.cer(F.lit(odd), F.lit(markdown_text("# " + odd)[0]))).first()[0]
     assert got == [(1, rate, None, 0), (2, None, None, 0), (3, 0.0, 0.0, 0)]
+
+
+def test_all_votes(spark, tmp_path):
+    r = random.Random(33)
+    items = [(k, words(r, r.randint(0, 30), "eethéß日𝔸x ")) for k in range(40)] + [(40, "ee"), (41, "thé the"), (42, "")]
+    pd.DataFrame(items, columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    want = set()
+    for k, x in items:
+        readings = [x, x.replace("e", ""), x.replace("th", "t")]
+        totals = [sum(similarity(a, b) for j, b in enumerate(readings) if j != i) for i, a in enumerate(readings)]
+        best = max(range(3), key=lambda i: (round(totals[i], 9), -i))
+        want.add((k, best, round(totals[best], 6)))
+    got = [tuple(x) for x in plans.QUERIES["q33_candidate_vote_all"](spark, str(tmp_path)).select("item_id", "idx", "total").collect()]
+    assert len(got) == len(items) and {(a, b, round(c, 6)) for a, b, c in got} == want
