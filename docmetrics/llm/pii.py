@@ -243,15 +243,20 @@ class BoostedTrees:
 
 @dataclass
 class Selector:
-    """Trees, their calibration (probability = sigmoid(a + b * decision)) and a threshold for each kind."""
+    """Trees, their calibration (probability = sigmoid(a + b * decision)) and a threshold for each kind; cards have trees of their own."""
 
     trees: BoostedTrees
     a: float
     b: float
     thresholds: list[float]
+    cards: Selector | None = None
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a + self.b * self.trees.decision(x), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(self.a + self.b * self.trees.decision(x), -30, 30)))
+        if self.cards and len(x):
+            own = x[:, 2] == 1  # the kind is among the features
+            p[own] = self.cards.probability(x[own])
+        return p
 
 
 # ---------------------------------------------------------------- training on made-up candidates
@@ -271,11 +276,11 @@ def _word(r: random.Random) -> str:
     return "".join(r.choice(("an", "er", "ti", "lo", "ka", "ve", "mu", "so", "ch", "ei", "on", "qu")) for _ in range(r.randint(1, 4)))
 
 
-def _made_up(r: random.Random) -> tuple[str, str, int]:
-    """A text, the part of it in question, and whether that part is personal data."""
+def _made_up(r: random.Random, kind: int | None = None) -> tuple[str, str, int, bool]:
+    """A text, the part of it in question, whether that part is personal data, and whether only as a card."""
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     filler = lambda: " ".join(_word(r) for _ in range(r.randint(3, 9)))
-    kind = r.randrange(7)
+    kind = r.randrange(7) if kind is None else kind
     yes = r.random() < 0.5
     cue = r.random() < 0.75
     if kind == 0:
@@ -314,27 +319,40 @@ def _made_up(r: random.Random) -> tuple[str, str, int]:
         if not yes:
             s = s[:2] + f"{(int(s[2:4]) + r.randint(1, 60)) % 100:02d}" + s[4:]
         s = " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s
+    elif kind == 7:  # cards that the base pattern misses: 13 digits, or groups parted by dots, slashes or two separators
+        body = r.choice("3456") + d(11 if (form := r.randrange(4)) == 0 else 14)
+        s = body + _check_digit(body)
+        if not yes:
+            s = r.choice((d(len(s)), body + str((int(s[-1]) + r.randint(1, 9)) % 10)))
+            cue = cue and r.random() < 0.5
+        mark = ("", ".", "/", r.choice((" -", "- ", ". ", "  ")))[form]
+        s = mark.join(s[i : i + 4] for i in range(0, len(s), 4))
+        yes = yes and (cue or form > 0)
     else:
         yes, cue = False, False
         s = r.choice((d(9), d(11), d(13), d(16), f"{d(4)} {d(4)} {d(4)}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(6)}-{d(6)}"))
-    k = min(kind, 5) if kind < 6 else 3
+    k = kind if kind < 6 else 2 if kind == 7 else 3
     hint = r.choice(CUES[k]) + r.choice((": ", " ", " = ")) if cue and (yes or r.random() < 0.2) else r.choice(OTHER_CUES) + r.choice((": ", " ", " #")) if r.random() < 0.5 else ""
-    return f"{filler()} {hint}{s}{r.choice((' ', '. ', ', ', ''))} {filler()}", s, int(yes)
+    return f"{filler()} {hint}{s}{r.choice((' ', '. ', ', ', ''))} {filler()}", s, int(yes), kind == 7
+
 
+def training_set(n: int, seed: int, cards: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, truth and kinds of the candidates that the generators find in ``n`` made-up texts.
 
-def training_set(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, truth and kinds of the candidates that the generators find in ``n`` made-up texts."""
+    ``cards``: of card candidates only, with cards that the base pattern misses in every other text.
+    """
     r = random.Random(seed)
     x, y, kinds = [], [], []
-    for _ in range(n):
-        text, part, yes = _made_up(r)
+    for i in range(n):
+        text, part, yes, card = _made_up(r, 7 if cards and i % 2 else None)
         at = text.find(part)
         base = base_spans(text)
         for c in candidates(text):
-            if any(b.start < c.end and c.start < b.end for b in base):
+            if any(b.start < c.end and c.start < b.end for b in base) or cards and c.kind != 2:
                 continue
             x.append(features(text, c))
-            y.append(int(yes and c.start <= at and at + len(part) <= c.end + 1 or yes and c.start == at and c.end == at + len(part)))
+            own = yes and (c.kind == 2 or not card)
+            y.append(int(own and c.start <= at and at + len(part) <= c.end + 1 or own and c.start == at and c.end == at + len(part)))
             kinds.append(c.kind)
     return np.array(x, float), np.array(y, float), np.array(kinds)
 
@@ -345,9 +363,16 @@ def train(n: int = 5000, seed: int = 5, precision: float = 0.98) -> Selector:
 
     A kind's threshold is the least one from which on its spans are right in ``precision`` of the cases.
     """
-    x, y, _ = training_set(n, seed)
+    selector = _trained(n, seed, precision, False)
+    selector.cards = _trained(n, seed, precision, True)
+    selector.thresholds[2] = selector.cards.thresholds[2]
+    return selector
+
+
+def _trained(n: int, seed: int, precision: float, cards: bool) -> Selector:
+    x, y, _ = training_set(n, seed, cards)
     trees = BoostedTrees().fit(x, y)
-    x, y, kinds = training_set(n // 2, seed + 1)
+    x, y, kinds = training_set(n // 2, seed + 1, cards)
     z = trees.decision(x)
     a, b = 0.0, 1.0
     for _ in range(50):  # Platt's two parameters by Newton steps

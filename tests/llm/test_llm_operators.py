@@ -230,6 +230,18 @@ def test_added_spans():
     assert pii.redact("mail a@b.com and 1.2.3.4", pii.base_spans("mail a@b.com and 1.2.3.4")) == "mail [EMAIL] and [IP]"
 
 
+def test_added_cards():
+    selector = pii.train()
+    x, y, kinds = pii.training_set(1500, 77, cards=True)
+    chosen = (kinds == 2) & (selector.probability(x) >= selector.thresholds[2])
+    assert chosen.sum() > 10 and y[chosen].mean() > 0.93
+    texts = ["card: 4111.1111.1111.1111 thanks", "credit card 4222222222222 was used", "visa 4111/1111/1111/1111", "card 4111 -1111 -1111 -1111"]
+    for t, (base, every) in zip(texts, pii.find_batch(texts, selector), strict=True):
+        assert not base and "[CARD]" in pii.redact(t, every) and not re.search("[0-9]", pii.redact(t, every))
+    others = ["order 4222222222225 shipped", "version 4111.1111.1111.1112"]
+    assert all(not every for _, every in pii.find_batch(others, selector))
+
+
 def test_digest_array(tmp_path, monkeypatch):
     r = random.Random(2)
     rules = [(f"h{r.randrange(500)}.example", f"/{'x' * r.randrange(3)}", r.choice(("allow", "block"))) for _ in range(900)]
