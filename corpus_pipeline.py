@@ -52,7 +52,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Learned scores and tokenizers can't be expressed in SQL; tests compare the stages with brute force.
+#: Learned scores and tokenizers can't be expressed in SQL; test_pipeline_rows compares rows and texts of every stage with brute force on planted data.
 ORACLE_SQL = None
 
 

@@ -329,3 +329,60 @@ def test_pipeline(spark, sf_dir):
     ids = {r["doc_id"] for r in out}
     assert 0.7 * docs.count() < len(ids) < docs.count()
     assert os.path.isdir(sf_dir) and all(r["length"] <= 2048 for r in out)
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Rows and texts of every stage against a brute-force version, on planted toxic texts, copies and personal data."""
+    import corpus_pipeline
+    import tokenizers
+
+    r = random.Random(55)
+    hidden = {"mail ann.lee@mail.org now": "mail [EMAIL] now", "host 10.1.2.3 up": "host [IP] up", "card 4111 1111 1111 1111 paid": "card [CARD] paid", "visa 4111/1111/1111/1111": "visa [CARD]", "ssn: 123-45-6789": "ssn: [SSN]"}
+    texts = random_texts(300, 55)
+    texts += [t for t in r.sample(texts, 30)]
+    texts += [" ".join([*r.choices("abcdefgh", k=12), x, *r.choices("abcdefgh", k=12)]) for x in hidden for _ in range(4)]
+    texts += ["long Grüße " * 1500]
+    rude = [" ".join([*r.choices("abcdefgh", k=r.randint(0, 9)), "you are a stupid idiot and a worthless moron.", *r.choices("abcdefgh", k=r.randint(0, 9))]) for _ in range(40)]
+    rows = [(t, t in rude) for t in texts + rude]
+    r.shuffle(rows)
+    table = [(i, t, "en", "web", len(t)) for i, (t, _) in enumerate(rows)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(bad)) for i, (_, bad) in enumerate(rows)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    want = [x for x in table if not rows[x[0]][1]]
+    stages = [sorted(want)]
+    last = {x[1]: x for x in sorted(want)}
+    stages.append(sorted(last.values()))
+    kept = stages[-1]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()) for w in (x[1].lower().split() for x in kept)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    first = roots(len(sets), links)
+    stages.append([x for i, x in enumerate(kept) if first[i] == i])
+    clean = []
+    for i, t, lang, source, _ in stages[-1]:
+        for raw, new in hidden.items():
+            t = t.replace(raw, new)
+        clean.append((i, t, lang, source, len(t)))
+    stages.append(clean)
+    assert all(len(a) > len(b) for a, b in zip([table, *stages], stages[:3], strict=False)) and stages[2] != stages[3]
+
+    at = docs
+    for (name, stage), rows_wanted in zip(corpus_pipeline.STAGES, stages, strict=False):
+        at = shared.materialize(stage(spark, at, str(tmp_path)), "rows")
+        got = sorted(tuple(x) for x in at.collect())
+        assert got == rows_wanted, name
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    tokens = {x[0]: t.encode(x[1], add_special_tokens=False).ids + [0] for x in clean}
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[x["doc_id"]].append((x["piece"], x["start"], x["length"], x["ids"]))
+        sequences[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert pieces.keys() == tokens.keys() and max(map(len, pieces.values())) > 1
+    for i, ids in tokens.items():
+        assert sorted(pieces[i]) == [(k, s, len(ids[s : s + 2048]), ids[s : s + 2048]) for k, s in enumerate(range(0, len(ids), 2048))]
+    for s in sequences.values():
+        s.sort()
+        assert [o for o, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist() and sum(n for _, n in s) <= 2048
