@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -13,80 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordcache import WordCache, portions
+from .wordids import WordIds
 
 SEPARATOR = 0
 
 
-class WordIds:
-    """Packed ids (little-endian unsigned 32-bit) of texts, word by word, as the tokenizer gives them.
-
-    The vocabulary drops white space and never merges across it, so the ids of a text are those of
-    its space-separated words in order. It lower-cases, and a run of punctuation behind a letter or digit
-    is a piece of its own, so a new word is looked up as its lower-case stem and its tail. What is new
-    then is encoded together, in texts where a mark of a single id keeps the words apart; words that
-    hold the mark are encoded alone.
-    """
-
-    MARKS = "~^`|#@"
-    TAIL = ".,;:!?|*#$%&\")]"
-
-    def __init__(self, path: str, room: int = 500_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor are its parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        single = ((m, self._encode(m)) for m in self.MARKS)
-        self.mark, self.mark_id = next(((m, int(i[0])) for m, i in single if len(i) == 1), (None, -1))
-        self.words = WordCache(self._encode_words, room)
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        known = self.words.young
-        parts: list[tuple[str, str]] = []
-        need: set[str] = set()
-        for w in words:
-            stem = w.rstrip(self.TAIL)
-            if not stem or not stem[-1].isalnum() or "\u0130" in stem:  # U+0130 ends in a mark when lower-cased
-                stem = w
-            tail = w[len(stem) :]
-            if not stem.islower() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
-                stem = stem.lower()
-            parts.append((stem, tail))
-            need.add(stem)
-            need.add(tail)
-        found = {w: known[w] for w in need if w in known}
-        fresh = [w for w in need if w not in found]
-        found.update(zip(fresh, self._encode_apart(fresh), strict=True))
-        return [found[stem] + found[tail] if tail else found[stem] for stem, tail in parts]
-
-    def _encode_apart(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        groups = [words[i : i + 100] for i in range(0, len(words), 100)]
-        for at in range(0, len(groups), 100):
-            some = groups[at : at + 100]
-            texts = [f" {self.mark or ''} ".join(g) for g in some]
-            for group, text, got in zip(some, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, "<u4")
-                cuts = 4 * np.flatnonzero(ids == self.mark_id)
-                if len(cuts) == len(group) - 1 == text.count(self.mark or "\n"):
-                    raw = ids.tobytes()
-                    out += [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
-                else:  # a word holds the mark
-                    out += [self._encode(w).tobytes() for w in group]
-        return out
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text."""
-        return [ids for part in portions(texts) for ids in self.words.packed([t.replace("\n", " ").split(" ") for t in part])]
-
-    def ids(self, text: str | None) -> bytes:
-        return self.batch([text])[0]
-
-
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -94,29 +24,27 @@ def _word_ids(path: str) -> WordIds:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """(id, text) to one row per piece: id, piece, start, length, crc32 [, ids]."""
-    words, end = _word_ids(path), SEPARATOR.to_bytes(4, "little")
-    out: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
-        keep = 6 if with_ids else 5
-        arrays = [pa.array(c, k) for c, k in zip(cols[:keep], kinds[:keep], strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names[:keep])
-
+    words, end = _word_ids(path), np.array([SEPARATOR], np.uint32)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["id", "piece", "start", "length", "ids_crc32"]
     for batch in batches:
-        packed = words.batch(batch.column(1).to_pylist())
-        for key, ids in zip(batch.column(0).to_pylist(), packed, strict=True):
-            ids += end
-            for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                part = ids[at : at + 4 * size]
-                listed = np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None
-                out.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), listed))
-            if len(out) >= 20_000:
-                yield flush()
-                out.clear()
-    yield flush()
+        found = words.batch(batch.column(1).to_pylist())
+        keys = batch.column(0).to_pylist()
+        for at in range(0, len(keys), 2000):
+            out: list[tuple] = []
+            listed: list[np.ndarray] = []
+            for key, ids in zip(keys[at : at + 2000], found[at : at + 2000], strict=True):
+                ids = np.concatenate([ids, end])
+                for piece, start in enumerate(range(0, len(ids), size)):
+                    part = ids[start : start + size]
+                    out.append((key, piece, start, len(part), zlib.crc32(part)))
+                    if with_ids:
+                        listed.append(part)
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(listed).view(np.int32))))
+            yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
 
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -215,7 +143,7 @@ def pack_documents(
     text_col: str = "text",
     size: int = 2048,
     with_ids: bool = True,
-    group: int = 16_384,
+    group: int = 8192,
 ) -> DataFrame:
     """Tokenised documents, each ended by id 0, packed into sequences of at most ``size`` tokens.
 
@@ -223,7 +151,8 @@ def pack_documents(
     are dealt by hash into groups of about ``group`` documents, and each group is packed on its own by
     ``best_two_fit``: a group wastes part of its last few sequences, so thousands of documents a group
     cost well under one sequence in a thousand, and no task grows with the input. Only documents longer
-    than ``size`` are cut, into pieces of ``size``; the last may be shorter.
+    than ``size`` are cut, into pieces of ``size``; the last may be shorter. Strings of added tokens in a
+    text become their ids, as in a plain call of the tokenizer. ``tokenizer`` must be one that ``WordIds`` takes.
 
     A null text counts as empty (one piece holding id 0). Repeated rows are packed as often as they come;
     a null id is kept. An empty table gives an empty result. Other columns are ignored.

@@ -153,7 +153,6 @@ def test_packing(spark):
     texts = random_texts(300, 5, copies=0) + ["Hello, wORLD's 1234!! ~ mark " * 500, "İ ΑΣ e\u0301 <|endoftext|>"]
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, size=128).collect()
     by_doc = collections.defaultdict(list)
     for x in rows:
@@ -172,6 +171,42 @@ def test_packing(spark):
     assert len(sequences) <= 1.02 * sum(x["length"] for x in rows) / 128 + 1
 
 
+def test_word_ids():
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    r = random.Random(3)
+    alphabet = "aAbBzZ 0129.,'!-_\n\t\r\xe9\xc9\xd7\u0130\u0131\u0149\u017f\u0178\u0153\u0301\u00a0\u2003\u4e2d\u0645\u0660\u2160\U0001f600<|>st\u03a3\u1e9e\u00df\u0141\u0142\u00aa\x00\x1f\x7f\x85\ud55c"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(10_000)]
+    texts += [f"a<|endoftext|>b <|startoftext|> 'S we'LL {x}" for x in texts[:100]] + [None, "", " ", "x" * 5000, "Stra\u00dfe " * 3000, "\u4e2d" * 3000]
+    for portion in (64, 1 << 20):
+        got = packing.WordIds(path, room=500, portion=portion).batch(texts)
+        assert [g.tolist() for g in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    with pytest.raises(ValueError):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing_query(spark, sf_dir):
+    """Every row of op2 on a whole table against the tokenizer, and the packing itself."""
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = t.encode(d["text"] or "", add_special_tokens=False).ids + [0]
+        want += [(d["doc_id"], k, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    got = queries.op2_packing(spark, sf_dir).collect()
+    assert sorted((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got) == sorted(want)
+    sequences = collections.defaultdict(list)
+    for x in got:
+        sequences[x["sequence_id"]].append((x["offset"], x["length"]))
+    for s in sequences.values():
+        s.sort()
+        assert [o for o, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist() and sum(n for _, n in s) <= 2048
+    assert len(sequences) <= -(-sum(x[3] for x in want) // 2048) + 2
+
+
 def test_best_two_fit_exchanges():
     bins, _, n = packing.best_two_fit(np.array([6, 3, 2, 2]), 10)
     assert n == 2 and bins[0] == bins[2] == bins[3]  # 6 + 3 gives up the 3 for 2 + 2
@@ -374,7 +409,6 @@ def test_pipeline_rows(spark, tmp_path):
         assert got == rows_wanted, name
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     tokens = {x[0]: t.encode(x[1], add_special_tokens=False).ids + [0] for x in clean}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
