@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,16 +35,18 @@ def cer_raw(ref: Column, hyp: Column) -> Column:
     return F.try_divide(F.levenshtein(ref, hyp).cast("double"), F.length(ref).cast("double"))
 
 
-def sequence_distance(a: list, b: list) -> int:
-    """Unit-cost edit distance of two sequences, row by row over the shorter one."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+def sequence_distance(a: Sequence, b: Sequence) -> int:
+    """Unit-cost edit distance of two sequences, a row of the table at a time: a step along a row costs one, so its minima are running ones."""
+    numbers: dict = {}
+    x, y = (np.array([numbers.setdefault(i, len(numbers)) for i in s], np.int64) for s in sorted((a, b), key=len))
+    steps = np.arange(len(y) + 1)
+    row = steps
+    for i, own in enumerate(x, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (y != own), out=new[1:])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row[-1])
 
 
 def _common(a: str, b: str) -> int:
@@ -136,24 +140,30 @@ def overflow(ref: Column, hyp: Column, compose: bool = True) -> Column:
     return F.length(normalize(hyp, False, compose)) > 2 * F.greatest(F.lit(1), F.length(normalize(ref, False, compose)))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it in lambdas (where common expressions are not shared)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def shared_characters(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of the characters of two texts."""
     count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
-    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(a, c), count(b, c))))
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda s: F.aggregate(F.array_distinct(F.split(s["a"], "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(s["a"], c), count(s["b"], c)))))
+
+
+def _bags(x: Column, y: Column) -> Column:
+    """Struct of the shared characters and of all characters of two texts."""
+    return bind(F.struct(x.alias("x"), y.alias("y")), lambda s: F.struct(shared_characters(s["x"], s["y"]).alias("hit"), (F.length(s["x"]) + F.length(s["y"])).alias("total")))
 
 
 def disagreement(a: Column, b: Column) -> Column:
     """1 - F1 of the character bags, white space aside; 0 where both are empty. No composition."""
-    x, y = normalize(a, False, False), normalize(b, False, False)
-    total = F.length(x) + F.length(y)
-    return F.when(total == 0, 0.0).otherwise(1 - 2 * shared_characters(x, y) / total)
+    return bind(_bags(normalize(a, False, False), normalize(b, False, False)), lambda s: F.when(s["total"] == 0, 0.0).otherwise(1 - 2 * s["hit"] / s["total"]))
 
 
 def char_f1(gold: Column, pred: Column) -> Column:
     """F1 of the character bags of an answer and the gold text, citations and white space aside. Takes composed texts."""
-    g, p = normalize(gold, False, False), normalize(without_citations(pred), False, False)
-    hit = shared_characters(g, p)
-    return F.when(hit == 0, 0.0).otherwise(2 * hit / (F.length(g) + F.length(p)))
+    return bind(_bags(normalize(gold, False, False), normalize(without_citations(pred), False, False)), lambda s: F.when(s["hit"] == 0, 0.0).otherwise(2 * s["hit"] / s["total"]))
 
 
 @F.pandas_udf(T.DoubleType())

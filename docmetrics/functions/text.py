@@ -28,6 +28,8 @@ COMMENT = r"(?s)<!--.*?-->"
 HEADING = r"(?m)^#{1,6}\s+"
 BOLD = r"\*\*(.+?)\*\*|__(.+?)__"
 TAG = r"<[^>]+>"
+# The word by which an answer says that it does not know.
+UNKNOWN = "모름"
 # Weights of the check digit of a business number.
 BIZ_WEIGHTS = (1, 3, 7, 1, 3, 7, 1, 3, 5)
 
@@ -38,6 +40,12 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
 
 
+def compose_text(text: Column) -> Column:
+    """``nfc`` to which ASCII texts do not even travel: they are composed as they are."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, text).otherwise(nfc(F.when(~ascii_only, text)))
+
+
 @F.pandas_udf(T.StringType())
 def nfd(text: pd.Series) -> pd.Series:
     """Canonical decomposition (Hangul syllables to their letters)."""
@@ -51,13 +59,13 @@ def collapse(text: Column) -> Column:
 
 def normalize(text: Column, keep_space: bool = True, compose: bool = True) -> Column:
     """Composed text with single spaces, or with none."""
-    text = nfc(text) if compose else text
+    text = compose_text(text) if compose else text
     return collapse(text) if keep_space else F.regexp_replace(text, r"(?U)\s+", "")
 
 
 def squash_symbols(text: Column, compose: bool = True) -> Column:
     """Letters and digits only."""
-    return F.regexp_replace(nfc(text) if compose else text, r"(?U)[\s\W_]+", "")
+    return F.regexp_replace(compose_text(text) if compose else text, r"(?U)[\s\W_]+", "")
 
 
 def squash_spaces(text: Column) -> Column:
@@ -71,7 +79,7 @@ def squash_amount(text: Column) -> Column:
 
 def squash_check(text: Column, compose: bool = True) -> Column:
     """Without white space and commas, en dash as hyphen: the form in which extracted values are looked up."""
-    return F.translate(F.regexp_replace(nfc(text) if compose else text, r"(?U)[\s,]", ""), "–", "-")
+    return F.translate(F.regexp_replace(compose_text(text) if compose else text, r"(?U)[\s,]", ""), "–", "-")
 
 
 def fix_symbols(text: Column) -> Column:
@@ -129,7 +137,7 @@ def first_match(text: Column, pattern: str) -> Column:
 
 def composed(df: DataFrame, *names: str) -> DataFrame:
     """The frame with its text columns composed: needed before expressions that look into texts from lambdas, where no UDF can run."""
-    return df.withColumns({n: nfc(n) for n in names})
+    return df.withColumns({n: compose_text(F.col(n)) for n in names})
 
 
 def new_items(output: Column, source: Column, truth: Column) -> Column:
@@ -165,6 +173,11 @@ def strip_markup(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, BOLD, "$1$2"), TAG, "")
 
 
+def unknown_answer(pred: Column, marker: str = UNKNOWN) -> Column:
+    """Whether an answer says that it does not know; a missing answer does not."""
+    return F.coalesce(F.contains(pred, F.lit(marker)), F.lit(False))
+
+
 def word_kind(text: Column) -> Column:
     """'hangul', 'number' or 'other'."""
     return F.when(text.rlike("[가-힣]"), "hangul").when(text.rlike(r"(?U)^[\d\s.,:/()-]+$"), "number").otherwise("other")

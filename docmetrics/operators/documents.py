@@ -12,7 +12,7 @@ from ..functions.text import normalize, word_kind
 from .tables import html_cells, markdown_text, table_similarity
 
 # Labels of layout blocks that hold text, and the Markdown marks of headings.
-TEXT_LABELS = "doc_title paragraph_title text abstract content header footer number aside_text reference footnote vision_footnote figure_title".split()
+TEXT_LABELS = ("doc_title", "paragraph_title", "text", "abstract", "content", "header", "footer", "number", "aside_text", "reference", "footnote", "vision_footnote", "figure_title")
 HEADINGS = {"doc_title": "# ", "paragraph_title": "## "}
 
 
@@ -30,7 +30,7 @@ def blocks_to_pages(blocks: DataFrame, key: str = "id", labels: list[str] | None
     content, label = F.trim("content"), F.col("label")
     is_table = label == "table"
     cells = html_cells(F.when(is_table & F.contains(content, F.lit("<t")), content))
-    text = F.when(is_table, F.coalesce(F.array_join("_cells", "\n"), content)).when(label.isin(labels or TEXT_LABELS) & (content != ""), content)
+    text = F.when(is_table, F.coalesce(F.array_join("_cells", "\n"), content)).when(label.isin(*(labels or TEXT_LABELS)) & (content != ""), content)
     mark = F.lit("")
     for name, prefix in HEADINGS.items():
         mark = F.when(label == name, prefix).otherwise(mark)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import dot, norm2
+from ..functions.metrics import char_f1, dot, norm2
+from ..functions.text import is_correct, unknown_answer
 
 
 def chunks(text: Column, size: int) -> Column:
@@ -26,15 +27,18 @@ def chunk_documents(docs: DataFrame, size: int = 400, id_col: str = "doc_id", te
     return docs.select(id_col, F.posexplode(chunks(F.col(text_col), size)).alias("no", "text"))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 3, query_id: str = "qid", item_id: str = "cid", query_vec: str = "qvec", item_vec: str = "cvec", same: list[str] | None = None) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int = 3, most: int = 100_000, query_id: str = "qid", item_id: str = "cid", query_vec: str = "qvec", item_vec: str = "cvec", same: list[str] | None = None) -> DataFrame:
     """The k items of the largest cosine for every query; the lowest item id on ties: (query_id, item_id, sim, rank).
 
-    ``queries`` is the bounded side (a set of questions). Norms are computed once a vector; ``same`` names columns
-    that must be equal, which makes the pairing an equi-join. The rank limit is pushed below the shuffle.
+    ``queries`` is the bounded side (a set of questions): without ``same`` it is counted first, refused beyond ``most``
+    and broadcast, so every item meets the whole set where it lies. ``same`` names columns that must be equal,
+    which makes the pairing an equi-join of any size. Norms are computed once a vector. The rank limit is pushed below the shuffle.
     """
+    if not same and queries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} queries: name columns that must be equal, or ask in portions")
     q = queries.withColumn("_qn", norm2(F.col(query_vec)))
     c = items.withColumn("_cn", norm2(F.col(item_vec)))
-    pairs = q.join(c, same) if same else q.crossJoin(c)
+    pairs = q.join(c, same) if same else c.crossJoin(F.broadcast(q))
     sim = F.try_divide(dot(F.col(query_vec), F.col(item_vec)), F.col("_qn") * F.col("_cn"))
     w = Window.partitionBy(query_id).orderBy(F.desc_nulls_last("sim"), item_id)
     return pairs.select(query_id, item_id, sim.alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -48,3 +52,30 @@ def hit_ranks(hits: DataFrame, truth: DataFrame, query_id: str = "qid", hit: str
 
 def hit_rates(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("rank") == 1, F.lit(False)).cast("int")).alias("hit_at_1"), F.avg(F.col("rank").isNotNull().cast("int")).alias("hit_at_k"))
+
+
+def answer_in_chunks(answer: Column, texts: Column) -> Column:
+    """Whether an answer occurs, white space aside, in one of the retrieved texts (an array)."""
+    squash = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    return F.coalesce(F.exists(texts, lambda x: F.contains(squash(x), squash(answer))), F.lit(False))
+
+
+def answer_report(answers: DataFrame, by: list[str] | None = None, composed: bool = False) -> DataFrame:
+    """Rates over answered questions (rank, in_chunks, answer, pred): hits, right answers, mean character F1, unknown ones, wrong ones that do not say so.
+
+    ``composed``: the texts are composed already.
+    """
+    correct = is_correct(F.col("answer"), F.col("pred"), not composed)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    rows = answers.withColumns({"_correct": correct, "_unknown": unknown_answer(F.col("pred")), "_f1": char_f1(F.col("answer"), F.col("pred"))})
+    aggs = {
+        "hit_at_1": share(F.col("rank") == 1),
+        "hit_at_k": share(F.col("rank").isNotNull()),
+        "in_chunks": share(F.col("in_chunks")),
+        "correct": share(F.col("_correct")),
+        "f1": F.avg("_f1"),
+        "unknown": share(F.col("_unknown")),
+        "wrong": share(~F.col("_correct") & ~F.col("_unknown")),
+    }
+    named = [F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in aggs.items())]
+    return rows.groupBy(*by).agg(*named) if by else rows.agg(*named)

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 
 def every_kth(df: DataFrame, k: int, shard: int = 0, order: str = "id") -> DataFrame:
-    """Rows number ``shard``, ``shard`` + k, ... in the order of a column.
+    """Rows number ``shard``, ``shard`` + k, ... in the order of a column; rows of one value by a hash of all their columns, nulls first.
 
-    Ranks are local to sorted range partitions plus the counts of the partitions before, so nothing is gathered in one task.
+    The rows are range-partitioned and sorted once, and written to the shared folder with their place in their
+    partition: a second evaluation might cut the ranges elsewhere. Ranks are these places plus the
+    counts of the partitions before (one number a partition on the driver's side), so nothing is gathered in one task.
     """
-    placed = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    placed = placed.withColumn("_m", F.monotonically_increasing_id())
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    plain = [f.name for f in df.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    tie = F.xxhash64(*plain)
+    sorted_rows = df.withColumn("_tie", tie).repartitionByRange(F.col(order), F.col("_tie")).sortWithinPartitions(F.col(order), F.col("_tie"))
+    number = F.monotonically_increasing_id()
+    placed = materialize(sorted_rows.withColumn("_n", number), "numbered")
+    part, place = F.shiftright("_n", 33).alias("_p"), F.col("_n").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = placed.join(F.broadcast(before.select("_p", "_before")), "_p")
-    rank = F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)
-    return ranked.where(rank % k == shard).select(*df.columns)
+    ranked = placed.withColumn("_p", part).join(F.broadcast(before.select("_p", "_before")), "_p")
+    return ranked.where((F.col("_before") + place) % k == shard).select(*df.columns)
 
 
 def first_n_per_group(df: DataFrame, n: int, group: str, order: str = "id") -> DataFrame:
@@ -26,5 +33,10 @@ def first_n_per_group(df: DataFrame, n: int, group: str, order: str = "id") -> D
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
-    """n rows in a fixed random order of the seed."""
+    """n rows in a fixed random order of the seed: the limit is taken in every partition before rows meet."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def first_valid(df: DataFrame, n: int, valid: Column, order: str = "id") -> DataFrame:
+    """The first n rows, in the order of a column, that are valid (null counts as not): a top-n, taken in every partition before rows meet."""
+    return df.where(F.coalesce(valid, F.lit(False))).orderBy(order).limit(n)

@@ -2,28 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import similarity
+
 
 def category_means(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Means and counts by group and overall (ROLLUP): the overall mean is over rows, not over groups."""
     return rows.rollup(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(v).alias(v) for v in values))
 
 
+def ranked_values(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at given places of each group's sorted values: (by..., a column for each place).
+
+    ``places`` maps a name to the place, from 0, as a function of the number of values. Equal values are counted
+    before they meet (map-side first), so what is ranked is a row for each distinct value of a group, however many rows
+    the group has. Groups without values have no row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_v") if by else Window.partitionBy(F.lit(0)).orderBy("_v")
+    ranked = counts.withColumn("_to", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("_all", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    at = lambda f: (f(F.col("_all")) >= F.col("_to") - F.col("_n")) & (f(F.col("_all")) < F.col("_to"))
+    picked = [F.max(F.when(at(f), F.col("_v"))).alias(name) for name, f in places.items()]
+    return ranked.groupBy(*by).agg(*picked) if by else ranked.agg(*picked)
+
+
+def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Left join by columns in which null equals null; without columns both have one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    other = right.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(c for c in right.columns if c not in by))
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return left.join(other, on, "left").drop(*(f"_by_{c}" for c in by))
+
+
+LOWER, UPPER = (lambda n: F.floor((n - 1) / 2)), (lambda n: F.floor(n / 2))  # places of the two middle values
+
+
+def with_median(summary: DataFrame, rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``summary`` with the exact median of a value by group."""
+    middle = ranked_values(rows, by, value, {"_low": LOWER, "_high": UPPER}).select(*by, ((F.col("_low") + F.col("_high")) / 2).alias(name))
+    return _joined(summary, middle, by)
+
+
 def page_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Summary of scored pages (cer, wer, flipped, teds, over): count, mean, median, mean without flipped pages, failures, overflows."""
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.avg("cer").alias("cer"),
-        F.median("cer").alias("cer_median"),
         F.avg("wer").alias("wer"),
         F.avg(F.when(~F.col("flipped"), F.col("cer"))).alias("cer_upright"),
         F.avg("teds").alias("teds"),
         F.count_if(F.col("cer") > 0.5).alias("failed"),
         F.count_if("over").alias("overflow"),
     ]
-    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    return with_median(rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs), rows, by or [], "cer", "cer_median")
+
+
+def latency_summary(rows: DataFrame, by: list[str], time: str = "time", error: str = "error") -> DataFrame:
+    """Median and mean time an item of the items without error, by run, with the numbers of items and errors."""
+    fine = rows.where(~F.coalesce(F.col(error), F.lit(False)))
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(error).alias("errors"), F.avg(F.when(~F.coalesce(F.col(error), F.lit(False)), F.col(time))).alias("time_mean"))
+    return with_median(counts, fine, by, time, "time_median")
 
 
 def bag_scores(ref: DataFrame, hyp: DataFrame, key: str = "id", item: str = "word") -> DataFrame:
@@ -65,22 +109,49 @@ def confusion(rows: DataFrame, want: str = "want", got: str = "got") -> DataFram
     return rows.groupBy(want, got).agg(F.count(F.lit(1)).alias("n"))
 
 
-def accuracy(rows: DataFrame, want: str = "want", got: str = "got", key: str = "id") -> DataFrame:
-    """Count, right ones, accuracy and the sorted keys of the wrong ones."""
+def accuracy(rows: DataFrame, want: str = "want", got: str = "got") -> DataFrame:
+    """Count, right ones, accuracy. The keys of the wrong ones are rows of ``wrong_keys``, as there may be very many."""
     right = F.col(want).eqNullSafe(F.col(got))
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(right).alias("correct"),
-        F.avg(right.cast("int")).alias("accuracy"),
-        F.array_sort(F.collect_list(F.when(~right, F.col(key)))).alias("wrong"),
-    )
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("correct"), F.avg(right.cast("int")).alias("accuracy"))
+
+
+def wrong_keys(rows: DataFrame, want: str = "want", got: str = "got", key: str = "id") -> DataFrame:
+    """(key, want, got) of the wrong rows."""
+    return rows.where(~F.col(want).eqNullSafe(F.col(got))).select(key, want, got)
+
+
+def histogram(rows: DataFrame, label: str, top: int | None = None) -> DataFrame:
+    """Counts by label, the most frequent first (labels in their order on ties), only the first ``top`` where given: (label, n, rank)."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label)
+    counts = counts.limit(top) if top else counts
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), label)))
+
+
+def character_counts(texts: DataFrame, text: str = "text", ch: str = "ch") -> DataFrame:
+    """(ch, n): characters of the texts but white space. Characters are counted within a text first, so a text sends a row for each distinct one."""
+    chars = texts.select(F.explode(F.split(text, "")).alias(ch)).where(~F.col(ch).rlike(r"(?U)^\s*$"))
+    return chars.groupBy(ch).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dictionary_coverage(texts: DataFrame, dictionary: DataFrame, top: int = 15, text: str = "text", ch: str = "ch") -> DataFrame:
+    """One row on what a dictionary of characters lacks of those in the texts.
+
+    Kinds and number of characters used, size of the dictionary and how many of it are Hangul syllables, kinds, number and share of
+    characters lost, and the ``top`` most frequent ones lost as an array of (n, ch).
+    """
+    known = dictionary.select(ch).distinct()
+    used = character_counts(texts, text, ch).join(known.withColumn("_in", F.lit(True)), ch, "left")
+    lost = F.col("_in").isNull()
+    summary = used.agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"), F.count_if(lost).alias("lost_kinds"), F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("lost"))
+    size = known.agg(F.count(F.lit(1)).alias("dictionary"), F.count_if(F.col(ch).rlike("^[가-힣]$")).alias("hangul"))
+    first = used.where(lost).orderBy(F.desc("n"), ch).limit(top).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(ch).alias("ch")))), lambda x: F.struct((-x["m"]).alias("n"), x["ch"].alias("ch"))).alias("top"))
+    row = summary.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(first))
+    return row.withColumn("lost_share", F.try_divide(F.col("lost").cast("double"), F.col("characters").cast("double")))
 
 
 def missing_characters(texts: DataFrame, dictionary: DataFrame, text: str = "text", ch: str = "ch") -> DataFrame:
     """Characters of the texts that a dictionary lacks, with their counts."""
-    chars = texts.select(F.explode(F.split(text, "")).alias(ch)).where(~F.col(ch).rlike(r"(?U)^\s*$"))
-    counts = chars.groupBy(ch).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(dictionary.select(ch).distinct(), ch, "left_anti")
+    return character_counts(texts, text, ch).join(dictionary.select(ch).distinct(), ch, "left_anti")
 
 
 def argmin_by(rows: DataFrame, by: list[str], value: str, name: str, order: str) -> DataFrame:
@@ -95,6 +166,15 @@ def argmax_by(rows: DataFrame, by: list[str], value: str, name: str, order: str)
     return argmin_by(flipped, by, "_v", name, order).select(*by, name, (-F.col("_v")).alias(value))
 
 
+def vote(candidates: DataFrame, key: str, idx: str = "idx", text: str = "text") -> DataFrame:
+    """Of the readings of each item, the one most similar to all others, the first on ties: (key, idx, total)."""
+    others = candidates.select(key, F.col(text).alias("_other"), F.col(idx).alias("_j"))
+    similar = similarity(F.col(text), F.col("_other"), False)
+    totals = candidates.join(others, key).where(F.col(idx) != F.col("_j")).groupBy(key, idx).agg(F.sum(similar).alias("total"))
+    w = Window.partitionBy(key).orderBy(F.desc(F.round("total", 9)), idx)
+    return totals.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(key, idx, "total")
+
+
 def nearest_rank(values: Column, share: float) -> Column:
     """The value at place int(n * share) of the sorted values, counted from 0 (not interpolated)."""
     ordered = F.array_sort(F.collect_list(values))
@@ -102,24 +182,18 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.when(F.size(ordered) > 0, F.try_element_at(ordered, at))
 
 
-def throughput(rows: DataFrame, by: list[str], latency: str = "latency", tokens: str = "tokens", finish: str = "finish") -> DataFrame:
-    """Counts, wall time (the longest sum is up to the caller: column ``wall``), rates, latency median and p90, cut outputs.
+def throughput(rows: DataFrame, by: list[str], latency: str = "latency", tokens: str = "tokens", finish: str = "finish", cer: str | None = None) -> DataFrame:
+    """Counts, wall time (column ``wall``: the longest of a group), rates, latency median and p90, cut outputs; mean and median of ``cer`` where given.
 
-    The p90 comes from the ranked rows, so no group is gathered in one value.
+    Order statistics come from counts by distinct value, so no group of rows is gathered in one task.
     """
-    w = Window.partitionBy(*by).orderBy(latency)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ranked = rows.withColumn("_k", F.row_number().over(w)).withColumn("_n", n)
-    p90 = F.max(F.when(F.col("_k") == F.floor(F.col("_n") * F.lit(0.9)) + 1, F.col(latency)))
-    out = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("images"),
-        F.max("wall").alias("wall_s"),
-        F.median(latency).alias("latency_median"),
-        p90.alias("latency_p90"),
-        F.sum(tokens).alias("tokens"),
-        F.count_if(F.col(finish) == "length").alias("cut"),
-    )
-    return out.withColumn("images_per_s", F.try_divide(F.col("images").cast("double"), F.col("wall_s"))).withColumn("tokens_per_s", F.try_divide(F.col("tokens").cast("double"), F.col("wall_s")))
+    aggs = [F.count(F.lit(1)).alias("images"), F.max("wall").alias("wall_s"), F.sum(tokens).alias("tokens"), F.count_if(F.col(finish) == "length").alias("cut")]
+    out = rows.groupBy(*by).agg(*aggs, *([F.avg(cer).alias("cer_mean")] if cer else []))
+    p90 = ranked_values(rows, by, latency, {"latency_p90": lambda n: F.floor(n * F.lit(0.9))})
+    out = _joined(with_median(out, rows, by, latency, "latency_median"), p90, by)
+    out = with_median(out, rows, by, cer, "cer_median") if cer else out
+    per_s = lambda c: F.try_divide(F.col(c).cast("double"), F.col("wall_s"))
+    return out.withColumn("images_per_s", per_s("images")).withColumn("tokens_per_s", per_s("tokens"))
 
 
 def field_accuracy(truth: DataFrame, pred: DataFrame, key: str = "id") -> DataFrame:
@@ -144,7 +218,20 @@ def set_match(truth: Column, pred: Column) -> Column:
     return F.struct(F.size(F.array_intersect(truth, pred)).alias("hit"), F.size(F.array_distinct(truth)).alias("want"), F.size(F.array_distinct(pred)).alias("got"))
 
 
-def flag_counts(rows: DataFrame, flagged: str, wrong: str) -> DataFrame:
-    """How well a warning finds wrong rows."""
+def field_hits(matches: DataFrame, name: str = "name", match: str = "match") -> DataFrame:
+    """Hits, wanted and got of ``set_match`` structs, summed by field, with precision and recall."""
+    total = matches.groupBy(name).agg(*(F.sum(f"{match}.{c}").alias(c) for c in ("hit", "want", "got")))
+    return total.withColumns({"precision": F.try_divide(F.col("hit"), F.col("got")), "recall": F.try_divide(F.col("hit"), F.col("want"))})
+
+
+def flag_counts(rows: DataFrame, flagged: str, wrong: str, by: list[str] | None = None) -> DataFrame:
+    """How well a warning finds wrong rows, over all or by group."""
     f, w = F.col(flagged), F.col(wrong)
-    return rows.agg(F.count_if(f & w).alias("caught"), F.count_if(w).alias("wrong"), F.count_if(f & ~w).alias("false_alarms"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(f & w).alias("caught"), F.count_if(w).alias("wrong"), F.count_if(f & ~w).alias("false_alarms")]
+    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+
+
+def in_groups(rows: DataFrame, groups: dict[str, list[str]], category: str = "category", group: str = "group") -> DataFrame:
+    """Each row once for every named group that lists its category."""
+    named = F.array_compact(F.array(*(F.when(F.col(category).isin(*members), F.lit(name)) for name, members in groups.items())))
+    return rows.withColumn(group, F.explode(named))

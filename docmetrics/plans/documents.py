@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import documents
@@ -52,13 +51,3 @@ def q86_correction_fallback(t, spark):
 def q87_page_text(t, spark):
     p = corpus.page_text(F.when(F.col("page_id") % 3 != 0, F.col("html")).otherwise(" short "), F.col("url"))
     return t("pages").select("page_id", p.alias("p")).select("page_id", "p.source", big(F.length("p.text")).alias("n"))
-
-
-@query("""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)
-  SELECT th AS threshold, count(*) AS n, count(*) FILTER (WHERE abs(length(text) - length(prev)) / length(prev) > th) AS retried FROM p, (SELECT unnest([0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 99.0]::DOUBLE[]) AS th) WHERE prev IS NOT NULL GROUP BY th""")
-def q88_threshold_sweep(t, spark):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    p = t("conversations").withColumn("prev", F.lag("text").over(w)).where("prev is not null")
-    diff = F.abs(F.length("text") - F.length("prev")) / F.length("prev")
-    swept = p.select(diff.alias("d"), F.explode(F.array(*(F.lit(x) for x in (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 99.0)))).alias("threshold"))
-    return swept.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > F.col("threshold")).alias("retried"))

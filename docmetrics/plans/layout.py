@@ -39,20 +39,34 @@ def q27_iou_best_match(t, spark):
     return matching.best_match(_pred(t), _gt(t)).select("id", "pred", "gt", r6("iou").alias("iou"))
 
 
-@query()
+def _greedy(first: str, second: str) -> str:
+    """SQL for greedy matches: a fold over a document's pairs in their order, each kept if neither side is used yet."""
+    return f"""a AS ({_PRED}), b AS ({_GT}), p AS (SELECT a.id, a.pred, b.gt, {_IOU} AS iou FROM a JOIN b ON a.id = b.id),
+  o AS (SELECT id, list([struct_pack(a := {first}, b := {second})] ORDER BY {first}, iou DESC, {second} DESC) AS l FROM p WHERE iou >= 0.5 GROUP BY id),
+  m AS (SELECT id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda g: g.a = x[1].a OR g.b = x[1].b)) > 0 THEN acc ELSE acc || x END)) AS m FROM o)"""
+
+
+@query(f"""WITH {_greedy("pred", "gt")}, s AS (SELECT (SELECT count(*) FROM m) AS hits, (SELECT count(*) FROM a) AS n_pred, (SELECT count(*) FROM b) AS n_gt)
+  SELECT hits, n_pred, n_gt, round(hits / n_pred, 6) AS precision, round(hits / n_gt, 6) AS recall, round(2 * (hits / n_pred) * (hits / n_gt) / (hits / n_pred + hits / n_gt), 6) AS f1 FROM s""")
 def q28_greedy_match_pred(t, spark):
     """Matches driven by predictions, with scores."""
     s = matching.detection_scores(matching.detection_counts(_pred(t), _gt(t), "pred"))
     return s.select("hits", "n_pred", "n_gt", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query()
+@query(f"""WITH {_greedy("gt", "pred")} SELECT id, CAST(m.b AS BIGINT) AS pred, CAST(m.a AS BIGINT) AS gt FROM m""")
 def q29_greedy_match_truth(t, spark):
     """Matches driven by true boxes."""
     return matching.greedy_match(_pred(t), _gt(t), "truth")
 
 
-@query()
+_ROW = "(least(r.y2, x[1].y2) - greatest(r.y1, x[1].y1) > 0.5 * least(r.y2 - r.y1, x[1].y2 - x[1].y1))"
+
+
+@query(f"""WITH a AS ({_PRED}), o AS (SELECT id, list([struct_pack(y1 := y1, y2 := y2, m := [struct_pack(x := x1, p := pred)])] ORDER BY y1, pred) AS l FROM a GROUP BY id),
+  g AS (SELECT id, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda r: {_ROW})) = 0 THEN acc || x
+    ELSE list_transform(acc, lambda r, i: CASE WHEN i = list_position(list_transform(acc, lambda r: {_ROW}), true) THEN struct_pack(y1 := r.y1, y2 := r.y2, m := r.m || x[1].m) ELSE r END) END) AS rows FROM o)
+  SELECT id, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(list_sort(r.m), lambda m: CAST(m.p AS VARCHAR)), ',')), '|') AS rows FROM g""")
 def q30_row_grouping(t, spark):
     """Rows of the boxes of every order."""
     p = _pred(t).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pred", "box"))).alias("lines"))
@@ -114,31 +128,35 @@ def q73_box_geometry(t, spark):
 
 
 def _markup(t):
-    """A table of every region's nations, the region in one cell over all rows."""
-    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    g = n.groupBy(F.col("r_regionkey").alias("id"), "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
-    first = F.concat(F.lit("<tr><td rowspan="), F.size("ns").cast("string"), F.lit(">"), "r_name", F.lit("</td>"))
-    cells = F.transform("ns", lambda x, i: F.concat(F.when(i == 0, first).otherwise("<tr>"), F.lit("<td>"), x["n_nationkey"].cast("string"), F.lit("</td><td> "), x["n_name"], F.lit(" </td></tr>")))
-    return g.select("id", F.concat(F.lit("<table><tr><th>region</th><th>key</th><th>name</th></tr>"), F.array_join(cells, ""), F.lit("</table>")).alias("html"), "r_name", "ns")
+    """A table of every customer's orders, the customer in one cell over all rows."""
+    g = t("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("os"))
+    first = F.concat(F.lit("<tr><td rowspan="), F.size("os").cast("string"), F.lit(">c"), F.col("id").cast("string"), F.lit("</td>"))
+    cells = F.transform("os", lambda x, i: F.concat(F.when(i == 0, first).otherwise("<tr>"), F.lit("<td>"), x["o_orderkey"].cast("string"), F.lit("</td><td> "), x["o_orderpriority"], F.lit(" </td></tr>")))
+    return g.select("id", F.concat(F.lit("<table><tr><th>customer</th><th>key</th><th>priority</th></tr>"), F.array_join(cells, ""), F.lit("</table>")).alias("html"), "os")
+
+
+_ORDERS = "g AS (SELECT o_custkey AS id, list_sort(list(struct_pack(k := o_orderkey, n := o_orderpriority))) AS os FROM orders GROUP BY ALL)"
 
 
-@query("""WITH g AS (SELECT r_regionkey AS id, r_name, list_sort(list(struct_pack(k := n_nationkey, n := n_name))) AS ns FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
-  SELECT id, 'region|key|name|' || r_name || '|' || array_to_string(list_transform(ns, lambda x: CAST(x.k AS VARCHAR) || '|' || trim(x.n)), '|') AS cells FROM g""")
+@query(f"""WITH {_ORDERS} SELECT id, 'customer|key|priority|c' || id || '|' || array_to_string(list_transform(os, lambda x: CAST(x.k AS VARCHAR) || '|' || trim(x.n)), '|') AS cells FROM g""")
 def q47_html_cells(t, spark):
     return _markup(t).select("id", F.array_join(tables.html_cells("html"), "|").alias("cells"))
 
 
-@query("""WITH g AS (SELECT r_regionkey AS id, r_name, list_sort(list(struct_pack(k := n_nationkey, n := n_name))) AS ns FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
-  SELECT id, 'region|key|name' || chr(10) || array_to_string(list_transform(ns, lambda x: r_name || '|' || CAST(x.k AS VARCHAR) || '|' || trim(x.n)), chr(10)) AS grid FROM g""")
+@query(f"""WITH {_ORDERS} SELECT id, 'customer|key|priority' || chr(10) || array_to_string(list_transform(os, lambda x: 'c' || id || '|' || CAST(x.k AS VARCHAR) || '|' || trim(x.n)), chr(10)) AS grid FROM g""")
 def q49_table_grid(t, spark):
     g = _markup(t).select("id", tables.table_grid("html").alias("g"))
     return g.select("id", F.array_join(F.transform("g", lambda r: F.array_join(r, "|")), "\n").alias("grid"))
 
 
-@query()
+@query("""WITH n AS (SELECT s_suppkey // 4 AS id, count(*) AS n FROM supplier GROUP BY 1) SELECT id, 1.0::DOUBLE AS same, round(1 - 1.0::DOUBLE / (3 * n), 6) AS less, round(1 - n / (3.0::DOUBLE * n), 6) AS other, 1.0::DOUBLE AS structure FROM n""")
 def q50_teds(t, spark):
-    """Similarity of every region's table to itself, to one with a cell less, and to one with other text."""
-    m = _markup(t).select("id", "html", F.replace("html", F.lit("<td>0</td>"), F.lit("")).alias("less"), F.translate("html", "AEIOU", "XXXXX").alias("other"))
+    """Similarity of tables of four suppliers each to themselves, to one with a cell less, and to one with other text in a column."""
+    row = F.struct("s_suppkey", F.concat(F.lit("<tr><td>"), F.col("s_suppkey").cast("string"), F.lit("</td><td>xyz</td></tr>")).alias("html"))
+    g = t("supplier").groupBy(F.floor(F.col("s_suppkey") / 4).cast("bigint").alias("id")).agg(F.array_sort(F.collect_list(row)).alias("rs"))
+    m = g.select("id", F.concat(F.lit("<table>"), F.array_join(F.transform("rs", lambda r: r["html"]), ""), F.lit("</table>")).alias("html"))
+    m = m.withColumn("less", F.concat(F.regexp_replace("html", "<td>xyz</td></tr></table>$", ""), F.lit("</tr></table>")))
+    m = m.withColumn("other", F.replace("html", F.lit("xyz"), F.lit("abc")))
     return m.select("id", r6(tables.teds("html", "html")).alias("same"), r6(tables.teds("less", "html")).alias("less"), r6(tables.teds("other", "html")).alias("other"), r6(tables.teds_structure("other", "html")).alias("structure"))
 
 
@@ -154,18 +172,18 @@ def q51_cell_accuracy(t, spark):
     return tables.cell_accuracy(collect(want), collect(got)).select("id", r6("accuracy").alias("accuracy"))
 
 
-@query("""SELECT r_regionkey AS id, r_name || '/' || r_regionkey AS header, 'x' || r_regionkey || '/y' AS first FROM region""")
+@query(f"""WITH {_ORDERS} SELECT id, 'key/priority' AS header, array_to_string(list_transform(os, lambda x: CAST(x.k AS VARCHAR) || '/' || x.n), ';') AS rows FROM g""")
 def q74_markdown_rows(t, spark):
-    k = F.col("r_regionkey").cast("string")
-    md = F.concat(F.lit("intro\n| "), "r_name", F.lit(" | "), k, F.lit(" |\n|---|:-:|\n| x"), k, F.lit(" | y |\n"))
-    m = tables.markdown_rows(md)
-    return t("region").select(F.col("r_regionkey").alias("id"), F.array_join(m["header"], "/").alias("header"), F.array_join(m["rows"][0], "/").alias("first"))
+    lines = F.array_join(F.transform("os", lambda x: F.concat(F.lit("| "), x["o_orderkey"].cast("string"), F.lit(" | "), x["o_orderpriority"], F.lit(" |"))), "\n")
+    m = tables.markdown_rows(F.concat(F.lit("intro\n| key | priority |\n|---|:-:|\n"), lines, F.lit("\nend")))
+    return _markup(t).select("id", m.alias("m")).select("id", F.array_join("m.header", "/").alias("header"), F.array_join(F.transform("m.rows", lambda r: F.array_join(r, "/")), ";").alias("rows"))
 
 
-@query("""SELECT r_regionkey AS id, '<table><tr><th>name</th></tr><tr><td>' || r_name || '</td></tr></table>' AS html FROM region""")
+@query(f"""WITH {_ORDERS} SELECT id, '<table><tr><th>key</th><th>priority</th></tr>' || array_to_string(list_transform(os, lambda x: '<tr><td>' || x.k || '</td><td>' || x.n || '</td></tr>'), '') || '</table>' AS html FROM g""")
 def q75_rows_html(t, spark):
-    table = F.struct(F.array(F.lit("name")).alias("header"), F.array(F.array("r_name")).alias("rows"))
-    return t("region").select(F.col("r_regionkey").alias("id"), tables.rows_html(table).alias("html"))
+    rows_ = F.transform("os", lambda x: F.array(x["o_orderkey"].cast("string"), x["o_orderpriority"]))
+    table = F.struct(F.array(F.lit("key"), F.lit("priority")).alias("header"), rows_.alias("rows"))
+    return _markup(t).select("id", tables.rows_html(table).alias("html"))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS id, l_linenumber AS pos, 'p' || l_partkey AS want FROM lineitem), b AS (SELECT l_orderkey AS id, l_linenumber AS pos, 'p' || l_partkey AS got FROM lineitem WHERE l_linenumber % 3 <> 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import recognize, retrieval
+from ..operators import recognize, retrieval, scoring
 from .registry import big, query, r6
 
 
@@ -34,9 +34,9 @@ def qx03_semi_join(t, spark):
     return t("orders").join(back, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1""")
+@query("""SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1""")
 def qx04_anti_join(t, spark):
-    return t("customer").join(t("orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return t("customer").join(t("orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) * 2 + grouping(l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
@@ -66,7 +66,8 @@ def qx08_set_operations(t, spark):
 @query("""SELECT p_brand, round(median(l_extendedprice), 2) AS median, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def qx09_exact_quantiles(t, spark):
     j = t("lineitem").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy("p_brand").agg(F.round(F.median("l_extendedprice"), 2).alias("median"), F.countDistinct("l_suppkey").alias("suppliers"))
+    s = scoring.with_median(j.groupBy("p_brand").agg(F.countDistinct("l_suppkey").alias("suppliers")), j, ["p_brand"], "l_extendedprice", "median")
+    return s.select("p_brand", F.round("median", 2).alias("median"), "suppliers")
 
 
 @query("""SELECT c_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM customer LEFT JOIN orders ON c_custkey = o_custkey) WHERE k = 1""")

@@ -7,75 +7,52 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, text
 from ..operators import retrieval, routing, scoring
+from ..shared import scratch
+from ..sources import corpus, sinks
 from .registry import ORACLE_SQL, query, r6
 
+#: Thresholds at which a policy is replayed.
+THRESHOLDS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 99.0)
 _NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-_ASCII = " AND length(ref) = strlen(ref) AND length(hyp) = strlen(hyp)"
 _TURNS = f"""p AS (SELECT conv_id, turn, role, {_NORM.format("text")} AS hyp, lag({_NORM.format("text")}) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
-  a AS (SELECT * FROM p WHERE ref IS NOT NULL{_ASCII})"""
-_CER = "CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein(ref, hyp) AS DOUBLE) / length(ref) END"
+  a AS (SELECT * FROM p WHERE ref IS NOT NULL)"""
 
 
-def _turns(t, ascii_only: bool = True):
-    """Each turn against the one before, normalised."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = t("conversations").select("conv_id", "turn", "role", text.normalize(F.col("text")).alias("hyp"))
-    p = n.withColumn("ref", F.lag("hyp").over(w)).where("ref is not null")
-    return p.where("length(ref) = octet_length(ref) and length(hyp) = octet_length(hyp)") if ascii_only else p
-
+def _distance(a: str, b: str) -> str:
+    """SQL for the edit distance in characters: DuckDB's counts bytes, so the characters of a pair (at most 127 different ones) are put as single bytes."""
+    seen = f"array_to_string(list_distinct(string_split({a} || {b}, '')), '')"
+    one = lambda x: f"translate({x}, {seen}, array_to_string(list_transform(range(1, 128), lambda i: chr(CAST(i AS INT))), ''))"
+    return f"levenshtein({one(a)}, {one(b)})"
 
-def _all_turns(t):
-    return _turns(t, False)
 
+_CER = f"CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END ELSE CAST({_distance('ref', 'hyp')} AS DOUBLE) / length(ref) END"
 
-def whole(sql: bool):
-    """Registers a query of ASCII pairs a second time, as ``name_all``, over every pair of turns.
 
-    ``sql``: whether its SQL, without the ASCII condition, gives the same rows. Edit distances have none: DuckDB counts bytes.
-    """
-
-    def register(f):
-        def run(t, spark):
-            return f(t, spark, _all_turns)
-
-        run.__name__, run.__doc__ = f"{f.__name__}_all", "Over all pairs of turns, not the ASCII ones only."
-        query(ORACLE_SQL[f.__name__].replace(_ASCII, "") if sql else None)(run)
-        return f
-
-    return register
+def _turns(t):
+    """Each turn against the one before, normalised."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    n = t("conversations").select("conv_id", "turn", "role", text.normalize(F.col("text")).alias("hyp"))
+    return n.withColumn("ref", F.lag("hyp").over(w)).where("ref is not null")
 
 
 def _cer(keep_space=True):
     return metrics.cer(F.col("ref"), F.col("hyp"), keep_space, compose=False)
 
 
-@whole(sql=False)
 @query(f"WITH {_TURNS} SELECT conv_id, turn, round({_CER}, 6) AS cer FROM a")
-def q04_turn_cer(t, spark, turns=_turns):
-    return turns(t).select("conv_id", "turn", r6(_cer()).alias("cer"))
+def q04_turn_cer(t, spark):
+    return _turns(t).select("conv_id", "turn", r6(_cer()).alias("cer"))
 
 
-@whole(sql=False)
 @query(f"WITH {_TURNS} SELECT role, count(*) AS n, round(avg({_CER}), 6) AS cer FROM a GROUP BY ROLLUP (role)")
-def q05_turn_cer_rollup(t, spark, turns=_turns):
-    rows = scoring.category_means(turns(t).withColumn("cer", _cer()), ["role"], ["cer"])
+def q05_turn_cer_rollup(t, spark):
+    rows = scoring.category_means(_turns(t).withColumn("cer", _cer()), ["role"], ["cer"])
     return rows.select("role", "n", r6("cer").alias("cer"))
 
 
-@query("""WITH p AS (SELECT a.item_id, b.item_id AS other, levenshtein(a.text, b.text) AS d FROM benchmark a JOIN (SELECT item_id, text, unnest(range(1, 9)) AS k FROM benchmark) b ON a.item_id = b.item_id - b.k
-    WHERE length(a.text) = strlen(a.text) AND length(b.text) = strlen(b.text))
+@query(f"""WITH p AS (SELECT a.item_id, b.item_id AS other, {_distance("a.text", "b.text")} AS d FROM benchmark a JOIN benchmark b ON a.item_id <> b.item_id)
   SELECT item_id, other, CAST(d AS INT) AS distance, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d, other) AS k FROM p) WHERE k <= 3""")
-def q06_benchmark_pairs_topk(t, spark):
-    """The three nearest ASCII items of the eight that follow each item, as in its SQL; ``q06_benchmark_topk_all`` compares all items."""
-    b = t("benchmark").where("length(text) = octet_length(text)")
-    ahead = b.select(F.col("item_id").alias("other"), F.col("text").alias("o"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).withColumn("item_id", F.col("other") - F.col("k"))
-    p = b.join(ahead, "item_id").select("item_id", "other", F.levenshtein("text", "o").alias("distance"))
-    w = Window.partitionBy("item_id").orderBy("distance", "other")
-    return p.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-
-
-@query()
-def q06_benchmark_topk_all(t, spark):
+def q06_benchmark_topk(t, spark):
     """The three nearest of all other items by edit distance, the lowest id on ties; a distance is counted once for both items of a pair."""
     b = t("benchmark").select("item_id", "text")
     o = b.select(F.col("item_id").alias("other"), F.col("text").alias("o"))
@@ -88,13 +65,13 @@ def q06_benchmark_topk_all(t, spark):
 @query()
 def q07_wer_pairs(t, spark):
     """Word error rates of turns."""
-    return _turns(t, False).select("conv_id", "turn", r6(metrics.wer(F.col("ref"), F.col("hyp"), compose=False)).alias("wer"))
+    return _turns(t).select("conv_id", "turn", r6(metrics.wer(F.col("ref"), F.col("hyp"), compose=False)).alias("wer"))
 
 
 @query()
 def q08_jamo_cer(t, spark):
     """Error rates over decomposed characters of turns."""
-    return _turns(t, False).select("conv_id", "turn", r6(metrics.jamo_cer(F.col("ref"), F.col("hyp"))).alias("jamo_cer"))
+    return _turns(t).select("conv_id", "turn", r6(metrics.jamo_cer(F.col("ref"), F.col("hyp"))).alias("jamo_cer"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS word FROM documents),
@@ -111,59 +88,41 @@ _SHARED = "list_sum(list_transform(list_distinct(string_split({a}, '')), lambda
 _BARE = r"regexp_replace({}, '\s+', '', 'g')"
 
 
-@whole(sql=True)
 @query(f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, {_BARE.format("ref")} AS x, {_BARE.format("hyp")} AS y FROM a)
   SELECT conv_id, turn, round(CASE WHEN length(x) + length(y) = 0 THEN 0.0 WHEN x = '' THEN 1.0 ELSE 1 - 2 * {_SHARED.format(a="x", b="y")} / (length(x) + length(y)) END, 6) AS disagreement FROM x""")
-def q10_char_disagreement(t, spark, turns=_turns):
-    return turns(t).select("conv_id", "turn", r6(metrics.disagreement(F.col("ref"), F.col("hyp"))).alias("disagreement"))
+def q10_char_disagreement(t, spark):
+    return _turns(t).select("conv_id", "turn", r6(metrics.disagreement(F.col("ref"), F.col("hyp"))).alias("disagreement"))
 
 
-@whole(sql=True)
 @query(f"""WITH {_TURNS} SELECT conv_id, turn, length({_BARE.format("hyp")}) > 2 * greatest(1, length({_BARE.format("ref")})) AS over FROM a""")
-def q11_overflow_flags(t, spark, turns=_turns):
-    return turns(t).select("conv_id", "turn", metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
+def q11_overflow_flags(t, spark):
+    return _turns(t).select("conv_id", "turn", metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
 
 
-@whole(sql=False)
 @query(f"""WITH {_TURNS}, s AS (SELECT *, {_CER} AS cer, (conv_id + turn) % 4 = 0 AS flipped, length({_BARE.format("hyp")}) > 2 * greatest(1, length({_BARE.format("ref")})) AS over FROM a)
   SELECT role, count(*) AS n, round(avg(cer), 6) AS cer, round(median(cer), 6) AS cer_median, round(avg(cer) FILTER (WHERE NOT flipped), 6) AS cer_upright,
   count(*) FILTER (WHERE cer > 0.5) AS failed, count(*) FILTER (WHERE over) AS overflow FROM s GROUP BY role""")
-def q65_page_summary(t, spark, turns=_turns):
-    rows = turns(t).select("role", _cer().alias("cer"), F.lit(None).cast("double").alias("wer"), F.lit(None).cast("double").alias("teds"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("flipped"), metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
+def q65_page_summary(t, spark):
+    rows = _turns(t).select("role", _cer().alias("cer"), F.lit(None).cast("double").alias("wer"), F.lit(None).cast("double").alias("teds"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("flipped"), metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
     s = scoring.page_summary(rows, ["role"])
     return s.select("role", "n", *(r6(c).alias(c) for c in ("cer", "cer_median", "cer_upright")), "failed", "overflow")
 
 
-@whole(sql=False)
 @query(f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, regexp_replace(ref, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS x, regexp_replace(hyp, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS y FROM a)
-  SELECT conv_id, turn, round(CASE WHEN x = '' THEN CASE WHEN y = '' THEN 1.0 ELSE 0.0 END ELSE greatest(0.0, 1 - levenshtein(x, y) / length(x)) END, 6) AS similarity FROM x""")
-def q66_similarity(t, spark, turns=_turns):
-    return turns(t).select("conv_id", "turn", r6(metrics.similarity(F.col("ref"), F.col("hyp"), False)).alias("similarity"))
+  SELECT conv_id, turn, round(CASE WHEN x = '' THEN CASE WHEN y = '' THEN 1.0 ELSE 0.0 END ELSE greatest(0.0, 1 - {_distance('x', 'y')} / length(x)) END, 6) AS similarity FROM x""")
+def q66_similarity(t, spark):
+    return _turns(t).select("conv_id", "turn", r6(metrics.similarity(F.col("ref"), F.col("hyp"), False)).alias("similarity"))
 
 
-@query("""WITH c AS (SELECT item_id, text, 0 AS idx FROM benchmark UNION ALL SELECT item_id, replace(text, 'e', ''), 1 FROM benchmark UNION ALL SELECT item_id, replace(text, 'th', 't'), 2 FROM benchmark),
-  q AS (SELECT item_id, idx, regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g') AS x FROM c WHERE length(text) = strlen(text)),
-  s AS (SELECT a.item_id, a.idx, sum(CASE WHEN a.x = '' THEN CASE WHEN b.x = '' THEN 1.0 ELSE 0.0 END ELSE greatest(0.0, 1 - levenshtein(a.x, b.x) / length(a.x)) END) AS total FROM q a JOIN q b ON a.item_id = b.item_id AND a.idx <> b.idx GROUP BY ALL)
+@query(rf"""WITH c AS (SELECT item_id, text, 0 AS idx FROM benchmark UNION ALL SELECT item_id, replace(text, 'e', ''), 1 FROM benchmark UNION ALL SELECT item_id, replace(text, 'th', 't'), 2 FROM benchmark),
+  q AS (SELECT item_id, idx, regexp_replace(text, '[^\p{{L}}\p{{N}}]+', '', 'g') AS x FROM c),
+  s AS (SELECT a.item_id, a.idx, sum(CASE WHEN a.x = '' THEN CASE WHEN b.x = '' THEN 1.0 ELSE 0.0 END ELSE greatest(0.0, 1 - {_distance("a.x", "b.x")} / length(a.x)) END) AS total FROM q a JOIN q b ON a.item_id = b.item_id AND a.idx <> b.idx GROUP BY ALL)
   SELECT item_id, CAST(idx AS INT) AS idx, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(total, 9) DESC, idx) AS k FROM s) WHERE k = 1""")
 def q33_candidate_vote(t, spark):
-    """The reading closest to the others, the first on ties; of ASCII readings, as in its SQL (``q33_candidate_vote_all``: of all)."""
-    return _vote(t, True)
-
-
-@query()
-def q33_candidate_vote_all(t, spark):
     """The reading closest to the others, the first on ties, of every item."""
-    return _vote(t, False)
-
-
-def _vote(t, ascii_only: bool):
-    b = t("benchmark")
-    c = b.select("item_id", "text", F.lit(0).alias("idx")).unionByName(b.select("item_id", F.replace("text", F.lit("e"), F.lit("")).alias("text"), F.lit(1).alias("idx"))).unionByName(b.select("item_id", F.replace("text", F.lit("th"), F.lit("t")).alias("text"), F.lit(2).alias("idx")))
-    c = c.where("length(text) = octet_length(text)") if ascii_only else c
-    o = c.select("item_id", F.col("text").alias("o"), F.col("idx").alias("j"))
-    s = c.join(o, "item_id").where("idx <> j").groupBy("item_id", "idx").agg(F.sum(metrics.similarity(F.col("text"), F.col("o"), False)).alias("total"))
-    w = Window.partitionBy("item_id").orderBy(F.desc(F.round("total", 9)), "idx")
-    return s.withColumn("k", F.row_number().over(w)).where("k = 1").select("item_id", "idx", r6("total").alias("total"))
+    readings = [F.col("text"), F.replace("text", F.lit("e"), F.lit("")), F.replace("text", F.lit("th"), F.lit("t"))]
+    c = t("benchmark").select("item_id", F.posexplode(F.array(*readings)).alias("idx", "text"))
+    return scoring.vote(c, "item_id").select("item_id", "idx", r6("total").alias("total"))
 
 
 @query("""WITH e AS (SELECT l_partkey AS part, l_suppkey AS engine, avg(l_discount) AS cer FROM lineitem GROUP BY ALL)
@@ -198,20 +157,29 @@ def q36_confusion(t, spark):
     return scoring.confusion(j.select(F.col("quality").alias("want"), (F.col("n_chars") > 1000).cast("int").alias("got")))
 
 
-@query("""SELECT count(*) AS n, count(*) FILTER (WHERE quality = (n_chars > 1000)::INT) AS correct, round(avg((quality = (n_chars > 1000)::INT)::INT), 6) AS accuracy,
-  md5(array_to_string(list_sort(coalesce(list(doc_id) FILTER (WHERE quality <> (n_chars > 1000)::INT), [])), ',')) AS wrong FROM labels JOIN documents USING (doc_id)""")
+def _judged(t):
+    j = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id")
+    return j.select(F.col("doc_id").alias("id"), F.col("quality").alias("want"), (F.col("n_chars") > 1000).cast("int").alias("got"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE quality = (n_chars > 1000)::INT) AS correct, round(avg((quality = (n_chars > 1000)::INT)::INT), 6) AS accuracy FROM labels JOIN documents USING (doc_id)""")
 def q67_accuracy(t, spark):
-    j = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").alias("want"), (F.col("n_chars") > 1000).cast("int").alias("got"))
-    a = scoring.accuracy(j)
-    return a.select("n", "correct", r6("accuracy").alias("accuracy"), F.md5(F.array_join(F.transform("wrong", lambda x: x.cast("string")), ",")).alias("wrong"))
+    return scoring.accuracy(_judged(t)).select("n", "correct", r6("accuracy").alias("accuracy"))
+
 
+@query("""SELECT doc_id AS id, quality AS want, (n_chars > 1000)::INT AS got FROM labels JOIN documents USING (doc_id) WHERE quality <> (n_chars > 1000)::INT""")
+def q92_wrong_keys(t, spark):
+    return scoring.wrong_keys(_judged(t))
 
-@query("""SELECT lang, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, count(*) FILTER (WHERE toxic = 1 AND quality = 0) AS caught,
-  count(*) FILTER (WHERE quality = 0) AS wrong, count(*) FILTER (WHERE toxic = 1 AND quality <> 0) AS false_alarms FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
-def q56_rate_by_group(t, spark):
+
+@query("""WITH g AS (SELECT * FROM (VALUES ('english', 'en'), ('romance', 'fr'), ('romance', 'es'), ('all', 'en'), ('all', 'fr'), ('all', 'es'), ('all', 'de')) v(name, lang))
+  SELECT name AS "group", count(*) AS n, count(*) FILTER (WHERE toxic = 1 AND quality = 0) AS caught, count(*) FILTER (WHERE quality = 0) AS wrong, count(*) FILTER (WHERE toxic = 1 AND quality <> 0) AS false_alarms
+  FROM labels JOIN documents USING (doc_id) JOIN g USING (lang) GROUP BY 1""")
+def q56_flags_by_group(t, spark):
+    """How well one label finds the other, over named groups of languages that overlap."""
     j = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id")
-    f, w = F.col("toxic") == 1, F.col("quality") == 0
-    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("quality")).alias("quality"), r6(F.avg("toxic")).alias("toxic"), F.count_if(f & w).alias("caught"), F.count_if(w).alias("wrong"), F.count_if(f & ~w).alias("false_alarms"))
+    j = scoring.in_groups(j.withColumns({"flag": F.col("toxic") == 1, "bad": F.col("quality") == 0}), {"english": ["en"], "romance": ["fr", "es"], "all": ["en", "fr", "es", "de"]}, "lang")
+    return scoring.flag_counts(j, "flag", "bad", ["group"])
 
 
 @query("""SELECT event_type, round(avg(value) FILTER (WHERE day(ts) <= 10), 6) AS early, round(avg(value) FILTER (WHERE day(ts) > 10 AND day(ts) <= 20), 6) AS middle,
@@ -264,16 +232,14 @@ def q40_hit_at_k(t, spark):
 _BOTH = f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, {_BARE.format("ref")} AS g, {_BARE.format(r"regexp_replace(hyp, '\[[0-9]+\]', '', 'g')")} AS p FROM a)"""
 
 
-@whole(sql=True)
 @query(f"{_BOTH} SELECT conv_id, turn, contains(p, g) OR (2 * length(p) >= length(g) AND contains(g, p)) AS correct FROM x")
-def q41_answer_correct(t, spark, turns=_turns):
-    return turns(t).select("conv_id", "turn", text.is_correct(F.col("ref"), F.col("hyp"), False).alias("correct"))
+def q41_answer_correct(t, spark):
+    return _turns(t).select("conv_id", "turn", text.is_correct(F.col("ref"), F.col("hyp"), False).alias("correct"))
 
 
-@whole(sql=True)
 @query(f"""{_BOTH} SELECT conv_id, turn, round(CASE WHEN g = '' OR p = '' OR {_SHARED.format(a="g", b="p")} = 0 THEN 0.0 ELSE 2 * {_SHARED.format(a="g", b="p")} / (length(g) + length(p)) END, 6) AS f1 FROM x""")
-def q42_answer_char_f1(t, spark, turns=_turns):
-    return turns(t).select("conv_id", "turn", r6(metrics.char_f1(F.col("ref"), F.col("hyp"))).alias("f1"))
+def q42_answer_char_f1(t, spark):
+    return _turns(t).select("conv_id", "turn", r6(metrics.char_f1(F.col("ref"), F.col("hyp"))).alias("f1"))
 
 
 @query()
@@ -282,29 +248,69 @@ def q45_route_policy(t, spark):
     w = Window.partitionBy("conv_id").orderBy("turn")
     p = t("conversations").select("conv_id", "turn", F.col("text").alias("fast"), F.lag("text").over(w).alias("vl"), F.lag("text", 2).over(w).alias("vlm")).where("vl is not null")
     p = p.withColumns({"r1": metrics.compression_ratio("vl"), "r2": metrics.compression_ratio("vlm"), "d1": metrics.disagreement(F.col("fast"), F.col("vl")), "d2": metrics.disagreement(F.col("fast"), F.col("vlm"))})
-    p = p.select("*", F.explode(F.array(*(F.lit(x) for x in (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 99.0)))).alias("threshold"))
+    p = p.select("*", F.explode(F.array(*(F.lit(x) for x in THRESHOLDS))).alias("threshold"))
     chosen = routing.policy(*(F.col(c) for c in ("fast", "vl", "vlm", "r1", "d1", "r2", "d2", "threshold")))
     return p.select("threshold", chosen.alias("c"), routing.review(F.col("d1")).alias("review")).groupBy("threshold", "c.source", "c.retried").agg(F.count(F.lit(1)).alias("n"), F.count_if("review").alias("reviewed"))
 
 
 @query("""SELECT event_type, count(*) AS images, round(median(value), 6) AS latency_median, round(list_sort(list(value))[CAST(floor(count(*) * 0.9) AS INT) + 1], 6) AS latency_p90,
-  CAST(sum(event_id % 100) AS BIGINT) AS tokens, count(*) FILTER (WHERE event_id % 7 = 0) AS cut, round(count(*) / max(user_id + 1), 6) AS images_per_s FROM events GROUP BY event_type""")
+  CAST(sum(event_id % 100) AS BIGINT) AS tokens, count(*) FILTER (WHERE event_id % 7 = 0) AS cut, round(count(*) / max(user_id + 1), 6) AS images_per_s, round(avg(event_id % 10 / 10), 6) AS cer_mean, round(median(event_id % 10 / 10), 6) AS cer_median FROM events GROUP BY event_type""")
 def q55_throughput(t, spark):
-    e = t("events").select("event_type", F.col("value").alias("latency"), (F.col("event_id") % 100).alias("tokens"), F.when(F.col("event_id") % 7 == 0, "length").otherwise("stop").alias("finish"), (F.col("user_id") + 1).cast("double").alias("wall"))
-    r = scoring.throughput(e, ["event_type"])
-    return r.select("event_type", "images", r6("latency_median").alias("latency_median"), r6("latency_p90").alias("latency_p90"), "tokens", "cut", r6("images_per_s").alias("images_per_s"))
+    e = t("events").select("event_type", F.col("value").alias("latency"), (F.col("event_id") % 100).alias("tokens"), F.when(F.col("event_id") % 7 == 0, "length").otherwise("stop").alias("finish"), (F.col("user_id") + 1).cast("double").alias("wall"), (F.col("event_id") % 10 / 10).alias("cer"))
+    r = scoring.throughput(e, ["event_type"], cer="cer")
+    return r.select("event_type", "images", r6("latency_median").alias("latency_median"), r6("latency_p90").alias("latency_p90"), "tokens", "cut", *(r6(c).alias(c) for c in ("images_per_s", "cer_mean", "cer_median")))
 
 
-@whole(sql=False)
 @query(f"""WITH {_TURNS} SELECT role, count(*) AS n, round(avg(({_BARE.format("ref")} = {_BARE.format("hyp")})::INT), 6) AS accuracy, round(avg(least(1.0, {_CER})), 6) AS cer FROM a GROUP BY role""")
-def q69_word_accuracy(t, spark, turns=_turns):
+def q69_word_accuracy(t, spark):
     bare = lambda c: text.normalize(F.col(c), False, False)
-    s = turns(t).select("role", (bare("ref") == bare("hyp")).cast("int").alias("ok"), F.least(F.lit(1.0), _cer()).alias("cer"))
+    s = _turns(t).select("role", (bare("ref") == bare("hyp")).cast("int").alias("ok"), F.least(F.lit(1.0), _cer()).alias("cer"))
     return s.groupBy("role").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ok")).alias("accuracy"), r6(F.avg("cer")).alias("cer"))
 
 
-@query("""WITH s AS (SELECT event_type AS stage, sum(value) AS ms FROM events GROUP BY 1) SELECT stage, round(ms, 4) AS ms, round(ms / (SELECT sum(ms) FROM s), 6) AS share FROM s""")
+@query("""WITH s AS (SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS ms FROM events GROUP BY 1) SELECT stage, CAST(calls AS DOUBLE) AS calls, ms, round(ms / (SELECT sum(ms) FROM s), 6) AS share FROM s""")
 def q70_stage_share(t, spark):
-    s = t("events").groupBy(F.col("event_type").alias("stage")).agg(F.sum("value").alias("ms"))
-    total = s.agg(F.sum("ms").alias("total"))
-    return s.crossJoin(F.broadcast(total)).select("stage", F.round("ms", 4).alias("ms"), r6(F.col("ms") / F.col("total")).alias("share"))
+    """Times by stage, written as CSV and read back."""
+    s = t("events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("ms"))
+    path = scratch(spark, "stages")
+    sinks.write_csv(s, path)
+    found = corpus.read_stage_times(spark, path, ["view", "signup", "click", "error", "purchase"])
+    return found.select("stage", "calls", "ms", r6("share").alias("share"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS a, lag(CAST(length(text) AS DOUBLE)) OVER w AS b, lag(CAST(length(text) AS DOUBLE), 2) OVER w AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  d AS (SELECT *, abs(a - b) / a AS d1, abs(a - c) / a AS d2, (conv_id + turn) % 6 AS r1, (conv_id * turn) % 6 AS r2 FROM p WHERE b IS NOT NULL AND a > 0),
+  s AS (SELECT th AS threshold, CASE WHEN r1 <= 4 AND d1 <= th THEN 'vl' WHEN c IS NULL THEN CASE WHEN r1 > 4 THEN 'fast' ELSE 'vl' END WHEN r2 <= 4 AND (r1 > 4 OR d2 < d1) THEN 'vlm' ELSE 'vl' END AS source,
+    NOT ((r1 <= 4 AND d1 <= th) OR c IS NULL) AS retried, d1 > 0.05 AS review FROM d, (SELECT unnest([0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 99.0]::DOUBLE[]) AS th))
+  SELECT threshold, source, retried, count(*) AS n, count(*) FILTER (WHERE review) AS reviewed FROM s GROUP BY ALL""")
+def q88_threshold_sweep(t, spark):
+    """The policy at seven thresholds, over all turns, with differences by length and made-up repetition."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    size = F.length("text").cast("double")
+    p = t("conversations").select("conv_id", "turn", size.alias("a"), F.lag(size).over(w).alias("b"), F.lag(size, 2).over(w).alias("c")).where("b is not null and a > 0")
+    p = p.withColumns({"d1": F.abs(F.col("a") - F.col("b")) / F.col("a"), "d2": F.abs(F.col("a") - F.col("c")) / F.col("a"), "r1": (F.col("conv_id") + F.col("turn")) % 6, "r2": (F.col("conv_id") * F.col("turn")) % 6})
+    p = p.select("*", F.explode(F.array(*(F.lit(x) for x in THRESHOLDS))).alias("threshold"))
+    chosen = routing.policy(*(F.col(c).cast("string") for c in "abc"), *(F.col(c) for c in ("r1", "d1", "r2", "d2", "threshold")))
+    return p.select("threshold", chosen.alias("c"), routing.review(F.col("d1")).alias("review")).groupBy("threshold", "c.source", "c.retried").agg(F.count(F.lit(1)).alias("n"), F.count_if("review").alias("reviewed"))
+
+
+@query(f"""WITH {_TURNS}, x AS (SELECT role, turn, ref, hyp, {_BARE.format("ref")} AS g, {_BARE.format(r"regexp_replace(hyp, '\[[0-9]+\]', '', 'g')")} AS p, contains(hyp, 'not') AS unknown FROM a),
+  r AS (SELECT *, NOT unknown AND (contains(p, g) OR (2 * length(p) >= length(g) AND contains(g, p))) AS correct, CASE WHEN unknown OR g = '' OR p = '' OR {_SHARED.format(a="g", b="p")} = 0 THEN 0.0 ELSE 2 * {_SHARED.format(a="g", b="p")} / (length(g) + length(p)) END AS f1 FROM x)
+  SELECT role, count(*) AS n, round(avg((turn % 4 = 1)::INT), 6) AS hit_at_1, round(avg((turn % 4 <> 0)::INT), 6) AS hit_at_k, round(avg((turn % 2 = 0 OR contains({_BARE.format("hyp")}, g))::INT), 6) AS in_chunks, round(avg(correct::INT), 6) AS correct, round(avg(f1), 6) AS f1,
+    round(avg(unknown::INT), 6) AS unknown, round(avg((NOT correct AND NOT unknown)::INT), 6) AS wrong FROM r GROUP BY role""")
+def q93_answer_report(t, spark):
+    """Every turn as an answer to the one before: rates by role. Turns with 'not' stand for answers that do not know."""
+    rank = F.when(F.col("turn") % 4 != 0, F.col("turn") % 4)
+    pred = F.when(F.contains(F.col("hyp"), F.lit("not")), text.UNKNOWN).otherwise(F.col("hyp"))
+    found = F.array(F.col("hyp"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x "), "ref")).otherwise(""))
+    rows = _turns(t).select("role", rank.alias("rank"), F.col("ref").alias("answer"), pred.alias("pred"), retrieval.answer_in_chunks(F.col("ref"), found).alias("in_chunks"))
+    r = retrieval.answer_report(rows, ["role"], True)
+    return r.select("role", "n", *(r6(c).alias(c) for c in ("hit_at_1", "hit_at_k", "in_chunks", "correct", "f1", "unknown", "wrong")))
+
+
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id % 11 = 0) AS errors, round(avg(value) FILTER (WHERE event_id % 11 <> 0), 6) AS time_mean, round(median(value) FILTER (WHERE event_id % 11 <> 0), 6) AS time_median FROM events GROUP BY 1""")
+def q94_latency(t, spark):
+    """Median and mean time of what did not fail, by kind."""
+    e = t("events").select("event_type", F.col("value").alias("time"), (F.col("event_id") % 11 == 0).alias("error"))
+    r = scoring.latency_summary(e, ["event_type"])
+    return r.select("event_type", "n", "errors", r6("time_mean").alias("time_mean"), r6("time_median").alias("time_median"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics, text
-from ..operators import extraction, retrieval, sampling, scoring, tables
+from ..operators import extraction, retrieval, routing, sampling, scoring, tables
 from ..sources import corpus
 from .registry import big, query, r6
 
@@ -13,9 +13,8 @@ from .registry import big, query, r6
 @query("""SELECT lang AS category, count(*) AS n, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS chars,
   CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY lang""")
 def q01_manifest_stats(t, spark):
-    docs = t("documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    d = docs.select("lang", F.length(F.replace("text", F.lit("\n"), F.lit(""))).alias("chars"), F.size(F.split("text", "\n")).alias("lines"))
-    return d.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("lines").alias("lines"))
+    truth = t("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), "source", F.lit(None).cast("string").alias("parent"), "text", F.split("text", "\n").alias("lines"), F.lit(0).alias("width"), F.lit(0).alias("height"))
+    return corpus.build_manifest(truth).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("lines").alias("lines"))
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS normalized,
@@ -113,6 +112,36 @@ def q13_char_dictionary_coverage(t, spark):
     return scoring.missing_characters(t("documents"), dictionary)
 
 
+@query(r"""WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), b AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM benchmark),
+  u AS (SELECT ch, count(*) AS n FROM c WHERE NOT regexp_full_match(ch, '\s*') GROUP BY ch), l AS (SELECT * FROM u WHERE ch NOT IN (SELECT ch FROM b))
+  SELECT (SELECT count(*) FROM u) AS kinds, (SELECT CAST(sum(n) AS BIGINT) FROM u) AS characters, (SELECT count(*) FROM b WHERE ch <> '') AS dictionary, (SELECT count(*) FROM b WHERE regexp_full_match(ch, '[가-힣]')) AS hangul,
+    (SELECT count(*) FROM l) AS lost_kinds, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM l) AS lost, round((SELECT coalesce(sum(n), 0) FROM l) / (SELECT sum(n) FROM u), 9) AS lost_share,
+    (SELECT string_agg(ch || n, ' ' ORDER BY n DESC, ch) FROM (SELECT * FROM l ORDER BY n DESC, ch LIMIT 15)) AS top""")
+def q89_dictionary_report(t, spark):
+    """What the benchmark's characters lack of those in the documents."""
+    dictionary = t("benchmark").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+    r = scoring.dictionary_coverage(t("documents"), dictionary)
+    top = F.nullif(F.array_join(F.transform("top", lambda x: F.concat(x["ch"], x["n"].cast("string"))), " "), F.lit(""))
+    return r.select("kinds", "characters", "dictionary", "hangul", "lost_kinds", "lost", F.round("lost_share", 9).alias("lost_share"), top.alias("top"))
+
+
+@query("""SELECT source, n, CAST(row_number() OVER (ORDER BY n DESC, source) AS INT) AS rank FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 3)""")
+def q90_label_histogram(t, spark):
+    """The three most frequent sources of documents."""
+    return scoring.histogram(t("documents"), "source", 3)
+
+
+_PHONES = r"regexp_replace({}, '\b(0[0-9]{{1,2}})[ .]([0-9]{{3,4}})[ .]([0-9]{{4}})\b', '\1-\2-\3', 'g')".format(_DIGITS)
+
+
+@query(f"""WITH d AS (SELECT l_orderkey, l_linenumber, translate(CAST(l_partkey * 10007 + l_suppkey AS VARCHAR), '0158', 'OlSB') || '.' || CAST(l_orderkey AS VARCHAR) || ' × 02 123 4567' AS y FROM lineitem), f AS (SELECT l_orderkey, l_linenumber, replace(y, '×', 'x') AS x FROM d)
+  SELECT l_orderkey, l_linenumber, {_PHONES} AS fixed FROM f""")
+def q91_rules_composed(t, spark):
+    """All repair rules in their order."""
+    number = F.translate((F.col("l_partkey") * 10007 + F.col("l_suppkey")).cast("string"), "0158", "OlSB")
+    return t("lineitem").select("l_orderkey", "l_linenumber", text.apply_rules(F.concat(number, F.lit("."), F.col("l_orderkey").cast("string"), F.lit(" × 02 123 4567"))).alias("fixed"))
+
+
 @query("""WITH s AS (SELECT doc_id, list_reduce(list_prepend('', string_split(text, chr(10))), lambda a, l:
     CASE WHEN string_split(a, chr(1))[-1] <> '' AND length(string_split(a, chr(1))[-1]) + length(l) > 400 THEN a || chr(1) || l
          WHEN string_split(a, chr(1))[-1] = '' THEN a || l ELSE a || chr(10) || l END) AS x FROM documents),
@@ -130,12 +159,20 @@ def q60_line_dedupe(t, spark):
     return per_doc.groupBy("line").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs")).where("n > 1").select(F.md5("line").alias("line"), "n", "docs")
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(html, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+') THEN 'contact' WHEN contains(html, '<table') THEN 'table'
-  WHEN len(regexp_extract_all(html, '<li')) >= 10 THEN 'list' ELSE 'document' END AS type FROM pages""")
-def q46_doc_classifier(t, spark):
-    h = F.col("html")
-    rules = F.when(h.rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+"), "contact").when(F.contains(h, F.lit("<table")), "table")
-    return t("pages").select("page_id", rules.when(F.size(F.regexp_extract_all(h, F.lit("<li"), F.lit(0))) >= 10, "list").otherwise("document").alias("type"))
+@query(r"""WITH x AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN '전자 세금 계산서' WHEN 1 THEN '공급자 공급 받는자' WHEN 2 THEN '합 계 10 승인번호' WHEN 3 THEN '합계' ELSE '' END || chr(10) || html AS text FROM pages),
+  l AS (SELECT page_id, text, regexp_replace(text, '\s+', '', 'g') AS flat, string_split(text, chr(10)) AS ls FROM x),
+  n AS (SELECT *, list_transform(ls, lambda x: len(string_split(x, ' '))) AS ns FROM l)
+  SELECT page_id, CASE WHEN contains(flat, '세금계산서') OR (contains(flat, '공급자') AND contains(flat, '공급받는자')) THEN 'invoice' WHEN contains(flat, '합계') AND regexp_matches(flat, '거래일시|영수증|부가세|승인번호') THEN 'receipt'
+    WHEN (regexp_matches(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+') OR regexp_matches(text, '0[0-9]{1,2}\s?[-–.)]\s?[0-9]{3,4}\s?[-–.]\s?[0-9]{4}')) AND len(ls) <= 12 AND page_id % 2 = 0 THEN 'card'
+    WHEN len(list_filter(ns, lambda n: n >= 3)) >= 3 AND list_sum(list_filter(ns, lambda n: n >= 3)) >= 0.6 * len(ls) THEN 'table' ELSE 'document' END AS type FROM n""")
+def q46_document_type(t, spark):
+    """Types of pages by rules; some pages begin with words of an invoice or a receipt, half have the shape of a card."""
+    k = F.col("page_id")
+    word = F.when(k % 7 == 0, "전자 세금 계산서").when(k % 7 == 1, "공급자 공급 받는자").when(k % 7 == 2, "합 계 10 승인번호").when(k % 7 == 3, "합계").otherwise("")
+    p = t("pages").select("page_id", F.concat(word, F.lit("\n"), "html").alias("text")).withColumn("lines", F.split("text", "\n"))
+    sizes = F.transform("lines", lambda x: F.size(F.split(x, " ")))
+    kind = routing.document_type(F.col("text"), F.size("lines"), F.when(k % 2 == 0, 1.6).otherwise(1.0), F.lit(1.0), sizes)
+    return p.select("page_id", kind["type"].alias("type"))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('# ' || text || ' **bold** <b>' || lang || '</b> ![i](u)', '!\[[^\]]*\]\([^)]*\)', '', 'g'), '^#{1,6}\s+', '', 'gm'), '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '<[^>]+>', '', 'g')) AS plain FROM documents""")
@@ -181,9 +218,9 @@ def q54_first_n_per_group(t, spark):
     return sampling.first_n_per_group(t("documents").select("lang", "doc_id", "source"), 5, "lang", "doc_id")
 
 
-@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) WHERE k % 3 = 1""")
+@query("""SELECT doc_id, lang, md5(text) AS text FROM (SELECT doc_id, lang, text, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) WHERE k % 3 = 1""")
 def q64_every_kth(t, spark):
-    return sampling.every_kth(t("documents").select("doc_id", "lang"), 3, 1, "doc_id")
+    return sampling.every_kth(t("documents"), 3, 1, "doc_id").select("doc_id", "lang", F.md5("text").alias("text"))
 
 
 @query("""SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")

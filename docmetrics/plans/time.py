@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..shared import scratch
 from ..streaming import service, windows
 from .registry import big, query, r6
 
@@ -67,11 +65,10 @@ def qx17_stream_tumbling(t, spark):
     pattern = "events.parquet" if source.rsplit("/", 1)[1] != "events.parquet" else "*.parquet"
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", service.QUEUE).option("pathGlobFilter", pattern).parquet(source)
     w = windows.tumbling(stream.withColumn("ts", service.utc(F.col("ts"))), "1 day", ["event_type"])
-    name = f"w{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docmetrics-")
-    run = w.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    folder = scratch(spark, "windows")
+    last = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    w.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events GROUP BY 1""")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from .shared import write_shared
+
 #: Settings that hold at any size; sizes of partitions stay with the caller.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,23 +27,6 @@ def get_session(app: str = "docmetrics", master: str | None = None, **settings:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
-    """Writes a small file where driver and executors can read it (``spark.checkpoint.dir``); returns its path.
-
-    Where the setting is missing (one machine, as in tests) a temporary folder takes its place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docmetrics-")
-    path = f"{folder.rstrip('/')}/docmetrics/{name}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
-    try:
-        for at in range(0, len(data), 1 << 20):
-            out.write(bytearray(data[at : at + (1 << 20)]))
-    finally:
-        out.close()
-    return path
-
-
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once per application, so that Python workers can import it anywhere."""
     context = spark.sparkContext

@@ -27,6 +27,23 @@ def load_samples(spark: SparkSession, manifest: str, truth_folder: str, categori
     return read_manifest(spark, manifest, categories).join(gt, "id")
 
 
+def originals(docs: DataFrame, source: str = "rendered") -> DataFrame:
+    """Documents as they were made, without degraded copies."""
+    return docs.where(F.col("source") == source)
+
+
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, path, size, content) of the images of a folder; decoding is the recogniser's."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png,webp,tif,tiff,bmp}").load(folder)
+    return raw.select(file_stem(F.col("path")).alias("id"), "path", F.col("length").alias("size"), "content")
+
+
+def read_page_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(document, page, id, text) of truth files that list a document's pages: {"name": ..., "docs": [id, ...], "pages": [text, ...]}."""
+    raw = spark.read.schema("name string, docs array<string>, pages array<string>").option("multiLine", True).json(path)
+    return raw.select(F.col("name").alias("document"), F.posexplode(F.arrays_zip("docs", "pages")).alias("page", "p")).select("document", "page", F.col("p.docs").alias("id"), F.col("p.pages").alias("text"))
+
+
 def build_manifest(truth: DataFrame) -> DataFrame:
     """Manifest of truth documents: characters without line breaks, lines; sorted by id."""
     return truth.select(
@@ -79,6 +96,12 @@ def missing_from_cache(docs: DataFrame, cache: DataFrame, key: str = "id") -> Da
     return docs.join(cache.select(key), key, "left_anti")
 
 
+def extend_cache(cache: DataFrame, made: DataFrame, path: str) -> DataFrame:
+    """Appends what was made for missing keys to the cache at ``path``; returns the whole cache as read back."""
+    made.select(*cache.columns).write.mode("append").parquet(path)
+    return cache.sparkSession.read.schema(cache.schema).parquet(path)
+
+
 @F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """Bytes as UTF-8 (byte-order mark dropped) or else CP949; null where neither fits."""

@@ -12,6 +12,7 @@ QUEUE = 32
 MAX_BYTES = 20 * 2**20
 MAX_PAGES = 20
 TTL_SECONDS = 3600
+RETRY_AFTER = 5
 
 
 def utc(ts: Column) -> Column:
@@ -37,6 +38,19 @@ def validation(size: Column, pages: Column, kind: Column, mode: Column, readable
     )
 
 
+def admission(place: Column, waiting: Column | int = 0, queue: int = QUEUE) -> Column:
+    """Struct (status, retry_after) of a request by its place, from 0, among those that arrive together: beyond a full queue it is refused with 503 and told when to come back."""
+    waiting = F.lit(waiting) if isinstance(waiting, int) else waiting
+    full = place + waiting >= queue
+    return F.struct(F.when(full, 503).otherwise(200).alias("status"), F.when(full, RETRY_AFTER).alias("retry_after"))
+
+
+def job_times(jobs: DataFrame, queued: str = "queued", started: str = "started", done: str = "done") -> DataFrame:
+    """Jobs with their wait in the queue and their time in work, in milliseconds."""
+    ms = lambda a, b: F.round((F.unix_micros(F.col(b)) - F.unix_micros(F.col(a))) / 1000).cast("bigint")
+    return jobs.withColumns({"queue_wait_ms": ms(queued, started), "elapsed_ms": ms(started, done)})
+
+
 def split_valid(requests: DataFrame, status: Column) -> tuple[DataFrame, DataFrame]:
     """Requests to work on, and refused ones with their status."""
     marked = requests.withColumn("status", status)
@@ -64,8 +78,9 @@ def run_jobs(requests: DataFrame, work: Callable[[DataFrame], DataFrame], sink:
 
 
 def round_robin(df: DataFrame, servers: int) -> DataFrame:
-    """Rows with the number of a server, dealt evenly within partitions without a shuffle."""
-    return df.withColumn("server", F.pmod(F.monotonically_increasing_id(), F.lit(servers)))
+    """Rows with the number of a server, dealt evenly within partitions without a shuffle; each partition begins at another server."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return df.withColumn("server", F.pmod(place + F.spark_partition_id(), F.lit(servers)))
 
 
 def progress(query: StreamingQuery) -> dict:

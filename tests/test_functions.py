@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docmetrics.functions import boxes, metrics, text
-from docmetrics.operators import extraction, retrieval, routing, rows, scoring, tables
+from docmetrics.operators import documents, extraction, retrieval, routing, rows, scoring, tables
 
 
 def one(spark, column, **values):
@@ -168,3 +168,106 @@ def test_document_types(spark):
     assert kind("a@b.kr", 5, 180, 100) == "card"
     assert kind("x", 10, 100, 100, (3, 3, 3, 1)) == "table"
     assert kind("x") == "document"
+
+
+def test_small_functions(spark):
+    assert one(spark, text.options(C("a")), a="x=1,y=2") == {"x": "1", "y": "2"}
+    assert one(spark, text.report_number(C("a")), a=0.12345) == "0.123" and one(spark, text.report_number(F.lit(None).cast("double"))) == "-"
+    assert one(spark, text.unknown_answer(C("a")), a="답은 모름") is True and one(spark, text.unknown_answer(F.lit(None).cast("string"))) is False
+    assert one(spark, text.squash_amount(C("a")), a="1,234 원") == "1234"
+    values = spark.range(10).agg(scoring.nearest_rank(C("id"), 0.9).alias("x"), scoring.nearest_rank(F.when(C("id") < 0, C("id")), 0.9).alias("none")).first()
+    assert tuple(values) == (9, None)
+    turned = F.struct(F.lit(180.0).alias("rotate_deg"), F.lit(None).cast("string").alias("shadow"))
+    assert one(spark, boxes.rotation_kind(turned)) == "flipped"
+    kinds = [(2.0, None), (-30.0, None), (None, "soft"), (None, None)]
+    made = [F.struct(F.lit(d).cast("double").alias("rotate_deg"), F.lit(s).cast("string").alias("shadow")) for d, s in kinds]
+    assert [one(spark, boxes.rotation_kind(m)) for m in made] == ["small rotation", "large rotation", "perspective and shadow", "perspective"]
+    square = F.array(*(F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (2, 0))))
+    assert one(spark, boxes.projective(square, [2, 0, 1, 0, 2, 1, 0.5, 0, 1])) == [[1.0, 1.0], [2.5, 0.5]]
+    assert one(spark, documents.table_lines(F.struct(F.array(F.lit("h")).alias("header"), F.array(F.array(F.lit("a"), F.lit("b"))).alias("rows")))) == ["h", "a", "b"]
+
+
+def test_questions_and_cards(spark):
+    d = F.struct(*(F.lit(v).cast("string").alias(k) for k, v in {"company": "acme", "name": "kim", "dept": None, "title": "x", "tel": "02", "mobile": None, "email": "a@b", "address": None}.items()))
+    card = one(spark, extraction.flatten_card(d))
+    assert [(r["name"], r["value"]) for r in card] == [("company", "acme"), ("name", "kim"), ("dept", None), ("title", "x"), ("tel", "02"), ("mobile", None), ("email", "a@b"), ("address", None)]
+    made = one(spark, extraction.questions(F.lit("card"), {"card": [("who?", "name"), ("where?", "address")], "other": [("what?", "title")]}, d))
+    assert [(r["question"], r["answer"]) for r in made] == [("who?", "kim")]
+    rows_ = spark.createDataFrame([("a", 1, "kept"), ("a", 2, "length"), ("a", 3, "kept"), ("a", 4, "kept"), ("b", 1, "kept")], "id string, no int, reason string")
+    assert sorted((r["id"], r["no"]) for r in extraction.first_per_document(rows_).collect()) == [("a", 1), ("a", 3), ("b", 1)]
+    invoice = extraction.flatten_invoice(F.from_json(F.lit('{"supplier": {"biz_no": "1"}, "items": [{"name": "n", "qty": 2}]}'), "supplier struct<biz_no:string,name:string,ceo:string>, buyer struct<biz_no:string,name:string,ceo:string>, date string, supply_total bigint, tax_total bigint, total bigint, items array<struct<name:string,qty:bigint,price:bigint,supply:bigint,tax:bigint>>"))
+    got = {r["name"]: r["value"] for r in one(spark, invoice)}
+    assert got["supplier.biz_no"] == "1" and got["items[0].qty"] == "2" and got["items[0].tax"] is None and len(got) == 15
+
+
+def test_receipts_are_repaired(spark):
+    box = lambda x, y: F.struct(*(F.lit(float(v)).alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), (x, y, x + 50, y + 10), strict=True)))
+    lines = [("가게", 0, 0), ("123-45-67891", 0, 20), ("02 123 4567", 0, 40), ("2026-01-02 10:30", 0, 60), ("빵 x 2", 0, 80), ("1,0O0원", 100, 82), ("합 계", 0, 100), ("1,OO0", 100, 101)]
+    arr = F.array(*(F.struct(F.lit(t).alias("text"), box(x, y).alias("box")) for t, x, y in lines))
+    r = one(spark, extraction.receipt_fields(arr))
+    assert (r["store"], r["biz_no"], r["tel"], r["date"]) == ("가게", "123-45-67891", "02-123-4567", "2026-01-02 10:30")
+    assert [(i["name"], i["qty"], i["amount"]) for i in r["items"]] == [("빵", 2, 1000)]
+    assert one(spark, extraction.receipt_fields(arr, repair=False))["tel"] is None
+
+
+def naive_tree_distance(a, b):
+    """Ordered tree edit distance by the plain recursion over forests."""
+    from functools import lru_cache
+
+    def freeze(t):
+        return (t.tag, t.spans, t.content, tuple(map(freeze, t.children)))
+
+    def cost(x, y):
+        return tables._rename(tables.Tree(x[0], x[1], x[2]), tables.Tree(y[0], y[1], y[2]))
+
+    @lru_cache(maxsize=None)
+    def distance(f, g):
+        if not f and not g:
+            return 0.0
+        options = []
+        if f:
+            options.append(distance(f[:-1] + f[-1][3], g) + 1)
+        if g:
+            options.append(distance(f, g[:-1] + g[-1][3]) + 1)
+        if f and g:
+            options.append(distance(f[:-1], g[:-1]) + distance(f[-1][3], g[-1][3]) + cost(f[-1], g[-1]))
+        return min(options)
+
+    return distance((freeze(a),), (freeze(b),))
+
+
+def test_tree_distance_against_recursion():
+    import random
+
+    r = random.Random(5)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(r.randrange(3))] if depth else []
+        return tables.Tree(r.choice(("tr", "td", "table")), (1, r.randint(1, 2)), r.choice(("", "ab", "ac")), kids)
+
+    for _ in range(150):
+        a, b = tree(2), tree(2)
+        assert tables.tree_distance(a, b) == pytest.approx(naive_tree_distance(a, b))
+    inner = "<table><tr><td><p>a</p></td></tr></table>"
+    assert tables.table_similarity(inner, inner.replace("</tr>", "<td><p>b</p></td></tr>")) == pytest.approx(0.8)
+
+
+def test_coverage_and_histograms(spark):
+    texts = spark.createDataFrame([("가나 a",), ("가가b",), (None,)], "text string")
+    known = spark.createDataFrame([("가",), ("a",), ("a",)], "ch string")
+    r = scoring.dictionary_coverage(texts, known, 1).first()
+    assert (r["kinds"], r["characters"], r["dictionary"], r["hangul"], r["lost_kinds"], r["lost"], r["lost_share"]) == (4, 6, 2, 1, 2, 2, pytest.approx(1 / 3))
+    assert [(t["n"], t["ch"]) for t in r["top"]] == [(1, "b")]
+    labels = spark.createDataFrame([("x",), ("y",), ("x",), ("z",)], "label string")
+    assert [tuple(t) for t in scoring.histogram(labels, "label").collect()] == [("x", 2, 1), ("y", 1, 2), ("z", 1, 3)]
+    m = spark.createDataFrame([("f", ["a", "b"], ["b", "c"]), ("f", ["a"], ["a"])], "name string, t array<string>, p array<string>")
+    hits = scoring.field_hits(m.select("name", scoring.set_match(C("t"), C("p")).alias("match"))).first()
+    assert (hits["hit"], hits["want"], hits["got"], hits["precision"], hits["recall"]) == (2, 3, 3, pytest.approx(2 / 3), pytest.approx(2 / 3))
+    empty = spark.createDataFrame([], "g string, v double")
+    assert scoring.ranked_values(empty, ["g"], "v", {"m": scoring.LOWER}).collect() == []
+    some = spark.createDataFrame([(None, 1.0), (None, 4.0), ("a", None)], "g string, v double")
+    med = scoring.with_median(some.groupBy("g").count(), some, ["g"], "v", "m")
+    assert {(x["g"], x["m"]) for x in med.collect()} == {(None, 2.5), ("a", None)}
+    with pytest.raises(ValueError):
+        q = spark.range(5).select(C("id").alias("qid"), F.array(F.lit(1.0)).alias("qvec"))
+        retrieval.top_k(q, q.select(C("qid").alias("cid"), C("qvec").alias("cvec")), most=4)

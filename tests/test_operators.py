@@ -92,3 +92,107 @@ def test_service(spark, tmp_path):
     ok, refused = service.split_valid(spark.range(10).withColumn("size", F.col("id") % 2), F.when(F.col("size") == 0, 400).otherwise(200))
     assert ok.count() == refused.count() == 5
     assert service.round_robin(spark.range(9, numPartitions=1), 3).groupBy("server").count().where("count <> 3").count() == 0
+
+
+def test_every_kth_of_wide_rows(spark):
+    """Ties and nulls in the order column, wide rows, many partitions, adaptive execution on."""
+    df = spark.range(20_000, numPartitions=32).select(F.when(F.col("id") % 50 != 0, F.col("id") * 37 % 701).alias("k"), F.col("id").alias("v"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("text"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        parts = [sampling.every_kth(df, 3, shard, "k").select("k", "v", F.md5("text").alias("m")).collect() for shard in range(3)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [len(p) for p in parts] == [6667, 6667, 6666]
+    assert sorted(r["v"] for p in parts for r in p) == list(range(20_000))
+    ordered = sorted(((r["k"] is not None, r["k"]) for r in df.select("k").collect()))
+    for shard, part in enumerate(parts):
+        assert sorted((r["k"] is not None, r["k"]) for r in part) == ordered[shard::3]
+
+
+def test_first_valid(spark):
+    df = spark.range(50, numPartitions=5)
+    assert [r["id"] for r in sampling.first_valid(df, 4, F.when(F.col("id") > 9, F.col("id") % 3 == 0)).collect()] == [12, 15, 18, 21]
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([("가", 1), ("b|c", 2)], "name string, n int").coalesce(1)
+    sinks.write_csv(df, str(tmp_path / "csv"), bom=True)
+    raw = next((tmp_path / "csv").glob("*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfname,n") and "가,1" in raw.decode("utf-8-sig")
+    grid = spark.sql("select array(array('h', 'i'), array('a|b', null)) g, array(array('x')) one, cast(array() as array<array<string>>) none")
+    got = grid.select(*(sinks.grid_markdown(F.col(c)).alias(c) for c in grid.columns)).first()
+    assert tuple(got) == ("| h | i |\n|---|---|\n| a\\|b |  |", "| x |\n|---|", "")
+    runs = spark.createDataFrame([("e", "d", "1", "x", [], 1.0, False), ("e", "d", "2", "y", [], 3.0, False), ("e", "d", "3", "", [], 9.0, True)], "engine string, dataset string, id string, text string, tables array<string>, time double, error boolean")
+    sinks.write_run(runs, str(tmp_path / "run"), {"lang": "ko"})
+    meta = spark.read.json(str(tmp_path / "run" / "runs")).first()
+    assert (meta["n"], meta["errors"], meta["time_median"], meta["time_mean"], meta["opts"]["lang"]) == (3, 1, 2.0, 2.0, "ko")
+    assert spark.read.parquet(str(tmp_path / "run" / "results")).count() == 3
+    report = spark.createDataFrame([("b", 1), (None, 3), ("a", 2)], "name string, n int")
+    assert [r["n"] for r in sinks.ordered_report(report, "name").collect()] == [2, 1, 3]
+
+
+def test_pages_as_json_and_markdown(spark):
+    page = spark.sql("select named_struct('text', 'a', 'lines', array('x')) p, 'f.pdf' f, 2 n, array(named_struct('name', 'total', 'value', '5')) fields")
+    row = page.select(sinks.page_json(F.col("p")).alias("full"), sinks.page_json(F.col("p"), False).alias("short"), sinks.page_markdown(F.col("f"), F.col("n"), F.lit("receipt"), F.lit("vl"), F.lit(0), F.lit(" body "), F.col("fields")).alias("md")).first()
+    assert json.loads(row["full"]) == {"text": "a", "lines": ["x"]} and json.loads(row["short"]) == {"text": "a"}
+    assert row["md"] == "<!-- page 2 · file f.pdf · type receipt · engine vl · warnings 0 -->\nbody\n\n| field | value |\n|---|---|\n| total | 5 |"
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "p1.png").write_bytes(b"abc")
+    (tmp_path / "img" / "note.txt").write_bytes(b"no")
+    assert [(r["id"], r["size"], bytes(r["content"])) for r in corpus.read_images(spark, str(tmp_path / "img")).collect()] == [("p1", 3, b"abc")]
+    (tmp_path / "t.json").write_text(json.dumps({"name": "d", "docs": ["a", "b"], "pages": ["x", "y"]}, indent=1))
+    assert [tuple(r) for r in corpus.read_page_truth(spark, str(tmp_path / "t.json")).orderBy("page").collect()] == [("d", 0, "a", "x"), ("d", 1, "b", "y")]
+    docs = spark.createDataFrame([("1", "rendered"), ("2", "photo")], "id string, source string")
+    assert [r["id"] for r in corpus.originals(docs).collect()] == ["1"]
+    cache = spark.createDataFrame([("1", "rendered")], docs.schema)
+    path = str(tmp_path / "cache")
+    cache.write.parquet(path)
+    whole = corpus.extend_cache(cache, corpus.missing_from_cache(docs, cache), path)
+    assert sorted(r["id"] for r in whole.collect()) == ["1", "2"] and corpus.missing_from_cache(docs, whole).count() == 0
+    (tmp_path / "stages.csv").write_text("stage,calls,ms\ndetect,2,30\nnoise\nread,4,10,odd\nread,4,10\n")
+    times = {r["stage"]: (r["calls"], r["share"]) for r in corpus.read_stage_times(spark, str(tmp_path / "stages.csv"), ["detect", "read"]).collect()}
+    assert times == {"detect": (2.0, 0.75), "read": (4.0, 0.25)}
+
+
+def test_admission_and_times(spark):
+    status = spark.range(5).select(service.admission(F.col("id"), 30).alias("a")).select("a.*").collect()
+    assert [tuple(r) for r in status] == [(200, None), (200, None), (503, 5), (503, 5), (503, 5)]
+    job = spark.sql("select timestamp '2026-01-01 00:00:00' queued, timestamp '2026-01-01 00:00:01.5' started, timestamp '2026-01-01 00:00:03' done")
+    assert tuple(service.job_times(job).select("queue_wait_ms", "elapsed_ms").first()) == (1500, 1500)
+    dealt = service.round_robin(spark.range(8, numPartitions=8), 4).groupBy("server").count().collect()
+    assert sorted(r["count"] for r in dealt) == [2, 2, 2, 2]
+
+
+def test_embedding_and_sweep(spark):
+    docs = spark.createDataFrame([(str(i), f"text number {i}") for i in range(20)], "id string, text string")
+    embed = recognize.embedder(lambda: recognize.hashed_trigrams(16), 4)
+    got = docs.select("id", "text", embed("text").alias("v")).collect()
+    want = recognize.hashed_trigrams(16)([r["text"] for r in got])
+    assert all(abs(a - b) < 1e-6 for r, w in zip(got, want, strict=True) for a, b in zip(r["v"], w, strict=True))
+    sweep = {r["workers"]: (r["images"], r["images_per_s"] > 0) for r in recognize.concurrency_sweep(docs, recognize.SimulatedRecognizer, (1, 3)).collect()}
+    assert sweep == {1: (20, True), 3: (20, True)}
+    warmed = []
+
+    class Slow:
+        def read(self, doc):
+            warmed.append(doc["id"])
+            if doc["id"] == "warm":
+                return "", []
+            return ",".join(warmed[:1]), []
+
+    assert {r["text"] for r in recognize.recognize(docs.limit(3).coalesce(1), Slow, {"id": "warm", "text": ""}).collect()} == {"warm"}
+
+
+def test_events_without_repeats(spark, tmp_path):
+    from docmetrics.streaming import windows
+
+    src = str(tmp_path / "in")
+    spark.sql("select id % 3 k, timestamp '2026-01-01 00:00:00' ts from range(9)").write.parquet(src)
+    stream = spark.readStream.schema("k long, ts timestamp").parquet(src)
+    windows.first_events(stream, ["k"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
