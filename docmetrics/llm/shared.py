@@ -2,64 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the setting is missing (tests on one machine) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            folder = jdir.get()
-        else:
-            folder = "file://" + tempfile.mkdtemp(prefix="docmetrics-")
-            spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/docmetrics"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Spark's own setting that drops a query's shuffle files once it has ended.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here and survives lost executors.
-
-    Shuffle files of the finished write are dropped at once, so disk holds one step's shuffles at a time.
-    """
-    path = scratch(df.sparkSession, name)
-    conf = df.sparkSession.conf
-    before = conf.get(CLEAN_UP, "false")
-    conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.set(CLEAN_UP, before)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._docmetrics_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by ``materialize`` that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "_docmetrics_path", None)
-        if path:
-            jvm = table.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+from ..shared import discard, materialize, scratch, shared_folder  # noqa: F401
 
 
 def partitions(spark: SparkSession) -> int:

@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import write_shared
+from ..shared import write_shared
 
 MAGIC = b"DGSTARR1"
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
