@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..shared import write_shared
 
-MAGIC = b"DGSTARR1"
+MAGIC = b"DGSTARR2"
+#: Most bytes of rules in one array; also what each executor maps at most, about.
+MOST_BYTES = 2 << 30
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -31,16 +33,25 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 def digest_array(rules: Iterable[tuple[str, str, str]]) -> bytes:
     """Rules (host, path, verdict) as a digest array.
 
-    Layout, little-endian: magic, number of keys, number of path lengths, the path lengths that occur
-    (u64), sorted keys (u64), offsets into the strings (u64, one more than keys), strings
-    ``verdict \\t host path``. Equal rules collapse; of contradicting ones the last counts.
+    Layout, little-endian: magic, number of keys, number of path lengths, most labels and most bytes of a host,
+    the path lengths that occur (u64), sorted keys (u64), offsets into the strings (u64, one more
+    than keys), strings ``verdict \\t host path``. Equal rules collapse; of contradicting ones the last counts.
+    The array is built in the driver's memory: more than ``MOST_BYTES`` of rules are refused.
     """
-    last = {host.translate(_UPPER) + path: (verdict, path) for host, path, verdict in rules}
+    last: dict[str, tuple[str, str]] = {}
+    hosts, held = {""}, 0
+    for host, path, verdict in rules:
+        host = host.translate(_UPPER)
+        held += len(host) + len(path) + 64
+        if held > MOST_BYTES:
+            raise ValueError(f"rules of more than {MOST_BYTES} bytes: build several arrays")
+        last[host + path] = (verdict, path)
+        hosts.add(host)
     entries = sorted((xxhash.xxh64_intdigest(key.encode()), key.encode(), v[0].encode()) for key, v in last.items())
     lengths = sorted({len(p.encode()) for _, p in last.values()})
     strings = [v + b"\t" + key for _, key, v in entries]
     offsets = np.cumsum([0, *map(len, strings)])
-    head = MAGIC + struct.pack("<QQ", len(entries), len(lengths))
+    head = MAGIC + struct.pack("<QQQQ", len(entries), len(lengths), 1 + max(h.count(".") for h in hosts), max(len(h.encode()) for h in hosts))
     return head + np.array(lengths, "<u8").tobytes() + np.array([e[0] for e in entries], "<u8").tobytes() + offsets.astype("<u8").tobytes() + b"".join(strings)
 
 
@@ -51,8 +62,8 @@ class DigestArray:
         self.raw = np.memmap(path, np.uint8, "r")
         if self.raw[:8].tobytes() != MAGIC:
             raise ValueError(f"{path} is not a digest array")
-        n, m = struct.unpack("<QQ", self.raw[8:24].tobytes())
-        at = 24
+        n, m, self.labels, self.host_bytes = struct.unpack("<QQQQ", self.raw[8:40].tobytes())
+        at = 40
         self.lengths = self.raw[at : at + 8 * m].view("<u8").tolist()
         at += 8 * m
         self.keys = self.raw[at : at + 8 * n].view("<u8")
@@ -85,16 +96,23 @@ def _opened(path: str) -> DigestArray:
     return DigestArray(path)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Keys that could hold a rule for the url: the host and its parent domains, with path prefixes of stored lengths."""
-    raw, out = path.encode("utf-8", "surrogatepass"), []
-    domain = host
-    while True:
-        base = domain.encode("utf-8", "surrogatepass")
-        out += [base + raw[:n] for n in lengths if n <= len(raw)]
-        _, dot, domain = domain.partition(".")
-        if not dot:
-            return out
+def candidates(host: str, path: str, lengths: list[int], labels: int, host_bytes: int) -> list[bytes]:
+    """Keys that could hold a rule for the url: the host and its parent domains, with path prefixes of stored lengths.
+
+    Only parents with at most ``labels`` labels and ``host_bytes`` bytes, as no stored host has more: a host of very many
+    labels so gives no more keys than any other.
+    """
+    raw, domains = path[: max(lengths, default=0)].encode("utf-8", "surrogatepass"), []
+    cut = len(host)
+    for _ in range(labels):
+        cut = host.rfind(".", 0, cut)
+        domain = host[cut + 1 :].encode("utf-8", "surrogatepass") if len(host) - cut - 1 <= host_bytes else None
+        if domain is None or len(domain) > host_bytes:
+            break
+        domains.append(domain)
+        if cut < 0:
+            break
+    return [d + raw[:n] for d in domains for n in lengths if n <= len(raw)]
 
 
 def _judge(batches: Iterator[pa.RecordBatch], name: str, default: str) -> Iterator[pa.RecordBatch]:
@@ -104,7 +122,7 @@ def _judge(batches: Iterator[pa.RecordBatch], name: str, default: str) -> Iterat
         keys, of = [], []
         for i, (host, path) in enumerate(parts):
             if host or path:
-                own = candidates(host, path, index.lengths)
+                own = candidates(host, path, index.lengths, index.labels, index.host_bytes)
                 keys += own
                 of += [i] * len(own)
         best: dict[int, tuple[int, str, str]] = {}
@@ -133,6 +151,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col:
     mapped into memory and probed by binary search over sorted 64-bit digests; a hit is confirmed by
     the stored string, so a collision of digests cannot give a verdict. The rows never shuffle.
 
+    A host of very many labels is probed by its last ones only, as many as the longest stored host has.
     A null url, or one without ``://``, has empty host and path, no rule and the default verdict. Ids may be
     null or repeat; other columns are ignored; an empty table gives an empty result.
 
