@@ -117,31 +117,73 @@ def banding(percent: int, hashes: int = 192, miss: float = 1e-6) -> tuple[int, i
     return hashes, 1
 
 
-SIGNED = "id long, n_shingles long, set_key binary, keys array<long>"
+SIGNED = "id long, text_key long, n_shingles long, set_key binary, sig binary, keys array<long>"
+
+
+def _low_bytes(sig: np.ndarray) -> bytes:
+    return (sig & np.uint32(0xFF)).astype(np.uint8).tobytes()
 
 
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """(id, key of the text, text) to the size and key of its set, its 8-bit signature and its band keys."""
     words = Words()
     for batch in batches:
-        ids, n, sets, keys = batch.column(0), [], [], []
-        for text in batch.column(1):
+        n, sets, sigs, keys = [], [], [], []
+        for text in batch.column(2):
             h = shingles(text.as_py(), words, size)
             n.append(len(h))
-            sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-            keys.append(band_keys(signature(h, bands * rows), bands, rows) if len(h) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "keys"])
+            if not len(h):
+                for out in (sets, sigs, keys):
+                    out.append(None)
+                continue
+            full = signature(h, bands * rows)
+            sets.append(xxhash.xxh3_128_digest(h.tobytes()))
+            sigs.append(_low_bytes(full))
+            keys.append(band_keys(full, bands, rows))
+        arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "text_key", "n_shingles", "set_key", "sig", "keys"])
+
 
+FULL = "node long, grp long, blocks int, sig binary, hashes binary"
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator[pa.RecordBatch]:
-    """(group, id, text) to (group, id, shingle set, 8-bit signature)."""
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(node, grp, blocks, sig, set_key, text) to the full set; texts of the id that have another set go."""
     words = Words()
     for batch in batches:
-        sets, sigs = [], []
-        for text in batch.column(2):
-            h = shingles(text.as_py(), words, size)
-            sets.append(h.tobytes())
-            sigs.append((signature(h, n) & np.uint32(0xFF)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["grp", "id", "hashes", "sig"])
+        own, sets = [], []
+        for want, text in zip(batch.column("set_key"), batch.column("text"), strict=True):
+            raw = shingles(text.as_py(), words, size).tobytes()
+            own.append(xxhash.xxh3_128_digest(raw) == want.as_py())
+            sets.append(raw)
+        columns = [batch.column(c) for c in ("node", "grp", "blocks", "sig")] + [pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "grp", "blocks", "sig", "hashes"]).filter(pa.array(own))
+
+
+def _signatures(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
+def survivors(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Positions of the rows of two arrays of signatures that no batch prunes: hashes are compared ``BATCH`` at a time, and pairs below the bound go."""
+    alive, got = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for at in range(0, a.shape[1], BATCH):
+        if not len(alive):
+            break
+        got = got + (a[alive, at : at + BATCH] == b[alive, at : at + BATCH]).sum(1)
+        if at + BATCH in least:
+            keep = got >= least[at + BATCH]
+            alive, got = alive[keep], got[keep]
+    return alive
+
+
+def _plausible(batches: Iterator[pa.RecordBatch], width: int, percent: int, miss: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, signatures of both) to (a, b, whether the pair survives)."""
+    least = least_matches(percent / 100, width, BATCH, miss)
+    for batch in batches:
+        ok = np.zeros(batch.num_rows, bool)
+        ok[survivors(_signatures(batch.column(2), width), _signatures(batch.column(3), width), least)] = True
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["a", "b", "ok"])
 
 
 class Forest:
@@ -165,60 +207,103 @@ class Forest:
         return True
 
 
-def similar_in_group(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray | None, percent: int, miss: float) -> list[tuple[int, int]]:
+def _units(unit: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each unit that has two or more."""
+    by = np.argsort(unit, kind="stable")
+    for rows in np.split(by, np.flatnonzero(np.diff(unit[by])) + 1):
+        if len(rows) > 1:
+            yield rows
+
+
+def _partners(i: int, late: np.ndarray) -> np.ndarray:
+    """Rows behind row i that it is compared with: all, or only late ones where it is not late itself."""
+    rest = np.arange(i + 1, len(late))
+    return rest if late[i] else rest[late[i + 1 :]]
+
+
+def _survive_together(table: pa.Table, width: int, percent: int, miss: float) -> pa.Table:
+    """Spanning pairs of the rows that survive each other's signatures in each unit, where one of the two is late."""
+    nodes, late = table.column("node").to_numpy(), table.column("late").to_numpy(zero_copy_only=False)
+    sigs = _signatures(table.column("sig"), width)
+    least = least_matches(percent / 100, width, BATCH, miss)
+    pairs: list[tuple[int, int]] = []
+    for rows in _units(table.column("unit").to_numpy()):
+        forest = Forest(len(rows))
+        for i in range(len(rows) - 1):
+            rest = _partners(i, late[rows])
+            one = np.broadcast_to(sigs[rows[i]], (len(rest), width))
+            for j in rest[survivors(sigs[rows[rest]], one, least)].tolist():
+                if forest.union(i, j):
+                    pairs.append((int(nodes[rows[i]]), int(nodes[rows[j]])))
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+
+def similar_in_group(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, late: np.ndarray, percent: int, miss: float) -> list[tuple[int, int]]:
     """Links (id, id) that span the classes of a group of candidates.
 
-    Every row is compared with all later ones of its group at once: first the sizes of the sets,
-    then batches of signature hashes with the Bayesian bounds, then, for survivors that are not yet
-    in one tree, the full sets. ``side``: only rows on different sides are compared.
+    Every row is compared with all later ones of its group at once (with late ones only where it is not late
+    itself): first the sizes of the sets, then batches of signature hashes with the Bayesian bounds, then, for survivors
+    that are not yet in one tree, the full sets.
     """
     order = np.argsort(ids, kind="stable")
-    ids, sigs, sets = ids[order], sigs[order], [sets[i] for i in order]
-    side = None if side is None else side[order]
-    n, width = len(ids), sigs.shape[1]
+    ids, sigs, sets, late = ids[order], sigs[order], [sets[i] for i in order], late[order]
     sizes = np.array([len(s) for s in sets])
-    least = least_matches(percent / 100, width, BATCH, miss)
-    forest, links = Forest(n), []
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        if side is not None:
-            rest = rest[side[i + 1 :] != side[i]]
+    least = least_matches(percent / 100, sigs.shape[1], BATCH, miss)
+    forest, links = Forest(len(ids)), []
+    for i in range(len(ids) - 1):
+        rest = _partners(i, late)
         small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         rest = rest[100 * small >= percent * large]
-        got = np.zeros(len(rest), np.int64)
-        for at in range(0, width, BATCH):
-            if not len(rest):
-                break
-            got = got + (sigs[rest, at : at + BATCH] == sigs[i, at : at + BATCH]).sum(1)
-            alive = got >= least[at + BATCH] if at + BATCH in least else np.ones(len(rest), bool)
-            rest, got = rest[alive], got[alive]
-        if not len(rest):
-            continue
-        for j in rest[np.argsort(-got, kind="stable")]:
-            if forest.find(i) == forest.find(int(j)):
+        rest = rest[survivors(sigs[rest], np.broadcast_to(sigs[i], (len(rest), sigs.shape[1])), least)]
+        for j in rest.tolist():
+            if forest.find(i) == forest.find(j):
                 continue
             a, b = sets[i], sets[j]
             both = len(np.intersect1d(a, b, assume_unique=True))
             if 100 * both >= percent * (len(a) + len(b) - both):
-                forest.union(i, int(j))
+                forest.union(i, j)
                 links.append((int(ids[i]), int(ids[j])))
     return links
 
 
-def _verify(table: pa.Table, percent: int, miss: float) -> pa.Table:
-    ids = table.column("id").to_numpy()
+def _verify(table: pa.Table, width: int, percent: int, miss: float) -> pa.Table:
+    ids, late = table.column("node").to_numpy(), table.column("late").to_numpy(zero_copy_only=False)
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
-    sigs = np.array([np.frombuffer(x.as_py(), np.uint8) for x in table.column("sig")])
-    units, home, other = (table.column(c).to_numpy() for c in ("unit", "home", "other"))
+    sigs = _signatures(table.column("sig"), width)
     links: list[tuple[int, int]] = []
-    by = np.argsort(units, kind="stable")
-    for rows in np.split(by, np.flatnonzero(np.diff(units[by])) + 1):
-        if len(rows) > 1:
-            side = home[rows] if other[rows[0]] else None
-            links += similar_in_group(ids[rows], [sets[r] for r in rows], sigs[rows], side, percent, miss)
+    for rows in _units(table.column("unit").to_numpy()):
+        links += similar_in_group(ids[rows], [sets[r] for r in rows], sigs[rows], late[rows], percent, miss)
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
+PAIRS = "a long, b long"
+
+
+def _n() -> F.Column:
+    return F.count(F.lit(1))
+
+
+def _dealt(df: DataFrame, rows: int, each: int = 500) -> DataFrame:
+    """Units dealt into groups of about ``each`` rows, of which several make a task."""
+    return df.withColumn("deal", F.pmod("unit", F.lit(max(1, rows // each + 1) * 8))).groupBy("deal")
+
+
+def _late_units(df: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (key, node, late, ...) in units in which every late row of a key meets every row of it.
+
+    Late rows and all rows are cut into blocks of about ``block`` rows, and a unit is a pair of blocks. Rows that are not late
+    travel once for each block of late ones, of which there are few.
+    """
+    count = materialize(df.groupBy(key).agg(_n().alias("_m"), F.count_if("late").alias("_r")).where("_r > 0 and _m > 1"), "counts")
+    sized = df.join(count.hint("merge"), key)
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    home, late_home = F.pmod(F.xxhash64("node"), blocks("_m")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "node"), blocks("_r")).cast("int")
+    sized = sized.withColumns({"_home": home, "_late_home": late_home})
+    as_any = F.transform(F.sequence(F.lit(0), blocks("_r") - 1), lambda r: F.xxhash64(key, r, "_home"))
+    as_late = F.when(F.col("late"), F.transform(F.sequence(F.lit(0), blocks("_m") - 1), lambda m: F.xxhash64(key, "_late_home", m))).otherwise(F.array().cast("array<bigint>"))
+    return sized.withColumn("unit", F.explode(F.array_union(as_any, as_late)))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -228,78 +313,134 @@ def near_duplicates(
     bands: int | None = None,
     rows: int | None = None,
     miss: float = 1e-7,
-    block: int = 1024,
+    block: int = 512,
 ) -> DataFrame:
     """Classes of documents whose word-shingle sets have a Jaccard similarity of ``percent``/100 or more.
 
     1. Every whole text becomes its set of distinct shingles and a signature of bands*rows MinHashes.
-    2. Documents with equal sets collapse to the one with the smallest id (a pre-aggregated group-by),
+    2. Documents with equal sets collapse to one with the smallest id (a pre-aggregated group-by),
        so copies of one text, however many, go on as one row.
-    3. Band keys that several sets share join documents to the smallest id of the band; connected
-       components of these stars are the candidate families. No pairs are made here.
-    4. Each family meets once, with its full sets: batches of signature hashes prune by posterior
-       bounds (a pair at the threshold is lost with a probability of about ``miss``), survivors that are
-       not in one class yet are verified on their full sets. Only links that join classes leave the
-       task. Families of more than ``block`` sets are cut into blocks and every two blocks meet, so no
-       task holds more than 2*block sets and no pair is skipped.
+    3. Band keys that several sets share join each to the smallest of the band. These pairs are pruned by their
+       signatures alone: batches of hashes against posterior bounds (a pair at the threshold is lost with a probability
+       of about ``miss``). In a band where a set does not survive with the smallest, that set meets all others of the band,
+       again by signatures. What survives makes the candidate families; chains of chance hits do not.
+    4. Full sets travel to the families only, once each: a family of more than ``block`` sets is cut into blocks, which
+       all hold its smallest set. Only links that join classes leave a task. Sets that are not in the class of the smallest
+       then meet all others of the family, block by block; no pair is skipped and no task holds more than about 2*block sets.
     5. Connected components of the links, spread to the collapsed copies.
 
     Without ``bands`` and ``rows``, 192 hashes are dealt so that a pair at the threshold misses all bands with a
     probability of at most 1e-6 (0.8: 38 bands of 5, 3e-7; 0.85: 32 bands of 6, 3e-7).
     Null and empty texts (or texts of white space only) have no shingles and link with nothing. Rows
-    that repeat an id with the same text are returned as often as they come. A null id is returned
+    that repeat an id with the same text are returned as often as they come. An id with several texts counts as a document for
+    each: every row has the component of its own text, which may be kept for one and not for the other. A null id is returned
     with component null and kept true. An empty table gives an empty result. Other columns are ignored.
 
     Returns (id_col, n_shingles, component_id, kept): the smallest id reachable by links, and whether
     it is the row's own.
     """
+    rows = _classes(docs, id_col, text_col, percent, shingle, bands, rows, miss, block)
+    return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, bands: int | None, rows: int | None, miss: float, block: int) -> DataFrame:
+    """(id, text_key, n_shingles, component_id, kept) of every row."""
     if not bands or not rows:
         bands, rows = banding(percent)
-    spark = docs.sparkSession
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = rows_in.mapInArrow(lambda it: _sign(it, bands, rows, shingle), SIGNED)
-    signed = materialize(signed, "minhash")
+    width = bands * rows
+    text_key = F.xxhash64(F.col(text_col))
+    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), text_key.alias("text_key"), F.col(text_col).alias("text"))
+    signed = materialize(rows_in.mapInArrow(lambda it: _sign(it, bands, rows, shingle), SIGNED), "minhash")
+
     sets = signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
     sets = materialize(sets, "sets")  # written first, so that the join can split a set that very many rows have
-    member = signed.select("id", "n_shingles", "set_key").join(sets.hint("merge"), "set_key", "left")
-    member = materialize(member.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
-
-    # band keys are explosions of narrow rows; copies of a set have one key each and collapse before the shuffle
-    keyed = signed.where("set_key is not null and id is not null").select("id", "keys")
-    keyed = keyed.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    least = materialize(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), "heads")
-    stars = keyed.join(least.hint("merge"), "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    families = connected_components(stars)
-    links = _links(spark, rows_in, families.select("id", F.col("component").alias("grp")), percent, shingle, bands * rows, miss, block)
-    discard(signed, sets, least, families)
+    # a set is known by its smallest id; where an id has several sets, the others are known by hashes of theirs
+    shared = sets.groupBy("rep").agg(_n().alias("_n"), F.min("set_key").alias("_first")).where("_n > 1").select("rep", "_first")
+    repeated = shared.limit(1).count() > 0
+    if repeated:
+        named = sets.join(shared, "rep", "left").select("set_key", "rep", F.when(F.col("_first") != F.col("set_key"), F.xxhash64("set_key")).otherwise(F.col("rep")).alias("node"))
+        sets = materialize(named, "sets")
+    else:
+        sets = sets.withColumn("node", F.col("rep"))
+    member = signed.select("id", "text_key", "n_shingles", "set_key").join(sets.hint("merge"), "set_key", "left")
+    member = materialize(member, "members")
+
+    own = member.where("id = rep").select("set_key", "node", "rep").distinct()
+    first = signed.where("set_key is not null").groupBy("set_key").agg(F.min("sig").alias("sig"), F.min("keys").alias("keys"))
+    nodes = materialize(own.join(first.hint("merge"), "set_key").select("node", "rep", "set_key", "sig", "keys"), "nodes")
+    candidates = _candidates(nodes, width, percent, miss, block)
+    families = connected_components(candidates).withColumnRenamed("component", "grp")
+    discard(candidates)
+    links = _links(rows_in, nodes, families, width, percent, shingle, miss, block)
     classes = connected_components(links)
-    discard(links)
-    out = member.join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _links(spark, rows_in: DataFrame, families: DataFrame, percent: int, shingle: int, width: int, miss: float, block: int) -> DataFrame:
+    discard(signed, links, families)
+    if repeated:  # the smallest id of a class, not its smallest node
+        least = classes.join(nodes.select(F.col("node").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("_least"))
+        classes = materialize(classes.join(least, "component").select("id", F.col("_least").alias("component")), "classes")
+    out = member.join(classes.withColumnRenamed("id", "node").hint("merge"), "node", "left")
+    component = F.coalesce("component", "rep", "id")
+    return out.select("id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _candidates(nodes: DataFrame, width: int, percent: int, miss: float, block: int) -> DataFrame:
+    """Pairs (a, b), written, whose components are the candidate families: band neighbours that survive by their signatures."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    least = materialize(keyed.groupBy("key").agg(F.min("node").alias("head"), _n().alias("n")).where("n > 1").select("key", "head"), "heads")
+    banded = materialize(keyed.join(least.hint("merge"), "key").select("key", "node", "head"), "banded")
+    sig = nodes.select("node", "sig")
+    stars = banded.where("node <> head").select("node", "head").distinct()
+    stars = stars.join(sig.hint("merge"), "node").join(sig.select(F.col("node").alias("head"), F.col("sig").alias("head_sig")).hint("merge"), "head")
+    judged = stars.select(F.col("node").alias("a"), F.col("head").alias("b"), "sig", "head_sig").mapInArrow(lambda it: _plausible(it, width, percent, miss), "a long, b long, ok boolean")
+    judged = materialize(judged, "judged")
+    discard(least)
+    # bands with a set that does not survive with the smallest
+    odd = judged.where("not ok").select(F.col("a").alias("node"), F.col("b").alias("head"), F.lit(True).alias("late"))
+    late = materialize(banded.join(odd.hint("merge"), ["node", "head"]).select("key", "node", "late"), "late")
+    open_keys = late.select("key").distinct()
+    rows = banded.select("key", "node").join(open_keys.hint("merge"), "key", "left_semi").join(late.hint("merge"), ["key", "node"], "left")
+    rows = materialize(rows.select("key", "node", F.coalesce("late", F.lit(False)).alias("late")), "open")
+    n = rows.count()
+    units = _late_units(rows, "key", block).select("unit", "node", "late").join(sig.hint("merge"), "node")
+    found = _dealt(units, n, 2000).applyInArrow(lambda t: _survive_together(t, width, percent, miss), PAIRS)
+    pairs = materialize(judged.where("ok").select("a", "b").unionByName(found).distinct(), "candidates")
+    discard(banded, judged, late, rows)
+    return pairs
+
+
+def _links(rows_in: DataFrame, nodes: DataFrame, families: DataFrame, width: int, percent: int, shingle: int, miss: float, block: int) -> DataFrame:
     """Verified links of the candidate families, written to the shared folder."""
-    sized = families.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    wanted = families.join(sized, "grp").select("id", "grp", "blocks")
-    # no broadcast, even where the candidates are few: the same plan and shuffle at every size
-    with_text = rows_in.join(wanted.hint("merge"), "id").select("grp", "id", "text").where("id is not null")
-    full = with_text.mapInArrow(lambda it: _sets(it, shingle, width), "grp long, id long, hashes binary, sig binary")
-    full = full.join(sized.select("grp", "blocks"), "grp")
-    home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-    dealt = full.withColumn("home", home).select("*", pairs)
-    low, high = F.least("home", "j"), F.greatest("home", "j")
-    dealt = dealt.select("id", "hashes", "sig", "home", F.xxhash64("grp", low, high).alias("unit"), (low != high).alias("other"))
     n = families.count()
-    deal = F.pmod("unit", F.lit(max(1, n // 500 + 1) * 8))
-    met = dealt.withColumn("deal", deal).groupBy("deal")
-    links = met.applyInArrow(lambda t: _verify(t, percent, miss), "a long, b long")
-    return materialize(links, "links")
+    sized = families.groupBy("grp").agg(_n().alias("_m")).select("grp", F.ceil(F.col("_m") / block).cast("int").alias("blocks"))
+    wanted = families.withColumnRenamed("id", "node").join(sized, "grp").join(nodes.select("node", "rep", "set_key", "sig").hint("merge"), "node")
+    # no broadcast, even where the candidates are few: the same plan and shuffle at every size
+    with_text = rows_in.join(wanted.hint("merge"), rows_in["id"] == wanted["rep"]).select("node", "grp", "blocks", "sig", "set_key", "text")
+    full = materialize(with_text.mapInArrow(lambda it: _sets(it, shingle), FULL), "full")
+
+    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    homes = F.when(F.col("node") == F.col("grp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
+    units = full.select("node", "sig", "hashes", F.lit(True).alias("late"), F.explode(F.transform(homes, lambda h: F.xxhash64("grp", h))).alias("unit"))
+    verify = lambda t: _verify(t, width, percent, miss)
+    links = materialize(_dealt(units, n).applyInArrow(verify, PAIRS), "links")
+    large = full.where("blocks > 1")
+    if large.limit(1).count():  # sets of large families that their blocks did not join to the smallest one's class
+        classes = connected_components(links)
+        late = F.coalesce("component", "node") != F.col("grp")
+        marked = large.select("node", "grp").distinct().join(classes.withColumnRenamed("id", "node"), "node", "left").select("grp", "node", late.alias("late"))
+        marked = materialize(marked, "marked")
+        units = _late_units(marked, "grp", block).select("unit", "node", "late").join(large.select("node", "sig", "hashes").hint("merge"), "node")
+        more = materialize(_dealt(units, n).applyInArrow(verify, PAIRS).unionByName(links), "links")
+        discard(links, classes, marked)
+        links = more
+    discard(full)
+    return links
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class, with all their columns; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` with the smallest id of their class, with all their columns.
+
+    Rows are dropped by id and text: an id with several texts keeps those that are not near another. Rows with a null id, and
+    texts without words, stay. Rows that repeat id and text stay or go together. An empty table gives an empty result.
+    """
+    gone = _classes(docs, id_col, text_col, percent, 5, None, None, 1e-7, 512).where("not kept").select(F.col("id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
+    same = (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_gone_text"])
+    return docs.join(gone.hint("merge"), same, "left_anti")

@@ -104,13 +104,14 @@ def test_stages(stage, spark, odd, empty, labels, tmp_path):
 
 
 def test_urls(spark):
-    rows = [(1, "http://a.COM/x"), (2, None), (3, ""), (None, "https://example.com/en/?q"), (4, "no scheme"), (5, "x://"), (6, "http://www.example.com/en/a#b"), (6, "http://Éa.net/es/" + "y" * 100_000), (7, "http://com"), (8, "http://example.com:80/en/")]
+    rows = [(1, "http://a.COM/x"), (2, None), (3, ""), (None, "https://example.com/en/?q"), (4, "no scheme"), (5, "x://"), (6, "http://www.example.com/en/a#b"), (6, "http://Éa.net/es/" + "y" * 100_000), (7, "http://com"), (8, "http://example.com:80/en/"), (9, "http://" + "a." * 100_000 + "example.com/en/x"), (10, "http://" + "b" * 100_000 + ".net/es/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "id": F.lit(2), "rule": F.lit(3)})
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
     got = {(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in urlfilter.filter_urls(pages, rules).collect()}
     assert got == {
         (1, "a.com", "com/", "allow"), (2, "", None, "allow"), (3, "", None, "allow"), (None, "example.com", "example.com/en/", "block"), (4, "", None, "allow"), (5, "", None, "allow"),
         (6, "www.example.com", "www.example.com/en/", "allow"), (6, "Éa.net", "net/es/", "block"), (7, "com", None, "allow"), (8, "example.com:80", None, "allow"),
+        (9, "a." * 100_000 + "example.com", "example.com/en/", "block"), (10, "b" * 100_000 + ".net", "net/es/", "block"),
     }
     assert urlfilter.filter_urls(pages.where("false"), rules).collect() == []
     assert urlfilter.filter_urls(pages, []).where("verdict = 'allow' and rule is null").count() == len(rows)
@@ -134,3 +135,20 @@ def test_pages(spark):
     assert warczip.archive_round_trip(spark, pages.where("false")).collect() == []
     few = {(r["page_id"], r["record_type"]) for r in warczip.archive_round_trip(spark, pages, least=9).collect()}
     assert few >= {(1, "response"), (4, "response"), (2, "response")}
+
+
+def test_rows_not_ids_are_dropped(spark):
+    """An id with several texts: nothing that no other row has is lost."""
+    a, b = "one two three four five six seven", "other words that nothing else in here has"
+    rows = [(3, a), (7, a), (7, b), (9, a), (9, "third text of its own kind, quite unlike the rest"), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    largest = sorted(tuple(r) for r in exactdedup.drop_exact_duplicates(df, keep="max").collect())
+    assert largest == sorted([(9, a), (9, rows[4][1]), (9, b)])
+    smallest = sorted(tuple(r) for r in exactdedup.drop_exact_duplicates(df).collect())
+    assert smallest == sorted([(3, a), (7, b), (9, rows[4][1])])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, percent=85).collect())
+    assert got == sorted([(3, 3, True), (7, 3, False), (7, 7, True), (9, 3, False), (9, 9, True), (9, 7, False)])
+    assert sorted(tuple(r) for r in minhash.drop_near_duplicates(df).collect()) == smallest
+    same = spark.createDataFrame([(7, a), (7, b), (8, b), (8, a + " eight")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(same, percent=60).collect())
+    assert got == [(7, 7, True), (7, 7, True), (8, 7, False), (8, 7, False)]
