@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, discard, materialize
 
-SMALL = 48
+#: Similarities held at a time by one task.
+TILE = 4 << 20
+#: At most so many long lists (16 bytes each) are broadcast; more are joined by a shuffle.
+LONG_LISTS = 500_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -23,11 +27,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, top: int) -> np.ndarray:
     """The ``top`` most similar pivots of each row, most similar first (the lower number on ties)."""
     top = min(top, len(pivots))
-    sim = _unit(x) @ pivots.T
-    part = np.argpartition(-sim, top - 1, axis=1)[:, :top] if top < len(pivots) else np.tile(np.arange(len(pivots)), (len(x), 1))
-    part.sort(axis=1)
-    order = np.argsort(-np.take_along_axis(sim, part, 1), axis=1, kind="stable")
-    return np.take_along_axis(part, order, 1)
+    out = np.empty((len(x), top), np.int64)
+    step = max(1, TILE // len(pivots))
+    for at in range(0, len(x), step):
+        sim = _unit(x[at : at + step]) @ pivots.T
+        part = np.argpartition(-sim, top - 1, axis=1)[:, :top] if top < len(pivots) else np.tile(np.arange(len(pivots)), (len(sim), 1))
+        part.sort(axis=1)
+        order = np.argsort(-np.take_along_axis(sim, part, 1), axis=1, kind="stable")
+        out[at : at + step] = np.take_along_axis(part, order, 1)
+    return out
 
 
 def reference_points(sample: np.ndarray, n: int, apart: float = 0.7) -> np.ndarray:
@@ -46,105 +54,118 @@ def reference_points(sample: np.ndarray, n: int, apart: float = 0.7) -> np.ndarr
             chosen[count] = x
             count += 1
     chosen = chosen[:count]
-    if count < 16:
-        chosen = np.concatenate([chosen, _unit(np.random.default_rng(dim).normal(size=(16 - count, dim)))])
-    return chosen
+    return np.concatenate([chosen, directions(dim)[: 16 - count]]) if count < 16 else chosen
 
 
-def _permute(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], top: int) -> Iterator[pa.RecordBatch]:
-    """(id, vector) to (id, numbers of the nearest pivots in their order)."""
+def directions(dim: int) -> np.ndarray:
+    """Sixteen fixed directions, for lengths of vectors of which the sample has too few."""
+    return _unit(np.random.default_rng(dim).normal(size=(16, dim)))
+
+
+def _rows(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each length of vectors in a list array."""
+    starts, sizes = vectors.offsets.to_numpy()[:-1], np.diff(vectors.offsets.to_numpy())
+    flat = vectors.values.to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        yield rows, flat[starts[rows][:, None] + np.arange(dim)]
+
+
+def _describe(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], top: int) -> Iterator[pa.RecordBatch]:
+    """(node, label_key, size, vector) to (node, label_key, near, payload): numbers of the nearest pivots in their order, and what travels to the lists.
+
+    The payload holds the node, the size, the numbers and the vector's own numbers, all little-endian.
+    """
     for batch in batches:
-        vectors = batch.column(1)
-        dims = np.diff(vectors.offsets.to_numpy())
-        starts = vectors.offsets.to_numpy()[:-1]
-        flat = vectors.values.to_numpy(zero_copy_only=False)
-        out: list = [None] * len(dims)
-        for dim in np.unique(dims).tolist():
-            rows = np.flatnonzero(dims == dim)
-            x = flat[starts[rows][:, None] + np.arange(dim)]
-            for row, near in zip(rows.tolist(), nearest_pivots(x, pivots[dim], top).tolist(), strict=True):
-                out[row] = near
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["id", "near"])
-
-
-def _first_shared(near_a: np.ndarray, near_b: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether exactly one shared pivot of each pair is numbered below q."""
-    shared = (near_a[:, :, None] == near_b[:, None, :]).any(2)
-    return (shared & (near_a < q[:, None])).sum(1) == 1
-
-
-def _match(table: pa.Table, threshold: float) -> pa.Table:
-    """Link counts and a spanning forest of all units (inverted lists or pairs of their blocks) in the table."""
-    ids, size, unit, q, home, dim = (table.column(c).to_numpy() for c in ("id", "size", "unit", "q", "home", "dim"))
-    cross = table.column("cross").to_numpy(zero_copy_only=False)
-    names, local = np.unique(ids, return_inverse=True)
-    weight = np.zeros(len(names), np.int64)
-    up = np.arange(len(names))
-
-    def find(x: int) -> int:
+        near: list = [None] * batch.num_rows
+        payload: list = [b""] * batch.num_rows
+        nodes, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for rows, x in _rows(batch.column(3)):
+            found = nearest_pivots(x, pivots.get(x.shape[1], directions(x.shape[1])), top).astype("<i4")
+            kept = np.full((len(x), top), -1, "<i4")
+            kept[:, : found.shape[1]] = found
+            raw = np.ascontiguousarray(x.astype(f"<f{x.dtype.itemsize}"))
+            for k, row in enumerate(rows.tolist()):
+                near[row] = found[k].tolist()
+                payload[row] = struct.pack("<qq", nodes[row], sizes[row]) + kept[k].tobytes() + raw[k].tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.list_(pa.int32())), pa.array(payload, pa.binary())], ["node", "label_key", "near", "payload"])
+
+
+class _Trees:
+    """Union-find over node numbers, smallest first."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, x: int) -> int:
+        up = self.up
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
         return int(x)
 
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        np.add.at(weight, local[a], size[b])
-        np.add.at(weight, local[b], size[a])
-        for x, y in set(zip(local[a].tolist(), local[b].tolist(), strict=True)):
-            x, y = find(x), find(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-
-    vectors, nears = table.column("vector").combine_chunks(), table.column("near").combine_chunks()
-    flat, starts = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()[:-1]
-    top = np.diff(nears.offsets.to_numpy()).max() if len(ids) else 0
-    near = np.full((len(ids), top), -1, np.int64)
-    lengths = np.diff(nears.offsets.to_numpy())
-    near[np.repeat(np.arange(len(ids)), lengths), np.concatenate([np.arange(n) for n in lengths]) if len(ids) else []] = nears.values.to_numpy()
-    near_b = np.where(near < 0, -2, near)
-    for d in np.unique(dim).tolist():
-        rows = np.flatnonzero(dim == d)
-        rows = rows[np.lexsort((ids[rows], unit[rows]))]
-        u = unit[rows]
-        x = _unit(flat[starts[rows][:, None] + np.arange(d)])
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1, [len(u)]])
-        counts = np.diff(cuts)
-        small = np.repeat(counts <= SMALL, counts)
-        for shift in range(1, min(SMALL, int(counts.max(initial=0)))):
-            a = np.flatnonzero((u[shift:] == u[:-shift]) & small[shift:])
-            b = a + shift
-            keep = (x[a] * x[b]).sum(1) >= threshold
-            keep &= ~cross[rows[a]] | (home[rows[a]] != home[rows[b]])
-            a, b = rows[a[keep]], rows[b[keep]]
-            keep = _first_shared(near[a], near_b[b], q[a])
-            if keep.any():
-                link(a[keep], b[keep])
-        for c in np.flatnonzero(counts > SMALL).tolist():
-            block = np.arange(cuts[c], cuts[c + 1])
-            r = rows[block]
-            known, place = np.unique(near[r], return_inverse=True)
-            has = np.zeros((len(r), len(known)), np.float32)
-            has[np.arange(len(r))[:, None], place.reshape(near[r].shape)] = 1
-            has[:, (known >= q[r[0]]) | (known < 0)] = 0
-            sides = [(np.flatnonzero(home[r] == h), np.flatnonzero(home[r] != h)) for h in [home[r].min()]] if cross[r[0]] else [(np.arange(len(r)),) * 2]
-            for left, right in sides:
-                for at in range(0, len(left), 512):
-                    part = left[at : at + 512]
-                    ok = (x[block[part]] @ x[block[right]].T >= threshold) & (has[part] @ has[right].T == 1)
-                    if not cross[r[0]]:
-                        ok &= part[:, None] < right[None, :]
-                    i, j = np.nonzero(ok)
-                    a, b = r[part[i]], r[right[j]]
-                    weight[:] += np.bincount(local[a], size[b], len(names)).astype(np.int64) + np.bincount(local[b], size[a], len(names)).astype(np.int64)
-                    for row in np.unique(i).tolist():
-                        la = find(int(local[r[part[row]]]))
-                        for lb in np.unique(up[local[r[right[j[i == row]]]]]).tolist():
-                            lb = find(lb)
-                            if la != lb:
-                                up[max(la, lb)] = min(la, lb)
-                                la = min(la, lb)
+    def link(self, a: int, others: np.ndarray) -> None:
+        a = self.find(a)
+        for b in np.unique(self.up[others]).tolist():
+            b = self.find(b)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                a = min(a, b)
+
+
+def _membership(near: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Rows by pivots: 1 where a pivot is among the row's numbers (others than ``known``, and -1, don't count)."""
+    at = np.searchsorted(known, near)
+    hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == near) & (near >= 0) if len(known) else np.zeros(near.shape, bool)
+    out = np.zeros((len(near), max(1, len(known))), np.float32)
+    rows, columns = np.nonzero(hit)
+    out[rows, at[rows, columns]] = 1
+    return out
+
+
+def _match(table: pa.Table, threshold: float, top: int, lists: int, shared: int, width: int) -> pa.Table:
+    """Link counts and a spanning forest of all units (inverted lists or pairs of their blocks) in the table.
+
+    Two vectors of a list are candidates where they share at least ``shared`` of their ``top`` pivots, and this list's pivot is the
+    lowest one that both are listed under: so a pair counts once. Candidates are verified by their cosine in double precision.
+    """
+    payload = table.column("payload").to_pylist()
+    unit, meta = table.column("unit").to_numpy(), table.column("meta").to_numpy()
+    pivot, home, cross = meta >> 32, (meta >> 1) & 0x7FFFFFFF, (meta & 1).astype(bool)
+    head = np.array([struct.unpack_from("<qq", p) for p in payload], np.int64).reshape(-1, 2)
+    near = np.frombuffer(b"".join(p[16 : 16 + 4 * top] for p in payload), "<i4").reshape(-1, top)
+    lengths = np.array([len(p) for p in payload])
+    names, local = np.unique(head[:, 0], return_inverse=True)
+    size, weight, trees = head[:, 1], np.zeros(len(names), np.int64), _Trees(len(names))
+    order = np.lexsort((head[:, 0], lengths, unit))
+    change = np.flatnonzero((np.diff(unit[order]) != 0) | (np.diff(lengths[order]) != 0)) + 1
+    for rows in np.split(order, change):
+        if len(rows) < 2:
+            continue
+        x = _unit(np.frombuffer(b"".join(payload[r][16 + 4 * top :] for r in rows), f"<f{width}").reshape(len(rows), -1))
+        known = np.unique(near[rows])
+        every, listed = _membership(near[rows], known), _membership(near[rows, :lists], known[known < pivot[rows[0]]])
+        crossing = cross[rows[0]]
+        sides = home[rows] == home[rows].min()
+        left, right = (np.flatnonzero(sides), np.flatnonzero(~sides)) if crossing else (np.arange(len(rows)),) * 2
+        step = max(1, TILE // max(1, len(right)))
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            ok = (every[part] @ every[right].T >= shared) & (listed[part] @ listed[right].T == 0)
+            if not crossing:
+                ok &= part[:, None] < right[None, :]
+            ok &= x[part] @ x[right].T >= threshold
+            i, j = np.nonzero(ok)
+            if not len(i):
+                continue
+            a, b = rows[part[i]], rows[right[j]]
+            np.add.at(weight, local[a], size[b])
+            np.add.at(weight, local[b], size[a])
+            cuts = np.flatnonzero(np.diff(i)) + 1
+            for run in np.split(np.arange(len(i)), cuts):
+                trees.link(int(local[a[run[0]]]), local[b[run]])
     linked = np.flatnonzero(weight)
-    roots = np.array([names[find(i)] for i in linked.tolist()], np.int64)
+    roots = np.array([names[trees.find(i)] for i in linked.tolist()], np.int64)
     return pa.table({"a": pa.array(names[linked], pa.int64()), "links": pa.array(weight[linked]), "b": pa.array(roots, pa.int64())})
 
 
@@ -155,72 +176,91 @@ def near_duplicate_vectors(
     label_col: str = "label",
     threshold: float = 0.93,
     top: int = 8,
-    block: int = 2048,
+    lists: int = 3,
+    shared: int = 2,
+    block: int = 16_384,
     pivots: int | None = None,
 ) -> DataFrame:
     """Links between vectors of one label with a cosine of ``threshold`` or more, and their components.
 
-    1. Equal vectors of a label collapse to the smallest id with their number (pre-aggregated).
-    2. Reference points: ``pivots`` vectors (by default twice the root of the number of vectors, 64 to 4096) of
-       a sample by hash of about four times as many; every vector is described by its ``top`` nearest
-       ones in their order. Reference points keep apart from each other.
-    3. Inverted lists: a vector is posted under every two of its nearest pivots, so two vectors meet where
-       their shared-pivot count is two or more, and count in the list of their two lowest shared
-       pivots alone. Lists of one vector go; lists of more than ``block`` are cut into blocks, and every
-       two blocks meet, so no list is truncated and no task grows with a list.
-    4. Pairs in a list are verified by their cosines in double precision. Link counts and spanning trees
+    1. Equal vectors of a label collapse to one with the smallest id and their number (pre-aggregated).
+    2. Reference points: ``pivots`` vectors (by default the root of the number of vectors, 64 to 131,072: at most 64 MB at
+       64 dimensions) of a sample by hash of about four times as many; every vector is described by its ``top`` nearest ones in
+       their order. Reference points keep apart from each other.
+    3. Inverted lists: a vector is posted under its ``lists`` nearest pivots, once each with its permutation and its own
+       numbers. Two vectors of a list are candidates where they share ``shared`` or more of their ``top`` pivots, in the list of the
+       lowest pivot that both are posted under alone. Lists of more than ``block`` vectors are cut into blocks, and every
+       two blocks meet, so no list is truncated and no task grows with a list. (Lists hold about ``lists`` times the root of
+       the number of vectors, a label's share of it; beyond 17 billion vectors, where the pivots end, they grow with the table.)
+    4. Candidates are verified by their cosines in double precision. Link counts and spanning trees
        leave the task, never pairs.
     5. Connected components of the trees.
 
-    The index is approximate: a pair at the threshold is found with a probability of about 0.998 (64
-    dimensions, 512 pivots, top 8); nothing below the threshold is linked. Vectors of different lengths
+    The index is approximate: of pairs of random directions exactly at the threshold about 0.96 are found (64 dimensions,
+    256 pivots), of closer ones more; nothing below the threshold is linked. Vectors of different lengths
     never link. Vectors that are null, empty, all zero or hold null or non-finite components, and null
     labels, link with nothing. Null ids are returned unlinked. Rows that repeat an id count as vectors of
-    their own. Other columns are ignored. An empty table gives an empty result.
+    their own, each with its own links and component. Other columns are ignored. An empty table gives an empty result.
 
     Returns (id_col, n_links, component_id, kept).
     """
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    wide = kind if kind in ("float", "double") else "double"
+    numbers = F.transform(F.col(vector_col), lambda x: x.cast(wide) + F.lit(0).cast(wide))  # there is one zero only
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), numbers.alias("v"))
     norm = F.aggregate(v, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)
     fine = F.coalesce(F.when(fine & ~F.coalesce(odd, F.lit(True)), (norm > 0) & (norm < float("inf"))), F.lit(False))
-    rows = rows.withColumn("fine", fine)
+    # equal vectors of a label are known by 128 bits where they need not travel
+    rows = rows.withColumns({"fine": fine, "k1": F.xxhash64("label", "v"), "k2": F.xxhash64(F.lit(7), "v", "label")})
     valid = rows.where("fine")
-    groups = materialize(valid.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "vectors")
+    count = F.count(F.lit(1))
+    groups = materialize(valid.groupBy("label", "v").agg(F.min("id").alias("rep"), count.alias("size"), F.min("k1").alias("k1"), F.min("k2").alias("k2")), "vectors")
 
     n = groups.count()
-    n_pivots = pivots or int(min(4096, max(64, 2 * math.sqrt(n))))
+    repeated = groups.groupBy("rep").agg(count.alias("_n"), F.min(F.struct("k1", "k2")).alias("_first")).where("_n > 1").select("rep", "_first")
+    repeats = repeated.limit(1).count() > 0
+    if repeats:  # an id with several vectors: all but the first are known by hashes of theirs
+        node = F.when(F.col("_first") != F.struct("k1", "k2"), F.xxhash64("k1", "k2")).otherwise(F.col("rep"))
+        groups = materialize(groups.join(repeated, "rep", "left").withColumn("node", node).drop("_first"), "vectors")
+    else:
+        groups = groups.withColumn("node", F.col("rep"))
+
+    n_pivots = pivots or int(min(131_072, max(64, math.sqrt(n))))
     every = max(1, n // (4 * n_pivots))
-    picked = groups.where(F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(every)) == 0).select("rep", "v").orderBy(F.xxhash64(F.lit(2), "rep")).limit(8 * n_pivots).collect()
-    points: dict[int, list] = {}
-    for p in picked:
-        points.setdefault(len(p["v"]), []).append(p["v"])
-    dims = [d for (d,) in groups.select(F.size("v")).distinct().collect()]
-    tables = {dim: reference_points(np.array(points.get(dim, []), np.float64).reshape(-1, dim), n_pivots) for dim in dims}
-
-    near = materialize(groups.select("rep", "v").mapInArrow(lambda it: _permute(it, tables, top), "id long, near array<int>").withColumnRenamed("id", "rep"), "permutations")
-    ordered = F.array_sort("near")
-    posted = near.select("rep", "near", F.explode(F.flatten(F.transform(ordered, lambda p: F.transform(F.filter(ordered, lambda q: q > p), lambda q: F.struct(p.alias("p"), q.alias("q")))))).alias("two"))
-    posted = posted.join(groups.select("rep", "label", F.size("v").alias("dim")), "rep")
-    posted = posted.select("rep", "near", F.col("two.q").alias("q"), "dim", F.xxhash64("label", "dim", "two.p", "two.q").alias("list"))
-    # sums are written before they are joined back, so that the joins can split hot lists and hot vectors
-    sizes = materialize(posted.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "lists")
-    posted = posted.join(sizes, "list").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    home = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = posted.withColumn("home", home).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    picked = groups.where(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(every)) == 0).select(F.xxhash64(F.lit(2), "node").alias("h"), "v").toArrow().sort_by("h")
+    points = {x.shape[1]: reference_points(x, n_pivots) for _, x in _rows(picked.column("v").combine_chunks())} if picked.num_rows else {}
+
+    label_key = F.xxhash64("label", F.size("v"))
+    described = groups.select("node", label_key.alias("label_key"), "size", "v").mapInArrow(lambda it: _describe(it, points, top), "node long, label_key long, near array<int>, payload binary")
+    described = materialize(described, "described")
+    posted = described.select("node", "payload", "label_key", F.explode(F.slice("near", 1, lists)).alias("pivot")).withColumn("list", F.xxhash64("label_key", "pivot"))
+    long_lists = materialize(posted.select("list").groupBy("list").agg(count.alias("members")).where(F.col("members") > block), "lists")
+    hint = F.broadcast if long_lists.count() <= LONG_LISTS else (lambda df: df.hint("merge"))
+    blocks = F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int")
+    dealt = posted.join(hint(long_lists), "list", "left").withColumn("blocks", blocks)
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("home", "j"), F.greatest("home", "j")
-    dealt = dealt.select("rep", "near", "q", "dim", "home", F.xxhash64("list", low, high).alias("unit"), (low != high).alias("cross"))
-    dealt = dealt.join(groups.select("rep", "v", "size"), "rep").select(F.col("rep").alias("id"), F.col("v").alias("vector"), "near", F.col("q").cast("long").alias("q"), "dim", "home", "unit", "cross", "size")
+    meta = F.shiftleft(F.col("pivot").cast("long"), 32) + F.shiftleft(F.col("home").cast("long"), 1) + (low != high).cast("long")
+    dealt = dealt.select(F.xxhash64("list", low, high).alias("unit"), meta.alias("meta"), "payload")
     deal = F.pmod("unit", F.lit(max(1, n // 4000 + 1) * 4))
-    found = materialize(dealt.withColumn("deal", deal).groupBy("deal").applyInArrow(lambda t: _match(t, threshold), "a long, links long, b long"), "links")
+    width = 4 if wide == "float" else 8
+    found = dealt.groupBy(deal.alias("deal")).applyInArrow(lambda t: _match(t, threshold, top, lists, shared, width), "a long, links long, b long")
+    found = materialize(found, "links")
 
     counts = materialize(found.groupBy("a").agg(F.sum("links").alias("links")), "counts")
     components = connected_components(found.select("a", "b"))
-    member = valid.select("id", "label", "v").join(groups, ["label", "v"]).select("id", "rep", "size")
-    member = member.join(counts, member["rep"] == counts["a"], "left").join(components.withColumnRenamed("id", "_node"), F.col("rep") == F.col("_node"), "left")
-    linked = member.select("id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = groups.select("k1", "k2", "rep", "node", "size").join(counts.withColumnRenamed("a", "node"), "node", "left").join(components.withColumnRenamed("id", "node"), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    if repeats:  # the smallest id of a component, not its smallest node
+        least = named.groupBy("component").agg(F.min("rep").alias("_least"))
+        named = named.join(least, "component").withColumn("component", F.col("_least"))
+    named = materialize(named.select("k1", "k2", "size", "links", "component"), "named")
+    discard(groups, described, long_lists, found, counts, components)
+    member = valid.select("id", "k1", "k2").join(named.hint("merge"), ["k1", "k2"])
+    linked = member.select("id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -152,3 +152,10 @@ def test_rows_not_ids_are_dropped(spark):
     same = spark.createDataFrame([(7, a), (7, b), (8, b), (8, a + " eight")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(same, percent=60).collect())
     assert got == [(7, 7, True), (7, 7, True), (8, 7, False), (8, 7, False)]
+
+
+def test_vectors_of_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0], 0), (5, [0.0, 0.0, 1.0], 0), (5, [-0.0, 0.02, 1.0], 0), (3, [0.0, 1.0, 0.01], 0), (8, [1.0, 0.01, 0.0], 0), (8, [1.0, 0.01, -0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicate_vectors(df).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 5, True), (5, 1, 5, True), (5, 2, 5, True), (8, 2, 5, False), (8, 2, 5, False)]
