@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .wordcache import portions
 
 #: Kinds in the order in which they are listed. The first four have base patterns, whose matches always stay.
-KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 BASE = 4
 
 
@@ -88,6 +89,12 @@ _SPELLED = re.compile(
 _NUMBER = re.compile(r"(?<![\w.])\(?[0-9](?:[ ().\-/]{0,2}[0-9]){7,18}(?![\w])")
 _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![\w:])")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
+# long runs of letters and digits, and what is assigned to a name of a secret
+_MIXED = re.compile(r"(?<![\w+/=.-])(?=[A-Za-z_+/=.-]*[0-9])(?=[0-9_+/=.-]*[A-Za-z])[A-Za-z0-9_+/=.-]{16,512}(?![\w+/])")
+_ASSIGNED = re.compile(
+    r"(?i)(?:passw(?:or)?[dt]|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|contraseña|mot de passe|clave|jeton|schlüssel)\"?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,256})"
+)
+_SECRET_NAME = re.compile(r"(?i)pass|pwd|secret|token|key|contraseña|clave|jeton|schlüssel")
 
 
 def candidates(text: str) -> list[Span]:
@@ -107,6 +114,9 @@ def candidates(text: str) -> list[Span]:
             if n == 9:
                 out.append(Span(4, m.start(), m.end()))
         out += [Span(5, m.start(), m.end()) for m in _IBAN.finditer(text)]
+        out += [Span(6, m.start(), m.end()) for m in _MIXED.finditer(text)]
+    if _SECRET_NAME.search(text):
+        out += [Span(6, *m.span(1)) for m in _ASSIGNED.finditer(text)]
     return out
 
 
@@ -120,10 +130,15 @@ CUES = (
     ("phone", "tel", "call", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono", "handy"),
     ("ssn", "social", "security", "sozialversicherung", "sécurité", "seguridad"),
     ("iban", "account", "bank", "transfer", "konto", "compte", "cuenta"),
+    ("token", "key", "secret", "password", "passwd", "pwd", "bearer", "api", "auth", "passwort", "schlüssel", "passe", "jeton", "contraseña", "clave"),
 )
-OTHER_CUES = ("version", "order", "invoice", "sku", "price", "ref", "no", "item", "page", "total", "build", "id", "isbn", "part", "date", "$", "€", "nr", "bestellung", "rechnung", "commande", "pedido")
+OTHER_CUES = ("version", "order", "invoice", "sku", "price", "ref", "no", "item", "page", "total", "build", "id", "isbn", "part", "date", "$", "€", "nr", "bestellung", "rechnung", "commande", "pedido", "commit", "sha", "checksum", "hash", "digest", "revision", "uuid", "file")
+# Beginnings of keys that services give out.
+KEY_PREFIXES = ("sk_live_", "sk-", "ghp_", "gho_", "xoxb-", "AKIA", "AIza", "eyJ", "glpat-")
 WINDOW = 40
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?|[$€]")
+_LETTERS = re.compile(r"[A-Za-z]+")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
 def iban_ok(text: str) -> bool:
@@ -149,6 +164,8 @@ def features(text: str, span: Span) -> list[float]:
     distance = next((i for i, w in enumerate(reversed(near)) if w in own), 9)
     other_distance = next((i for i, w in enumerate(reversed(near)) if w in others), 9)
     prev, follow = before[-1:], after[:1]
+    lead = before.rstrip(" \"'")[-1:]
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
     return [
         *(float(span.kind == k) for k in range(len(KINDS))),
         n,
@@ -177,6 +194,15 @@ def features(text: str, span: Span) -> list[float]:
         float([len(g) for g in groups] == [3, 2, 4]),
         float([len(g) for g in groups] in ([3, 3, 4], [1, 3, 3, 4])),
         float([len(g) for g in groups] in ([4, 4, 4, 4], [4, 6, 5])),
+        sum(c in "0123456789abcdefABCDEF" for c in s) / n,
+        sum("A" <= c <= "Z" for c in s) / n,
+        len(set(s)) / n,
+        turns / n,
+        float(s.startswith(KEY_PREFIXES)),
+        float(prev != "" and prev in "\"'"),
+        float(lead != "" and lead in "=:"),
+        float(_UUID.fullmatch(s) is not None),
+        float(max(map(len, _LETTERS.findall(s)), default=0)),
         float(re.fullmatch(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}.*|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}.*", s) is not None),
     ]
 
@@ -259,7 +285,18 @@ class Selector:
         return p
 
 
-# ---------------------------------------------------------------- training on made-up candidates
+# ---------------------------------------------------------------- training on candidates planted in documents
+
+#: At most so many documents give the contexts that candidates are planted in, and so many characters of each.
+CONTEXT_DOCUMENTS, CONTEXT_SIZE = 300, 3000
+
+
+def contexts(docs: DataFrame, text_col: str = "text", n: int = CONTEXT_DOCUMENTS, size: int = CONTEXT_SIZE) -> tuple[str, ...]:
+    """Stretches of ``size`` characters from the middle of ``n`` documents, the same ones wherever they lie: those of the least hashes."""
+    text = F.col(text_col)
+    rows = docs.where(F.length(text) > 100).select(F.xxhash64(text).alias("h"), text.alias("t"))
+    middle = F.substr("t", F.greatest(F.lit(1), F.floor((F.length("t") - size) / 2)).cast("int"), F.lit(size))
+    return tuple(r["t"] for r in rows.select("h", middle.alias("t")).distinct().orderBy("h", "t").limit(n).collect())
 
 
 def _check_digit(digits: str) -> str:
@@ -276,11 +313,32 @@ def _word(r: random.Random) -> str:
     return "".join(r.choice(("an", "er", "ti", "lo", "ka", "ve", "mu", "so", "ch", "ei", "on", "qu")) for _ in range(r.randint(1, 4)))
 
 
-def _made_up(r: random.Random, kind: int | None = None) -> tuple[str, str, int, bool]:
-    """A text, the part of it in question, whether that part is personal data, and whether only as a card."""
+def _secret(r: random.Random) -> str:
+    pick = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    hexes, mixed = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    form = r.randrange(8)
+    if form < 4:
+        s = pick(r.choice((32, 40, 40, 64)), hexes)
+        return s.upper() if r.random() < 0.2 else s
+    if form < 6:
+        return pick(r.randint(20, 44), mixed)
+    if form == 6:
+        return r.choice(KEY_PREFIXES) + pick(r.randint(16, 36), mixed)
+    return pick(r.randint(8, 14), mixed + "!#%&*") + r.choice("0123456789")
+
+
+def _made_up(r: random.Random, kind: int | None = None, around: tuple[str, ...] = ()) -> tuple[str, str, int, bool]:
+    """A text, the part of it in question, whether that part is personal data, and whether only as a card. The rest is taken from ``around``."""
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    filler = lambda: " ".join(_word(r) for _ in range(r.randint(3, 9)))
-    kind = r.randrange(7) if kind is None else kind
+
+    def filler() -> str:
+        if not around or r.random() < 0.2:
+            return " ".join(_word(r) for _ in range(r.randint(3, 9)))
+        words = r.choice(around).split(" ")
+        at = r.randrange(len(words))
+        return " ".join(words[at : at + r.randint(3, 9)])
+
+    kind = r.choice((0, 1, 2, 3, 4, 5, 6, 8)) if kind is None else kind
     yes = r.random() < 0.5
     cue = r.random() < 0.75
     if kind == 0:
@@ -328,27 +386,43 @@ def _made_up(r: random.Random, kind: int | None = None) -> tuple[str, str, int,
         mark = ("", ".", "/", r.choice((" -", "- ", ". ", "  ")))[form]
         s = mark.join(s[i : i + 4] for i in range(0, len(s), 4))
         yes = yes and (cue or form > 0)
+    elif kind == 8:
+        s = _secret(r)
+        if not yes:
+            hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+            s = r.choice((hexes(40), hexes(64), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", f"{_word(r)}_{_word(r)}-{d(8)}.{r.choice(('png', 'pdf', 'html'))}", f"{_word(r)}{_word(r)}.{_word(r)}/{_word(r)}/{d(4)}", f"{_word(r)}-{_word(r)}-{_word(r)}-{d(2)}"))
+            cue = False
+        yes = yes and (cue or s.startswith(KEY_PREFIXES))
     else:
         yes, cue = False, False
         s = r.choice((d(9), d(11), d(13), d(16), f"{d(4)} {d(4)} {d(4)}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(6)}-{d(6)}"))
-    k = kind if kind < 6 else 2 if kind == 7 else 3
-    hint = r.choice(CUES[k]) + r.choice((": ", " ", " = ")) if cue and (yes or r.random() < 0.2) else r.choice(OTHER_CUES) + r.choice((": ", " ", " #")) if r.random() < 0.5 else ""
-    return f"{filler()} {hint}{s}{r.choice((' ', '. ', ', ', ''))} {filler()}", s, int(yes), kind == 7
+    k = {7: 2, 6: 3, 8: 6}.get(kind, kind)
+    if cue and (yes or r.random() < 0.2):
+        name = r.choice(CUES[k])
+        if kind == 8:
+            name = r.choice((name, name.upper(), f"api_{name}", f"{name}"))
+            hint, close = r.choice(((f'{name} = "', '"'), (f"{name}: ", ""), (f"{name}=", ""), (f"{name} '", "'"), (f'"{name}": "', '"')))
+        else:
+            hint, close = name + r.choice((": ", " ", " = ")), ""
+    else:
+        hint, close = (r.choice(OTHER_CUES) + r.choice((": ", " ", " #")) if r.random() < 0.5 else ""), ""
+    return f"{filler()} {hint}{s}{close}{r.choice((' ', '. ', ', ', ' '))}{filler()}", s, int(yes), kind == 7
 
 
-def training_set(n: int, seed: int, cards: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, truth and kinds of the candidates that the generators find in ``n`` made-up texts.
+def training_set(n: int, seed: int, cards: bool = False, around: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, truth and kinds of the candidates that the generators find where ``n`` made-up parts are planted in ``around``.
 
-    ``cards``: of card candidates only, with cards that the base pattern misses in every other text.
+    Candidates elsewhere in the text are left out: nobody has said what they are. ``cards``: of card candidates
+    only, with cards that the base pattern misses in every other text.
     """
     r = random.Random(seed)
     x, y, kinds = [], [], []
     for i in range(n):
-        text, part, yes, card = _made_up(r, 7 if cards and i % 2 else None)
+        text, part, yes, card = _made_up(r, 7 if cards and i % 2 else None, around)
         at = text.find(part)
         base = base_spans(text)
         for c in candidates(text):
-            if any(b.start < c.end and c.start < b.end for b in base) or cards and c.kind != 2:
+            if any(b.start < c.end and c.start < b.end for b in base) or cards and c.kind != 2 or c.end <= at or at + len(part) <= c.start:
                 continue
             x.append(features(text, c))
             own = yes and (c.kind == 2 or not card)
@@ -358,21 +432,21 @@ def training_set(n: int, seed: int, cards: bool = False) -> tuple[np.ndarray, np
 
 
 @lru_cache(maxsize=2)
-def train(n: int = 5000, seed: int = 5, precision: float = 0.98) -> Selector:
-    """Trees from ``n`` made-up texts; calibration and thresholds from other texts.
+def train(around: tuple[str, ...] = (), n: int = 6000, seed: int = 5, precision: float = 0.98) -> Selector:
+    """Trees from ``n`` made-up parts planted in stretches of documents; calibration and thresholds from other such texts.
 
     A kind's threshold is the least one from which on its spans are right in ``precision`` of the cases.
     """
-    selector = _trained(n, seed, precision, False)
-    selector.cards = _trained(n, seed, precision, True)
+    selector = _trained(n, seed, precision, False, around)
+    selector.cards = _trained(n, seed, precision, True, around)
     selector.thresholds[2] = selector.cards.thresholds[2]
     return selector
 
 
-def _trained(n: int, seed: int, precision: float, cards: bool) -> Selector:
-    x, y, _ = training_set(n, seed, cards)
+def _trained(n: int, seed: int, precision: float, cards: bool, around: tuple[str, ...]) -> Selector:
+    x, y, _ = training_set(n, seed, cards, around)
     trees = BoostedTrees().fit(x, y)
-    x, y, kinds = training_set(n // 2, seed + 1, cards)
+    x, y, kinds = training_set(n // 2, seed + 1, cards, around)
     z = trees.decision(x)
     a, b = 0.0, 1.0
     for _ in range(50):  # Platt's two parameters by Newton steps
@@ -424,8 +498,11 @@ def find_batch(texts: list[str], selector: Selector) -> list[tuple[list[Span], l
     out = []
     for own, more in zip(base, added, strict=True):
         chosen: list[Span] = []
+        taken: list[tuple[int, int]] = []  # in order and apart, so only the neighbours of a place can overlap
         for _, c in sorted(more, key=lambda m: (m[0], m[1].start, -m[1].end, m[1].kind)):
-            if all(c.end <= s.start or s.end <= c.start for s in chosen):
+            at = bisect_left(taken, (c.start, c.end))
+            if (at == 0 or taken[at - 1][1] <= c.start) and (at == len(taken) or c.end <= taken[at][0]):
+                taken.insert(at, (c.start, c.end))
                 chosen.append(c)
         out.append((own, own + chosen))
     return out
@@ -475,14 +552,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): personal data of whole texts.
 
     Base patterns are counted and always stay. Generators propose further spans (spelled-out
-    addresses, IPv6, national phone numbers, grouped card numbers, social security numbers, IBANs); boosted trees
-    judge their format and context, and thresholds calibrated per kind select what is added.
-    ``selector``: by default trained once per driver on made-up candidates, which takes a few seconds.
+    addresses, IPv6, national phone numbers, grouped card numbers, social security numbers, IBANs, keys and passwords);
+    boosted trees judge their format and context, and thresholds calibrated per kind select what is added.
+    ``selector``: by default trained on the driver, in a few seconds, on made-up candidates planted in stretches of at most
+    ``CONTEXT_DOCUMENTS`` of the documents.
 
     Null and empty texts have no spans. Null ids are kept, repeated rows are judged as often as they come, other
     columns are ignored; an empty table gives an empty result. Rows never shuffle.
     """
-    selector = selector or train()
+    selector = selector or train(contexts(docs, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda it: _find(it, selector), FOUND).withColumnRenamed("id", id_col)
 
@@ -490,9 +568,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", selector: Selector | None = None) -> DataFrame:
     """``docs`` with all found spans replaced by their kind in brackets and, if it has one, ``length_col`` renewed.
 
-    Other columns and null texts stay as they are.
+    Spans are those of ``find_personal_data``; of overlapping ones the first gives the kind. Other columns, null texts and
+    texts without spans stay as they are; null ids and repeated rows are kept; an empty table gives an empty result. Rows never shuffle.
     """
-    selector = selector or train()
+    selector = selector or train(contexts(docs, text_col))
     place = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -265,6 +265,92 @@ def test_added_spans():
     assert pii.redact("mail a@b.com and 1.2.3.4", pii.base_spans("mail a@b.com and 1.2.3.4")) == "mail [EMAIL] and [IP]"
 
 
+def documents_of(spark, sf_dir):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+
+
+def test_personal_data_held_out(spark, sf_dir):
+    """Spans planted in real documents that gave no contexts: precision and recall by kind."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    around = pii.contexts(docs, n=100)
+    assert 50 < len(around) <= 100 and around == pii.contexts(docs.repartition(7), n=100)
+    selector = pii.train(around)
+    others = tuple(t for _, t in documents_of(spark, sf_dir) if t and not any(a in t for a in around))
+    x, y, kinds = pii.training_set(3000, 4321, around=others)
+    chosen = selector.probability(x) >= np.array(selector.thresholds)[kinds]
+    for k, least in ((0, 0.9), (1, 0.9), (3, 0.9), (4, 0.9), (5, 0.9), (6, 0.5)):
+        own = kinds == k
+        assert y[own & chosen].mean() > 0.9 and y[own & chosen].sum() >= least * y[own].sum(), pii.KINDS[k]
+
+
+def test_personal_data_query(spark, sf_dir, tmp_path):
+    """Every row of op1 on a whole table, with keys planted in every tenth text: base spans by brute force, and all keys."""
+    r = random.Random(10)
+    texts = dict(documents_of(spark, sf_dir))
+    for i in sorted(texts)[::10]:
+        words = (texts[i] or "").split(" ")
+        words.insert(r.randrange(len(words) + 1), f'token = "{r.getrandbits(160):040x}"')
+        texts[i] = " ".join(words)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_pii(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    added = 0
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        base = base_by_brute_force(text)
+        counts = collections.Counter(k for k, _, _ in base)
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(counts[k] for k in range(4))
+        listed = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted((a, k, b) for k, a, b in base)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(listed) <= set(spans) and len(spans) == len(base) + r["n_added"]
+        places = [tuple(map(int, x.split(":")[1:])) for x in spans]
+        assert places == sorted(places) and all(0 <= a < b <= len(text) for a, b in places)
+        more = {x for x in spans if x not in listed}
+        tokens = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text)}
+        assert tokens <= more
+        added += len(tokens)
+    assert added >= len(texts) // 10
+
+
+def test_secrets():
+    (_, every), (_, none) = pii.find_batch(['api_key = "sk_live_9aF3kd82Lq0Xz7Vb1Nc5" done', "commit 9aef1203bc77aa01ef93bc77aa01ef939aef1203 fixed it"], pii.train())
+    assert pii.describe(every) == "secret:11:39" and not none
+    assert pii.redact('api_key = "sk_live_9aF3kd82Lq0Xz7Vb1Nc5" done', every) == 'api_key = "[SECRET]" done'
+    long = " ".join(f'token = "{i:040x}a"' for i in range(3000))
+    assert len(pii.find_batch([long], pii.train())[0][1]) > 2000
+
+
+def test_byte_bpe_query(spark, sf_dir):
+    """Every row of op8 on a whole table against tiktoken."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, text in documents_of(spark, sf_dir):
+        ids = reference.encode_ordinary(text or "")
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op8_byte_bpe(spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_archive_query(spark, sf_dir, tmp_path):
+    """Every row of op10 on a whole table with copies: lengths, digests and references by plain Python."""
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    copies = table.where("page_id % 7 = 0").withColumn("page_id", F.col("page_id") + 100_000)
+    table.unionByName(copies).unionByName(copies.limit(3).withColumn("page_id", -F.col("page_id"))).write.parquet(str(tmp_path / "pages.parquet"))
+    pages = [(r["page_id"], (r["html"] or "").encode()) for r in spark.read.parquet(str(tmp_path / "pages.parquet")).collect()]
+    largest = {}
+    for i, raw in sorted(pages):
+        largest[raw] = i
+    want = {i: (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if largest[raw] == i else "revisit", None if largest[raw] == i else largest[raw]) for i, raw in pages}
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in queries.op10_warc_zip(spark, str(tmp_path)).collect()}
+    assert got == want and any(w[2] == "revisit" for w in want.values())
+
+
 def test_added_cards():
     selector = pii.train()
     x, y, kinds = pii.training_set(1500, 77, cards=True)
