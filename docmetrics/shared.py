@@ -49,15 +49,25 @@ def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Narrow rows that one written file holds at least, where their number is known.
+ROWS_A_FILE = 250_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here and survives lost executors.
 
+    ``rows``: a known bound on the number of narrow rows; few rows are then written by few tasks (eight or more), as each file costs
+    more than its rows.
+
     Shuffle files of the finished write are dropped at once, so disk holds one step's shuffles at a time. The setting
     for that is switched on for the session and stays on: two queries at once then cannot undo each other's.
     """
     path = scratch(df.sparkSession, name)
     df.sparkSession.conf.set(CLEAN_UP, "true")
-    df.write.parquet(path)
+    if rows is not None and (tasks := max(8, -(-rows // ROWS_A_FILE))) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df.coalesce(tasks).write.parquet(path)
+    else:
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._docmetrics_path = path
     return out
