@@ -89,12 +89,35 @@ _SPELLED = re.compile(
 _NUMBER = re.compile(r"(?<![\w.])\(?[0-9](?:[ ().\-/]{0,2}[0-9]){7,18}(?![\w])")
 _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![\w:])")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
-# long runs of letters and digits, and what is assigned to a name of a secret
-_MIXED = re.compile(r"(?<![\w+/=.-])(?=[A-Za-z_+/=.-]*[0-9])(?=[0-9_+/=.-]*[A-Za-z])[A-Za-z0-9_+/=.-]{16,512}(?![\w+/])")
-_ASSIGNED = re.compile(
-    r"(?i)(?:passw(?:or)?[dt]|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|contraseña|mot de passe|clave|jeton|schlüssel)\"?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,256})"
-)
-_SECRET_NAME = re.compile(r"(?i)pass|pwd|secret|token|key|contraseña|clave|jeton|schlüssel")
+# what a long run of letters and digits may hold, and how values are assigned to names of secrets
+_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=.-")
+_DIGITS = re.compile(r"[0-9]+")
+_SIGN = re.compile(r"[:=]")
+_SECRET_NAME = re.compile(r"(?i)(?:passw(?:or)?[dt]|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|contraseña|mot de passe|clave|jeton|schlüssel)\"?\s{0,3}\Z")
+_VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"',;]{6,256})")
+
+
+def _mixed_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of 16 to 512 letters, digits and signs with at least a letter and a digit, found from their digits."""
+    done = 0
+    for m in _DIGITS.finditer(text):
+        start, end = m.span()
+        if start < done:
+            continue
+        while end < len(text) and text[end] in _RUN:
+            end += 1
+        while start > done and text[start - 1] in _RUN:
+            start -= 1
+        done = end
+        if 16 <= end - start <= 512 and any(c.isalpha() for c in text[start:end]):
+            yield start, end
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values that follow a name of a secret and a sign, found from the sign."""
+    for m in _SIGN.finditer(text):
+        if _SECRET_NAME.search(text, max(0, m.start() - 24), m.start()) and (value := _VALUE.match(text, m.end())):
+            yield value.span(1)
 
 
 def candidates(text: str) -> list[Span]:
@@ -114,9 +137,8 @@ def candidates(text: str) -> list[Span]:
             if n == 9:
                 out.append(Span(4, m.start(), m.end()))
         out += [Span(5, m.start(), m.end()) for m in _IBAN.finditer(text)]
-        out += [Span(6, m.start(), m.end()) for m in _MIXED.finditer(text)]
-    if _SECRET_NAME.search(text):
-        out += [Span(6, *m.span(1)) for m in _ASSIGNED.finditer(text)]
+        out += [Span(6, a, b) for a, b in _mixed_runs(text)]
+    out += [Span(6, a, b) for a, b in _assigned(text)]
     return out
 
 
@@ -295,8 +317,11 @@ def contexts(docs: DataFrame, text_col: str = "text", n: int = CONTEXT_DOCUMENTS
     """Stretches of ``size`` characters from the middle of ``n`` documents, the same ones wherever they lie: those of the least hashes."""
     text = F.col(text_col)
     rows = docs.where(F.length(text) > 100).select(F.xxhash64(text).alias("h"), text.alias("t"))
+    # hashes alone are sorted; the stretches are looked up in a second pass, copies of a text once
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(n).collect()]
     middle = F.substr("t", F.greatest(F.lit(1), F.floor((F.length("t") - size) / 2)).cast("int"), F.lit(size))
-    return tuple(r["t"] for r in rows.select("h", middle.alias("t")).distinct().orderBy("h", "t").limit(n).collect())
+    found = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min(middle).alias("t")).collect()
+    return tuple(r["t"] for r in sorted(found, key=lambda r: r["h"]))
 
 
 def _check_digit(digits: str) -> str:
