@@ -288,13 +288,13 @@ def _dealt(df: DataFrame, rows: int, each: int = 500) -> DataFrame:
     return df.withColumn("deal", F.pmod("unit", F.lit(max(1, rows // each + 1) * 8))).groupBy("deal")
 
 
-def _late_units(df: DataFrame, key: str, block: int) -> DataFrame:
+def _late_units(df: DataFrame, key: str, block: int, n: int) -> DataFrame:
     """Rows (key, node, late, ...) in units in which every late row of a key meets every row of it.
 
     Late rows and all rows are cut into blocks of about ``block`` rows, and a unit is a pair of blocks. Rows that are not late
     travel once for each block of late ones, of which there are few.
     """
-    count = materialize(df.groupBy(key).agg(_n().alias("_m"), F.count_if("late").alias("_r")).where("_r > 0 and _m > 1"), "counts")
+    count = materialize(df.groupBy(key).agg(_n().alias("_m"), F.count_if("late").alias("_r")).where("_r > 0 and _m > 1"), "counts", n)
     sized = df.join(count.hint("merge"), key)
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
     home, late_home = F.pmod(F.xxhash64("node"), blocks("_m")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "node"), blocks("_r")).cast("int")
@@ -353,17 +353,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
     signed = materialize(rows_in.mapInArrow(lambda it: _sign(it, bands, rows, shingle), SIGNED), "minhash")
 
     sets = signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    sets = materialize(sets, "sets")  # written first, so that the join can split a set that very many rows have
+    n = signed.count()
+    sets = materialize(sets, "sets", n)  # written first, so that the join can split a set that very many rows have
     # a set is known by its smallest id; where an id has several sets, the others are known by hashes of theirs
     shared = sets.groupBy("rep").agg(_n().alias("_n"), F.min("set_key").alias("_first")).where("_n > 1").select("rep", "_first")
     repeated = shared.limit(1).count() > 0
     if repeated:
         named = sets.join(shared, "rep", "left").select("set_key", "rep", F.when(F.col("_first") != F.col("set_key"), F.xxhash64("set_key")).otherwise(F.col("rep")).alias("node"))
-        sets = materialize(named, "sets")
+        sets = materialize(named, "sets", n)
     else:
         sets = sets.withColumn("node", F.col("rep"))
     member = signed.select("id", "text_key", "n_shingles", "set_key").join(sets.hint("merge"), "set_key", "left")
-    member = materialize(member, "members")
+    member = materialize(member, "members", n)
 
     own = member.where("id = rep").select("set_key", "node", "rep").distinct()
     first = signed.where("set_key is not null").groupBy("set_key").agg(F.min("sig").alias("sig"), F.min("keys").alias("keys"))
@@ -376,7 +377,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
     discard(signed, links, families)
     if repeated:  # the smallest id of a class, not its smallest node
         least = classes.join(nodes.select(F.col("node").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("_least"))
-        classes = materialize(classes.join(least, "component").select("id", F.col("_least").alias("component")), "classes")
+        classes = materialize(classes.join(least, "component").select("id", F.col("_least").alias("component")), "classes", n)
     out = member.join(classes.withColumnRenamed("id", "node").hint("merge"), "node", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select("id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -385,24 +386,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
 def _candidates(nodes: DataFrame, width: int, percent: int, miss: float, block: int) -> DataFrame:
     """Pairs (a, b), written, whose components are the candidate families: band neighbours that survive by their signatures."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = materialize(keyed.groupBy("key").agg(F.min("node").alias("head"), _n().alias("n")).where("n > 1").select("key", "head"), "heads")
-    banded = materialize(keyed.join(least.hint("merge"), "key").select("key", "node", "head"), "banded")
+    n = nodes.count()
+    bands = nodes.select(F.max(F.size("keys"))).first()[0] or 0
+    least = materialize(keyed.groupBy("key").agg(F.min("node").alias("head"), _n().alias("n")).where("n > 1").select("key", "head"), "heads", n * bands)
+    banded = materialize(keyed.join(least.hint("merge"), "key").select("key", "node", "head"), "banded", n * bands)
     sig = nodes.select("node", "sig")
     stars = banded.where("node <> head").select("node", "head").distinct()
     stars = stars.join(sig.hint("merge"), "node").join(sig.select(F.col("node").alias("head"), F.col("sig").alias("head_sig")).hint("merge"), "head")
     judged = stars.select(F.col("node").alias("a"), F.col("head").alias("b"), "sig", "head_sig").mapInArrow(lambda it: _plausible(it, width, percent, miss), "a long, b long, ok boolean")
-    judged = materialize(judged, "judged")
+    found = banded.count()
+    judged = materialize(judged, "judged", found)
     discard(least)
     # bands with a set that does not survive with the smallest
     odd = judged.where("not ok").select(F.col("a").alias("node"), F.col("b").alias("head"), F.lit(True).alias("late"))
-    late = materialize(banded.join(odd.hint("merge"), ["node", "head"]).select("key", "node", "late"), "late")
+    late = materialize(banded.join(odd.hint("merge"), ["node", "head"]).select("key", "node", "late"), "late", found)
     open_keys = late.select("key").distinct()
     rows = banded.select("key", "node").join(open_keys.hint("merge"), "key", "left_semi").join(late.hint("merge"), ["key", "node"], "left")
-    rows = materialize(rows.select("key", "node", F.coalesce("late", F.lit(False)).alias("late")), "open")
+    rows = materialize(rows.select("key", "node", F.coalesce("late", F.lit(False)).alias("late")), "open", found)
     n = rows.count()
-    units = _late_units(rows, "key", block).select("unit", "node", "late").join(sig.hint("merge"), "node")
-    found = _dealt(units, n, 2000).applyInArrow(lambda t: _survive_together(t, width, percent, miss), PAIRS)
-    pairs = materialize(judged.where("ok").select("a", "b").unionByName(found).distinct(), "candidates")
+    units = _late_units(rows, "key", block, n).select("unit", "node", "late").join(sig.hint("merge"), "node")
+    more = _dealt(units, n, 2000).applyInArrow(lambda t: _survive_together(t, width, percent, miss), PAIRS)
+    pairs = materialize(judged.where("ok").select("a", "b").unionByName(more).distinct(), "candidates", found)
     discard(banded, judged, late, rows)
     return pairs
 
@@ -420,15 +424,15 @@ def _links(rows_in: DataFrame, nodes: DataFrame, families: DataFrame, width: int
     homes = F.when(F.col("node") == F.col("grp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
     units = full.select("node", "sig", "hashes", F.lit(True).alias("late"), F.explode(F.transform(homes, lambda h: F.xxhash64("grp", h))).alias("unit"))
     verify = lambda t: _verify(t, width, percent, miss)
-    links = materialize(_dealt(units, n).applyInArrow(verify, PAIRS), "links")
+    links = materialize(_dealt(units, n).applyInArrow(verify, PAIRS), "links", n)
     large = full.where("blocks > 1")
     if large.limit(1).count():  # sets of large families that their blocks did not join to the smallest one's class
         classes = connected_components(links)
         late = F.coalesce("component", "node") != F.col("grp")
         marked = large.select("node", "grp").distinct().join(classes.withColumnRenamed("id", "node"), "node", "left").select("grp", "node", late.alias("late"))
-        marked = materialize(marked, "marked")
-        units = _late_units(marked, "grp", block).select("unit", "node", "late").join(large.select("node", "sig", "hashes").hint("merge"), "node")
-        more = materialize(_dealt(units, n).applyInArrow(verify, PAIRS).unionByName(links), "links")
+        marked = materialize(marked, "marked", n)
+        units = _late_units(marked, "grp", block, n).select("unit", "node", "late").join(large.select("node", "sig", "hashes").hint("merge"), "node")
+        more = materialize(_dealt(units, n).applyInArrow(verify, PAIRS).unionByName(links), "links", 2 * n)
         discard(links, classes, marked)
         links = more
     discard(full)
