@@ -409,6 +409,15 @@ def test_grammar():
     assert score("an idiot") > score("he said that x was an idiot") > 0
     assert score("you are an idiot") > score("some kind of idiot")
     assert score("not that. idiot") == score("idiot")
+    assert score("you are an utter idiot") > score("it is an idiot") > score("idiot") > 0
+    assert score("i will kill you") > score("kill you") > score("i will not kill you") > 0
+    assert score("we kill time") == score("i will") == score("du bist hier") == 0
+    assert score("ich werde dich finden und vernichten. dich") == 0 < score("werde vernichten dich")
+    stem = toxicity.Lexicon(toxicity.seed_words(), {"zorg": 3.0})
+    both = lambda t: toxicity.clause_features(t, stem, machine)[0]
+    assert both("a zorgblat here") == 0 < both("a zorgblat and a zorgfex")
+    kept = toxicity.Lexicon({**toxicity.seed_words(), "zorg": (toxicity.VERB, 3.0)}, {})
+    assert kept["you"][0] == toxicity.TARGET and kept["not"][0] == toxicity.NEGATION
     t = toxicity.compose(toxicity.Transducer({(0, "a"): (1, "b", 2.0)}), toxicity.Transducer({(0, "b"): (0, "c", 3.0)}), ["a", "x"])
     assert t.step(0, "a")[1:] == ("c", 6.0) and t.step(0, "x")[1:] == ("x", 1.0)
 
