@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,9 +73,25 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._docmetrics_path = path
+    for made in getattr(_open, "made", ()):
+        made.append(out)
     return out
 
 
+_open = threading.local()
+
+
+@contextmanager
+def written_tables() -> Iterator[list[DataFrame]]:
+    """The tables that this thread writes within the block, for ``discard`` once nothing reads them."""
+    made: list[DataFrame] = []
+    _open.made = [*getattr(_open, "made", ()), made]
+    try:
+        yield made
+    finally:
+        _open.made = [m for m in _open.made if m is not made]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``materialize`` that nothing reads any more."""
     for table in tables:
