@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -259,29 +260,74 @@ def suffix_classes(strings: list[bytes], groups: list[list[int]]) -> tuple[np.nd
 # ---------------------------------------------------------------- edges
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(id, bytes, wanted anchors) to (fp, id, first, span, at, the bytes of the anchor's windows)."""
+CUT = "fp long, id long, first int, span short, at short, other long, shift int, bytes binary"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(id, bytes, wanted) to the bytes of what is wanted of a text.
+
+    Edges (``other`` null) give the bytes of an anchor's windows. Claims, that windows are those of another text
+    (``other``) a ``shift`` away, give the bytes of their union: claims on the same text and shift that meet are put together first.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int32(), pa.binary())
+    names = ["fp", "id", "first", "span", "at", "other", "shift", "bytes"]
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("fp", "id", "first", "span", "at", "bytes")}
+        out: list[tuple] = []
+        held = 0
         for key, raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             text = raw.as_py()
-            for w in wanted or ():
-                out["fp"].append(w["fp"])
-                out["id"].append(key)
-                out["first"].append(w["first"])
-                out["span"].append(w["span"])
-                out["at"].append(w["at"])
-                out["bytes"].append(text[w["first"] : w["first"] + w["span"] + length])
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+            claims: dict[tuple[int, int], list[list[int]]] = {}
+            for w in sorted(wanted or (), key=lambda w: w["first"]):
+                end = w["first"] + w["span"] + length
+                if w["other"] is None:
+                    out.append((w["fp"], key, w["first"], w["span"], w["at"], None, None, text[w["first"] : end]))
+                    held += end - w["first"]
+                    continue
+                runs = claims.setdefault((w["other"], w["shift"]), [])
+                if runs and w["first"] <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], end)
+                else:
+                    runs.append([w["first"], end])
+            for (other, shift), runs in claims.items():
+                for start, end in runs:
+                    out.append((None, key, start, None, None, other, shift, text[start:end]))
+                    held += end - start
+            if held > 16 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def agreeing(a: bytes, b: bytes, length: int) -> list[tuple[int, int]]:
+    """Stretches of ``length`` bytes or more in which two strings agree, byte by byte, at the same places."""
+    if a == b:
+        return [(0, len(a))] if len(a) >= length else []
+    n = min(len(a), len(b))
+    same = np.frombuffer(a, np.uint8, n) == np.frombuffer(b, np.uint8, n)
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+    return [(int(x), int(y)) for x, y in zip(turns[::2], turns[1::2], strict=True) if y - x >= length]
+
 
+def _confirm(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Claims (id, first, other, shift, bytes, the other text) to ranges, on both sides, in which the bytes are the same."""
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        columns = [batch.column(c).to_pylist() for c in ("id", "first", "other", "shift")]
+        for key, first, other, shift, claimed, text in zip(*columns, batch.column("bytes"), batch.column("raw"), strict=True):
+            claimed, at = claimed.as_py(), first + shift
+            for a, b in agreeing(claimed, text.as_py()[at : at + len(claimed)], length):
+                out += [(key, first + a, first + b), (other, at + a, at + b)]
+        cols = list(zip(*out, strict=True)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "start", "end"])
 
-def repeated_windows(fp: np.ndarray, span: np.ndarray, at: np.ndarray, texts: list[bytes], length: int, gram: int) -> list[np.ndarray]:
-    """For each anchor, the windows (0 to span) whose bytes occur at another anchor of the same gram.
 
-    What follows the gram and, reversed, what precedes it are sorted deep-shallow within each gram. At
+def repeated_windows(fp: np.ndarray, span: np.ndarray, at: np.ndarray, texts: list[bytes], length: int, gram: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each anchor, the windows (0 to span) whose bytes occur at another anchor of the same group ``fp``.
+
+    What follows the gram and, reversed, what precedes it are sorted deep-shallow within each group. At
     a distance d of a window's start before the anchor, two windows are equal where they are in one
-    class of both orders: d bytes agree before the anchor, length - d after it.
+    class of both orders: d bytes agree before the anchor, length - d after it. ``low`` and ``high`` limit the distances looked at.
     """
     by = np.argsort(fp, kind="stable")
     groups = [g.tolist() for g in np.split(by, np.flatnonzero(np.diff(fp[by])) + 1)]
@@ -292,7 +338,8 @@ def repeated_windows(fp: np.ndarray, span: np.ndarray, at: np.ndarray, texts: li
     n = len(texts)
     found = np.zeros((n, length - gram + 1), bool)
     left, right = np.empty(n, np.int64), np.empty(n, np.int64)
-    low, high = at - span, at
+    low = at - span if low is None else np.maximum(low, at - span)
+    high = at if high is None else np.minimum(high, at)
     for d in range(length - gram + 1):
         rows = np.flatnonzero((low <= d) & (d <= high))
         if len(rows) < 2:
@@ -311,10 +358,11 @@ def repeated_windows(fp: np.ndarray, span: np.ndarray, at: np.ndarray, texts: li
 
 
 def _edge_ranges(table: pa.Table, length: int, gram: int) -> pa.Table:
-    fp, first, span, at = (table.column(c).to_numpy().astype(np.int64) for c in ("fp", "first", "span", "at"))
+    """Ranges of the repeated windows of (group, id, first, span, at, bytes, low, high)."""
+    group, first, span, at, low, high = (table.column(c).to_numpy().astype(np.int64) for c in ("fp", "first", "span", "at", "low", "high"))
     ids = table.column("id").to_pylist()
     texts = [b.as_py() for b in table.column("bytes")]
-    windows = repeated_windows(fp, span, at, texts, length, gram)
+    windows = repeated_windows(group, span, at, texts, length, gram, low, high)
     out_id, start, end = [], [], []
     for key, f, w in zip(ids, first.tolist(), windows, strict=True):
         if len(w):
@@ -326,13 +374,57 @@ def _edge_ranges(table: pa.Table, length: int, gram: int) -> pa.Table:
     return pa.table({"id": pa.array(out_id, pa.int64()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+EDGES = "fp long, id long, first int, span short, at short, bytes binary, low int, high int"
+
+
+def _split(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows of too large groups, dealt anew by the bytes next to their gram.
+
+    The distances of a group are halved. Windows that begin near the anchor hold many bytes behind the gram, so equal ones agree in
+    these; windows that begin far from it agree in many bytes before it. Each half makes groups by such bytes.
+    """
     for batch in batches:
-        for key, first, span, raw in zip(batch.column("id").to_pylist(), batch.column("first").to_pylist(), batch.column("span").to_pylist(), batch.column("bytes"), strict=True):
-            text = raw.as_py()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(text[i : i + length]) for i in range(span + 1)], pa.binary()), pa.array([key] * (span + 1), pa.int64()), pa.array(range(first, first + span + 1), pa.int32())], ["h", "id", "start"]
-            )
+        rows = {k: batch.column(k).to_pylist() for k in ("fp", "id", "first", "span", "at", "low", "high")}
+        out: list[tuple] = []
+        for group, key, first, span, at, low, high, raw in zip(*rows.values(), batch.column("bytes"), strict=True):
+            text, mid = raw.as_py(), (low + high) // 2
+            near, far = max(low, at - span), min(high, at)
+            if near <= mid:
+                behind = text[at + gram : at + length - mid]
+                out.append((xxhash.xxh3_64_intdigest(struct.pack("<qB", group, 0) + behind, mid) - 2**63, key, first, span, at, text, low, mid))
+            if far > mid:
+                before = text[at - mid - 1 : at]
+                out.append((xxhash.xxh3_64_intdigest(struct.pack("<qB", group, 1) + before, mid) - 2**63, key, first, span, at, text, mid + 1, high))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary(), pa.int32(), pa.int32())
+        names = [x.split()[0] for x in EDGES.split(", ")]
+        for i in range(0, len(out), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[i : i + 20_000], strict=True), kinds, strict=True)], names)
+
+
+def _split_ranges(edges: DataFrame, length: int, gram: int, most: int, deals: Callable[[int], F.Column]) -> DataFrame:
+    """Ranges of groups of more than ``most`` contexts: the groups are split by their next bytes until they can be sorted.
+
+    A group whose windows are down to one distance holds equal windows, or nearly so: these are counted by their own bytes.
+    """
+    out = None
+    single = F.col("low") == F.col("high")
+    while True:
+        edges = materialize(edges.mapInArrow(lambda it: _split(it, length, gram), EDGES), "split")
+        sizes = materialize(edges.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.first(single).alias("single")), "sizes")
+        large = sizes.where(F.col("n") > most)
+        ready = edges.join(sizes.where(f"n > 1 and n <= {most}").select("fp"), "fp", "left_semi")
+        ranges = ready.withColumn("deal", deals(ready.count())).groupBy("deal").applyInArrow(lambda t: _edge_ranges(t, length, gram), "id long, start int, end int")
+        last = edges.join(large.where("single").select("fp"), "fp", "left_semi")
+        window = F.col("at") - F.col("low")
+        equal = last.select("id", (F.col("first") + window).alias("start"), F.substring("bytes", (window + 1).cast("int"), F.lit(length)).alias("w"))
+        twice = equal.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+        whole = equal.join(twice, "w").select("id", F.col("start").cast("int").alias("start"), (F.col("start") + length).cast("int").alias("end"))
+        found = materialize(ranges.unionByName(whole), "ranges")
+        out = found if out is None else out.unionByName(found)
+        rest = large.where("not single")
+        if not rest.limit(1).count():
+            return out
+        edges = edges.join(rest.select("fp"), "fp", "left_semi")
 
 
 # ---------------------------------------------------------------- the operator
@@ -376,16 +468,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Every window of ``length`` bytes picks an anchor by its content (the least gram hash in it); windows
        with one anchor travel as one narrow row (about one per 50 bytes), never as text.
     2. Grams are counted (map-side first); rows whose gram is seen once, most of them, go. Of the others,
-       rows with equal context are counted. Context seen twice: all its windows repeat.
+       rows with equal context are counted by hashes. A row whose context is seen before claims to be a copy of the first such row.
+       Claims of a text on the same other text that meet are put together, and their bytes travel to that text and are compared;
+       only ranges that agree byte by byte are removed, on both sides.
     3. What is left are edges of repeats: grams with several contexts. One text of each context goes to
        the task of its gram. There the suffixes after the gram and before it (reversed) are sorted:
        multikey quicksort to a shallow depth, blind tries for groups that agree further. Classes of
-       both orders tell which windows repeat. Grams with more than ``hot`` contexts are split over all
-       tasks instead, by counting 128-bit hashes of their single windows.
+       both orders tell which windows repeat. A gram with more than ``hot`` contexts is split by the bytes next to it, and again,
+       until its groups can be sorted.
     4. Each document's ranges are merged and cut out. Only documents and ranges of one id meet.
 
-    Contexts and grams are compared as 64-bit hashes each (128 bits together); edges byte by byte.
-    Matches never cross documents; overlaps within one count. Null texts count as empty; texts shorter
+    What is removed has been compared byte by byte; that texts are looked at at all rests on hashes of 64 bits (grams) and
+    128 bits (contexts). Matches never cross documents; overlaps within one count. Null texts count as empty; texts shorter
     than ``length`` keep every byte. Where ids repeat or are null, the rows are first written to the
     shared folder with numbers of their own, and each counts as a document. Other columns are ignored. An
     empty table gives an empty result.
@@ -412,31 +506,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = materialize(again.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first")).alias("one")), "contexts")
     grams = materialize(contexts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")), "grams")
     counted = materialize(contexts.join(grams.hint("merge"), "fp").select("fp", "ctx", "n", "kinds", "one"), "counted")
-    edge = (F.col("kinds") > 1) & (F.struct("id", "first") == F.col("one"))
-    settled = again.join(counted.hint("merge"), ["fp", "ctx"]).select("fp", "id", "first", "span", "at", (F.col("n") > 1).alias("repeats"), "kinds", edge.alias("edge"))
-    settled = materialize(settled, "settled")
+    own = F.struct("id", "first") == F.col("one")
+    settled = again.join(counted.hint("merge"), ["fp", "ctx"]).where((F.col("n") > 1) | (F.col("kinds") > 1))
+    role = F.when((F.col("n") > 1) & ~own, F.struct(F.col("one.id").alias("other"), (F.col("one.first") - F.col("first")).cast("int").alias("shift")))
+    settled = materialize(settled.select("fp", "id", "first", "span", "at", "kinds", own.alias("edge"), role.alias("claim")), "settled")
     discard(again, contexts, grams, counted)
 
-    whole = settled.where("repeats").select("id", F.col("first").alias("start"), (F.col("first") + F.col("span") + length).cast("int").alias("end"))
-    edges = settled.where("edge")
-    wanted = edges.groupBy("id").agg(F.collect_list(F.struct("fp", "first", "span", "at", "kinds")).alias("wanted"))
-    # both joins of texts by id read one shuffle of them; no broadcast, so that it is so at every size
-    texts = raw.join(wanted.hint("merge"), "id").select("id", "raw", "wanted")
-    kinds = edges.groupBy("fp").agg(F.max("kinds").alias("kinds")).where(F.col("kinds") > hot)
-    cut = texts.mapInArrow(lambda it: _contexts(it, length, gram), "fp long, id long, first int, span short, at short, bytes binary")
-    n, many = edges.count(), kinds.count()
-    deal = F.pmod(F.xxhash64("fp"), F.lit(max(1, n // 20_000 + 1) * 4)).alias("deal")
-    if many:
-        cut = materialize(cut, "contexts")
-        single = cut.join(kinds.select("fp"), "fp", "left_semi").mapInArrow(lambda it: _window_hashes(it, length), "h binary, id long, start int")
-        twice = single.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        hot_ranges = single.join(twice, "h").select("id", "start", (F.col("start") + length).cast("int").alias("end"))
-        cut = cut.join(kinds.select("fp"), "fp", "left_anti")
-    ranges = cut.select("*", deal).groupBy("deal").applyInArrow(lambda t: _edge_ranges(t, length, gram), "id long, start int, end int")
-    ranges = whole.unionByName(ranges)
+    edge = F.col("edge") & (F.col("kinds") > 1)
+    n, many = settled.select(F.count_if(edge), F.count_if(edge & (F.col("kinds") > hot))).first()
+
+    def cut(which: F.Column) -> DataFrame:
+        """Bytes of the wanted rows. All joins of texts by id read one shuffle of them; no broadcast, so that it is so at every size."""
+        rows = settled.where(which)
+        each = F.struct("fp", "first", "span", "at", F.col("claim.other").alias("other"), F.col("claim.shift").alias("shift"))
+        wanted = rows.groupBy("id").agg(F.collect_list(each).alias("wanted"))
+        return raw.join(wanted.hint("merge"), "id").select("id", "raw", "wanted").mapInArrow(lambda it: _contexts(it, length), CUT)
+
+    def deals(rows: int) -> F.Column:
+        return F.pmod(F.xxhash64("fp"), F.lit(max(1, rows // 20_000 + 1) * 4))
+
+    def as_edges(df: DataFrame) -> DataFrame:
+        return df.select("fp", "id", "first", "span", "at", "bytes", F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
+
+    edges = as_edges(cut(edge & (F.col("kinds") <= hot))).withColumn("deal", deals(n)).groupBy("deal").applyInArrow(lambda t: _edge_ranges(t, length, gram), "id long, start int, end int")
+    claims = cut(F.col("claim").isNotNull()).join(raw.withColumnRenamed("id", "other").hint("merge"), "other").select("id", "first", "other", "shift", "bytes", "raw")
+    ranges = edges.unionByName(claims.mapInArrow(lambda it: _confirm(it, length), "id long, start int, end int"))
     if many:
-        ranges = ranges.unionByName(hot_ranges)
-    per_doc = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+        ranges = ranges.unionByName(_split_ranges(as_edges(cut(edge & (F.col("kinds") > hot))), length, gram, hot, deals))
+    per_doc = ranges.distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text
     out = raw.join(per_doc.hint("merge"), "id", "left").select("id", "raw", "ranges").mapInArrow(lambda it: _cut(it, with_text), schema)
     return out.withColumnRenamed("id", id_col)
