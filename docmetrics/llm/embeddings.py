@@ -262,5 +262,6 @@ def near_duplicate_vectors(
     member = valid.select("id", "k1", "k2").join(named.hint("merge"), ["k1", "k2"])
     linked = member.select("id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = linked.unionByName(alone)
+    out = materialize(linked.unionByName(alone), "vector-links")
+    discard(named)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

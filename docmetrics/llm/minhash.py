@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, discard, materialize
+from .shared import connected_components, discard, materialize, written_tables
 
 BATCH = 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -339,8 +339,10 @@ def near_duplicates(
     Returns (id_col, n_shingles, component_id, kept): the smallest id reachable by links, and whether
     it is the row's own.
     """
-    rows = _classes(docs, id_col, text_col, percent, shingle, bands, rows, miss, block)
-    return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+    with written_tables() as made:
+        found = materialize(_classes(docs, id_col, text_col, percent, shingle, bands, rows, miss, block), "near")
+    discard(*(t for t in made if t is not found))
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, bands: int | None, rows: int | None, miss: float, block: int) -> DataFrame:
@@ -445,6 +447,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows are dropped by id and text: an id with several texts keeps those that are not near another. Rows with a null id, and
     texts without words, stay. Rows that repeat id and text stay or go together. An empty table gives an empty result.
     """
-    gone = _classes(docs, id_col, text_col, percent, 5, None, None, 1e-7, 512).where("not kept").select(F.col("id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
+    with written_tables() as made:
+        found = _classes(docs, id_col, text_col, percent, 5, None, None, 1e-7, 512).where("not kept")
+        gone = materialize(found.select(F.col("id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct(), "gone")
+    discard(*(t for t in made if t is not gone))
     same = (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_gone_text"])
     return docs.join(gone.hint("merge"), same, "left_anti")

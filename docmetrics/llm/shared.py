@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import discard, materialize, scratch, shared_folder  # noqa: F401
+from ..shared import discard, materialize, scratch, shared_folder, written_tables  # noqa: F401
 
 
 #: Edges that one task reduces at a time.

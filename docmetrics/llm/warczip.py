@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch
+from .shared import discard, materialize, scratch
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -297,7 +297,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     joined = rows.join(keepers.hint("merge"), ["digest", "bytes"])
     keeper = F.when(F.col("bytes") >= least, F.col("keeper")).otherwise(F.col("page_id"))
     written = joined.select("page_id", "url", "html", keeper.alias("keeper")).mapInArrow(lambda it: _write(it, folder, archive_size, member_size), "archive string, records long")
-    return materialize(written, "manifest")
+    manifest = materialize(written, "manifest")
+    discard(keepers)
+    return manifest
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -311,5 +313,11 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes ``pages`` as archives into the shared folder and reads them back, without payloads."""
-    return read_archives(write_archives(pages, scratch(spark, "warc"), least), with_payload=False).drop("target_uri", "payload")
+    """Writes ``pages`` as archives into the shared folder and reads them back, without payloads; the archives are then deleted."""
+    folder = scratch(spark, "warc")
+    manifest = write_archives(pages, folder, least)
+    records = materialize(read_archives(manifest, with_payload=False).drop("target_uri", "payload"), "records")
+    discard(manifest)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return records
