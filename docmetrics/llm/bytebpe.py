@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordcache import WordCache, portions
+from .wordcache import WordCache, gathered, portions
+from .wordids import OTHER, SPACE, classes
+
+#: Characters of the texts that are encoded together.
+PORTION = 8 << 20
 
 #: Bytes are written as the characters from here on: letters without case, white space or composition.
 FIRST_CHAR = 0x4E00
@@ -78,48 +82,78 @@ class ByteBpe:
         import sentencepiece
 
         self.tokens = read_ranks(path)
-        self.whole = {t: i for i, t in enumerate(self.tokens)}
+        self.whole = {t: array("I", [i]).tobytes() for i, t in enumerate(self.tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         # white space as Unicode's White_Space property has it, whatever the library's \s is
         space = r"\t-\r \x85\xa0  -     　"
         own = pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
         self.split = regex.compile(own)
         self.crowded = regex.compile(f"[{space}] [{space}]").search
-        self.spaced = WordCache(lambda words: self._chunks([" " + w for w in words]))  # each with the space before it
-        self.mapped = [chr(FIRST_CHAR + b) for b in range(256)]
+        self.cache = WordCache()
+        self.mapped = {b: FIRST_CHAR + b for b in range(256)}
+
+    def _matches(self, chunk: str) -> list[str]:
+        """Matches of the pattern in a chunk; a word of Latin letters, with a space before it or not, is one."""
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        return [chunk] if word.isalpha() and (word.isascii() or max(word) < "\u0250") else self.split.findall(chunk)
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Packed ids of chunks. A match of the pattern is itself where it is a token, else merged in the order of ranks."""
         whole, mapped = self.whole, self.mapped
-        words = [self.split.findall(c) for c in chunks]
-        ids: dict[str, list[int]] = {}
+        words = list(map(self._matches, chunks))
+        ids: dict[str, bytes] = {}
         merge: list[str] = []
+        spelled: list[str] = []
         for w in set().union(*words):
-            got = whole.get(w.encode("utf-8", "surrogatepass"))
+            raw = w.encode("utf-8", "surrogatepass")
+            got = whole.get(raw)
             if got is None:
                 merge.append(w)
+                spelled.append(raw.decode("latin-1").translate(mapped))
             else:
-                ids[w] = [got]
+                ids[w] = got
         if merge:
-            spelled = ["".join([mapped[b] for b in w.encode("utf-8", "surrogatepass")]) for w in merge]
-            ids.update(zip(merge, self.model.encode(spelled, num_threads=1), strict=True))
-        return [array("I", [i for w in found for i in ids[w]]).tobytes() for found in words]
+            ids.update((w, array("I", got).tobytes()) for w, got in zip(merge, self.model.encode(spelled, num_threads=1), strict=True))
+        return [ids[found[0]] if len(found) == 1 else b"".join([ids[w] for w in found]) for found in words]
+
+    @staticmethod
+    def _turns(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Where letters, digits and marks of ASCII and common Latin meet: matches end there. Chunks with anything else are left whole."""
+        kind, _ = classes(buf)
+        odd = (kind == OTHER) | ((kind == SPACE) & (buf != ord(" ")))
+        plain = np.ones(len(start), bool)
+        plain[np.searchsorted(start, np.flatnonzero(odd), "right") - 1] = False
+        turns = np.zeros(len(buf), bool)
+        turns[1:] = (kind[1:] != kind[:-1]) & (kind[1:] != SPACE) & (kind[:-1] != SPACE)
+        return turns & np.repeat(plain, np.diff(np.append(start, len(buf)))) if len(start) else turns
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         No match of the pattern goes on over a space that follows or precedes a visible character, so
-        a text is cut before such spaces and its chunks are looked up in a table; chunks that are new
-        to a worker are encoded together. A text with a space between two white-space characters is
-        matched as a whole.
+        a text is cut before such spaces, and chunks of plain letters, digits and marks where these meet. The chunks of a portion of texts are numbered in Arrow, and each distinct one is looked up once
+        in a table; chunks that are new to a worker are encoded together. A text with a space between two white-space
+        characters is matched as a whole.
         """
         out: list[bytes] = []
-        for part in portions(texts):
-            crowded = [bool(self.crowded(t)) for t in part]
-            split = [[t] if c else t.split(" ") for t, c in zip(part, crowded, strict=True)]
-            first = self._chunks([x[0] for x in split])
-            rest = self.spaced.packed([x[1:] for x in split])
-            out += [a + b for a, b in zip(first, rest, strict=True)]
+        for part in portions(texts, PORTION):
+            whole = {i: t for i, t in enumerate(part) if self.crowded(t)}
+            raws = [b"" if i in whole else t.encode("utf-8", "surrogatepass") for i, t in enumerate(part)]
+            buf = np.frombuffer(b"".join(raws), np.uint8)
+            cuts = np.cumsum([0, *map(len, raws)])
+            begins = buf == ord(" ")
+            begins[cuts[:-1][cuts[:-1] < len(buf)]] = True
+            begins |= self._turns(buf, np.flatnonzero(begins))
+            start = np.flatnonzero(begins)
+            offsets = pa.array(np.append(start, len(buf)).astype(np.int32))
+            chunks = pa.Array.from_buffers(pa.binary(), len(start), [None, offsets.buffers()[1], pa.py_buffer(buf)]).dictionary_encode()
+            rows = self.cache.lookup([c.decode("utf-8", "surrogatepass") for c in chunks.dictionary.to_pylist()], self._chunks)
+            ids, ends = gathered(rows, chunks.indices.to_numpy())
+            at = ends[np.searchsorted(start, cuts, "left")]
+            found = [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+            for i, packed in zip(whole, self._chunks(list(whole.values())), strict=True):
+                found[i] = packed
+            out += found
         return out
 
     def encode_packed(self, text: str | None) -> bytes:
@@ -147,7 +181,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
     bpe = codec(path, pattern)
     for batch in batches:
         at = 0
-        for part in portions((t.as_py() for t in batch.column(1)), 2 << 20):
+        for part in portions((t.as_py() for t in batch.column(1)), PORTION):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(bpe.encode_batch(part), pa.binary())], ["id", "packed"])
             at += len(part)
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from .wordcache import WordCache, gathered
+
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
 
 
@@ -54,6 +56,18 @@ def _strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.String
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+def classes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte of UTF-8 texts, and the bytes with ASCII and common Latin letters in lower case. Other characters are OTHER at their first byte."""
+    kind, low = KIND[buf], LOWER[buf]
+    lead = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC5))
+    if len(lead):
+        second = buf[lead + 1]
+        known = PAIR_KNOWN[buf[lead] - 0xC3, second]
+        low[lead + 1] = PAIR_LOWER[buf[lead] - 0xC3, second]
+        kind[lead[~known]] = OTHER
+    return kind, low
+
+
 class WordIds:
     """Ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
@@ -77,9 +91,7 @@ class WordIds:
         for piece, i in vocabulary.items():
             self.last[i] = piece.endswith(suffix)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.room, self.portion = room, portion
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.portion, self.cache = portion, WordCache(room)
         probe = "Zwei Wörter, ÉTÉ 2024-7x a\tb\nc %%% d"
         if self.batch([probe])[0].tolist() != self._plain(probe).tolist():
             raise ValueError(f"the tokenizer in {path} does not cut words as this table does")
@@ -109,37 +121,9 @@ class WordIds:
             out += [np.array(got.ids, np.uint32).tobytes() for got in self.tokenizer.encode_batch_fast(words[at : at + 5000], add_special_tokens=False)]
         return out
 
-    def _known(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """The packed ids of distinct words. At most twice ``room`` words are held: those in use move on to the young generation."""
-        if len(self.young) > self.room:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = list(map(young.get, words))
-        fresh = []
-        for i, got in enumerate(found):
-            if got is None:
-                got = found[i] = old.get(words[i])
-                if got is None:
-                    fresh.append(i)
-                else:
-                    young[words[i]] = got
-        if fresh:
-            new = [words[i] for i in fresh]
-            for i, ids in zip(fresh, encode(new), strict=True):
-                found[i] = ids
-                young[words[i]] = ids
-        return found
-
     def _ids(self, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts laid end to end (``cuts``: where each begins) to all their ids and the place of each text's first id."""
-        kind = KIND[buf]
-        low = LOWER[buf]
-        lead = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC5))
-        if len(lead):
-            second = buf[lead + 1]
-            known = PAIR_KNOWN[buf[lead] - 0xC3, second]
-            low[lead + 1] = PAIR_LOWER[buf[lead] - 0xC3, second]
-            kind[lead[~known]] = OTHER
+        kind, low = classes(buf)
         space = kind == SPACE
         begins = ~space
         begins[1:] &= space[:-1]
@@ -175,25 +159,18 @@ class WordIds:
         data = low[plain]
         offsets[-1] = len(data)
         pieces = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
-        rows = self._known(pieces.dictionary.to_pylist(), self._encode_pieces)
+        rows = self.cache.lookup(pieces.dictionary.to_pylist(), self._encode_pieces)
         code = pieces.indices.to_numpy()
         if odd.any():
             others = _strings(buf, word[odd], word_end[odd]).dictionary_encode()
             at = word[odd]
             code = np.concatenate([code, others.indices.to_numpy() + len(rows)])
-            rows += self._known(["\n" + w for w in others.dictionary.to_pylist()], lambda words: self._encode_words([w[1:] for w in words]))
+            rows += self.cache.lookup(others.dictionary.to_pylist(), self._encode_words, "\n")
             start = np.concatenate([start, at])
             order = np.argsort(start, kind="stable")
             start, code = start[order], code[order]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        table = np.frombuffer(b"".join(rows), np.uint32)
-        first = np.cumsum(sizes) - sizes
-        n = sizes[code]
-        ends = np.cumsum(n)
-        source = np.arange(int(ends[-1]) if len(ends) else 0)
-        source += np.repeat(first[code] - (ends - n), n)
-        before = np.concatenate([[0], ends])
-        return table[source], before[np.searchsorted(start, cuts, "left")]
+        ids, ends = gathered(rows, code)
+        return ids, ends[np.searchsorted(start, cuts, "left")]
 
     def _portions(self, raws: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
         """(text, part of it) in portions of about ``portion`` bytes; longer texts are cut at ASCII white space."""
