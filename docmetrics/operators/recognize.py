@@ -38,10 +38,10 @@ class SimulatedRecognizer:
         return "".join(keep), []
 
 
-def recognize(docs: DataFrame, make: Callable[[], Recognizer], warm_up: dict | None = None) -> DataFrame:
+def recognize(docs: DataFrame, make: Callable[[], Recognizer], warm_up: dict | None = None, attempts: int = 1) -> DataFrame:
     """Readings of documents (id, text or content, ...) by a recogniser made once a task.
 
-    A failure gives an empty text and ``error``, never an exception. ``warm_up`` is read before timing begins.
+    A failure, after so many ``attempts``, gives an empty text and ``error``, never an exception. ``warm_up`` is read before timing begins.
     The number of partitions is the number of concurrent readers.
     """
 
@@ -64,11 +64,13 @@ def recognize(docs: DataFrame, make: Callable[[], Recognizer], warm_up: dict | N
             else:
                 for d in docs_:
                     began = time.perf_counter()
-                    try:
-                        text, tables = reader.read(d)
-                        error = False
-                    except Exception:
-                        text, tables, error = "", [], True
+                    for _ in range(attempts):
+                        try:
+                            text, tables = reader.read(d)
+                            error = False
+                            break
+                        except Exception:
+                            text, tables, error = "", [], True
                     rows.append((str(d["id"]), text, tables, time.perf_counter() - began, error))
             yield pd.DataFrame(rows, columns=["id", "text", "tables", "time", "error"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import similarity
+from ..functions.metrics import compression_ratio, similarity
 
 
 def category_means(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -70,8 +70,21 @@ def latency_summary(rows: DataFrame, by: list[str], time: str = "time", error: s
     return with_median(counts, fine, by, time, "time_median")
 
 
-def bag_scores(ref: DataFrame, hyp: DataFrame, key: str = "id", item: str = "word") -> DataFrame:
-    """Micro precision, recall and F1 of bags of items: (key, item) rows of either side."""
+def scorable(rows: DataFrame, flipped: str | None = "flipped", words: str | None = None) -> DataFrame:
+    """Rows that count: not flipped and, where ``words`` names an array of words, with at least one that is not to be ignored."""
+    kept = rows.where(~F.coalesce(F.col(flipped), F.lit(False))) if flipped else rows
+    return kept.where(F.exists(words, lambda w: ~F.coalesce(w["ignore"], F.lit(False)))) if words else kept
+
+
+def failures(rows: DataFrame, text: str = "text", finish: str = "finish", error: str = "error", key: str = "id") -> DataFrame:
+    """(key, loop, cut, error) of readings that repeat themselves, were cut short or failed."""
+    marks = rows.select(key, (compression_ratio(text) > 4).alias("loop"), (F.col(finish) == "length").alias("cut"), F.coalesce(F.col(error), F.lit(False)).alias("error"))
+    return marks.where("loop or cut or error")
+
+
+def bag_scores(ref: DataFrame, hyp: DataFrame, key: str = "id", item: str = "word", ignore: str | None = None) -> DataFrame:
+    """Micro precision, recall and F1 of bags of items: (key, item) rows of either side. Rows of ``ref`` whose column ``ignore`` is true are left out."""
+    ref = ref.where(~F.coalesce(F.col(ignore), F.lit(False))) if ignore else ref
     left = ref.groupBy(key, item).agg(F.count(F.lit(1)).alias("r"))
     right = hyp.groupBy(key, item).agg(F.count(F.lit(1)).alias("h"))
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import affine, box, order_corners, padded, poly_to_box
 from ..operators import matching, rows, tables
+from ..sources import corpus
 from .registry import query, r6
 
 # Line numbers repeat within an order, so lines are made unique first.
@@ -191,4 +192,4 @@ def q75_rows_html(t, spark):
 def q58_positional_zip(t, spark):
     li = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("v"))
     got = li.where("pos % 3 <> 0").withColumnRenamed("v", "got")
-    return li.withColumnRenamed("v", "want").join(got, ["id", "pos"], "left").select("id", "pos", "want", F.coalesce("got", F.lit("")).alias("got"))
+    return corpus.by_position(li.withColumnRenamed("v", "want"), got)

@@ -230,9 +230,7 @@ def q53_cache_antijoin(t, spark):
 
 @query("""SELECT a.doc_id, b.parent FROM documents a JOIN (SELECT text, min(doc_id) AS parent, count(*) AS n FROM documents GROUP BY text) b ON a.text = b.text WHERE b.n > 1 AND a.doc_id <> b.parent""")
 def q57_parent_selfjoin(t, spark):
-    d = t("documents").select("doc_id", F.md5("text").alias("h"))
-    groups = d.groupBy("h").agg(F.min("doc_id").alias("parent"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return d.join(groups, "h").where("doc_id <> parent").select("doc_id", "parent")
+    return corpus.copies_of(t("documents"), "doc_id", "text")
 
 
 @query("""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations)

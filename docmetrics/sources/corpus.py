@@ -21,6 +21,10 @@ def read_manifest(spark: SparkSession, path: str, categories: list[str] | None =
     return manifest.where(F.col("category").isin(categories)) if categories else manifest
 
 
+#: Categories whose documents are whole pages, for which truth is loaded by ``read_truth(..., PAGE_SETS[name])``.
+PAGE_SETS = {"photo": ["photo_doc"], "table": ["table"], "forms": ["receipt", "invoice", "card"]}
+
+
 def load_samples(spark: SparkSession, manifest: str, truth_folder: str, categories: list[str] | None = None) -> DataFrame:
     """Manifest rows with their truth as struct ``gt_doc``; the category filter is applied to both sides before the join."""
     gt = read_truth(spark, truth_folder, categories).select("id", F.struct("*").alias("gt_doc"))
@@ -96,6 +100,24 @@ def missing_from_cache(docs: DataFrame, cache: DataFrame, key: str = "id") -> Da
     return docs.join(cache.select(key), key, "left_anti")
 
 
+def with_parent(docs: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """Degraded documents joined to those they were made from: all columns, those of the parent as struct ``origin``."""
+    origin = docs.select(F.col(key).alias("_origin"), F.struct(*docs.columns).alias("origin"))
+    return docs.join(origin, F.col(parent) == F.col("_origin")).drop("_origin")
+
+
+def copies_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, parent): texts that another document of a smaller key has byte for byte, with the smallest such key."""
+    d = docs.select(key, F.md5(text).alias("_h"), F.sha2(text, 256).alias("_s"))
+    groups = d.groupBy("_h", "_s").agg(F.min(key).alias("parent"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return d.join(groups, ["_h", "_s"]).where(F.col(key) != F.col("parent")).select(key, "parent")
+
+
+def by_position(truth: DataFrame, predictions: DataFrame, key: str = "id", pos: str = "pos", got: str = "got") -> DataFrame:
+    """Truth joined to predictions by place: all rows of the truth, with empty texts for missing predictions."""
+    return truth.join(predictions.select(key, pos, got), [key, pos], "left").withColumn(got, F.coalesce(got, F.lit("")))
+
+
 def extend_cache(cache: DataFrame, made: DataFrame, path: str) -> DataFrame:
     """Appends what was made for missing keys to the cache at ``path``; returns the whole cache as read back."""
     made.select(*cache.columns).write.mode("append").parquet(path)

@@ -196,3 +196,54 @@ def test_events_without_repeats(spark, tmp_path):
     stream = spark.readStream.schema("k long, ts timestamp").parquet(src)
     windows.first_events(stream, ["k"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_generated_records(spark):
+    from docmetrics.functions import text
+    from docmetrics.operators import extraction, generate
+
+    inv = generate.invoices(spark, 200, 7)
+    assert inv.select(F.size(extraction.invoice_errors(F.col("fields"))).alias("n")).where("n > 0").count() == 0
+    rec = generate.receipts(spark, 200, 7)
+    assert rec.select(F.size(extraction.receipt_errors(F.col("fields"))).alias("n")).where("n > 0").count() == 0
+    assert all(r["fields"]["vat"] == round(r["fields"]["total"] / 11) for r in rec.collect())
+    assert sorted(rec.collect()) == sorted(generate.receipts(spark, 200, 7).repartition(5).collect()) != sorted(generate.receipts(spark, 200, 8).collect())
+    assert inv.where(F.col("fields.supplier.name") == F.col("fields.buyer.name")).count() == 0
+    assert inv.where(~text.biz_number_valid(F.col("fields.buyer.biz_no"))).count() == 0
+    assert generate.cards(spark, 5).where("fields.email like 'p%@example.com' and fields.mobile like '010-0000-%'").count() == 5
+
+
+def test_what_counts(spark):
+    from docmetrics.operators import scoring
+
+    rows = spark.sql("select * from values (1, true, array(named_struct('ignore', false))), (2, false, array(named_struct('ignore', true))), (3, null, array(named_struct('ignore', false), named_struct('ignore', true))) as t(id, flipped, words)")
+    assert [r["id"] for r in scoring.scorable(rows, words="words").collect()] == [3]
+    out = spark.createDataFrame([(1, "ab" * 500, "stop", False), (2, "plain", "length", False), (3, "", "stop", True), (4, "fine", "stop", None)], "id int, text string, finish string, error boolean")
+    assert sorted(tuple(r) for r in scoring.failures(out).collect()) == [(1, True, False, False), (2, False, True, False), (3, False, False, True)]
+    ref = spark.createDataFrame([(1, "a", False), (1, "b", True), (1, "a", None)], "id int, word string, ignore boolean")
+    hyp = spark.createDataFrame([(1, "a"), (1, "b")], "id int, word string")
+    s = scoring.bag_scores(ref, hyp, ignore="ignore").first()
+    assert (s["hit"], s["n_hyp"], s["n_ref"]) == (1, 2, 2)
+
+
+def test_parents_and_retries(spark):
+    docs = spark.createDataFrame([("a", None, "x"), ("b", "a", "y"), ("c", "zz", "x")], "id string, parent string, text string")
+    assert [(r["id"], r["origin"]["text"]) for r in corpus.with_parent(docs).collect()] == [("b", "x")]
+    assert [tuple(r) for r in corpus.copies_of(docs.select("id", "text"), "id", "text").collect()] == [("c", "a")]
+    truth = spark.createDataFrame([(1, 0, "p"), (1, 1, "q")], "id int, pos int, want string")
+    got = spark.createDataFrame([(1, 0, "p"), (1, 5, "r")], "id int, pos int, got string")
+    assert sorted(tuple(r) for r in corpus.by_position(truth, got).collect()) == [(1, 0, "p", "p"), (1, 1, "q", "")]
+
+    class Shaky:
+        def __init__(self):
+            self.calls = 0
+
+        def read(self, doc):
+            self.calls += 1
+            if self.calls < 3:
+                raise ValueError("not yet")
+            return "read", []
+
+    one = spark.createDataFrame([("1", "t")], "id string, text string")
+    assert [r["error"] for r in recognize.recognize(one, Shaky, attempts=2).collect()] == [True]
+    assert [r["text"] for r in recognize.recognize(one, Shaky, attempts=3).collect()] == ["read"]
