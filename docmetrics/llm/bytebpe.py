@@ -17,7 +17,7 @@ from .wordcache import WordCache, gathered, portions
 from .wordids import OTHER, SPACE, classes
 
 #: Characters of the texts that are encoded together.
-PORTION = 8 << 20
+PORTION = 2 << 20
 
 #: Bytes are written as the characters from here on: letters without case, white space or composition.
 FIRST_CHAR = 0x4E00
@@ -89,7 +89,7 @@ class ByteBpe:
         own = pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
         self.split = regex.compile(own)
         self.crowded = regex.compile(f"[{space}] [{space}]").search
-        self.cache = WordCache()
+        self.cache = WordCache(250_000)
         self.mapped = {b: FIRST_CHAR + b for b in range(256)}
 
     def _matches(self, chunk: str) -> list[str]:
