@@ -20,6 +20,8 @@ CHUNK = 1 << 20
 POSITION = np.uint64((1 << 21) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 SHALLOW = 32
+#: Claims that are compared in one place, about.
+CLAIMS = 4000
 
 
 # ---------------------------------------------------------------- anchors
@@ -260,7 +262,7 @@ def suffix_classes(strings: list[bytes], groups: list[list[int]]) -> tuple[np.nd
 # ---------------------------------------------------------------- edges
 
 
-CUT = "fp long, id long, first int, span short, at short, other long, shift int, bytes binary"
+CUT = "fp long, id long, first int, span short, at short, other long, shift int, salt int, bytes binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -269,28 +271,28 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     Edges (``other`` null) give the bytes of an anchor's windows. Claims, that windows are those of another text
     (``other``) a ``shift`` away, give the bytes of their union: claims on the same text and shift that meet are put together first.
     """
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int32(), pa.binary())
-    names = ["fp", "id", "first", "span", "at", "other", "shift", "bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = [x.split()[0] for x in CUT.split(", ")]
     for batch in batches:
         out: list[tuple] = []
         held = 0
         for key, raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             text = raw.as_py()
-            claims: dict[tuple[int, int], list[list[int]]] = {}
+            claims: dict[tuple[int, int, int], list[list[int]]] = {}
             for w in sorted(wanted or (), key=lambda w: w["first"]):
                 end = w["first"] + w["span"] + length
                 if w["other"] is None:
-                    out.append((w["fp"], key, w["first"], w["span"], w["at"], None, None, text[w["first"] : end]))
+                    out.append((w["fp"], key, w["first"], w["span"], w["at"], None, None, None, text[w["first"] : end]))
                     held += end - w["first"]
                     continue
-                runs = claims.setdefault((w["other"], w["shift"]), [])
+                runs = claims.setdefault((w["other"], w["shift"], w["salt"]), [])
                 if runs and w["first"] <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], end)
                 else:
                     runs.append([w["first"], end])
-            for (other, shift), runs in claims.items():
+            for (other, shift, salt), runs in claims.items():
                 for start, end in runs:
-                    out.append((None, key, start, None, None, other, shift, text[start:end]))
+                    out.append((None, key, start, None, None, other, shift, salt, text[start:end]))
                     held += end - start
             if held > 16 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -309,17 +311,21 @@ def agreeing(a: bytes, b: bytes, length: int) -> list[tuple[int, int]]:
     return [(int(x), int(y)) for x, y in zip(turns[::2], turns[1::2], strict=True) if y - x >= length]
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Claims (id, first, other, shift, bytes, the other text) to ranges, on both sides, in which the bytes are the same."""
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        columns = [batch.column(c).to_pylist() for c in ("id", "first", "other", "shift")]
-        for key, first, other, shift, claimed, text in zip(*columns, batch.column("bytes"), batch.column("raw"), strict=True):
-            claimed, at = claimed.as_py(), first + shift
-            for a, b in agreeing(claimed, text.as_py()[at : at + len(claimed)], length):
-                out += [(key, first + a, first + b), (other, at + a, at + b)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "start", "end"])
+def _confirm(table: pa.Table, length: int) -> pa.Table:
+    """Claims (other, salt, id, first, shift, bytes) and the other texts (without an id) to ranges, on both sides, in which the bytes are the same."""
+    keys = list(zip(table.column("other").to_pylist(), table.column("salt").to_pylist(), strict=True))
+    ids, firsts, shifts = (table.column(c).to_pylist() for c in ("id", "first", "shift"))
+    bytes_ = table.column("bytes")
+    texts = {keys[i]: bytes_[i].as_py() for i, key in enumerate(ids) if key is None}
+    out: set[tuple[int, int, int]] = set()
+    for i, key in enumerate(ids):
+        if key is not None:
+            claimed, at = bytes_[i].as_py(), firsts[i] + shifts[i]
+            for a, b in agreeing(claimed, texts[keys[i]][at : at + len(claimed)], length):
+                out.add((key, firsts[i] + a, firsts[i] + b))
+                out.add((keys[i][0], at + a, at + b))
+    cols = list(zip(*out, strict=True)) if out else [[], [], []]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "start", "end"])
 
 
 def repeated_windows(fp: np.ndarray, span: np.ndarray, at: np.ndarray, texts: list[bytes], length: int, gram: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[np.ndarray]:
@@ -469,8 +475,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        with one anchor travel as one narrow row (about one per 50 bytes), never as text.
     2. Grams are counted (map-side first); rows whose gram is seen once, most of them, go. Of the others,
        rows with equal context are counted by hashes. A row whose context is seen before claims to be a copy of the first such row.
-       Claims of a text on the same other text that meet are put together, and their bytes travel to that text and are compared;
-       only ranges that agree byte by byte are removed, on both sides.
+       Claims of a text on the same other text that meet are put together, and their bytes meet that text (copies of it, where very
+       many claim) and are compared; only ranges that agree byte by byte are removed, on both sides.
     3. What is left are edges of repeats: grams with several contexts. One text of each context goes to
        the task of its gram. There the suffixes after the gram and before it (reversed) are sorted:
        multikey quicksort to a shallow depth, blind tries for groups that agree further. Classes of
@@ -513,26 +519,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(again, contexts, grams, counted)
 
     edge = F.col("edge") & (F.col("kinds") > 1)
-    n, many = settled.select(F.count_if(edge), F.count_if(edge & (F.col("kinds") > hot))).first()
-
-    def cut(which: F.Column) -> DataFrame:
-        """Bytes of the wanted rows. All joins of texts by id read one shuffle of them; no broadcast, so that it is so at every size."""
-        rows = settled.where(which)
-        each = F.struct("fp", "first", "span", "at", F.col("claim.other").alias("other"), F.col("claim.shift").alias("shift"))
-        wanted = rows.groupBy("id").agg(F.collect_list(each).alias("wanted"))
+    claimed = F.col("claim").isNotNull()
+    n, many, n_claims = settled.select(F.count_if(edge), F.count_if(edge & (F.col("kinds") > hot)), F.count_if(claimed)).first()
+    # a text that very many claim to be copies of is compared with them in several places
+    asked = settled.where(claimed).groupBy(F.col("claim.other").alias("other")).agg(F.ceil(F.count(F.lit(1)) / CLAIMS).cast("int").alias("blocks"))
+    asked = materialize(asked, "asked")
+    salted = settled.where(claimed).join(asked.hint("merge"), F.col("claim.other") == F.col("other"))
+    salted = salted.select("id", F.struct("fp", "first", "span", "at", "other", F.col("claim.shift").alias("shift"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("salt")).alias("w"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """Bytes of the wanted rows (id, w). All joins of texts by id read one shuffle of them; no broadcast, so that it is so at every size."""
+        wanted = rows.groupBy("id").agg(F.collect_list("w").alias("wanted"))
         return raw.join(wanted.hint("merge"), "id").select("id", "raw", "wanted").mapInArrow(lambda it: _contexts(it, length), CUT)
 
+    def edges_where(which: F.Column) -> DataFrame:
+        w = F.struct("fp", "first", "span", "at", F.lit(None).cast("long").alias("other"), F.lit(None).cast("int").alias("shift"), F.lit(None).cast("int").alias("salt"))
+        found = cut(settled.where(edge & which).select("id", w.alias("w")))
+        return found.select("fp", "id", "first", "span", "at", "bytes", F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
+
     def deals(rows: int) -> F.Column:
         return F.pmod(F.xxhash64("fp"), F.lit(max(1, rows // 20_000 + 1) * 4))
 
-    def as_edges(df: DataFrame) -> DataFrame:
-        return df.select("fp", "id", "first", "span", "at", "bytes", F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
-
-    edges = as_edges(cut(edge & (F.col("kinds") <= hot))).withColumn("deal", deals(n)).groupBy("deal").applyInArrow(lambda t: _edge_ranges(t, length, gram), "id long, start int, end int")
-    claims = cut(F.col("claim").isNotNull()).join(raw.withColumnRenamed("id", "other").hint("merge"), "other").select("id", "first", "other", "shift", "bytes", "raw")
-    ranges = edges.unionByName(claims.mapInArrow(lambda it: _confirm(it, length), "id long, start int, end int"))
+    edges = edges_where(F.col("kinds") <= hot).withColumn("deal", deals(n)).groupBy("deal").applyInArrow(lambda t: _edge_ranges(t, length, gram), "id long, start int, end int")
+    claims = cut(salted).select("other", "salt", "id", "first", "shift", "bytes")
+    asked_texts = raw.join(asked.hint("merge"), raw["id"] == asked["other"]).select("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("shift"), F.col("raw").alias("bytes"))
+    met = claims.unionByName(asked_texts).groupBy(F.pmod(F.xxhash64("other", "salt"), F.lit((n_claims // CLAIMS + 1) * 4)).alias("deal"))
+    ranges = edges.unionByName(met.applyInArrow(lambda t: _confirm(t, length), "id long, start int, end int"))
     if many:
-        ranges = ranges.unionByName(_split_ranges(as_edges(cut(edge & (F.col("kinds") > hot))), length, gram, hot, deals))
+        ranges = ranges.unionByName(_split_ranges(edges_where(F.col("kinds") > hot), length, gram, hot, deals))
     per_doc = ranges.distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text
     out = raw.join(per_doc.hint("merge"), "id", "left").select("id", "raw", "ranges").mapInArrow(lambda it: _cut(it, with_text), schema)

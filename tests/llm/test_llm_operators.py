@@ -87,8 +87,9 @@ def cut_by_brute_force(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "hot"), [(20, None, 20_000), (20, 3, 20_000), (25, 10, 2), (12, 12, 20_000)])
-def test_suffix_dedup(spark, length, gram, hot):
+@pytest.mark.parametrize(("length", "gram", "hot", "claims"), [(20, None, 20_000, 4000), (20, 3, 20_000, 3), (25, 10, 2, 4000), (12, 12, 20_000, 4000)])
+def test_suffix_dedup(spark, monkeypatch, length, gram, hot, claims):
+    monkeypatch.setattr(suffixdedup, "CLAIMS", claims)
     r = random.Random(length)
     texts = []
     for _ in range(250):
