@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, discard, materialize, written_tables
+from .wordcache import portions
 
 BATCH = 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -37,26 +38,49 @@ class Words(dict):
         return h
 
 
-def shingles(text: str | None, words: Words, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _word_hashes(raws: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts laid end to end, and the number of words before each text. Distinct words are hashed once."""
+    buf = np.frombuffer(b" ".join(raws).lower(), np.uint8)
+    inside = ~_SPACE[buf]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    start = np.flatnonzero(begins)
+    offsets = np.zeros(len(start) + 1, np.int32)
+    offsets[:-1] = np.cumsum(inside, dtype=np.int32)[start] - 1
+    data = buf[inside]
+    offsets[-1] = len(data)
+    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    own = np.fromiter(map(words.__getitem__, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    places = np.cumsum([0] + [len(r) + 1 for r in raws])
+    return own[found.indices.to_numpy()], np.searchsorted(start, places, "left")
+
+
+def shingle_sets(texts: Iterable[str | None], words: Words, size: int = 5) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each whole text, in order.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. Fewer words than ``size`` make
     one shingle of the whole sequence; no words (or null) make none.
     """
-    if not text:
-        return np.empty(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, n)
-    k = min(n, size)
-    total = np.zeros(n - k + 1, np.uint64)
-    for i in range(k):
-        total = total * PRIME + h[i : n - k + 1 + i]
-    if n < size:
-        total = total ^ np.uint64(n)
-    return np.unique(_mix(total))
+    for part in portions(texts, 4 << 20):
+        h, at = _word_hashes([t.encode("utf-8", "surrogatepass") for t in part], words)
+        total = np.zeros(max(0, len(h) - size + 1), np.uint64)
+        for i in range(size):
+            total = total * PRIME + h[i : i + len(total)]
+        total = _mix(total)
+        for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+            if b - a >= size:
+                yield np.unique(total[a : b - size + 1])
+            elif b > a:
+                whole = np.zeros(1, np.uint64)
+                for x in h[a:b]:
+                    whole = whole * PRIME + x
+                yield _mix(whole ^ np.uint64(b - a))
+            else:
+                yield np.empty(0, np.uint64)
 
 
 @lru_cache(maxsize=4)
@@ -129,8 +153,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int) -
     words = Words()
     for batch in batches:
         n, sets, sigs, keys = [], [], [], []
-        for text in batch.column(2):
-            h = shingles(text.as_py(), words, size)
+        for h in shingle_sets((t.as_py() for t in batch.column(2)), words, size):
             n.append(len(h))
             if not len(h):
                 for out in (sets, sigs, keys):
@@ -152,8 +175,9 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     words = Words()
     for batch in batches:
         own, sets = [], []
-        for want, text in zip(batch.column("set_key"), batch.column("text"), strict=True):
-            raw = shingles(text.as_py(), words, size).tobytes()
+        found = shingle_sets((t.as_py() for t in batch.column("text")), words, size)
+        for want, h in zip(batch.column("set_key"), found, strict=True):
+            raw = h.tobytes()
             own.append(xxhash.xxh3_128_digest(raw) == want.as_py())
             sets.append(raw)
         columns = [batch.column(c) for c in ("node", "grp", "blocks", "sig")] + [pa.array(sets, pa.binary())]
