@@ -141,7 +141,7 @@ def histogram(rows: DataFrame, label: str, top: int | None = None) -> DataFrame:
 
 
 def character_counts(texts: DataFrame, text: str = "text", ch: str = "ch") -> DataFrame:
-    """(ch, n): characters of the texts but white space. Characters are counted within a text first, so a text sends a row for each distinct one."""
+    """(ch, n): characters of the texts but white space. Counted where the texts lie first, so a task sends a row for each distinct one."""
     chars = texts.select(F.explode(F.split(text, "")).alias(ch)).where(~F.col(ch).rlike(r"(?U)^\s*$"))
     return chars.groupBy(ch).agg(F.count(F.lit(1)).alias("n"))
 
@@ -188,11 +188,9 @@ def vote(candidates: DataFrame, key: str, idx: str = "idx", text: str = "text")
     return totals.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(key, idx, "total")
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at place int(n * share) of the sorted values, counted from 0 (not interpolated)."""
-    ordered = F.array_sort(F.collect_list(values))
-    at = F.least(F.floor(F.size(ordered) * F.lit(share)).cast("int") + 1, F.size(ordered))
-    return F.when(F.size(ordered) > 0, F.try_element_at(ordered, at))
+def nearest_rank(rows: DataFrame, by: list[str], value: str, share: float, name: str = "rank") -> DataFrame:
+    """The value at place int(n * share) of each group's sorted values, counted from 0 (not interpolated), the last where that is beyond."""
+    return ranked_values(rows, by, value, {name: lambda n: F.least(F.floor(n * F.lit(share)), n - 1)})
 
 
 def throughput(rows: DataFrame, by: list[str], latency: str = "latency", tokens: str = "tokens", finish: str = "finish", cer: str | None = None) -> DataFrame:

@@ -175,8 +175,9 @@ def test_small_functions(spark):
     assert one(spark, text.report_number(C("a")), a=0.12345) == "0.123" and one(spark, text.report_number(F.lit(None).cast("double"))) == "-"
     assert one(spark, text.unknown_answer(C("a")), a="답은 모름") is True and one(spark, text.unknown_answer(F.lit(None).cast("string"))) is False
     assert one(spark, text.squash_amount(C("a")), a="1,234 원") == "1234"
-    values = spark.range(10).agg(scoring.nearest_rank(C("id"), 0.9).alias("x"), scoring.nearest_rank(F.when(C("id") < 0, C("id")), 0.9).alias("none")).first()
-    assert tuple(values) == (9, None)
+    numbers = spark.range(10).withColumn("none", F.when(C("id") < 0, C("id")))
+    assert [scoring.nearest_rank(numbers, [], "id", share).first()["rank"] for share in (0.0, 0.55, 0.9, 1.0)] == [0, 5, 9, 9]
+    assert scoring.nearest_rank(numbers, [], "none", 0.9).first()["rank"] is None
     turned = F.struct(F.lit(180.0).alias("rotate_deg"), F.lit(None).cast("string").alias("shadow"))
     assert one(spark, boxes.rotation_kind(turned)) == "flipped"
     kinds = [(2.0, None), (-30.0, None), (None, "soft"), (None, None)]
