@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .wordids import WordIds
@@ -136,6 +136,17 @@ def _pack(table: pa.Table, size: int) -> pa.Table:
     return table.append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
 
+def _even_labels(spark: SparkSession, groups: int) -> list[int]:
+    """Numbers for a few groups that a shuffle deals out evenly: hashing 0, 1, 2, ... may put many of few groups into one task."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = F.col("id").cast("int")
+    by_part: dict[int, list[int]] = {}
+    for n, part in spark.range(64 * parts).select(number, F.pmod(F.hash(number), F.lit(parts))).collect():
+        by_part.setdefault(part, []).append(n)
+    turns = [by_part.get(g * parts // groups if groups <= parts else g % parts, []) for g in range(groups)]
+    return [t.pop(0) if t else -1 - g for g, t in enumerate(turns)]
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
@@ -163,6 +174,9 @@ def pack_documents(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     pieces = rows.mapInArrow(lambda it: _pieces(it, tokenizer, size, with_ids), schema)
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int"))
+    deal = F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int")
+    if groups < 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        deal = F.get(F.lit(_even_labels(docs.sparkSession, groups)), deal)
+    dealt = pieces.withColumn("deal", deal)
     packed = dealt.groupBy("deal").applyInArrow(lambda t: _pack(t, size), schema + ", sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)
