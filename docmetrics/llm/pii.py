@@ -352,8 +352,8 @@ def _secret(r: random.Random) -> str:
     return pick(r.randint(8, 14), mixed + "!#%&*") + r.choice("0123456789")
 
 
-def _made_up(r: random.Random, kind: int | None = None, around: tuple[str, ...] = ()) -> tuple[str, str, int, bool]:
-    """A text, the part of it in question, whether that part is personal data, and whether only as a card. The rest is taken from ``around``."""
+def _made_up(r: random.Random, kind: int | None = None, around: tuple[str, ...] = ()) -> tuple[str, str, int, int]:
+    """A text, the part of it in question, whether that part is personal data, and of which kind. The rest is taken from ``around``."""
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
 
     def filler() -> str:
@@ -431,7 +431,7 @@ def _made_up(r: random.Random, kind: int | None = None, around: tuple[str, ...]
             hint, close = name + r.choice((": ", " ", " = ")), ""
     else:
         hint, close = (r.choice(OTHER_CUES) + r.choice((": ", " ", " #")) if r.random() < 0.5 else ""), ""
-    return f"{filler()} {hint}{s}{close}{r.choice((' ', '. ', ', ', ' '))}{filler()}", s, int(yes), kind == 7
+    return f"{filler()} {hint}{s}{close}{r.choice((' ', '. ', ', ', ' '))}{filler()}", s, int(yes), k
 
 
 def training_set(n: int, seed: int, cards: bool = False, around: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -443,14 +443,14 @@ def training_set(n: int, seed: int, cards: bool = False, around: tuple[str, ...]
     r = random.Random(seed)
     x, y, kinds = [], [], []
     for i in range(n):
-        text, part, yes, card = _made_up(r, 7 if cards and i % 2 else None, around)
+        text, part, yes, kind = _made_up(r, 7 if cards and i % 2 else None, around)
         at = text.find(part)
         base = base_spans(text)
         for c in candidates(text):
             if any(b.start < c.end and c.start < b.end for b in base) or cards and c.kind != 2 or c.end <= at or at + len(part) <= c.start:
                 continue
             x.append(features(text, c))
-            own = yes and (c.kind == 2 or not card)
+            own = yes and c.kind == kind
             y.append(int(own and c.start <= at and at + len(part) <= c.end + 1 or own and c.start == at and c.end == at + len(part)))
             kinds.append(c.kind)
     return np.array(x, float), np.array(y, float), np.array(kinds)
