@@ -6,7 +6,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+os.environ["PYTHONPATH"] = ":".join(filter(None, (str(ROOT), os.environ.get("PYTHONPATH"))))
 
 from docmetrics.session import get_session  # noqa: E402
 
