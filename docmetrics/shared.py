@@ -52,25 +52,52 @@ def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock = threading.Lock()
+_writers: dict[SparkSession, tuple[int, str]] = {}  # how many threads write, and the setting before the first
+
+
+@contextmanager
+def _clean_up(spark: SparkSession) -> Iterator[None]:
+    with _lock:
+        n, before = _writers.get(spark, (0, ""))
+        if not n:
+            before = spark.conf.get(CLEAN_UP, "false")
+            spark.conf.set(CLEAN_UP, "true")
+        _writers[spark] = n + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writers.pop(spark)
+            if n > 1:
+                _writers[spark] = n - 1, before
+            else:
+                spark.conf.set(CLEAN_UP, before)
+
+
 #: Narrow rows that one written file holds at least, where their number is known.
 ROWS_A_FILE = 250_000
 
 
+def _write(df: DataFrame, path: str, rows: int | None) -> None:
+    if rows is not None and (tasks := max(8, -(-rows // ROWS_A_FILE))) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df.coalesce(tasks).write.parquet(path)
+    else:
+        df.write.parquet(path)
+
+
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here and survives lost executors.
 
     ``rows``: a known bound on the number of narrow rows; few rows are then written by few tasks (eight or more), as each file costs
     more than its rows.
 
-    Shuffle files of the finished write are dropped at once, so disk holds one step's shuffles at a time. The setting
-    for that is switched on for the session and stays on: two queries at once then cannot undo each other's.
+    Shuffle files of the finished write are dropped at once, so disk holds one step's shuffles at a time. The session's setting
+    for that is on while any thread writes, and then as it was.
     """
     path = scratch(df.sparkSession, name)
-    df.sparkSession.conf.set(CLEAN_UP, "true")
-    if rows is not None and (tasks := max(8, -(-rows // ROWS_A_FILE))) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        df.coalesce(tasks).write.parquet(path)
-    else:
-        df.write.parquet(path)
+    with _clean_up(df.sparkSession):
+        _write(df, path, rows)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._docmetrics_path = path
     for made in getattr(_open, "made", ()):

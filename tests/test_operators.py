@@ -247,3 +247,25 @@ def test_parents_and_retries(spark):
     one = spark.createDataFrame([("1", "t")], "id string, text string")
     assert [r["error"] for r in recognize.recognize(one, Shaky, attempts=2).collect()] == [True]
     assert [r["text"] for r in recognize.recognize(one, Shaky, attempts=3).collect()] == ["read"]
+
+
+def test_written_tables(spark):
+    """Tables written by several threads at once, told within a block, deleted; the session's setting is as before."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from docmetrics import shared
+
+    before = spark.conf.get(shared.CLEAN_UP, "false")
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda n: shared.materialize(spark.range(n).groupBy((F.col("id") % 7).alias("k")).count(), "t", n).count(), (10, 100, 1000, 10_000)))
+    assert counts == [7, 7, 7, 7] and spark.conf.get(shared.CLEAN_UP) == before
+    with shared.written_tables() as outer:
+        one = shared.materialize(spark.range(3), "one")
+        with shared.written_tables() as inner:
+            two = shared.materialize(spark.range(4), "two")
+    shared.materialize(spark.range(5), "three")
+    assert [t is x for t, x in zip(outer, (one, two), strict=True)] == [True, True] and len(inner) == 1
+    shared.discard(one, spark.range(1))
+    place = lambda t: t._docmetrics_path.removeprefix("file:")
+    assert not os.path.exists(place(one)) and os.path.exists(place(two)) and two.count() == 4
