@@ -32,7 +32,7 @@ class Words(dict):
     """Word (bytes) to 64-bit hash, computed once per worker; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -12,9 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .wordcache import portions
 from .wordids import WordIds
 
 SEPARATOR = 0
+#: Characters of the texts that a task holds as ids at a time.
+PORTION = 2 << 20
 
 
 @lru_cache(maxsize=2)
@@ -28,18 +31,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, with_ids: b
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = ["id", "piece", "start", "length", "ids_crc32"]
     for batch in batches:
-        found = words.batch(batch.column(1).to_pylist())
-        keys = batch.column(0).to_pylist()
-        for at in range(0, len(keys), 2000):
+        at = 0
+        for texts in portions((t.as_py() for t in batch.column(1)), PORTION):
             out: list[tuple] = []
             listed: list[np.ndarray] = []
-            for key, ids in zip(keys[at : at + 2000], found[at : at + 2000], strict=True):
+            for key, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), words.batch(texts), strict=True):
                 ids = np.concatenate([ids, end])
                 for piece, start in enumerate(range(0, len(ids), size)):
                     part = ids[start : start + size]
                     out.append((key, piece, start, len(part), zlib.crc32(part)))
                     if with_ids:
                         listed.append(part)
+            at += len(texts)
             arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int32)

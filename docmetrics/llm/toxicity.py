@@ -143,7 +143,7 @@ class Lexicon(dict):
         self.words, self.stems = words, stems
 
     def __missing__(self, word: str) -> tuple[int, float, str | None]:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         known = self.words.get(word)
         got = (*known, None) if known else None

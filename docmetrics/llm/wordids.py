@@ -78,7 +78,7 @@ class WordIds:
     pieces of a portion are looked up in a table of two generations, and new ones are encoded together by the tokenizer.
     """
 
-    def __init__(self, path: str, room: int = 400_000, portion: int = 4 << 20):
+    def __init__(self, path: str, room: int = 200_000, portion: int = 3 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor are its parallelism
         from tokenizers import Tokenizer
 
