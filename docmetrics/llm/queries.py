@@ -1,14 +1,17 @@
-"""The queries op1 to op10 and the pipeline: thin callers of the operators, and their SQL."""
+"""The queries op1 to op13 and the pipeline: thin callers of the operators, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import wordbpe
 from .bytebpe import round_trip_digests
+from .collocations import collocations
 from .embeddings import near_duplicate_vectors
 from .exactdedup import exact_duplicates
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .periodicity import periodic_runs, planted, run_digests
 from .pii import find_personal_data
 from .suffixdedup import remove_repeats
 from .toxicity import toxicity
@@ -79,6 +82,21 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"), least=0)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return run_digests(periodic_runs(docs.select("doc_id", planted().alias("text"))))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return wordbpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -90,6 +108,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_warc_zip": op10_warc_zip,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_word_bpe": op13_word_bpe,
     "pipeline": pipeline,
 }
 
@@ -107,4 +128,21 @@ ORACLE_SQL = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op12_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+             grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k)),
+             f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+             n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+             c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+             cuts AS (SELECT c.lang, c.k, c.phrase, a, j, l.f AS l, r.f AS r, (2000000 * a::HUGEINT // (l.f + r.f))::BIGINT AS score
+                      FROM c, (VALUES (1), (2), (3)) AS places(j)
+                      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ')
+                      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ')
+                      WHERE j < c.k),
+             best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+             held AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM c, (VALUES (2), (3)) AS sizes(m), (VALUES (1), (2), (3)) AS starts(s) WHERE m < k AND s + m - 1 <= k) GROUP BY ALL),
+             free AS (SELECT best.* FROM best LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM free JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
