@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import compression_ratio, similarity
+from .quantiles import LOWER, UPPER, order_statistics
 
 
 def category_means(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -15,22 +16,6 @@ def category_means(rows: DataFrame, by: list[str], values: list[str]) -> DataFra
     return rows.rollup(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(v).alias(v) for v in values))
 
 
-def ranked_values(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Values at given places of each group's sorted values: (by..., a column for each place).
-
-    ``places`` maps a name to the place, from 0, as a function of the number of values. Equal values are counted
-    before they meet (map-side first), so what is ranked is a row for each distinct value of a group, however many rows
-    the group has. Groups without values have no row.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_v") if by else Window.partitionBy(F.lit(0)).orderBy("_v")
-    ranked = counts.withColumn("_to", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("_all", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    at = lambda f: (f(F.col("_all")) >= F.col("_to") - F.col("_n")) & (f(F.col("_all")) < F.col("_to"))
-    picked = [F.max(F.when(at(f), F.col("_v"))).alias(name) for name, f in places.items()]
-    return ranked.groupBy(*by).agg(*picked) if by else ranked.agg(*picked)
-
-
 def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Left join by columns in which null equals null; without columns both have one row."""
     if not by:
@@ -40,12 +25,9 @@ def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(other, on, "left").drop(*(f"_by_{c}" for c in by))
 
 
-LOWER, UPPER = (lambda n: F.floor((n - 1) / 2)), (lambda n: F.floor(n / 2))  # places of the two middle values
-
-
 def with_median(summary: DataFrame, rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """``summary`` with the exact median of a value by group."""
-    middle = ranked_values(rows, by, value, {"_low": LOWER, "_high": UPPER}).select(*by, ((F.col("_low") + F.col("_high")) / 2).alias(name))
+    middle = order_statistics(rows, by, {value: {"_low": LOWER, "_high": UPPER}}).select(*by, ((F.col("_low") + F.col("_high")) / 2).alias(name))
     return _joined(summary, middle, by)
 
 
@@ -168,14 +150,14 @@ def missing_characters(texts: DataFrame, dictionary: DataFrame, text: str = "tex
 
 
 def argmin_by(rows: DataFrame, by: list[str], value: str, name: str, order: str) -> DataFrame:
-    """The name with the least value in each group; on ties the first in ``order``."""
-    best = F.min(F.struct(F.col(value), F.col(order), F.col(name)))
-    return rows.groupBy(*by).agg(best.alias("b")).select(*by, F.col(f"b.{name}").alias(name), F.col(f"b.{value}").alias(value))
+    """The name with the least value in each group; on ties the first in ``order``. A null value is the last choice."""
+    best = F.min(F.struct(F.col(value).isNull().alias("_none"), F.col(value).alias("_value"), F.col(order).alias("_order"), F.col(name).alias("_name")))
+    return rows.groupBy(*by).agg(best.alias("b")).select(*by, F.col("b._name").alias(name), F.col("b._value").alias(value))
 
 
-def argmax_by(rows: DataFrame, by: list[str], value: str, name: str, order: str) -> DataFrame:
-    """The name with the largest value in each group; on ties the first in ``order``."""
-    flipped = rows.withColumn("_v", -F.col(value))
+def argmax_by(rows: DataFrame, by: list[str], value: str, name: str, order: str, empty: float = 0.0) -> DataFrame:
+    """The name with the largest value in each group; on ties the first in ``order``. A null value (an empty reading) counts as ``empty``."""
+    flipped = rows.withColumn("_v", -F.coalesce(F.col(value), F.lit(empty)))
     return argmin_by(flipped, by, "_v", name, order).select(*by, name, (-F.col("_v")).alias(value))
 
 
@@ -190,38 +172,59 @@ def vote(candidates: DataFrame, key: str, idx: str = "idx", text: str = "text")
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, share: float, name: str = "rank") -> DataFrame:
     """The value at place int(n * share) of each group's sorted values, counted from 0 (not interpolated), the last where that is beyond."""
-    return ranked_values(rows, by, value, {name: lambda n: F.least(F.floor(n * F.lit(share)), n - 1)})
+    return order_statistics(rows, by, {value: {name: lambda n: F.least(F.floor(n * F.lit(share)), n - 1)}})
 
 
 def throughput(rows: DataFrame, by: list[str], latency: str = "latency", tokens: str = "tokens", finish: str = "finish", cer: str | None = None) -> DataFrame:
     """Counts, wall time (column ``wall``: the longest of a group), rates, latency median and p90, cut outputs; mean and median of ``cer`` where given.
 
-    Order statistics come from counts by distinct value, so no group of rows is gathered in one task.
+    All order statistics are found together, and no group of rows is gathered in one task.
     """
     aggs = [F.count(F.lit(1)).alias("images"), F.max("wall").alias("wall_s"), F.sum(tokens).alias("tokens"), F.count_if(F.col(finish) == "length").alias("cut")]
     out = rows.groupBy(*by).agg(*aggs, *([F.avg(cer).alias("cer_mean")] if cer else []))
-    p90 = ranked_values(rows, by, latency, {"latency_p90": lambda n: F.floor(n * F.lit(0.9))})
-    out = _joined(with_median(out, rows, by, latency, "latency_median"), p90, by)
-    out = with_median(out, rows, by, cer, "cer_median") if cer else out
+    places = {latency: {"_low": LOWER, "_high": UPPER, "latency_p90": lambda n: F.floor(n * F.lit(0.9))}} | ({cer: {"_cer_low": LOWER, "_cer_high": UPPER}} if cer else {})
+    found = order_statistics(rows, by, places)
+    middles = [((F.col("_low") + F.col("_high")) / 2).alias("latency_median")] + ([((F.col("_cer_low") + F.col("_cer_high")) / 2).alias("cer_median")] if cer else [])
+    out = _joined(out, found.select(*by, "latency_p90", *middles), by)
     per_s = lambda c: F.try_divide(F.col(c).cast("double"), F.col("wall_s"))
     return out.withColumn("images_per_s", per_s("images")).withColumn("tokens_per_s", per_s("tokens"))
 
 
-def field_accuracy(truth: DataFrame, pred: DataFrame, key: str = "id") -> DataFrame:
-    """Extracted fields against the truth, with grounding: (key, name, value) and (key, name, value, grounded).
+def document_fields(truth: DataFrame, pred: DataFrame, key: str = "id", norm: Callable[[Column], Column] | None = None, broken: DataFrame | None = None) -> DataFrame:
+    """Extracted fields of each document against its truth: (key, name, value) and (key, name, value, grounded).
 
-    Right and wrong values by whether they occur in the text; true fields that no prediction has count in the total.
+    A predicted field is right where the truth has its name and, after ``norm``, its value (null equals null); a name that the
+    truth lacks is never right. Wrong and right values are told apart by whether they occur in the text; a null value is not
+    judged by that, and counts with the wrong ones that do. ``broken`` (key): documents whose answer could not be read; they are left out on both sides.
+
+    Returns (key, predicted, wanted, correct, ungrounded_ok, ungrounded_bad, grounded_bad, fields, wrong): ``fields`` is the number
+    of predicted fields, or of true ones where these are more, and ``wrong`` says whether any field is wrong or
+    their numbers differ.
+    """
+    norm = norm or (lambda c: c)
+    got = pred.select(F.col(key), "name", norm(F.col("value")).alias("got"), F.coalesce("grounded", F.lit(False)).alias("grounded"), F.lit(True).alias("_p"))
+    want = truth.select(F.col(key), "name", norm(F.col("value")).alias("want"), F.lit(True).alias("_t"))
+    if broken is not None:
+        got, want = (side.join(broken.select(key).distinct(), key, "left_anti") for side in (got, want))
+    both = got.join(want, [key, "name"], "full")
+    p, t = (F.coalesce(c, F.lit(False)) for c in ("_p", "_t"))
+    ok = p & t & F.col("got").eqNullSafe(F.col("want"))
+    made_up = p & F.col("got").isNotNull() & ~F.coalesce("grounded", F.lit(False))
+    counts = {"predicted": p, "wanted": t, "correct": ok, "ungrounded_ok": made_up & ok, "ungrounded_bad": made_up & ~ok, "grounded_bad": p & ~made_up & ~ok}
+    docs = both.groupBy(key).agg(*(F.count_if(c).alias(name) for name, c in counts.items()))
+    differ = (F.col("correct") < F.col("predicted")) | (F.col("predicted") != F.col("wanted"))
+    return docs.withColumns({"fields": F.greatest("predicted", "wanted"), "wrong": differ})
+
+
+def field_accuracy(truth: DataFrame, pred: DataFrame, key: str = "id", norm: Callable[[Column], Column] | None = None, broken: DataFrame | None = None) -> DataFrame:
+    """Sums of ``document_fields`` over all documents, with the number of broken ones: those are skipped and counted.
+
+    Fields that a document lacks count as wrong, by document: too many in one do not make up for too few in another.
     """
-    joined = pred.select(key, "name", F.col("value").alias("got"), "grounded").join(truth.select(key, "name", F.col("value").alias("want")), [key, "name"], "full")
-    ok = F.col("got").eqNullSafe(F.col("want")) & F.col("grounded").isNotNull()
-    present = F.col("grounded").isNotNull()
-    return joined.agg(
-        F.count(F.lit(1)).alias("fields"),
-        F.count_if(ok).alias("correct"),
-        F.count_if(present & ok & ~F.col("grounded")).alias("ungrounded_ok"),
-        F.count_if(present & ~ok & ~F.col("grounded")).alias("ungrounded_bad"),
-        F.count_if(present & ~ok & F.col("grounded")).alias("grounded_bad"),
-    )
+    docs = document_fields(truth, pred, key, norm, broken)
+    names = ("fields", "correct", "ungrounded_ok", "ungrounded_bad", "grounded_bad")
+    total = docs.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+    return total.crossJoin(F.broadcast(broken.agg(F.countDistinct(key).alias("broken")))) if broken is not None else total
 
 
 def set_match(truth: Column, pred: Column) -> Column:

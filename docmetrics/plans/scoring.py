@@ -125,19 +125,23 @@ def q33_candidate_vote(t, spark):
     return scoring.vote(c, "item_id").select("item_id", "idx", r6("total").alias("total"))
 
 
-@query("""WITH e AS (SELECT l_partkey AS part, l_suppkey AS engine, avg(l_discount) AS cer FROM lineitem GROUP BY ALL)
-  SELECT part, arg_min(engine, struct_pack(c := cer, e := engine)) AS engine, round(min(cer), 6) AS cer FROM e GROUP BY part""")
+@query("""WITH m AS (SELECT l_partkey AS part, l_suppkey AS engine, avg(l_discount) AS cer FROM lineitem GROUP BY ALL), e AS (SELECT part, engine, CASE WHEN (part + engine) % 7 > 0 THEN cer END AS cer FROM m)
+  SELECT part, arg_min(engine, struct_pack(m := cer IS NULL, c := coalesce(cer, 0), e := engine)) AS engine, round(min(cer), 6) AS cer FROM e GROUP BY part""")
 def q34_engine_argmin(t, spark):
+    """The engine of the least error; engines without one come last."""
     e = t("lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("engine")).agg(F.avg("l_discount").alias("cer"))
-    return scoring.argmin_by(e.withColumn("ord", F.col("engine")), ["part"], "cer", "engine", "ord").select("part", "engine", r6("cer").alias("cer"))
+    e = e.withColumns({"cer": F.when((F.col("part") + F.col("engine")) % 7 > 0, F.col("cer")), "ord": F.col("engine")})
+    return scoring.argmin_by(e, ["part"], "cer", "engine", "ord").select("part", "engine", r6("cer").alias("cer"))
 
 
-@query("""WITH e AS (SELECT l_orderkey, l_linestatus AS engine, avg(l_discount) AS cer, round(avg(l_tax), 9) AS conf FROM lineitem GROUP BY ALL),
-  b AS (SELECT l_orderkey, min(cer) AS bound, arg_max(cer, struct_pack(c := conf, e := CASE WHEN engine = 'F' THEN 1 ELSE 0 END)) AS chosen FROM e GROUP BY 1)
+@query("""WITH m AS (SELECT l_orderkey, l_linestatus AS engine, avg(l_discount) AS cer, round(avg(l_tax) - 0.02, 9) AS conf FROM lineitem GROUP BY ALL),
+  e AS (SELECT l_orderkey, engine, cer, CASE WHEN l_orderkey % 5 > 0 OR engine = 'F' THEN conf END AS conf FROM m),
+  b AS (SELECT l_orderkey, min(cer) AS bound, arg_max(cer, struct_pack(c := coalesce(conf, 0), e := CASE WHEN engine = 'F' THEN 1 ELSE 0 END)) AS chosen FROM e GROUP BY 1)
   SELECT count(*) AS n, round(avg(bound), 6) AS bound, round(avg(chosen), 6) AS chosen FROM b""")
 def q35_oracle_bound(t, spark):
-    """Mean of the best engine of every document, and of the one with the largest confidence."""
-    e = t("lineitem").groupBy("l_orderkey", F.col("l_linestatus").alias("engine")).agg(F.avg("l_discount").alias("cer"), F.round(F.avg("l_tax"), 9).alias("conf"))
+    """Mean of the best engine of every document, and of the one with the largest confidence; an engine without one counts as 0."""
+    e = t("lineitem").groupBy("l_orderkey", F.col("l_linestatus").alias("engine")).agg(F.avg("l_discount").alias("cer"), F.round(F.avg("l_tax") - 0.02, 9).alias("conf"))
+    e = e.withColumn("conf", F.when((F.col("l_orderkey") % 5 > 0) | (F.col("engine") == "F"), F.col("conf")))
     best = scoring.argmax_by(e.withColumn("ord", F.when(F.col("engine") == "F", 0).otherwise(1)), ["l_orderkey"], "conf", "engine", "ord").select("l_orderkey", "engine")
     chosen = e.join(best, ["l_orderkey", "engine"]).select("l_orderkey", F.col("cer").alias("chosen"))
     b = e.groupBy("l_orderkey").agg(F.min("cer").alias("bound")).join(chosen, "l_orderkey")

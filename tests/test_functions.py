@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docmetrics.functions import boxes, metrics, text
-from docmetrics.operators import documents, extraction, retrieval, routing, rows, scoring, tables
+from docmetrics.operators import documents, extraction, quantiles, retrieval, routing, rows, scoring, tables
 
 
 def one(spark, column, **values):
@@ -265,7 +265,7 @@ def test_coverage_and_histograms(spark):
     hits = scoring.field_hits(m.select("name", scoring.set_match(C("t"), C("p")).alias("match"))).first()
     assert (hits["hit"], hits["want"], hits["got"], hits["precision"], hits["recall"]) == (2, 3, 3, pytest.approx(2 / 3), pytest.approx(2 / 3))
     empty = spark.createDataFrame([], "g string, v double")
-    assert scoring.ranked_values(empty, ["g"], "v", {"m": scoring.LOWER}).collect() == []
+    assert quantiles.order_statistics(empty, ["g"], {"v": {"m": quantiles.LOWER}}).collect() == []
     some = spark.createDataFrame([(None, 1.0), (None, 4.0), ("a", None)], "g string, v double")
     med = scoring.with_median(some.groupBy("g").count(), some, ["g"], "v", "m")
     assert {(x["g"], x["m"]) for x in med.collect()} == {(None, 2.5), ("a", None)}
