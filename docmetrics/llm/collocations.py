@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes of the texts of one shard; a longer text is a shard of its own.
-SHARD = 16 << 20
+SHARD = 10 << 20
 #: Documents (about) that give paths to cut the ranges by, and paths of each.
 SAMPLED, PATHS = 4000, 16
 #: Bytes of text for one range of paths.
