@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import char_f1, dot, norm2
 from ..functions.text import is_correct, unknown_answer
+from .neighbours import nearest_join
 
 
 def chunks(text: Column, size: int) -> Column:
@@ -27,18 +28,15 @@ def chunk_documents(docs: DataFrame, size: int = 400, id_col: str = "doc_id", te
     return docs.select(id_col, F.posexplode(chunks(F.col(text_col), size)).alias("no", "text"))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 3, most: int = 100_000, query_id: str = "qid", item_id: str = "cid", query_vec: str = "qvec", item_vec: str = "cvec", same: list[str] | None = None) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int = 3, query_id: str = "qid", item_id: str = "cid", query_vec: str = "qvec", item_vec: str = "cvec", same: list[str] | None = None) -> DataFrame:
     """The k items of the largest cosine for every query; the lowest item id on ties: (query_id, item_id, sim, rank).
 
-    ``queries`` is the bounded side (a set of questions): without ``same`` it is counted first, refused beyond ``most``
-    and broadcast, so every item meets the whole set where it lies. ``same`` names columns that must be equal,
-    which makes the pairing an equi-join of any size. Norms are computed once a vector. The rank limit is pushed below the shuffle.
+    Without ``same`` this is ``nearest_join``. ``same`` names columns that must be equal, which makes the pairing an equi-join;
+    norms are then computed once a vector, and the rank limit is pushed below the shuffle.
     """
-    if not same and queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: name columns that must be equal, or ask in portions")
-    q = queries.withColumn("_qn", norm2(F.col(query_vec)))
-    c = items.withColumn("_cn", norm2(F.col(item_vec)))
-    pairs = q.join(c, same) if same else c.crossJoin(F.broadcast(q))
+    if not same:
+        return nearest_join(queries, items, k, query_id, item_id, query_vec, item_vec)
+    pairs = queries.withColumn("_qn", norm2(F.col(query_vec))).join(items.withColumn("_cn", norm2(F.col(item_vec))), same)
     sim = F.try_divide(dot(F.col(query_vec), F.col(item_vec)), F.col("_qn") * F.col("_cn"))
     w = Window.partitionBy(query_id).orderBy(F.desc_nulls_last("sim"), item_id)
     return pairs.select(query_id, item_id, sim.alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

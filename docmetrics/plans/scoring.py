@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, text
-from ..operators import retrieval, routing, scoring
+from ..operators import neighbours, retrieval, routing, scoring
 from ..shared import scratch
 from ..sources import corpus, sinks
 from .registry import ORACLE_SQL, query, r6
@@ -213,11 +213,17 @@ def q39_cosine_topk(t, spark):
 def _hits(t):
     e = t("embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    c = e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("cvec"))
-    own = retrieval.top_k(q, c, 4)  # the vector itself is among them
-    kept = own.where("cid <> qid")
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 12)), "cid")
-    return kept.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return neighbours.nearest_join(q, e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("cvec")), 3, others=True)
+
+
+@query("""WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS cid, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS sim FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 12) DESC, cid) AS rank FROM s)
+  SELECT qid, cid, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2""")
+def q96_all_nearest(t, spark):
+    """The two nearest of all other vectors, for every vector: a join of two sides of any size."""
+    e = t("embeddings")
+    hits = neighbours.nearest_join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("cvec")), 2, others=True)
+    return hits.select("qid", "cid", r6("sim").alias("sim"), "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS qid, label AS want, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),

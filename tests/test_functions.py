@@ -269,6 +269,6 @@ def test_coverage_and_histograms(spark):
     some = spark.createDataFrame([(None, 1.0), (None, 4.0), ("a", None)], "g string, v double")
     med = scoring.with_median(some.groupBy("g").count(), some, ["g"], "v", "m")
     assert {(x["g"], x["m"]) for x in med.collect()} == {(None, 2.5), ("a", None)}
-    with pytest.raises(ValueError):
-        q = spark.range(5).select(C("id").alias("qid"), F.array(F.lit(1.0)).alias("qvec"))
-        retrieval.top_k(q, q.select(C("qid").alias("cid"), C("qvec").alias("cvec")), most=4)
+    q = spark.range(5).select(C("id").alias("qid"), F.array(F.lit(1.0)).alias("qvec"))
+    near = retrieval.top_k(q, q.select(C("qid").alias("cid"), C("qvec").alias("cvec")), 2)
+    assert sorted(tuple(x) for x in near.collect()) == sorted((i, c, 1.0, c + 1) for i in range(5) for c in (0, 1))
