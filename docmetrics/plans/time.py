@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..shared import scratch
-from ..streaming import service, windows
+from ..operators import intervals, sketches
+from ..shared import materialize, scratch
+from ..streaming import joins, service, windows
 from .registry import big, query, r6
 
 
@@ -74,3 +75,65 @@ def qx17_stream_tumbling(t, spark):
 @query("""SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events GROUP BY 1""")
 def qx18_users(t, spark):
     return t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), big(F.countDistinct("event_type")).alias("kinds"))
+
+
+@query("""WITH o AS (SELECT o_custkey % 150 AS user_id, (date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 30 * 24 + o_orderkey % 24) * 3600.0 AS s, CASE WHEN o_orderkey % 97 = 0 THEN 900000.0 ELSE 600.0 * (1 + o_custkey % 12) END AS n FROM orders),
+  e AS (SELECT user_id, epoch_us(ts - TIMESTAMP '2024-01-01') / 1000000.0 AS s, value * 10 AS n FROM events)
+  SELECT o.user_id, count(*) AS pairs, round(sum(least(o.s + o.n, e.s + e.n) - greatest(o.s, e.s)), 3) AS seconds FROM o JOIN e ON o.user_id = e.user_id AND o.s < e.s + e.n AND e.s < o.s + o.n WHERE o.n > 0 AND e.n > 0 GROUP BY 1""")
+def qx19_interval_join(t, spark):
+    """Orders as stretches of time, some of them days long, against events that last: pairs that overlap, and for how long."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) % 30
+    length = F.when(F.col("o_orderkey") % 97 == 0, 900_000.0).otherwise(600.0 * (1 + F.col("o_custkey") % 12))
+    o = t("orders").select((F.col("o_custkey") % 150).alias("user_id"), ((day * 24 + F.col("o_orderkey") % 24) * 3600.0).alias("start"), length.alias("n"))
+    seconds = (F.unix_micros(service.utc(F.col("ts"))) - F.unix_micros(F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"))) / 1_000_000
+    e = t("events").select("user_id", seconds.alias("start"), (F.col("value") * 10).alias("n"))
+    ended = lambda rows: rows.withColumn("end", F.col("start") + F.col("n"))
+    pairs = intervals.interval_join(ended(o), ended(e), ["user_id"], width=3600.0)
+    both = F.least("l.end", "r.end") - F.greatest("l.start", "r.start")
+    return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum(both), 3).alias("seconds"))
+
+
+@query("""SELECT event_type, count(*) AS n, true AS distinct_ok, true AS median_ok, true AS p90_ok, true AS top_ok FROM events GROUP BY 1""")
+def qx20_sketches(t, spark):
+    """Sketches by day and kind, stored and then merged by kind; each estimate is held against the exact result and its bound."""
+    events = t("events")
+    daily = materialize(sketches.sketched(events, [F.to_date("ts").alias("day"), "event_type"], "user_id", "value", "user_id"), "daily-sketches")
+    found = sketches.estimates(sketches.merged(daily, ["event_type"]), [0.5, 0.9], 3)
+    found = found.select("event_type", "n", "distinct", F.get("value", F.lit(0)).alias("median"), F.get("value", F.lit(1)).alias("p90"), "item")
+    users = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c"))
+    exact = users.groupBy("event_type").agg(F.count("user_id").alias("users"), F.max("c").alias("most"))
+    ranks = events.join(F.broadcast(found.select("event_type", "median", "p90")), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("median")).cast("int")).alias("r50"), F.avg((F.col("value") <= F.col("p90")).cast("int")).alias("r90"))
+    near = lambda got, want, bound: F.abs(got - want) <= bound
+    j = found.join(exact, "event_type").join(ranks, "event_type")
+    return j.select(
+        "event_type", "n", near(F.col("distinct"), F.col("users"), F.ceil(F.col("users") * sketches.DISTINCT_ERROR)).alias("distinct_ok"),
+        near(F.col("r50"), 0.5, sketches.RANK_ERROR + 1 / F.col("n")).alias("median_ok"), near(F.col("r90"), 0.9, sketches.RANK_ERROR + 1 / F.col("n")).alias("p90_ok"),
+        (F.get("item", F.lit(0))["count"] >= F.col("most")).alias("top_ok"),
+    )
+
+
+_EARLY = "day(ts) <= 20 AND event_id % 10 <> 0"
+
+
+@query(f"""WITH m AS (SELECT max(ts) FILTER (WHERE {_EARLY}) - INTERVAL 2 DAY AS first, max(ts) - INTERVAL 2 DAY AS last FROM events),
+  e AS (SELECT date_trunc('day', ts) AS start, event_type, value, ({_EARLY}) OR date_trunc('day', ts) + INTERVAL 1 DAY > first AS kept, last FROM events, m)
+  SELECT start, event_type, count(*) FILTER (WHERE kept) AS n, round(sum(value) FILTER (WHERE kept), 4) AS total, count(*) FILTER (WHERE NOT kept) AS dropped FROM e WHERE start + INTERVAL 1 DAY <= last GROUP BY ALL HAVING count(*) FILTER (WHERE kept) > 0""")
+def qx21_late_data(t, spark):
+    """Daily windows of a stream with a watermark of two days: a tenth of the first twenty days' events comes with the rest, after them, and what is too late by then is dropped."""
+    events = _events(t)
+    early = (F.dayofmonth("ts") <= 20) & (F.col("event_id") % 10 != 0)
+    daily = lambda stream: windows.tumbling(stream, "1 day", ["event_type"], late="2 days")
+    out = joins.run_in_turns(spark, [events.where(early), events.where(~early)], daily, scratch(spark, "late"))
+    every = windows.tumbling(events, "1 day", ["event_type"]).select("start", "event_type", F.col("n").alias("all"))
+    j = out.join(every, ["start", "event_type"])
+    return j.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), (F.col("all") - F.col("n")).alias("dropped"))
+
+
+@query("""SELECT v.user_id, count(*) AS pairs, CAST(sum(p.event_id % 1000) AS BIGINT) AS mark FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 6 HOUR GROUP BY 1""")
+def qx22_stream_join(t, spark):
+    """Purchases up to six hours after a view of the same user, as two streams whose second half of the events comes in a second turn."""
+    events = _events(t).where("event_type in ('view', 'purchase')")
+    late = F.dayofmonth("ts") > 15
+    both = lambda stream: joins.follows(stream.where("event_type = 'view'"), stream.where("event_type = 'purchase'"), ["user_id"], "6 hours", "1 hour").select("user_id", F.col("r.event_id").alias("event_id"))
+    out = joins.run_in_turns(spark, [events.where(~late), events.where(late)], both, scratch(spark, "follows"))
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), big(F.sum(F.col("event_id") % 1000)).alias("mark"))
