@@ -26,10 +26,11 @@ def _word_ids(path: str) -> WordIds:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """(id, text) to one row per piece: id, piece, start, length, crc32 [, ids]."""
+    """(id, text) to one row per piece: id, piece, start, length, crc32, the piece's number in its task [, ids]."""
     words, end = _word_ids(path), np.array([SEPARATOR], np.uint32)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["id", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["id", "piece", "start", "length", "ids_crc32", "turn"]
+    turn = 0
     for batch in batches:
         at = 0
         for texts in portions((t.as_py() for t in batch.column(1)), PORTION):
@@ -39,7 +40,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, with_ids: b
                 ids = np.concatenate([ids, end])
                 for piece, start in enumerate(range(0, len(ids), size)):
                     part = ids[start : start + size]
-                    out.append((key, piece, start, len(part), zlib.crc32(part)))
+                    out.append((key, piece, start, len(part), zlib.crc32(part), turn))
+                    turn += 1
                     if with_ids:
                         listed.append(part)
             at += len(texts)
@@ -164,7 +166,9 @@ def pack_documents(
     Tokenising runs where the rows lie; only pieces travel (and their ids where ``with_ids``). Pieces
     are dealt by hash into groups of about ``group`` documents, and each group is packed on its own by
     ``best_two_fit``: a group wastes part of its last few sequences, so thousands of documents a group
-    cost well under one sequence in a thousand, and no task grows with the input. Only documents longer
+    cost well under one sequence in a thousand, and no task grows with the input. The hash takes the number of the piece in its
+    task too, so rows that repeat an id, or have none, are dealt as evenly as others; ``docs`` should be read from a table, so that a
+    lost task's rows come in the same order again. Only documents longer
     than ``size`` are cut, into pieces of ``size``; the last may be shorter. Strings of added tokens in a
     text become their ids, as in a plain call of the tokenizer. ``tokenizer`` must be one that ``WordIds`` takes.
 
@@ -176,10 +180,10 @@ def pack_documents(
     groups = max(1, -(-docs.count() // group))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = rows.mapInArrow(lambda it: _pieces(it, tokenizer, size, with_ids), schema)
-    deal = F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int")
+    pieces = rows.mapInArrow(lambda it: _pieces(it, tokenizer, size, with_ids), schema.replace("ids_crc32 long", "ids_crc32 long, turn long"))
+    deal = F.pmod(F.xxhash64("id", "piece", "ids_crc32", "turn"), F.lit(groups)).cast("int")
     if groups < 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         deal = F.get(F.lit(_even_labels(docs.sparkSession, groups)), deal)
-    dealt = pieces.withColumn("deal", deal)
+    dealt = pieces.withColumn("deal", deal).drop("turn")
     packed = dealt.groupBy("deal").applyInArrow(lambda t: _pack(t, size), schema + ", sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

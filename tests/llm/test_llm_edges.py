@@ -84,6 +84,15 @@ def test_meanings(odd):
     assert texts[8].endswith("call [PHONE]") and texts[2] is None and texts[1] == ROWS[0][1]
 
 
+def test_packing_deals_rows_evenly(spark):
+    """Rows without an id, and rows that repeat one, are spread over the groups like others."""
+    for key in (F.lit(None).cast("long"), F.lit(7).cast("long"), F.col("id")):
+        for text in (F.lit("the same words in each row"), F.concat(F.lit("row "), F.col("id").cast("string"))):
+            packed = packing.pack_documents(spark.range(0, 3000, 1, 3).select(key.alias("doc_id"), text.alias("text")), WORD, group=300, with_ids=False)
+            groups = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+            assert len(groups) == 10 and sum(groups) == 3000 and max(groups) < 400
+
+
 def test_repeated_id_with_other_text(spark):
     df = spark.createDataFrame([(1, "a" * 300), (1, "b" * 10), (2, "a" * 300)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixdedup.remove_repeats(df).collect()) == [(1, 10, 0), (1, 300, 300), (2, 300, 300)]
