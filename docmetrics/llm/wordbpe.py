@@ -19,7 +19,7 @@ from .wordcache import portions
 from .wordids import WordIds
 
 #: Characters of the texts that are encoded together.
-PORTION = 2 << 20
+PORTION = 1 << 20
 #: The end of a word, after its last byte.
 END = 256
 LATER = np.iinfo(np.int64).max
@@ -257,7 +257,7 @@ class SpeculativeIds(WordIds):
     tokenizer's file, whose added tokens are cut out of the texts first.
     """
 
-    def __init__(self, path: str, room: int = 200_000):
+    def __init__(self, path: str, room: int = 150_000):
         self.speculator, self.cut_added = Speculator(path), None
         super().__init__(path, room)
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
@@ -331,10 +331,11 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["id", "packed", "decoded"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, number of ids, digest of the ids, digest of what the ids decode to)."""
     tokens = _tokens(path)
     decimal = list(map(str, range(len(tokens))))
-    for batch in batches:
+    for batch in _encode(batches, path):
         n, first, second = [], [], []
         for raw in batch.column(1).to_pylist():
             ids = np.frombuffer(raw, "<u4")
@@ -362,6 +363,9 @@ def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id")
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by one space, and of the decoded text."""
-    rows = encode_documents(docs, tokenizer, id_col).withColumnRenamed(id_col, "id")
-    return rows.mapInArrow(lambda it: _digests(it, tokenizer), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    """(id_col, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by one space, and of the decoded text.
+
+    One worker a task encodes a portion of texts and decodes its ids; rows are as in ``encode_documents``.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text"))
+    return rows.mapInArrow(lambda it: _round_trip(it, tokenizer), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
