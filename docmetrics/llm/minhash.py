@@ -421,7 +421,7 @@ def _candidates(nodes: DataFrame, width: int, percent: int, miss: float, block:
     stars = stars.join(sig.hint("merge"), "node").join(sig.select(F.col("node").alias("head"), F.col("sig").alias("head_sig")).hint("merge"), "head")
     judged = stars.select(F.col("node").alias("a"), F.col("head").alias("b"), "sig", "head_sig").mapInArrow(lambda it: _plausible(it, width, percent, miss), "a long, b long, ok boolean")
     found = banded.count()
-    judged = materialize(judged, "judged", found)
+    judged = materialize(judged, "judged")  # signatures are read, so the tasks stay as many as the shuffle makes
     discard(least)
     # bands with a set that does not survive with the smallest
     odd = judged.where("not ok").select(F.col("a").alias("node"), F.col("b").alias("head"), F.lit(True).alias("late"))
@@ -450,7 +450,7 @@ def _links(rows_in: DataFrame, nodes: DataFrame, families: DataFrame, width: int
     homes = F.when(F.col("node") == F.col("grp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
     units = full.select("node", "sig", "hashes", F.lit(True).alias("late"), F.explode(F.transform(homes, lambda h: F.xxhash64("grp", h))).alias("unit"))
     verify = lambda t: _verify(t, width, percent, miss)
-    links = materialize(_dealt(units, n).applyInArrow(verify, PAIRS), "links", n)
+    links = materialize(_dealt(units, n).applyInArrow(verify, PAIRS), "links")  # few rows are written, but sets are read: no fewer tasks
     large = full.where("blocks > 1")
     if large.limit(1).count():  # sets of large families that their blocks did not join to the smallest one's class
         classes = connected_components(links)
@@ -458,7 +458,7 @@ def _links(rows_in: DataFrame, nodes: DataFrame, families: DataFrame, width: int
         marked = large.select("node", "grp").distinct().join(classes.withColumnRenamed("id", "node"), "node", "left").select("grp", "node", late.alias("late"))
         marked = materialize(marked, "marked", n)
         units = _late_units(marked, "grp", block, n).select("unit", "node", "late").join(large.select("node", "sig", "hashes").hint("merge"), "node")
-        more = materialize(_dealt(units, n).applyInArrow(verify, PAIRS).unionByName(links), "links", 2 * n)
+        more = materialize(_dealt(units, n).applyInArrow(verify, PAIRS).unionByName(links), "links")
         discard(links, classes, marked)
         links = more
     discard(full)
