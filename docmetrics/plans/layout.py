@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import affine, box, order_corners, padded, poly_to_box
 from ..operators import matching, rows, tables
-from ..sources import corpus
+from ..sources import corpus, pages
 from .registry import query, r6
 
 # Line numbers repeat within an order, so lines are made unique first.
@@ -193,3 +193,24 @@ def q58_positional_zip(t, spark):
     li = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("v"))
     got = li.where("pos % 3 <> 0").withColumnRenamed("v", "got")
     return corpus.by_position(li.withColumnRenamed("v", "want"), got)
+
+
+def sections(data: bytes) -> list[str]:
+    """Stands for a parser of paged files: the stretches of a page's markup up to the ends of its paragraphs."""
+    if not data.startswith(b"<"):
+        raise ValueError("no markup")
+    return data.decode().split("</p>")
+
+
+@query(r"""WITH d AS (SELECT page_id, CASE WHEN page_id % 9 = 4 THEN substr(html, 2) WHEN page_id % 9 > 0 THEN html END AS h FROM pages),
+  e AS (SELECT *, CASE WHEN h IS NULL THEN 'no data' WHEN strlen(h) > 6000 THEN 'more than 6000 bytes' WHEN h[1] <> '<' THEN 'not opened: no markup' WHEN len(string_split(h, '</p>')) > 12 THEN 'more than 12 pages' END AS error FROM d),
+  s AS (SELECT page_id, string_split(h, '</p>') AS parts, unnest(range(1, len(string_split(h, '</p>')) + 1)) AS page FROM e WHERE error IS NULL),
+  t AS (SELECT page_id, page, regexp_replace(replace(parts[page], chr(13) || chr(10), chr(10)), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM s)
+  SELECT page_id, CAST(NULL AS INT) AS page, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS text, error FROM e WHERE error IS NOT NULL
+  UNION ALL SELECT page_id, CAST(page AS INT), CASE WHEN length(text) >= 40 THEN 'text' ELSE 'ocr' END, CASE WHEN length(text) >= 40 THEN md5(text) END, NULL FROM t""")
+def q98_document_pages(t, spark):
+    """Files cut into pages by a table function with limits: some are missing, too large, of too many pages, or can't be opened."""
+    pages.register_pages(spark)
+    html = F.when(F.col("page_id") % 9 == 4, F.expr("substr(html, 2)")).when(F.col("page_id") % 9 > 0, F.col("html"))
+    files = t("pages").select("page_id", F.encode(html, "UTF-8").alias("content"))
+    return spark.sql("SELECT page_id, page, source, md5(text) AS text, error FROM {files}, LATERAL document_pages(content, 'docmetrics.plans.layout:sections', 12, 6000, 40)", files=files)

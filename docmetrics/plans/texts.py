@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import metrics, text
-from ..operators import extraction, retrieval, routing, sampling, scoring, tables
-from ..sources import corpus
+from ..functions import jsontext, metrics, text
+from ..operators import answers, extraction, retrieval, routing, sampling, scoring, tables
+from ..shared import scratch
+from ..sources import corpus, results
 from .registry import big, query, r6
 
 
@@ -206,11 +207,54 @@ def q59_json_props(t, spark):
     return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), "event_type")
 
 
-@query()
+@query("""SELECT event_id, event_type || '|' || props AS strings FROM events""")
 def q63_json_strings(t, spark):
     """Strings of nested JSON in order."""
     j = F.to_json(F.struct("event_type", F.struct(F.lit("text").alias("type"), F.col("props").alias("content")).alias("block")))
-    return t("events").select("event_id", F.array_join(tables.json_text(j), "|").alias("strings"))
+    return t("events").select("event_id", F.array_join(jsontext.json_strings(j), "|").alias("strings"))
+
+
+_DAMAGED = "CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 10 AS d"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, {_DAMAGED} FROM events),
+  p AS (SELECT *, CASE WHEN d = 3 THEN 'not json' WHEN d = 4 THEN 'wrong type' WHEN d = 5 THEN 'missing field' WHEN d = 7 THEN 'empty' WHEN d = 2 THEN 'missing field' END AS error FROM e)
+  SELECT event_id, CASE WHEN error IS NULL THEN event_id END AS id, CASE WHEN error IS NULL THEN event_type END AS kind, CASE WHEN error IS NULL THEN k END AS k, CASE WHEN error IS NULL AND d <> 9 THEN 'n' END AS note, error IS NULL AND d = 1 AS repaired, error FROM p""")
+def q97_answers(t, spark):
+    """Answers as a model gives them, some damaged: in a code fence, cut off, chatting, of a wrong type, without a field, empty."""
+    e = t("events").select("event_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"), (F.col("event_id") % 10).alias("d"))
+    whole = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("k"), F.lit("n").alias("note"), F.array(F.lit("a \"b\" {")).alias("other")))
+    part = lambda *names: F.to_json(F.struct(*names))
+    text = (
+        F.when(F.col("d") == 1, F.substring_index(whole, " {", 1))
+        .when(F.col("d") == 2, F.substring_index(whole, "kind", 1))
+        .when(F.col("d") == 3, F.lit("I can't read this."))
+        .when(F.col("d") == 4, part(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.lit("many").alias("k")))
+        .when(F.col("d") == 5, part(F.col("event_id").alias("id"), F.col("k")))
+        .when(F.col("d") == 6, F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```\nDone.")))
+        .when(F.col("d") == 8, F.concat(F.lit("Sure. "), whole, F.lit(" That is all.")))
+        .when(F.col("d") == 9, part(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("k")))
+        .when(F.col("d") != 7, whole)
+    )
+    p = answers.parse_answers(e.withColumn("text", text), "id bigint, kind string, k bigint, note string", ["id", "kind", "k"])
+    return p.select("event_id", "answer.id", "answer.kind", "answer.k", "answer.note", "repaired", F.col("_error").alias("error"))
+
+
+@query("""SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, md5(string_agg(conv_id || '-' || turn, ',' ORDER BY conv_id, turn)) AS ids, count(*) FILTER (WHERE turn % 5 = 0) AS errors, (SELECT count(*) FROM conversations) AS written FROM conversations GROUP BY role""")
+def q99_result_files(t, spark):
+    """Turns written as result files and read back by stretches of bytes, with what the metadata says of them."""
+    results.register_results(spark)
+    c = t("conversations")
+    path = scratch(spark, "results")
+    key = F.concat_ws("|", "conv_id", "turn", "role")
+    out = c.select(key.alias("id"), "text", F.array("role").alias("tables"), F.col("turn").cast("double").alias("time"), (F.col("turn") % 5 == 0).alias("error"))
+    out.write.format("result_files").mode("append").option("meta.engine", "turns").save(path)
+    back = spark.read.format("result_files").option("split", 50_000).load(path)
+    n = spark.read.format("result_files").option("meta", "true").load(path).agg(F.sum(F.get_json_object("meta", "$.n").cast("bigint")).alias("written"))
+    parts = back.select(F.split("id", "\\|").alias("k"), F.length("text").alias("chars"), "error").select(F.col("k")[0].cast("bigint").alias("conv_id"), F.col("k")[1].cast("int").alias("turn"), F.col("k")[2].alias("role"), "chars", "error")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn"))), lambda x: F.concat_ws("-", x["conv_id"], x["turn"])), ",")
+    found = parts.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.md5(ids).alias("ids"), F.count_if("error").alias("errors"))
+    return found.crossJoin(F.broadcast(n))
 
 
 @query("""SELECT lang, doc_id, source FROM (SELECT lang, doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 5""")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docmetrics.functions import boxes, metrics, text
+from docmetrics.functions import boxes, jsontext, metrics, text
 from docmetrics.operators import documents, extraction, quantiles, retrieval, routing, rows, scoring, tables
 
 
@@ -141,7 +141,11 @@ def test_tables():
     assert html_ == ["<table><tr><td>x</td></tr></table>"]
     assert md == ["<table><tr><th>h</th><th>i</th></tr><tr><td>1</td><td>2</td></tr></table>"]
     assert tables.block_text("<p>a<br/>b</p>") == "a\nb"
-    assert tables.json_strings({"type": "t", "content": [{"type": "x", "content": "a"}, "b"]}) == ["a", "b"]
+
+
+def test_json_strings(spark):
+    j = F.lit('{"type": "t", "content": [{"type": "x", "content": "a"}, "b"]}')
+    assert spark.range(1).select(jsontext.json_strings(j).alias("s")).first()["s"] == ["a", "b"]
 
 
 def test_policy(spark):
