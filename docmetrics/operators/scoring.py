@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import compression_ratio, similarity
 from .quantiles import LOWER, UPPER, order_statistics
+from .sampling import numbered
 
 
 def category_means(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -116,16 +117,20 @@ def wrong_keys(rows: DataFrame, want: str = "want", got: str = "got", key: str =
 
 
 def histogram(rows: DataFrame, label: str, top: int | None = None) -> DataFrame:
-    """Counts by label, the most frequent first (labels in their order on ties), only the first ``top`` where given: (label, n, rank)."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label)
-    counts = counts.limit(top) if top else counts
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), label)))
+    """Counts by label, the most frequent first (labels in their order on ties), only the first ``top`` where given: (label, n, rank).
+
+    Without ``top`` the labels are ranked by ranges of counts, however many there are; the first ``top`` are taken in every task before they meet.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    if top is None:
+        return numbered(counts, [F.desc("n"), F.col(label)], "_at").select(label, "n", (F.col("_at") + 1).cast("int").alias("rank")).orderBy("rank")
+    return counts.orderBy(F.desc("n"), label).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), label)))
 
 
 def character_counts(texts: DataFrame, text: str = "text", ch: str = "ch") -> DataFrame:
-    """(ch, n): characters of the texts but white space. Counted where the texts lie first, so a task sends a row for each distinct one."""
-    chars = texts.select(F.explode(F.split(text, "")).alias(ch)).where(~F.col(ch).rlike(r"(?U)^\s*$"))
-    return chars.groupBy(ch).agg(F.count(F.lit(1)).alias("n"))
+    """(ch, n): characters of the texts but white space. Counted where the texts lie first, so a task sends a row for each distinct one, and only these are looked at."""
+    counts = texts.select(F.explode(F.split(text, "")).alias(ch)).groupBy(ch).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(~F.col(ch).rlike(r"(?U)^\s*$"))
 
 
 def dictionary_coverage(texts: DataFrame, dictionary: DataFrame, top: int = 15, text: str = "text", ch: str = "ch") -> DataFrame:

@@ -54,12 +54,7 @@ def q05_turn_cer_rollup(t, spark):
   SELECT item_id, other, CAST(d AS INT) AS distance, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d, other) AS k FROM p) WHERE k <= 3""")
 def q06_benchmark_topk(t, spark):
     """The three nearest of all other items by edit distance, the lowest id on ties; a distance is counted once for both items of a pair."""
-    b = t("benchmark").select("item_id", "text")
-    o = b.select(F.col("item_id").alias("other"), F.col("text").alias("o"))
-    p = b.join(o, F.col("item_id") < F.col("other")).select("item_id", "other", F.levenshtein("text", "o").alias("distance"))
-    p = p.select("distance", F.explode(F.array(F.struct("item_id", "other"), F.struct(F.col("other").alias("item_id"), F.col("item_id").alias("other")))).alias("p")).select("p.*", "distance")
-    w = Window.partitionBy("item_id").orderBy("distance", "other")
-    return p.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return neighbours.nearest_texts(t("benchmark"), 3, "item_id")
 
 
 @query()

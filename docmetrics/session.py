@@ -22,9 +22,11 @@ SETTINGS = {
 
 
 def get_session(app: str = "docmetrics", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with ``SETTINGS``; ``settings`` (dots written as double underscores) override them."""
+    """A session with ``SETTINGS`` whose workers can import the package; ``settings`` (dots written as double underscores) override them."""
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
-    return (builder.master(master) if master else builder).getOrCreate()
+    spark = (builder.master(master) if master else builder).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
