@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import discard, materialize, written_tables
 
 #: Bytes hashed at a time; longer texts are cut into overlapping pieces of this size.
 CHUNK = 1 << 20
@@ -468,40 +468,8 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int | None = None, hot: int = 20_000, with_text: bool = True) -> DataFrame:
-    """Removes every byte that lies in a string of ``length`` bytes which also starts anywhere else.
-
-    1. Every window of ``length`` bytes picks an anchor by its content (the least gram hash in it); windows
-       with one anchor travel as one narrow row (about one per 50 bytes), never as text.
-    2. Grams are counted (map-side first); rows whose gram is seen once, most of them, go. Of the others,
-       rows with equal context are counted by hashes. A row whose context is seen before claims to be a copy of the first such row.
-       Claims of a text on the same other text that meet are put together, and their bytes meet that text (copies of it, where very
-       many claim) and are compared; only ranges that agree byte by byte are removed, on both sides.
-    3. What is left are edges of repeats: grams with several contexts. One text of each context goes to
-       the task of its gram. There the suffixes after the gram and before it (reversed) are sorted:
-       multikey quicksort to a shallow depth, blind tries for groups that agree further. Classes of
-       both orders tell which windows repeat. A gram with more than ``hot`` contexts is split by the bytes next to it, and again,
-       until its groups can be sorted.
-    4. Each document's ranges are merged and cut out. Only documents and ranges of one id meet.
-
-    What is removed has been compared byte by byte; that texts are looked at at all rests on hashes of 64 bits (grams) and
-    128 bits (contexts). Matches never cross documents; overlaps within one count. Null texts count as empty; texts shorter
-    than ``length`` keep every byte. Where ids repeat or are null, the rows are first written to the
-    shared folder with numbers of their own, and each counts as a document. Other columns are ignored. An
-    empty table gives an empty result.
-
-    Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, spans array<array<long>>]).
-    """
-    gram = gram or max(1, 2 * length // 5)
-    if not 1 <= gram <= length or length - gram > 2047:
-        raise ValueError("gram must be at most length, and length - gram at most 2047")
-    odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
-    if odd.limit(1).count():
-        numbered = materialize(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")), "numbered")
-        out = remove_repeats(numbered, "_row", "_text", length, gram, hot, with_text)
-        names = [c for c in out.columns if c != "_row"]
-        return out.join(numbered.select("_row", "_id"), "_row").select(F.col("_id").alias(id_col), *names)
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).where("id is not null")
+def _repeats(raw: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """(id, ranges) of the documents (id, raw) that lose bytes, written: steps 1 to 3 of ``remove_repeats``."""
     rows = materialize(raw.where(F.octet_length("raw") >= length).mapInArrow(lambda it: _anchor_rows(it, length, gram), ANCHORS), "anchors")
 
     # sums are written before they are joined back, so that a join reads plain shuffles and hot grams can be split
@@ -547,7 +515,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = edges.unionByName(met.applyInArrow(lambda t: _confirm(t, length), "id long, start int, end int"))
     if many:
         ranges = ranges.unionByName(_split_ranges(edges_where(F.col("kinds") > hot), length, gram, hot, deals))
-    per_doc = ranges.distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return materialize(ranges.distinct().groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "repeats")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int | None = None, hot: int = 20_000, with_text: bool = True) -> DataFrame:
+    """Removes every byte that lies in a string of ``length`` bytes which also starts anywhere else.
+
+    1. Every window of ``length`` bytes picks an anchor by its content (the least gram hash in it); windows
+       with one anchor travel as one narrow row (about one per 50 bytes), never as text.
+    2. Grams are counted (map-side first); rows whose gram is seen once, most of them, go. Of the others,
+       rows with equal context are counted by hashes. A row whose context is seen before claims to be a copy of the first such row.
+       Claims of a text on the same other text that meet are put together, and their bytes meet that text (copies of it, where very
+       many claim) and are compared; only ranges that agree byte by byte are removed, on both sides.
+    3. What is left are edges of repeats: grams with several contexts. One text of each context goes to
+       the task of its gram. There the suffixes after the gram and before it (reversed) are sorted:
+       multikey quicksort to a shallow depth, blind tries for groups that agree further. Classes of
+       both orders tell which windows repeat. A gram with more than ``hot`` contexts is split by the bytes next to it, and again,
+       until its groups can be sorted.
+    4. Each document's ranges are merged and cut out. Only documents and ranges of one id meet.
+
+    What is removed has been compared byte by byte; that texts are looked at at all rests on hashes of 64 bits (grams) and
+    128 bits (contexts). Matches never cross documents; overlaps within one count. Null texts count as empty; texts shorter
+    than ``length`` keep every byte. Where ids repeat or are null, the rows are first written to the
+    shared folder with numbers of their own, and each counts as a document. Other columns are ignored. An
+    empty table gives an empty result.
+
+    Returns (id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept binary, spans array<array<long>>]).
+    """
+    gram = gram or max(1, 2 * length // 5)
+    if not 1 <= gram <= length or length - gram > 2047:
+        raise ValueError("gram must be at most length, and length - gram at most 2047")
+    odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    if odd.limit(1).count():
+        numbered = materialize(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")), "numbered")
+        out = remove_repeats(numbered, "_row", "_text", length, gram, hot, with_text)
+        names = [c for c in out.columns if c != "_row"]
+        return out.join(numbered.select("_row", "_id"), "_row").select(F.col("_id").alias(id_col), *names)
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).where("id is not null")
+    with written_tables() as made:
+        per_doc = _repeats(raw, length, gram, hot)
+    discard(*(t for t in made if t is not per_doc))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<array<long>>" * with_text
     out = raw.join(per_doc.hint("merge"), "id", "left").select("id", "raw", "ranges").mapInArrow(lambda it: _cut(it, with_text), schema)
     return out.withColumnRenamed("id", id_col)

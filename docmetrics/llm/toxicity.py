@@ -84,7 +84,7 @@ def scope(trigger: int, affected: tuple, factor: float, reach: int, mark) -> Tra
 def threats() -> Transducer:
     """Modal + verb + target, or verb + target: the target comes out as a threat, with other words between.
 
-    Up to two words may stand between modal and verb, and between verb and target. A verb without a target is no match.
+    One other word may stand between modal and verb, and one between verb and target. A verb without a target is no match.
     """
     t = Transducer(fall={0: 0, "modal": "modal2", "modal2": 0, "verb": "verb2", "verb2": 0, "aimed": "aimed2", "aimed2": 0})
     for state in ("modal", "modal2", "verb", "verb2", "aimed", "aimed2", 0):
