@@ -139,6 +139,19 @@ def decode_text(content: pd.Series) -> pd.Series:
     return content.map(lambda x: None if x is None else decode(x))
 
 
+@F.pandas_udf(T.BinaryType())
+def encode_cp949(text: pd.Series) -> pd.Series:
+    """Texts as CP949, which Spark's own functions don't know; null where a character has no place in it."""
+
+    def encode(value):
+        try:
+            return value.encode("cp949")
+        except UnicodeEncodeError:
+            return None
+
+    return text.map(lambda x: None if x is None else encode(x))
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
 

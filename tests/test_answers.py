@@ -2,13 +2,14 @@
 
 import json
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from docmetrics.functions import jsontext
 from docmetrics.operators import answers
-from docmetrics.sources import pages, results
+from docmetrics.sources import pages, results, sinks
 
 
 def walk(value):
@@ -124,3 +125,16 @@ def test_results_round_trip(spark, tmp_path):
     assert spark.read.format("result_files").load(path).count() == 2
     (tmp_path / "flat.json").write_text('{"a": {"text": "x"}, "b": null, "_meta": {}}')
     assert sorted(r["id"] for r in spark.read.format("result_files").load(f"{tmp_path}/flat.json").collect()) == ["a", "b"]
+
+
+def test_workbooks(spark, tmp_path):
+    grid = [["a", None, "1", "007", "-2.5"], [], ["<&> \"é\"\n  x\u0001", "", "1e5"] + [None] * 30 + ["last"]]
+    rows = spark.createDataFrame([(1, grid), (2, None), (3, [])], "id int, grid array<array<string>>").select("id", sinks.workbook_bytes("grid").alias("book"))
+    cells = {r["id"]: r["c"] and [tuple(x) for x in r["c"]] for r in rows.select("id", sinks.workbook_cells("book").alias("c")).collect()}
+    assert cells == {1: [(0, 0, "a"), (0, 2, "1"), (0, 3, "007"), (0, 4, "-2.5"), (2, 0, '<&> "é"\n  x'), (2, 1, ""), (2, 2, "1e5"), (2, 33, "last")], 2: None, 3: []}
+    assert [sinks.column_letters(n) for n in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert sinks.write_files(rows.where("book is not null").select(F.concat(F.lit("a/"), "id", F.lit(".xlsx")).alias("name"), F.col("book").alias("content")), f"file://{tmp_path}/books") == 2
+    with zipfile.ZipFile(tmp_path / "books/a/1.xlsx") as z:
+        assert z.testzip() is None and len(z.namelist()) == 5
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert '<c r="C1"><v>1</v></c>' in sheet and '<c r="D1" t="inlineStr">' in sheet and 'r="AH3"' in sheet
