@@ -120,8 +120,8 @@ def test_chunks_lose_nothing_but_blank_ends(spark, lines, size):
 @given(st.text(alphabet="abc", max_size=9), st.text(alphabet="abc", max_size=9))
 @settings(max_examples=60, deadline=None)
 def test_distances(a, b):
-    assert metrics.sequence_distance(list(a), list(b)) == metrics.sequence_distance(list(b), list(a)) == tables._edit(a, b)
-    assert abs(len(a) - len(b)) <= tables._edit(a, b) <= max(len(a), len(b))
+    assert metrics.sequence_distance(list(a), list(b)) == metrics.sequence_distance(list(b), list(a)) == metrics.text_distance(a, b)
+    assert abs(len(a) - len(b)) <= metrics.text_distance(a, b) <= max(len(a), len(b))
 
 
 def test_tables():
