@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,21 @@ def _distance(a: str, b: str) -> str:
     return f"levenshtein({one(a)}, {one(b)})"
 
 
+def _decomposed(a: str) -> str:
+    """SQL for Latin letters with a mark as letter and mark."""
+    for c in map(chr, range(0xC0, 0x180)):
+        if (parts := unicodedata.normalize("NFD", c)) != c:
+            a = f"replace({a}, '{c}', '{parts}')"
+    return a
+
+
+def _words_as_bytes(a: str, lone: int) -> str:
+    """SQL for a text with a byte for each word: shared ones by their number, all others alike, as they equal nothing on the other side."""
+    return f"array_to_string(list_transform(string_split({a}, ' '), lambda w: chr(CAST(CASE WHEN list_position(shared, w) > 0 THEN list_position(shared, w) + 2 ELSE {lone} END AS INT))), '')"
+
+
+_SHARED_WORDS = "list_intersect(string_split(ref, ' '), string_split(hyp, ' ')) AS shared"
+_WER = f"CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END WHEN hyp = '' THEN 1.0 ELSE CAST(levenshtein({_words_as_bytes('ref', 1)}, {_words_as_bytes('hyp', 2)}) AS DOUBLE) / len(string_split(ref, ' ')) END"
 _CER = f"CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END ELSE CAST({_distance('ref', 'hyp')} AS DOUBLE) / length(ref) END"
 
 
@@ -57,13 +74,13 @@ def q06_benchmark_topk(t, spark):
     return neighbours.nearest_texts(t("benchmark"), 3, "item_id")
 
 
-@query()
+@query(f"WITH {_TURNS}, x AS (SELECT *, {_SHARED_WORDS} FROM a) SELECT conv_id, turn, round({_WER}, 6) AS wer FROM x")
 def q07_wer_pairs(t, spark):
     """Word error rates of turns."""
     return _turns(t).select("conv_id", "turn", r6(metrics.wer(F.col("ref"), F.col("hyp"), compose=False)).alias("wer"))
 
 
-@query()
+@query(f"WITH {_TURNS}, x AS (SELECT conv_id, turn, {_decomposed('ref')} AS ref, {_decomposed('hyp')} AS hyp FROM a) SELECT conv_id, turn, round({_CER}, 6) AS jamo_cer FROM x")
 def q08_jamo_cer(t, spark):
     """Error rates over decomposed characters of turns."""
     return _turns(t).select("conv_id", "turn", r6(metrics.jamo_cer(F.col("ref"), F.col("hyp"))).alias("jamo_cer"))
@@ -94,13 +111,13 @@ def q11_overflow_flags(t, spark):
     return _turns(t).select("conv_id", "turn", metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
 
 
-@query(f"""WITH {_TURNS}, s AS (SELECT *, {_CER} AS cer, (conv_id + turn) % 4 = 0 AS flipped, length({_BARE.format("hyp")}) > 2 * greatest(1, length({_BARE.format("ref")})) AS over FROM a)
-  SELECT role, count(*) AS n, round(avg(cer), 6) AS cer, round(median(cer), 6) AS cer_median, round(avg(cer) FILTER (WHERE NOT flipped), 6) AS cer_upright,
+@query(f"""WITH {_TURNS}, w AS (SELECT *, {_SHARED_WORDS} FROM a), s AS (SELECT *, {_CER} AS cer, {_WER} AS wer, turn % 5 / 5 AS teds, (conv_id + turn) % 4 = 0 AS flipped, length({_BARE.format("hyp")}) > 2 * greatest(1, length({_BARE.format("ref")})) AS over FROM w)
+  SELECT role, count(*) AS n, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(teds) FILTER (WHERE turn % 2 = 0), 6) AS teds, round(median(cer), 6) AS cer_median, round(avg(cer) FILTER (WHERE NOT flipped), 6) AS cer_upright,
   count(*) FILTER (WHERE cer > 0.5) AS failed, count(*) FILTER (WHERE over) AS overflow FROM s GROUP BY role""")
 def q65_page_summary(t, spark):
-    rows = _turns(t).select("role", _cer().alias("cer"), F.lit(None).cast("double").alias("wer"), F.lit(None).cast("double").alias("teds"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("flipped"), metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
+    rows = _turns(t).select("role", _cer().alias("cer"), metrics.wer(F.col("ref"), F.col("hyp"), compose=False).alias("wer"), F.when(F.col("turn") % 2 == 0, F.col("turn") % 5 / 5).alias("teds"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("flipped"), metrics.overflow(F.col("ref"), F.col("hyp"), False).alias("over"))
     s = scoring.page_summary(rows, ["role"])
-    return s.select("role", "n", *(r6(c).alias(c) for c in ("cer", "cer_median", "cer_upright")), "failed", "overflow")
+    return s.select("role", "n", *(r6(c).alias(c) for c in ("cer", "wer", "teds", "cer_median", "cer_upright")), "failed", "overflow")
 
 
 @query(f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, regexp_replace(ref, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS x, regexp_replace(hyp, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS y FROM a)
