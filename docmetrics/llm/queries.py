@@ -33,65 +33,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the base patterns' spans, and all spans with those that the trees add."""
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2,048 tokens, and their place in a sequence."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without bytes of 200-byte strings that start anywhere else too."""
     return remove_repeats(table(spark, sf_dir, "documents"), length=200, with_text=False)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the largest id stays."""
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.93 or more."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets have a similarity of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every text and their decoding, as digests."""
     import public_tokenizers
 
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels of rows that are not held out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of ZIP-packaged archives, written and read back."""
     return archive_round_trip(spark, table(spark, sf_dir, "pages"), least=0)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text's words, in one of ten texts after a stretch is repeated; nulls count as empty, null ids repeat nothing."""
     docs = table(spark, sf_dir, "documents")
     return run_digests(periodic_runs(docs.select("doc_id", planted().alias("text"))))
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language by score."""
     return collocations(table(spark, sf_dir, "documents"))
 
 
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-level ids of every text and their decoding, as digests."""
     import public_tokenizers
 
     return wordbpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
