@@ -102,7 +102,7 @@ def qx20_sketches(t, spark):
     found = found.select("event_type", "n", "distinct", F.get("value", F.lit(0)).alias("median"), F.get("value", F.lit(1)).alias("p90"), "item")
     users = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c"))
     exact = users.groupBy("event_type").agg(F.count("user_id").alias("users"), F.max("c").alias("most"))
-    ranks = events.join(F.broadcast(found.select("event_type", "median", "p90")), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("median")).cast("int")).alias("r50"), F.avg((F.col("value") <= F.col("p90")).cast("int")).alias("r90"))
+    ranks = events.join(found.select("event_type", "median", "p90"), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("median")).cast("int")).alias("r50"), F.avg((F.col("value") <= F.col("p90")).cast("int")).alias("r90"))
     near = lambda got, want, bound: F.abs(got - want) <= bound
     j = found.join(exact, "event_type").join(ranks, "event_type")
     return j.select(
