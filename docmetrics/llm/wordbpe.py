@@ -19,7 +19,7 @@ from .wordcache import portions
 from .wordids import WordIds
 
 #: Characters of the texts that are encoded together.
-PORTION = 1 << 20
+PORTION = 2 << 20
 #: The end of a word, after its last byte.
 END = 256
 LATER = np.iinfo(np.int64).max
@@ -257,7 +257,7 @@ class SpeculativeIds(WordIds):
     tokenizer's file, whose added tokens are cut out of the texts first.
     """
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 300_000):
         self.speculator, self.cut_added = Speculator(path), None
         super().__init__(path, room)
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
