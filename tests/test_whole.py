@@ -89,8 +89,10 @@ def by_pair(f):
 
 def summary(g):
     scores = [cer(r, h) for *_, r, h in g]
+    words = [cer(r.split(), h.split()) for *_, r, h in g]
+    tables = [k % 5 / 5 for _, k, *_ in g if k % 2 == 0]
     upright = [cer(r, h) for c, k, _, r, h in g if (c + k) % 4]
-    return len(g), mean(scores), median(scores), mean(upright), sum(x > 0.5 for x in scores), sum(over(r, h) for *_, r, h in g)
+    return len(g), mean(scores), mean(words), mean(tables) if tables else None, median(scores), mean(upright), sum(x > 0.5 for x in scores), sum(over(r, h) for *_, r, h in g)
 
 
 def disagreement(r, h):
