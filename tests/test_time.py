@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docmetrics import plans
 from docmetrics.operators import intervals, sketches
 from docmetrics.streaming import joins, windows
 
@@ -56,6 +57,37 @@ def test_sketches_merge(spark):
     assert sketches.estimates(sketches.merged(daily.where("false"), ["kind"]), [0.5], 1).collect() == []
 
 
+def test_sketches_of_even_items(spark):
+    """More items than the sketch tracks, none or one of which stands out: the first three are counted exactly; nulls are no items."""
+    rows = [(i % 3, None if i // 3 % 2 else "x", None if i % 10 == 9 else i) for i in range(12_000)] + [(1, "x", 7)] * 30 + [(2, "x", None)] * 50 + [(2, None, 4000), (0, "y", 5), (0, "z", None)]
+    df = spark.createDataFrame([(*r, float(r[0])) for r in rows], "day int, kind string, item long, v double").repartition(5)
+    found = sketches.estimates(sketches.merged(sketches.sketched(df, ["day", "kind"], "item", "v", "item"), ["kind"]), [0.5], 3)
+    assert {r["kind"]: len(r["item"]) for r in found.collect()} == {None: 0, "x": 1, "y": 1, "z": 0}
+    got = {r["kind"]: [tuple(i) for i in r["item"]] for r in sketches.completed(found, df, ["kind"], "item", 3).collect()}
+    assert got == {None: [(4000, 2), (3, 1), (4, 1)], "x": [(7, 31), (0, 1), (1, 1)], "y": [(5, 1)], "z": []}
+
+
+DAY, NAN = datetime.datetime(2024, 1, 1), float("nan")
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(i, DAY, i // 2, "x" if i % 2 else "y", float(i % 97)) for i in range(8000)],
+        [(i, DAY, i % 5, "x" if i % 2 else None, float(i)) for i in range(300)],
+        [(i, DAY, i % 5, "x", 5.0) for i in range(300)],
+        [(i, DAY, i % 5, "x", NAN if i % 2 else float(i)) for i in range(300)],
+        [(i, None, None, "x", NAN if i % 2 else None) for i in range(300)],
+    ],
+    ids=["even users", "null kind", "one value", "some NaN", "nulls and NaN"],
+)
+def test_sketches_query(spark, tmp_path, rows):
+    """One row a kind, and all true."""
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_type"]: tuple(r)[1:] for r in plans.QUERIES["qx20_sketches"](spark, str(tmp_path)).collect()}
+    assert got == {kind: (sum(r[3] == kind for r in rows), True, True, True, True) for kind in {r[3] for r in rows}}
+
+
 def at(hour, minute=0):
     return datetime.datetime(2024, 1, 1 + hour // 24, hour % 24, minute)
 
